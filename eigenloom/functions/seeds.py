@@ -29,38 +29,69 @@ def fold32(x: Column) -> Column:
     return x.bitwiseXOR(F.shiftright(x, 32)).bitwiseAND(WORD - 1)
 
 
-def uniform(seed: int, *ids: Column) -> Column:
-    """A number in (0, 1) that depends only on the seed and the ids."""
-    state = mix32(F.lit(seed % WORD).cast("long"))
-    for i in ids:
-        state = mix32(state.bitwiseXOR(fold32(i)))
+def to_unit(state: Column) -> Column:
+    """A 32-bit state as a number in (0, 1)."""
     return (state + 0.5) / float(WORD)
 
 
+def id_state(seed: int, i: Column) -> Column:
+    """The mixed state of one id under a seed."""
+    return mix32(mix32(F.lit(seed % WORD).cast("long")).bitwiseXOR(fold32(i)))
+
+
+def uniform(seed: int, i: Column) -> Column:
+    """A number in (0, 1) that depends only on the seed and the id."""
+    return to_unit(id_state(seed, i))
+
+
+def _stream(comp: Column, factor: int = 1, offset: int = 0) -> Column:
+    """The uniform number of a component, from the column's state in ``_state``."""
+    number = (comp.cast("long") * factor + offset) * COMP_STRIDE % WORD
+    return to_unit(mix32(F.col("_state").bitwiseXOR(number)))
+
+
+def _uniform_cell(comp: Column) -> Column:
+    return _stream(comp)
+
+
+def _gaussian_cell(comp: Column) -> Column:
+    """Box-Muller on two uniform streams."""
+    radius = F.sqrt(F.lit(-2.0) * F.log(_stream(comp, 2)))
+    return radius * F.cos(F.lit(2.0 * math.pi) * _stream(comp, 2, 1))
+
+
 def column_range(spark: SparkSession, n_cols: int) -> DataFrame:
     return spark.range(n_cols).select(F.col("id").cast("int").alias("col_id"))
 
 
 def _cells(cols: DataFrame, width: int) -> DataFrame:
-    return cols.select("col_id", F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("comp"))
+    comp = F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("comp")
+    return cols.select(*cols.columns, comp)
+
+
+def _with_state(cols: DataFrame, seed: int) -> DataFrame:
+    return cols.select("col_id", id_state(seed, F.col("col_id")).alias("_state"))
 
 
 def uniform_seed(cols: DataFrame, width: int, seed: int = 0) -> DataFrame:
     """Entries uniform on (0, 1) for each column in ``cols``."""
-    stream = F.col("comp").cast("long") * COMP_STRIDE % WORD
-    return _cells(cols, width).withColumn("value", uniform(seed, F.col("col_id"), stream))
+    cells = _cells(_with_state(cols, seed), width)
+    return cells.select("col_id", "comp", _uniform_cell(F.col("comp")).alias("value"))
 
 
 def gaussian_seed(cols: DataFrame, width: int, seed: int = 0) -> DataFrame:
-    """Standard normal entries for each column in ``cols`` (Box-Muller on two uniform streams)."""
-    first = F.col("comp").cast("long") * 2 * COMP_STRIDE % WORD
-    second = (F.col("comp").cast("long") * 2 + 1) * COMP_STRIDE % WORD
-    radius = F.sqrt(F.lit(-2.0) * F.log(uniform(seed, F.col("col_id"), first)))
-    angle = F.lit(2.0 * math.pi) * uniform(seed, F.col("col_id"), second)
-    return _cells(cols, width).withColumn("value", radius * F.cos(angle))
+    """Standard normal entries for each column in ``cols``."""
+    cells = _cells(_with_state(cols, seed), width)
+    return cells.select("col_id", "comp", _gaussian_cell(F.col("comp")).alias("value"))
+
+
+def gaussian_vectors(cols: DataFrame, width: int, seed: int = 0) -> DataFrame:
+    """The same entries packed by column, without an exchange."""
+    vec = F.array(*[_gaussian_cell(F.lit(j)) for j in range(width)])
+    return _with_state(cols, seed).select("col_id", vec.alias("vec"))
 
 
 def validation_seed(cols: DataFrame, width: int) -> DataFrame:
     """The deterministic check matrix ``(col_id + comp) mod 10 + 1``."""
     value = (F.col("col_id") + F.col("comp")) % 10 + 1
-    return _cells(cols, width).withColumn("value", value.cast("double"))
+    return _cells(cols.select("col_id"), width).withColumn("value", value.cast("double"))

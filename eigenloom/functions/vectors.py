@@ -35,8 +35,3 @@ def sum_vectors(df: DataFrame, keys: list[str], width: int, weight: Column | Non
 def dot(left: str, right: str, width: int) -> Column:
     """Inner product of two packed vectors as a codegen-friendly sum of products."""
     return reduce(lambda a, b: a + b, [F.col(left)[j] * F.col(right)[j] for j in range(width)])
-
-
-def rounded(column: Column | str, places: int) -> Column:
-    """Round half away from zero at a fixed number of decimals."""
-    return F.round(F.col(column) if isinstance(column, str) else column, places)

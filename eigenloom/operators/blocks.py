@@ -6,8 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 
-# Stored cells handled at a time inside a task.
-CHUNK_CELLS = 1 << 19
+# Numbers in the largest temporary array of a task, apart from those of a single long row.
+CHUNK_NUMBERS = 1 << 22
 
 # Fill above which a block is multiplied as a dense array, and the largest such array (in cells).
 DENSE_FILL = 0.02
@@ -23,13 +23,15 @@ class SparseBlock:
     def __len__(self) -> int:
         return len(self.lengths)
 
-    def chunks(self, max_rows: int | None = None) -> Iterator[tuple[int, SparseBlock]]:
-        """(first row, block) pieces of at most about CHUNK_CELLS cells and ``max_rows`` rows."""
+    def chunks(
+        self, max_rows: int | None = None, max_cells: int = CHUNK_NUMBERS
+    ) -> Iterator[tuple[int, SparseBlock]]:
+        """(first row, block) pieces of at most ``max_cells`` cells, or one row, and ``max_rows`` rows."""
         ends = np.cumsum(self.lengths)
         row, n = 0, len(self)
         while row < n:
             begin = ends[row - 1] if row else 0
-            last = int(np.searchsorted(ends, begin + CHUNK_CELLS, side="right"))
+            last = int(np.searchsorted(ends, begin + max_cells, side="right"))
             last = max(last, row + 1)
             if max_rows:
                 last = min(last, row + max_rows)
@@ -38,9 +40,12 @@ class SparseBlock:
             yield row, SparseBlock(self.lengths[row:last], self.index[cells], self.value[cells])
             row = last
 
-    def pieces(self, n_cols: int) -> Iterator[tuple[int, SparseBlock]]:
-        """Chunks with column ids under ``n_cols``; well filled ones are cut to a bounded dense size."""
-        for start, chunk in self.chunks():
+    def pieces(self, n_cols: int, width: int = 1) -> Iterator[tuple[int, SparseBlock]]:
+        """Chunks with column ids under ``n_cols``, sized for products with ``width`` components.
+
+        Well filled ones are cut to a bounded dense size.
+        """
+        for start, chunk in self.chunks(max_cells=CHUNK_NUMBERS // width):
             chunk = chunk.below(n_cols)
             if chunk.is_dense(n_cols):
                 for offset, part in chunk.chunks(max(1, DENSE_CELLS // max(n_cols, 1))):

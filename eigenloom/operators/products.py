@@ -11,8 +11,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.vectors import dot, pack, sum_vectors
-from ..session import fits_broadcast
+from ..functions.vectors import dot, sum_vectors
+from ..session import FACTOR_LIMIT_BYTES, fits_broadcast
 from .blocks import batch_rows, batch_vectors
 from .shapes import ENTRIES, as_entries, is_rows, merge_entries
 from .skew import salted_join
@@ -22,10 +22,8 @@ SCORES = "row_id long, vec array<double>"
 
 def factor_array(packed: DataFrame, n_cols: int, width: int) -> np.ndarray:
     """A packed factor as an (n_cols, width) array. Callers check ``fits_broadcast`` first."""
-    table = packed.select("col_id", "vec").toArrow().combine_chunks()
     out = np.zeros((n_cols, width))
-    if table.num_rows:
-        batch = table.to_batches()[0]
+    for batch in packed.select("col_id", "vec").toArrow().to_batches():
         out[batch.column("col_id").to_numpy(zero_copy_only=False)] = batch_vectors(batch, width)
     return out
 
@@ -46,7 +44,7 @@ def project_block(rows: DataFrame, factor: np.ndarray, shift: np.ndarray | None
         for batch in batches:
             factor = held.value
             ids = batch.column("row_id").to_numpy(zero_copy_only=False)
-            for start, part in batch_rows(batch).pieces(len(factor)):
+            for start, part in batch_rows(batch).pieces(*factor.shape):
                 scores = part.times(factor)
                 if shift is not None:
                     scores = scores - shift
@@ -56,21 +54,26 @@ def project_block(rows: DataFrame, factor: np.ndarray, shift: np.ndarray | None
 
 
 def project_rows(
-    matrix: DataFrame, factor: DataFrame, n_cols: int, width: int, limit: int | None = None
+    matrix: DataFrame,
+    factor: DataFrame,
+    n_cols: int,
+    width: int,
+    limit: int = FACTOR_LIMIT_BYTES,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Y M as packed scores, for a packed factor M.
 
     Sparse rows against a small factor need no exchange at all. Entries are joined on the column id,
     by broadcast below the size limit and by a salted exchange above it, and summed per row.
     """
-    small = fits_broadcast(n_cols, width) if limit is None else fits_broadcast(n_cols, width, limit)
+    small = fits_broadcast(n_cols, width, limit)
     if is_rows(matrix) and small:
         return project_block(matrix, factor_array(factor, n_cols, width))
     entries = as_entries(matrix)
     if small:
         joined = entries.join(F.broadcast(factor), "col_id")
     else:
-        joined = salted_join(entries, factor, "col_id", "row_id")
+        joined = salted_join(entries, factor, "col_id", "row_id", hot)
     return sum_vectors(joined, ["row_id"], width, F.col("value"))
 
 
@@ -124,12 +127,14 @@ def row_residual(
     return merge_entries(rebuilt.unionByName(stored))
 
 
-def cross_product(matrix: DataFrame, scores: DataFrame, zm: np.ndarray) -> DataFrame:
+def cross_product(
+    matrix: DataFrame, scores: DataFrame, zm: np.ndarray, hot: DataFrame | None = None
+) -> DataFrame:
     """Y'(Z - 1 zm) as a packed factor: entries meet their row's scores and are summed per column."""
     width = len(zm)
     shifted = F.transform("vec", lambda x, i: x - F.array(*map(F.lit, zm.tolist()))[i])
     shifted = scores.select("row_id", shifted.alias("vec"))
-    joined = salted_join(as_entries(matrix), shifted, "row_id", "col_id")
+    joined = salted_join(as_entries(matrix), shifted, "row_id", "col_id", hot)
     return sum_vectors(joined, ["col_id"], width, F.col("value"))
 
 
@@ -158,8 +163,3 @@ def mean_correction(
     joined = cross.join(means.withColumnRenamed("value", "mean"), "col_id", "full_outer")
     zero = F.array_repeat(F.lit(0.0), len(zm))
     return joined.withColumn("vec", F.coalesce("vec", zero)).select("col_id", value.alias("vec"))
-
-
-def packed_factor(factor: DataFrame, width: int) -> DataFrame:
-    """(col_id, comp, value) to the packed form the products take."""
-    return pack(factor, "col_id", width)

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 
-def hot_keys(big: DataFrame, key: str, parts: int) -> DataFrame:
-    """Keys holding more than a 1/parts share of ``big``, with the number of salts each needs.
+def hot_keys(big: DataFrame, key: str) -> DataFrame:
+    """Keys holding more than one shuffle partition's share of ``big``, with the salts each needs.
 
-    The counts of all keys add up to the row count, so fewer than ``parts`` keys can exceed that
+    With ``parts`` partitions that is a 1/parts share. The counts of all keys add up to the row count, so fewer than ``parts`` keys can exceed that
     share: the result is safe to broadcast whatever the data.
     """
+    parts = int(big.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     counts = big.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
     share = counts.agg((F.sum("_n") / parts).alias("share")).scalar()
     return counts.where(F.col("_n") > share).select(
@@ -18,13 +19,17 @@ def hot_keys(big: DataFrame, key: str, parts: int) -> DataFrame:
     )
 
 
-def salted_join(big: DataFrame, small: DataFrame, key: str, spread: str) -> DataFrame:
+def salted_join(
+    big: DataFrame, small: DataFrame, key: str, spread: str, hot: DataFrame | None = None
+) -> DataFrame:
     """Inner join of ``big`` with ``small`` (one row per key), hot keys of ``big`` split by ``spread``.
 
-    Only rows of ``small`` whose key is hot are copied, once per salt.
+    Only rows of ``small`` whose key is hot are copied, once per salt. ``hot`` saves the count when
+    the same big side is joined again.
     """
-    parts = int(big.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    hot = F.broadcast(hot_keys(big, key, parts))
+    if hot is None:
+        hot = hot_keys(big, key)
+    hot = F.broadcast(hot)
     salt = F.when(F.col("_salts").isNull(), 0).otherwise(F.pmod(F.xxhash64(spread), F.col("_salts")))
     left = big.join(hot, key, "left").withColumn("_salt", salt.cast("int")).drop("_salts")
     salts = F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1)

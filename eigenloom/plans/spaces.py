@@ -14,14 +14,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions.seeds import column_range, gaussian_seed
+from ..functions.seeds import column_range, gaussian_vectors
 from ..functions.vectors import pack, sum_vectors, unpack
 from ..operators import products, tsqr
 from ..operators.blocks import batch_rows, batch_vectors
 from ..operators.shapes import as_entries, dimensions, is_rows, merge_entries, to_rows
 from ..operators.sums import column_means, column_sums, score_sums
 from ..operators.products import vector_batch
-from ..session import FACTOR_LIMIT_BYTES, as_table, drop_table, fits_broadcast, scratch_root
+from ..operators.skew import hot_keys
+from ..session import FACTOR_LIMIT_BYTES, as_table, drop_path, fits_broadcast, scratch_path
 
 CROSS, GRAM, SUM, COUNT = range(4)
 FACTOR = "col_id int, vec array<double>"
@@ -97,9 +98,10 @@ def column_signs(factor: np.ndarray) -> np.ndarray:
 class LocalSpace:
     def __init__(self, matrix: DataFrame, n_rows: int, n_cols: int, cache: bool = False):
         self.spark, self.n_rows, self.n_cols = matrix.sparkSession, n_rows, n_cols
-        self.made = self.n_present = None
+        self.path = self.n_present = None
         if not is_rows(matrix):
-            self.made = matrix = as_table(to_rows(matrix), "rows")
+            self.path = scratch_path(self.spark, "rows")
+            matrix = as_table(to_rows(matrix), self.path)
         tasks = task_bound(matrix)
         self.rows = matrix.select("indices", "values")
         if tasks:
@@ -118,15 +120,18 @@ class LocalSpace:
     def close(self) -> None:
         if self.cached is not None:
             self.cached.unpersist()
-        if self.made is not None:
-            drop_table(self.made)
+        if self.path is not None:
+            drop_path(self.spark, self.path)
 
     def start(self, width: int, seed: int) -> np.ndarray:
-        cells = gaussian_seed(column_range(self.spark, self.n_cols), width, seed)
-        return self.load(cells, width)
+        vectors = gaussian_vectors(column_range(self.spark, self.n_cols), width, seed)
+        return products.factor_array(vectors, self.n_cols, width)
 
     def load(self, factor: DataFrame, width: int) -> np.ndarray:
-        return products.factor_array(pack(factor, "col_id", width), self.n_cols, width)
+        cells = factor.select("col_id", "comp", "value").toArrow()
+        out = np.zeros((self.n_cols, width))
+        out[cells["col_id"].to_numpy(), cells["comp"].to_numpy()] = cells["value"].to_numpy()
+        return out
 
     def table(self, factor: np.ndarray) -> DataFrame:
         return factor_table(self.spark, factor)
@@ -143,7 +148,7 @@ class LocalSpace:
             y_cross = np.zeros((width, n_cols)) if cross else None
             seen = np.zeros(n_cols, dtype=bool)
             for batch in batches:
-                for _, part in batch_rows(batch).pieces(n_cols):
+                for _, part in batch_rows(batch).pieces(n_cols, width):
                     z = part.times(factor) - zm
                     z_sum += z.sum(axis=0)
                     n += len(part)
@@ -167,14 +172,13 @@ class LocalSpace:
                     yield partial_batch(CROSS, some, y_cross[:, some].T)
 
         sums = sum_vectors(self.rows.mapInArrow(job, PARTIAL), ["part", "i"], width)
-        sums = sums.toArrow().combine_chunks()
-        held.destroy()
         whole = {p: np.zeros((n_cols if p == CROSS else width, width)) for p in range(4)}
-        for batch in sums.to_batches():
+        for batch in sums.toArrow().to_batches():
             part = batch.column("part").to_numpy(zero_copy_only=False)
             i, vec = batch.column("i").to_numpy(zero_copy_only=False), batch_vectors(batch, width)
             for p, target in whole.items():
                 target[i[part == p]] = vec[part == p]
+        held.destroy()
         # Absent rows are zero rows: z - zm is -zm there, and y adds nothing.
         self.n_present = round(whole[COUNT][0, 0])
         absent = self.n_rows - self.n_present
@@ -191,7 +195,7 @@ class LocalSpace:
         held, zm = self.spark.sparkContext.broadcast(factor), self.means @ factor
 
         def job(batches):
-            parts = (part for b in batches for _, part in batch_rows(b).pieces(n_cols))
+            parts = (part for b in batches for _, part in batch_rows(b).pieces(n_cols, width))
             yield from tsqr.task_r(
                 (part.times(held.value) - zm for part in parts), width, buckets
             )
@@ -229,44 +233,53 @@ class Factor:
 
 
 class TableSpace:
+    """Every step is a join and a sum; results are written to the scratch folder between steps."""
+
     def __init__(self, matrix: DataFrame, n_rows: int, n_cols: int, cache: bool = False):
-        self.spark, self.n_rows, self.n_cols = matrix.sparkSession, n_rows, n_cols
-        scratch_root(self.spark)
+        self.spark, self.n_rows, self.n_cols, self.paths = matrix.sparkSession, n_rows, n_cols, []
         cells = as_entries(matrix)
         if not is_rows(matrix):
             cells = merge_entries(cells)
         cells = cells.where((F.col("col_id") < n_cols) & (F.col("value") != 0))
-        self.entries = as_table(cells, "entries")
-        self.means = column_means(self.entries, n_rows, n_cols).checkpoint()
+        self.entries = self.stored(cells, "entries")
+        self.means = self.stored(column_means(self.entries, n_rows, n_cols), "means")
+        self.hot_rows = self.stored(hot_keys(self.entries, "row_id"), "hot_rows")
+        self.hot_columns = self.stored(hot_keys(self.entries, "col_id"), "hot_columns")
         square = self.means.agg(F.sum(F.col("value") * F.col("value"))).first()[0]
         self.noise = ROUND_OFF * np.sqrt(n_rows * square)
 
+    def stored(self, df: DataFrame, name: str) -> DataFrame:
+        path = scratch_path(self.spark, name)
+        self.paths.append(path)
+        return as_table(df, path)
+
     def close(self) -> None:
-        drop_table(self.entries)
+        for path in self.paths:
+            drop_path(self.spark, path)
 
     def start(self, width: int, seed: int) -> Factor:
-        return self.load(gaussian_seed(column_range(self.spark, self.n_cols), width, seed), width)
+        vectors = gaussian_vectors(column_range(self.spark, self.n_cols), width, seed)
+        return Factor(self.stored(vectors, "seed"), width)
 
     def load(self, factor: DataFrame, width: int) -> Factor:
-        return Factor(pack(factor, "col_id", width).checkpoint(), width)
+        return Factor(self.stored(pack(factor, "col_id", width), "factor"), width)
 
     def table(self, factor: Factor) -> DataFrame:
-        return unpack(factor.df, "col_id")
+        """(col_id, comp, value) in a table of its own, which outlives the space."""
+        return as_table(unpack(factor.df, "col_id"), scratch_path(self.spark, "components"))
 
     def scores(self, factor: Factor) -> tuple[DataFrame, np.ndarray, int]:
-        """Scores as a table in the scratch folder, their declared mean, and the rows present."""
+        """Stored scores, their declared mean, and the number of rows without a stored cell."""
+        # The factor outgrew the broadcast limit, or the caller said so: exchange, never broadcast.
         scores = products.project_rows(
-            self.entries, factor.df, self.n_cols, factor.width, limit=self.broadcast_limit
+            self.entries, factor.df, self.n_cols, factor.width, limit=0, hot=self.hot_columns
         )
-        scores = as_table(scores, "scores")
-        zm = small_vector(products.mean_times_matrix(self.means, factor.df, factor.width), factor.width)
+        scores = self.stored(scores, "scores")
+        zm = products.mean_times_matrix(self.means, factor.df, factor.width)
         present = scores.count()
         if present > self.n_rows:
             raise ValueError(f"n_rows={self.n_rows}, but the matrix holds {present} rows")
-        return scores, zm, self.n_rows - present
-
-    # The factor outgrew the broadcast limit, or the caller said so: every join is an exchange.
-    broadcast_limit = 0
+        return scores, small_vector(zm, factor.width), self.n_rows - present
 
     def sketch(self, factor: Factor, gram: bool = True, cross: bool = True):
         """(Yc'Zc, Zc'Zc) for Zc = Yc factor, by joins on the column id and then on the row id."""
@@ -277,16 +290,14 @@ class TableSpace:
             z_gram += absent * np.outer(zm, zm)
         if cross:
             z_sum = small_vector(score_sums(scores, factor.width), factor.width)
-            table = products.cross_product(self.entries, scores, zm)
+            table = products.cross_product(self.entries, scores, zm, self.hot_rows)
             table = products.mean_correction(table, self.means, z_sum, zm, self.n_rows)
-            y_cross = Factor(table.checkpoint(), factor.width)
-        drop_table(scores)
+            y_cross = Factor(self.stored(table, "cross"), factor.width)
         return y_cross, z_gram
 
     def stack_r(self, factor: Factor, buckets: int = 64) -> np.ndarray:
         scores, zm, absent = self.scores(factor)
         r = small_rows(tsqr.tsqr_r(scores, zm, buckets), "i", factor.width)
-        drop_table(scores)
         return add_absent(r, absent, zm)
 
     def times(self, factor: Factor, small: np.ndarray) -> Factor:
@@ -328,7 +339,7 @@ class TableSpace:
                 yield vector_batch(["col_id"], [keys], batch_vectors(batch, n) - rest)
 
         table = self.joined(factor, other).mapInArrow(job, FACTOR)
-        return Factor(table.checkpoint(), factor.width)
+        return Factor(self.stored(table, "less"), factor.width)
 
     def signs(self, factor: Factor) -> np.ndarray:
         cells = self.table(factor)
@@ -347,7 +358,7 @@ class TableSpace:
         keep = power > RANK_TOLERANCE * max(power[0], 0.0)
         sigma = np.sqrt(power[keep])
         u = self.times(factor, w[:, keep] / sigma)
-        return Factor(u.df.checkpoint(), u.width), sigma
+        return Factor(self.stored(u.df, "vectors"), u.width), sigma
 
 
 def partial_batch(part: int, i, vectors: np.ndarray) -> pa.RecordBatch:
@@ -357,12 +368,8 @@ def partial_batch(part: int, i, vectors: np.ndarray) -> pa.RecordBatch:
 
 def small_rows(packed: DataFrame, key: str, width: int) -> np.ndarray:
     """A table of about ``width`` packed rows as an array, ordered by its key."""
-    table = packed.select(key, "vec").toArrow().combine_chunks()
-    if not table.num_rows:
-        return np.zeros((0, width))
-    batch = table.to_batches()[0]
-    order = np.argsort(batch.column(key).to_numpy(zero_copy_only=False))
-    return batch_vectors(batch, width)[order]
+    table = packed.select(key, "vec").toArrow().sort_by(key)
+    return np.vstack([np.zeros((0, width)), *(batch_vectors(b, width) for b in table.to_batches())])
 
 
 def small_vector(long: DataFrame, width: int) -> np.ndarray:

@@ -36,22 +36,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark).rstrip('/')}/eigenloom-{uuid.uuid4().hex}/{name}"
 
 
-def as_table(df: DataFrame, name: str = "part") -> DataFrame:
-    """Write ``df`` to the shared scratch folder and scan it back: cuts lineage, survives executors."""
-    path = scratch_path(df.sparkSession, name)
+def as_table(df: DataFrame, path: str) -> DataFrame:
+    """Write ``df`` under a scratch path and scan it back: cuts lineage, survives lost executors."""
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def drop_table(df: DataFrame) -> None:
-    """Delete the files of a table made by :func:`as_table`."""
-    spark = df.sparkSession
-    for name in df.inputFiles():
-        folder = spark._jvm.org.apache.hadoop.fs.Path(name).getParent()
-        if "/eigenloom-" in folder.toString():
-            system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-            system.delete(folder.getParent(), True)
-            return
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Delete a scratch path, with the folder made for it."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path).getParent()
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def fits_broadcast(n_cols: int, width: int, limit: int = FACTOR_LIMIT_BYTES) -> bool:

@@ -37,13 +37,17 @@ def _rows_of(matrix: DataFrame, n_rows: int | None) -> DataFrame:
 
 def dense_lines(matrix: DataFrame, n_cols: int, n_rows: int | None = None) -> DataFrame:
     """(i, line): all values of a row, each followed by a space."""
-    cells = F.map_from_arrays("indices", "values")
-    filled = F.transform(
-        F.sequence(F.lit(0), F.lit(n_cols - 1)),
-        lambda j: F.concat(F.coalesce(F.try_element_at("cells", j), F.lit(0.0)).cast("string"), F.lit(" ")),
+    every = F.sequence(F.lit(0), F.lit(n_cols - 1))
+    stored = F.transform(
+        F.arrays_zip("indices", "values"), lambda c: F.struct(c["indices"].alias("j"), c["values"].alias("v"))
     )
+    empty = F.transform(
+        F.array_except(every, "indices"), lambda j: F.struct(j.alias("j"), F.lit(0.0).alias("v"))
+    )
+    cells = F.array_sort(F.concat(stored, empty))
+    texts = F.transform("cells", lambda c: F.concat(c["v"].cast("string"), F.lit(" ")))
     rows = _rows_of(matrix, n_rows).select("i", cells.alias("cells"))
-    return rows.select("i", F.array_join(filled, "").alias("line"))
+    return rows.select("i", F.array_join(texts, "").alias("line"))
 
 
 def lil_lines(matrix: DataFrame, n_rows: int | None = None) -> DataFrame:

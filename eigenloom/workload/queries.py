@@ -52,7 +52,7 @@ from .. import (
 )
 from ..functions.vectors import sum_vectors
 from ..plans.spaces import LocalSpace, factor_table, small_vector
-from ..session import scratch_path
+from ..session import FACTOR_LIMIT_BYTES, scratch_path
 from ..sources.text import numbered_lines
 from . import fixtures as fx
 from .fixtures import EMBEDDING, HOURS, WIDTH
@@ -217,7 +217,7 @@ def project_rows_block(spark, sf):
     return out(unpack(_embedding_scores(spark, sf)[2], "row_id", value="z"), 6)
 
 
-def _order_part_scores(spark, sf, limit=None):
+def _order_part_scores(spark, sf, limit=FACTOR_LIMIT_BYTES):
     n_rows, n_cols = fx.order_part_dims(spark, sf)
     entries, factor = fx.order_part(spark, sf), fx.check_factor(fx.part_columns(spark, sf))
     scores = project_rows(entries, factor, n_cols, WIDTH, limit)
