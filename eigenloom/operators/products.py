@@ -15,7 +15,7 @@ from ..functions.vectors import dot, sum_vectors
 from ..session import FACTOR_LIMIT_BYTES, fits_broadcast
 from .blocks import batch_rows, batch_vectors
 from .shapes import ENTRIES, as_entries, is_rows, merge_entries
-from .skew import salted_join
+from .skew import HotKeys, salted_join
 
 SCORES = "row_id long, vec array<double>"
 
@@ -59,7 +59,7 @@ def project_rows(
     n_cols: int,
     width: int,
     limit: int = FACTOR_LIMIT_BYTES,
-    hot: DataFrame | None = None,
+    hot: HotKeys | None = None,
 ) -> DataFrame:
     """Y M as packed scores, for a packed factor M.
 
@@ -128,7 +128,7 @@ def row_residual(
 
 
 def cross_product(
-    matrix: DataFrame, scores: DataFrame, zm: np.ndarray, hot: DataFrame | None = None
+    matrix: DataFrame, scores: DataFrame, zm: np.ndarray, hot: HotKeys | None = None
 ) -> DataFrame:
     """Y'(Z - 1 zm) as a packed factor: entries meet their row's scores and are summed per column."""
     width = len(zm)

@@ -1,7 +1,7 @@
 """The two table shapes of a matrix and the row-wise operators on them.
 
 entries   (row_id LONG, col_id INT, value DOUBLE): one row per stored cell. Several rows for the same
-          cell add up, unless an operator says otherwise.
+          cell add up, unless an operator says otherwise. Either id may be INT or LONG.
 rows      (row_id LONG, segment INT, indices ARRAY<INT>, values ARRAY<DOUBLE>): the stored cells of
           one matrix row in column order, cut into segments of SEGMENT_WIDTH columns so that no
           array grows without bound. A matrix of up to SEGMENT_WIDTH columns has one segment per row.
@@ -25,11 +25,12 @@ def is_rows(df: DataFrame) -> bool:
 
 
 def entries_from(df: DataFrame, row: str, col: str, value: str) -> DataFrame:
-    """Any relational table as matrix entries; a pure projection."""
+    """Any relational table as matrix entries; a pure projection.
+
+    Integer ids keep their type, so that a test on ``row_id`` or ``col_id`` still reaches the scan.
+    """
     return df.select(
-        F.col(row).cast("long").alias("row_id"),
-        F.col(col).cast("int").alias("col_id"),
-        F.col(value).cast("double").alias("value"),
+        F.col(row).alias("row_id"), F.col(col).alias("col_id"), F.col(value).cast("double").alias("value")
     )
 
 
@@ -69,11 +70,10 @@ def to_rows(entries: DataFrame, merged: bool = False, segment_width: int = SEGME
     cells = cells.where("value <> 0").withColumn(
         "segment", F.floor(F.col("col_id") / segment_width).cast("int")
     )
-    grouped = cells.groupBy("row_id", "segment").agg(
-        F.sort_array(F.collect_list(F.struct("col_id", "value"))).alias("cells")
-    )
+    cell = F.struct(F.col("col_id").cast("int").alias("col_id"), "value")
+    grouped = cells.groupBy("row_id", "segment").agg(F.sort_array(F.collect_list(cell)).alias("cells"))
     return grouped.select(
-        "row_id",
+        F.col("row_id").cast("long").alias("row_id"),
         "segment",
         F.col("cells.col_id").alias("indices"),
         F.col("cells.value").alias("values"),
@@ -115,7 +115,7 @@ def limit_columns(entries: DataFrame, max_col: int) -> DataFrame:
 
 def rebase_columns(entries: DataFrame, base: int) -> DataFrame:
     """Column ids counted from ``base`` to ids counted from 0; row ids stay."""
-    return entries.withColumn("col_id", (F.col("col_id") - base).cast("int"))
+    return entries.withColumn("col_id", F.col("col_id") - base)
 
 
 def sample_rows(matrix: DataFrame, rate: float, seed: int = 0) -> DataFrame:

@@ -243,8 +243,8 @@ class TableSpace:
         cells = cells.where((F.col("col_id") < n_cols) & (F.col("value") != 0))
         self.entries = self.stored(cells, "entries")
         self.means = self.stored(column_means(self.entries, n_rows, n_cols), "means")
-        self.hot_rows = self.stored(hot_keys(self.entries, "row_id"), "hot_rows")
-        self.hot_columns = self.stored(hot_keys(self.entries, "col_id"), "hot_columns")
+        self.hot_rows = hot_keys(self.entries, "row_id")
+        self.hot_columns = hot_keys(self.entries, "col_id")
         square = self.means.agg(F.sum(F.col("value") * F.col("value"))).first()[0]
         self.noise = ROUND_OFF * np.sqrt(n_rows * square)
 
