@@ -16,48 +16,46 @@ COMP_STRIDE = 1540483477
 WORD = 1 << 32
 
 
-def mix32(x: Column) -> Column:
-    """Scramble a non-negative integer below 2**32 into another one."""
+def mixed(x: int) -> int:
+    """Scramble a number below 2**32 into another one."""
     for _ in range(2):
-        x = (x.bitwiseXOR(F.shiftright(x, 16)) * F.lit(MIX_MULTIPLIER).cast("long")) % WORD
-    return x.bitwiseXOR(F.shiftright(x, 16))
+        x = (x ^ (x >> 16)) * MIX_MULTIPLIER % WORD
+    return x ^ (x >> 16)
 
 
-def fold32(x: Column) -> Column:
-    """Fold a 64-bit id into 32 bits without losing its upper half."""
-    x = x.cast("long")
-    return x.bitwiseXOR(F.shiftright(x, 32)).bitwiseAND(WORD - 1)
+def mix32(x: str) -> str:
+    """SQL text of ``mixed`` for an integer expression."""
+    for _ in range(2):
+        x = f"(({x} ^ shiftright({x}, 16)) * {MIX_MULTIPLIER}L % {WORD}L)"
+    return f"({x} ^ shiftright({x}, 16))"
 
 
-def to_unit(state: Column) -> Column:
-    """A 32-bit state as a number in (0, 1)."""
-    return (state + 0.5) / float(WORD)
+def id_state(seed: int, name: str) -> str:
+    """SQL text of the mixed state of one id column, all 64 bits of it, under a seed."""
+    wide = f"CAST({name} AS BIGINT)"
+    folded = f"(({wide} ^ shiftright({wide}, 32)) & {WORD - 1}L)"
+    return mix32(f"({folded} ^ {mixed(seed % WORD)}L)")
 
 
-def id_state(seed: int, i: Column) -> Column:
-    """The mixed state of one id under a seed."""
-    return mix32(mix32(F.lit(seed % WORD).cast("long")).bitwiseXOR(fold32(i)))
+def unit(state: str) -> str:
+    """SQL text of a state as a number in (0, 1)."""
+    return f"(({state} + 0.5D) / {float(WORD)!r}D)"
 
 
-def uniform(seed: int, i: Column) -> Column:
-    """A number in (0, 1) that depends only on the seed and the id."""
-    return to_unit(id_state(seed, i))
+def uniform(seed: int, name: str) -> Column:
+    """A number in (0, 1) that depends only on the seed and an id column."""
+    return F.expr(unit(id_state(seed, name)))
 
 
-def _stream(comp: Column, factor: int = 1, offset: int = 0) -> Column:
+def _stream(comp: str) -> str:
     """The uniform number of a component, from the column's state in ``_state``."""
-    number = (comp.cast("long") * factor + offset) * COMP_STRIDE % WORD
-    return to_unit(mix32(F.col("_state").bitwiseXOR(number)))
-
-
-def _uniform_cell(comp: Column) -> Column:
-    return _stream(comp)
+    return unit(mix32(f"(_state ^ (CAST({comp} AS BIGINT) * {COMP_STRIDE}L % {WORD}L))"))
 
 
-def _gaussian_cell(comp: Column) -> Column:
-    """Box-Muller on two uniform streams."""
-    radius = F.sqrt(F.lit(-2.0) * F.log(_stream(comp, 2)))
-    return radius * F.cos(F.lit(2.0 * math.pi) * _stream(comp, 2, 1))
+def _gaussian(comp: str) -> str:
+    """Box-Muller on two uniform streams per component."""
+    radius, angle = _stream(f"({comp} * 2)"), _stream(f"({comp} * 2 + 1)")
+    return f"sqrt(-2.0D * ln({radius})) * cos({2.0 * math.pi!r}D * {angle})"
 
 
 def column_range(spark: SparkSession, n_cols: int) -> DataFrame:
@@ -70,24 +68,24 @@ def _cells(cols: DataFrame, width: int) -> DataFrame:
 
 
 def _with_state(cols: DataFrame, seed: int) -> DataFrame:
-    return cols.select("col_id", id_state(seed, F.col("col_id")).alias("_state"))
+    return cols.select("col_id", F.expr(id_state(seed, "col_id")).alias("_state"))
 
 
 def uniform_seed(cols: DataFrame, width: int, seed: int = 0) -> DataFrame:
     """Entries uniform on (0, 1) for each column in ``cols``."""
     cells = _cells(_with_state(cols, seed), width)
-    return cells.select("col_id", "comp", _uniform_cell(F.col("comp")).alias("value"))
+    return cells.select("col_id", "comp", F.expr(_stream("comp")).alias("value"))
 
 
 def gaussian_seed(cols: DataFrame, width: int, seed: int = 0) -> DataFrame:
     """Standard normal entries for each column in ``cols``."""
     cells = _cells(_with_state(cols, seed), width)
-    return cells.select("col_id", "comp", _gaussian_cell(F.col("comp")).alias("value"))
+    return cells.select("col_id", "comp", F.expr(_gaussian("comp")).alias("value"))
 
 
 def gaussian_vectors(cols: DataFrame, width: int, seed: int = 0) -> DataFrame:
     """The same entries packed by column, without an exchange."""
-    vec = F.array(*[_gaussian_cell(F.lit(j)) for j in range(width)])
+    vec = F.expr("array(" + ", ".join(_gaussian(str(j)) for j in range(width)) + ")")
     return _with_state(cols, seed).select("col_id", vec.alias("vec"))
 
 

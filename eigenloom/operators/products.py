@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.vectors import dot, sum_vectors
+from ..functions.vectors import dot, numbers, sum_vectors
 from ..session import FACTOR_LIMIT_BYTES, fits_broadcast
 from .blocks import batch_rows, batch_vectors
 from .shapes import ENTRIES, as_entries, is_rows, merge_entries
@@ -74,12 +74,12 @@ def project_rows(
         joined = entries.join(F.broadcast(factor), "col_id")
     else:
         joined = salted_join(entries, factor, "col_id", "row_id", hot)
-    return sum_vectors(joined, ["row_id"], width, F.col("value"))
+    return sum_vectors(joined, ["row_id"], width, "value")
 
 
 def mean_times_matrix(means: DataFrame, factor: DataFrame, width: int) -> DataFrame:
     """The row vector of column means times a packed factor, as (comp, value)."""
-    total = sum_vectors(means.join(factor, "col_id"), [], width, F.col("value"))
+    total = sum_vectors(means.join(factor, "col_id"), [], width, "value")
     return total.select(F.posexplode("vec").alias("comp", "value"))
 
 
@@ -132,10 +132,10 @@ def cross_product(
 ) -> DataFrame:
     """Y'(Z - 1 zm) as a packed factor: entries meet their row's scores and are summed per column."""
     width = len(zm)
-    shifted = F.transform("vec", lambda x, i: x - F.array(*map(F.lit, zm.tolist()))[i])
+    shifted = F.zip_with("vec", numbers(zm), lambda x, m: x - m)
     shifted = scores.select("row_id", shifted.alias("vec"))
     joined = salted_join(as_entries(matrix), shifted, "row_id", "col_id", hot)
-    return sum_vectors(joined, ["col_id"], width, F.col("value"))
+    return sum_vectors(joined, ["col_id"], width, "value")
 
 
 def gram(scores: DataFrame, zm: np.ndarray) -> DataFrame:
@@ -157,7 +157,7 @@ def mean_correction(
     cross: DataFrame, means: DataFrame, sum_z: np.ndarray, zm: np.ndarray, n_rows: int
 ) -> DataFrame:
     """cross - means x (sum_z - n_rows zm): turns Y'Zc into Yc'Zc for the declared row count."""
-    excess = F.array(*map(F.lit, (sum_z - n_rows * zm).tolist()))
+    excess = numbers(sum_z - n_rows * zm)
     mean = F.coalesce(F.col("mean"), F.lit(0.0))
     value = F.zip_with("vec", excess, lambda x, e: x - mean * e)
     joined = cross.join(means.withColumnRenamed("value", "mean"), "col_id", "full_outer")

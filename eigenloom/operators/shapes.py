@@ -122,7 +122,7 @@ def sample_rows(matrix: DataFrame, rate: float, seed: int = 0) -> DataFrame:
     """Keep about a ``rate`` share of the matrix rows; whole rows, the same ones on every run."""
     if not 0.0 <= rate <= 1.0:
         raise ValueError("rate must lie in [0, 1]")
-    return matrix.where(uniform(seed, F.col("row_id")) < rate)
+    return matrix.where(uniform(seed, "row_id") < rate)
 
 
 def dimensions(matrix: DataFrame) -> tuple[int, int]:

@@ -14,8 +14,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions.seeds import column_range, gaussian_vectors
-from ..functions.vectors import pack, sum_vectors, unpack
+from ..functions.seeds import column_range, gaussian_seed, gaussian_vectors
+from ..functions.vectors import numbers, pack, sum_vectors, unpack
 from ..operators import products, tsqr
 from ..operators.blocks import batch_rows, batch_vectors
 from ..operators.shapes import as_entries, dimensions, is_rows, merge_entries, to_rows
@@ -124,8 +124,7 @@ class LocalSpace:
             drop_path(self.spark, self.path)
 
     def start(self, width: int, seed: int) -> np.ndarray:
-        vectors = gaussian_vectors(column_range(self.spark, self.n_cols), width, seed)
-        return products.factor_array(vectors, self.n_cols, width)
+        return self.load(gaussian_seed(column_range(self.spark, self.n_cols), width, seed), width)
 
     def load(self, factor: DataFrame, width: int) -> np.ndarray:
         cells = factor.select("col_id", "comp", "value").toArrow()
@@ -344,7 +343,7 @@ class TableSpace:
     def signs(self, factor: Factor) -> np.ndarray:
         cells = self.table(factor)
         size = cells.groupBy("comp").agg(F.max(F.abs("value")).alias("value"))
-        least = F.array(*map(F.lit, ((1 - TIE) * small_vector(size, factor.width)).tolist()))
+        least = numbers((1 - TIE) * small_vector(size, factor.width))
         top = cells.where(F.abs("value") >= least[F.col("comp")])
         top = top.groupBy("comp").agg(F.min_by("value", "col_id").alias("value"))
         return np.where(small_vector(top, factor.width) < 0, -1.0, 1.0)

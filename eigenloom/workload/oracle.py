@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ..functions.seeds import COMP_STRIDE, MIX_MULTIPLIER, WORD
+from ..functions.seeds import COMP_STRIDE, MIX_MULTIPLIER, WORD, mixed
 
 
 def rnd(x: str, places: int) -> str:
@@ -129,12 +129,6 @@ def mix(x: str, y: str) -> str:
     )
 
 
-def mixed(x: int) -> int:
-    for _ in range(2):
-        x = (x ^ (x >> 16)) * MIX_MULTIPLIER % WORD
-    return x ^ (x >> 16)
-
-
 def folded(x: str) -> str:
     return f"(xor(CAST({x} AS BIGINT), CAST({x} AS BIGINT) >> 32) & {WORD - 1})"
 
