@@ -4,21 +4,20 @@ from __future__ import annotations
 
 import time
 import warnings
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 from pyspark.sql import DataFrame
 
-from ..session import FACTOR_LIMIT_BYTES
-from .residual import Residual, kth_singular_value, residual_norm_in, whitener
-from .spaces import RANK_TOLERANCE, declared, open_space
+from .residual import Stop, kth_in, relative, residual_norm_in, whitener
+from .spaces import RANK_TOLERANCE, declared, opened
 
 
 @dataclass
 class Fit:
     """The outcome of a fit: components as (col_id, comp, value) and a handful of figures."""
 
-    components: DataFrame
+    components: DataFrame | None
     sigma: np.ndarray
     n_rows: int
     n_cols: int
@@ -79,6 +78,44 @@ def checked_k(k: int, n_cols: int) -> int:
     return k - 1 if k == n_cols and k > 1 else k
 
 
+def fit_in(
+    space,
+    k: int,
+    oversample: int,
+    max_iter: int,
+    tolerance: float,
+    next_sigma: float | None,
+    method: str,
+    stop: Stop,
+) -> Fit:
+    """Passes over an opened space until ``max_iter``, or until the error is small enough."""
+    began = time.perf_counter()
+    k = checked_k(k, space.n_cols)
+    factor = space.start(min(k + oversample, space.n_cols), stop.seed)
+    fit = Fit(None, np.zeros(0), space.n_rows, space.n_cols, 0)
+    fit.preprocess_seconds = time.perf_counter() - began
+    error = tolerance + 1
+    while fit.passes < max_iter and error > tolerance:
+        began = time.perf_counter()
+        factor, _ = space.svd(factor)
+        factor, sigma = space.svd(PASSES[method](space, factor))
+        floor = max(space.noise, RANKS[method] * sigma.max(initial=0.0))
+        rank = min(k, int((sigma > floor).sum()))
+        some_basis(np.eye(rank))
+        leading = space.times(factor, np.eye(len(sigma))[:, :rank])
+        fit.passes += 1
+        fit.pass_seconds.append(time.perf_counter() - began)
+        if next_sigma is not None:
+            norm = residual_norm_in(space, leading, replace(stop, seed=stop.seed + fit.passes))
+            error = relative(norm, next_sigma)
+            fit.errors.append(error)
+    if rank < k:
+        warnings.warn(f"the centred matrix has rank {rank}; asked for {k} components")
+    fit.components = space.table(space.times(leading, np.diag(space.signs(leading))))
+    fit.sigma = sigma[:rank]
+    return fit
+
+
 def sketch_pca(
     matrix: DataFrame,
     k: int,
@@ -92,53 +129,38 @@ def sketch_pca(
     n_rows: int | None = None,
     n_cols: int | None = None,
     seed: int = 0,
-    limit: int = FACTOR_LIMIT_BYTES,
-    cache: bool = False,
+    **where,
 ) -> Fit:
     """The k leading principal components of the column-centred matrix.
 
     Runs ``max_iter`` passes. With ``next_sigma`` (the k+1st singular value, see
     ``kth_singular_value``) the relative spectral error is measured after every pass and the loop
-    ends once it is at or below ``tolerance``. ``cache=True`` keeps the rows in memory and on disk
-    between passes; leave it off when the matrix is a stored table.
+    ends once it is at or below ``tolerance``.
+
+    ``where`` takes ``limit``, the factor size up to which it is broadcast; ``cache=True`` to keep the
+    rows in memory and on disk between passes (leave it off for a large stored table); and
+    ``partitions`` to spread rows that come in too few scan tasks.
     """
-    if method not in PASSES:
-        raise ValueError(f"method must be one of {sorted(PASSES)}")
-    if next_sigma is not None and not next_sigma > 0:
-        raise ValueError("next_sigma must be positive: the error is relative to it")
+    checked_options(method, max_iter, next_sigma)
     began = time.perf_counter()
     n_rows, n_cols = declared(matrix, n_rows, n_cols)
-    k = checked_k(k, n_cols)
-    width = min(k + oversample, n_cols)
-    space = open_space(matrix, width, n_rows, n_cols, limit, cache)
-    try:
-        factor = space.start(width, seed)
-        preprocess = time.perf_counter() - began
-        errors, seconds, error, rank = [], [], tolerance + 1, k
-        while len(seconds) < max_iter and error > tolerance:
-            began = time.perf_counter()
-            factor, _ = space.svd(factor)
-            factor, sigma = space.svd(PASSES[method](space, factor))
-            floor = max(space.noise, RANKS[method] * sigma.max(initial=0.0))
-            rank = min(k, int((sigma > floor).sum()))
-            some_basis(np.eye(rank))
-            seconds.append(time.perf_counter() - began)
-            if next_sigma is not None:
-                leading = space.times(factor, np.eye(len(sigma))[:, :rank])
-                norm = residual_norm_in(
-                    space, leading, rank, Residual(norm_oversample, norm_iter, seed + len(seconds))
-                )
-                error = (norm - next_sigma) / next_sigma
-                errors.append(error)
-        if not seconds:
-            raise ValueError("max_iter must be at least 1")
-        if rank < k:
-            warnings.warn(f"the centred matrix has rank {rank}; asked for {k} components")
-        leading = space.times(factor, np.eye(len(sigma))[:, :rank])
-        components = space.table(space.times(leading, np.diag(space.signs(leading))))
-    finally:
-        space.close()
-    return Fit(components, sigma[:rank], n_rows, n_cols, len(seconds), errors, preprocess, seconds)
+    checked_k(k, n_cols)
+    stop = Stop(norm_oversample, norm_iter, seed)
+    width = max(k + oversample, 1 + norm_oversample)
+    with opened(matrix, width, n_rows, n_cols, **where) as space:
+        ready = time.perf_counter() - began
+        fit = fit_in(space, k, oversample, max_iter, tolerance, next_sigma, method, stop)
+    fit.preprocess_seconds += ready
+    return fit
+
+
+def checked_options(method: str, max_iter: int, next_sigma: float | None) -> None:
+    if method not in PASSES:
+        raise ValueError(f"method must be one of {sorted(PASSES)}")
+    if max_iter < 1:
+        raise ValueError("max_iter must be at least 1")
+    if next_sigma is not None:
+        relative(0.0, next_sigma)
 
 
 def sketch_pca_two_pass(matrix: DataFrame, k: int, **options) -> Fit:
@@ -155,11 +177,33 @@ def randomized_pca(matrix: DataFrame, k: int, p: int = 10, q: int = 0, **options
 
 
 def fit_until_tolerance(
-    matrix: DataFrame, k: int, tolerance: float = 0.05, norm_iter: int = 10, **options
+    matrix: DataFrame,
+    k: int,
+    tolerance: float = 0.05,
+    oversample: int = 10,
+    max_iter: int = 50,
+    norm_iter: int = 10,
+    norm_oversample: int = 10,
+    method: str = "fused",
+    n_rows: int | None = None,
+    n_cols: int | None = None,
+    seed: int = 0,
+    **where,
 ) -> Fit:
-    """Find the k+1st singular value, then refine until the relative spectral error is small."""
-    shared = {o: options[o] for o in ("n_rows", "n_cols", "seed", "limit", "cache") if o in options}
-    next_sigma = kth_singular_value(matrix, k + 1, norm_iter=norm_iter, **shared)
-    return sketch_pca(
-        matrix, k, tolerance=tolerance, next_sigma=next_sigma, norm_iter=norm_iter, **options
-    )
+    """Find the k+1st singular value, then refine until the relative spectral error is small.
+
+    Both steps share one space, hence one scan for the means and one stored or cached matrix.
+    """
+    checked_options(method, max_iter, None)
+    began = time.perf_counter()
+    n_rows, n_cols = declared(matrix, n_rows, n_cols)
+    k = checked_k(k, n_cols)
+    stop = Stop(norm_oversample, norm_iter, seed)
+    width = max(k + 1 + oversample, 1 + norm_oversample)
+    with opened(matrix, width, n_rows, n_cols, **where) as space:
+        next_sigma = kth_in(space, k + 1, replace(stop, oversample=oversample))
+        relative(0.0, next_sigma)
+        ready = time.perf_counter() - began
+        fit = fit_in(space, k, oversample, max_iter, tolerance, next_sigma, method, stop)
+    fit.preprocess_seconds += ready
+    return fit

@@ -8,8 +8,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame
 
-from ..session import FACTOR_LIMIT_BYTES
-from .spaces import RANK_TOLERANCE, declared, open_space
+from .spaces import RANK_TOLERANCE, declared, opened
 
 
 def whitener(gram: np.ndarray) -> np.ndarray:
@@ -29,8 +28,11 @@ def same(new: float, old: float, rtol: float | None) -> bool:
 
 
 @dataclass(frozen=True)
-class Residual:
-    """Settings of a residual norm: sketch width less one, passes at most, seed, digits compared."""
+class Stop:
+    """How a norm or a singular value is refined: extra sketch columns, passes at most, start seed.
+
+    Passes end early once the value repeats at ``decimals``, or moves by less than ``rtol``.
+    """
 
     oversample: int = 10
     norm_iter: int = 10
@@ -39,11 +41,10 @@ class Residual:
     rtol: float | None = None
 
 
-def residual_norm_in(space, v, k: int, how: Residual) -> float:
+def residual_norm_in(space, v, stop: Stop) -> float:
     """Spectral norm of Yc (I - V V') by power passes on a sketch held orthogonal to V."""
-    width = min(1 + how.oversample, space.n_cols)
-    factor, norm = space.start(width, how.seed), 0.0
-    for _ in range(how.norm_iter):
+    factor, norm = space.start(min(1 + stop.oversample, space.n_cols), stop.seed), 0.0
+    for _ in range(stop.norm_iter):
         factor = space.less(factor, v, space.inner(v, factor))
         y_cross, z_gram = space.sketch(factor)
         basis = whitener(z_gram)
@@ -52,13 +53,46 @@ def residual_norm_in(space, v, k: int, how: Residual) -> float:
         left = space.times(y_cross, basis)
         left = space.less(left, v, space.inner(v, left))
         factor, sigma = space.svd(left)
-        new = settled(float(sigma[0]), how.decimals) if len(sigma) else 0.0
-        if same(new, norm, how.rtol):
+        new = settled(float(sigma[0]), stop.decimals) if len(sigma) else 0.0
+        if same(new, norm, stop.rtol):
             return new
         norm = new
     return norm
 
 
+def kth_in(space, k: int, stop: Stop) -> float:
+    """The k-th singular value of Yc; 0 beyond its rank."""
+    factor, found = space.start(min(k + stop.oversample, space.n_cols), stop.seed), 0.0
+    for _ in range(stop.norm_iter):
+        factor, _ = space.svd(factor)
+        y_cross, z_gram = space.sketch(factor)
+        basis = whitener(z_gram)
+        if not basis.shape[1]:
+            return 0.0
+        factor, sigma = space.svd(space.times(y_cross, basis))
+        new = settled(float(sigma[k - 1]), stop.decimals) if len(sigma) >= k else 0.0
+        if same(new, found, stop.rtol):
+            return new
+        found = new
+    return found
+
+
+def loaded(space, components: DataFrame, k: int, orthonormalize: bool):
+    v = space.load(components, k)
+    return space.svd(v)[0] if orthonormalize else v
+
+
+def relative(norm: float, next_sigma: float) -> float:
+    if not next_sigma > 0:
+        raise ValueError("the next singular value must be positive: the error is relative to it")
+    return (norm - next_sigma) / next_sigma
+
+
+def checked_order(k: int, n_cols: int) -> None:
+    if k < 1 or k > n_cols:
+        raise ValueError(f"k={k} must lie between 1 and the number of columns, {n_cols}")
+
+
 def residual_spectral_norm(
     matrix: DataFrame,
     components: DataFrame,
@@ -71,19 +105,17 @@ def residual_spectral_norm(
     n_rows: int | None = None,
     n_cols: int | None = None,
     seed: int = 0,
-    limit: int = FACTOR_LIMIT_BYTES,
-    cache: bool = False,
+    **where,
 ) -> float:
-    """Spectral norm of what components (col_id, comp, value) leave of the centred matrix."""
+    """Spectral norm of what components (col_id, comp, value) leave of the centred matrix.
+
+    ``where`` takes limit, cache and partitions, as in ``sketch_pca``.
+    """
     n_rows, n_cols = declared(matrix, n_rows, n_cols)
-    space = open_space(matrix, max(k, 1 + oversample), n_rows, n_cols, limit, cache)
-    try:
-        v = space.load(components, k)
-        if orthonormalize:
-            v, _ = space.svd(v)
-        return residual_norm_in(space, v, k, Residual(oversample, norm_iter, seed, decimals, rtol))
-    finally:
-        space.close()
+    checked_order(k, n_cols)
+    stop = Stop(oversample, norm_iter, seed, decimals, rtol)
+    with opened(matrix, max(k, 1 + oversample), n_rows, n_cols, **where) as space:
+        return residual_norm_in(space, loaded(space, components, k, orthonormalize), stop)
 
 
 def kth_singular_value(
@@ -96,34 +128,13 @@ def kth_singular_value(
     n_rows: int | None = None,
     n_cols: int | None = None,
     seed: int = 0,
-    limit: int = FACTOR_LIMIT_BYTES,
-    cache: bool = False,
+    **where,
 ) -> float:
-    """The k-th singular value of the centred matrix; 0 beyond its rank.
-
-    Passes go on until the value repeats at the given decimals, or ``norm_iter`` of them are done.
-    """
+    """The k-th singular value of the centred matrix; 0 beyond its rank."""
     n_rows, n_cols = declared(matrix, n_rows, n_cols)
-    if k < 1 or k > n_cols:
-        raise ValueError(f"k={k} must lie between 1 and the number of columns, {n_cols}")
-    width = min(k + oversample, n_cols)
-    space = open_space(matrix, width, n_rows, n_cols, limit, cache)
-    try:
-        factor, found = space.start(width, seed), 0.0
-        for _ in range(norm_iter):
-            factor, _ = space.svd(factor)
-            y_cross, z_gram = space.sketch(factor)
-            basis = whitener(z_gram)
-            if not basis.shape[1]:
-                return 0.0
-            factor, sigma = space.svd(space.times(y_cross, basis))
-            new = settled(float(sigma[k - 1]), decimals) if len(sigma) >= k else 0.0
-            if same(new, found, rtol):
-                return new
-            found = new
-        return found
-    finally:
-        space.close()
+    checked_order(k, n_cols)
+    with opened(matrix, k + oversample, n_rows, n_cols, **where) as space:
+        return kth_in(space, k, Stop(oversample, norm_iter, seed, decimals, rtol))
 
 
 def relative_spectral_error(
@@ -133,25 +144,31 @@ def relative_spectral_error(
     next_sigma: float | None = None,
     oversample: int = 10,
     norm_iter: int = 10,
-    **options,
+    orthonormalize: bool = True,
+    decimals: int = 4,
+    rtol: float | None = None,
+    n_rows: int | None = None,
+    n_cols: int | None = None,
+    seed: int = 0,
+    **where,
 ) -> float:
     """(residual norm - s) / s with s the k+1st singular value, found here unless it is given."""
-    shared = {o: x for o, x in options.items() if o not in ("orthonormalize",)}
-    if next_sigma is None:
-        next_sigma = kth_singular_value(matrix, k + 1, oversample, norm_iter, **shared)
-    if not next_sigma > 0:
-        raise ValueError("the next singular value is 0: the error relative to it is undefined")
-    norm = residual_spectral_norm(matrix, components, k, oversample, norm_iter, **options)
-    return (norm - next_sigma) / next_sigma
+    n_rows, n_cols = declared(matrix, n_rows, n_cols)
+    checked_order(k + (next_sigma is None), n_cols)
+    stop = Stop(oversample, norm_iter, seed, decimals, rtol)
+    with opened(matrix, k + 1 + oversample, n_rows, n_cols, **where) as space:
+        if next_sigma is None:
+            next_sigma = kth_in(space, k + 1, stop)
+        relative(0.0, next_sigma)
+        norm = residual_norm_in(space, loaded(space, components, k, orthonormalize), stop)
+    return relative(norm, next_sigma)
 
 
 def evaluate_components(
     matrix: DataFrame, components: DataFrame, k: int, next_sigma: float, **options
 ) -> tuple[float, float]:
     """(residual norm, relative error) of stored components, taken as they are, at 3 decimals."""
-    norm = residual_spectral_norm(
-        matrix, components, k, **{"orthonormalize": False, "decimals": 3, **options}
-    )
-    if not next_sigma > 0:
-        raise ValueError("the next singular value must be positive")
-    return norm, (norm - next_sigma) / next_sigma
+    relative(0.0, next_sigma)
+    options = {"orthonormalize": False, "decimals": 3, **options}
+    norm = residual_spectral_norm(matrix, components, k, **options)
+    return norm, relative(norm, next_sigma)

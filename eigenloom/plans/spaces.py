@@ -8,6 +8,7 @@ methods in this package are written once. Only sketch-sized (width x width) arra
 
 from __future__ import annotations
 
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
@@ -38,17 +39,25 @@ ROUND_OFF = 1e-14
 TIE = 1e-9
 
 
-def open_space(
+@contextmanager
+def opened(
     matrix: DataFrame,
     width: int,
     n_rows: int,
     n_cols: int,
     limit: int = FACTOR_LIMIT_BYTES,
     cache: bool = False,
+    partitions: int | None = None,
 ):
-    """The space for a sketch of the given width: local when the factor passes the size check."""
-    kind = LocalSpace if fits_broadcast(n_cols, width, limit) else TableSpace
-    return kind(matrix, n_rows, n_cols, cache)
+    """A space for sketches of up to the given width: local when the factor passes the size check."""
+    if fits_broadcast(n_cols, min(width, n_cols), limit):
+        space = LocalSpace(matrix, n_rows, n_cols, cache, partitions)
+    else:
+        space = TableSpace(matrix, n_rows, n_cols)
+    try:
+        yield space
+    finally:
+        space.close()
 
 
 def declared(matrix: DataFrame, n_rows: int | None, n_cols: int | None) -> tuple[int, int]:
@@ -96,15 +105,24 @@ def column_signs(factor: np.ndarray) -> np.ndarray:
 
 
 class LocalSpace:
-    def __init__(self, matrix: DataFrame, n_rows: int, n_cols: int, cache: bool = False):
+    def __init__(
+        self,
+        matrix: DataFrame,
+        n_rows: int,
+        n_cols: int,
+        cache: bool = False,
+        partitions: int | None = None,
+    ):
         self.spark, self.n_rows, self.n_cols = matrix.sparkSession, n_rows, n_cols
         self.path = self.n_present = None
         if not is_rows(matrix):
             self.path = scratch_path(self.spark, "rows")
             matrix = as_table(to_rows(matrix), self.path)
-        tasks = task_bound(matrix)
         self.rows = matrix.select("indices", "values")
-        if tasks:
+        tasks = task_bound(matrix)
+        if partitions:
+            self.rows = self.rows.repartition(partitions)
+        elif tasks:
             self.rows = self.rows.coalesce(tasks)
         self.cached = self.rows.persist() if cache else None
         table = column_sums(self.rows, n_cols).toArrow()
@@ -234,7 +252,7 @@ class Factor:
 class TableSpace:
     """Every step is a join and a sum; results are written to the scratch folder between steps."""
 
-    def __init__(self, matrix: DataFrame, n_rows: int, n_cols: int, cache: bool = False):
+    def __init__(self, matrix: DataFrame, n_rows: int, n_cols: int):
         self.spark, self.n_rows, self.n_cols, self.paths = matrix.sparkSession, n_rows, n_cols, []
         cells = as_entries(matrix)
         if not is_rows(matrix):
