@@ -127,14 +127,17 @@ def row_residual(
     return merge_entries(rebuilt.unionByName(stored))
 
 
+def shifted(scores: DataFrame, zm: np.ndarray) -> DataFrame:
+    """Scores less their mean."""
+    return scores.withColumn("vec", F.zip_with("vec", numbers(zm), lambda x, m: x - m))
+
+
 def cross_product(
     matrix: DataFrame, scores: DataFrame, zm: np.ndarray, hot: HotKeys | None = None
 ) -> DataFrame:
     """Y'(Z - 1 zm) as a packed factor: entries meet their row's scores and are summed per column."""
     width = len(zm)
-    shifted = F.zip_with("vec", numbers(zm), lambda x, m: x - m)
-    shifted = scores.select("row_id", shifted.alias("vec"))
-    joined = salted_join(as_entries(matrix), shifted, "row_id", "col_id", hot)
+    joined = salted_join(as_entries(matrix), shifted(scores, zm), "row_id", "col_id", hot)
     return sum_vectors(joined, ["col_id"], width, "value")
 
 
@@ -153,13 +156,14 @@ def gram(scores: DataFrame, zm: np.ndarray) -> DataFrame:
     return sum_vectors(partial, ["i"], width)
 
 
-def mean_correction(
-    cross: DataFrame, means: DataFrame, sum_z: np.ndarray, zm: np.ndarray, n_rows: int
-) -> DataFrame:
-    """cross - means x (sum_z - n_rows zm): turns Y'Zc into Yc'Zc for the declared row count."""
-    excess = numbers(sum_z - n_rows * zm)
+def mean_correction(cross: DataFrame, means: DataFrame, excess: np.ndarray) -> DataFrame:
+    """cross - means x excess: turns Y'Zc into Yc'Zc.
+
+    ``excess`` is the sum of the centred scores over all declared rows, sum(z) - n_rows zm. It is zero
+    but for rounding and for a declared mean that is not the mean of the rows.
+    """
     mean = F.coalesce(F.col("mean"), F.lit(0.0))
-    value = F.zip_with("vec", excess, lambda x, e: x - mean * e)
+    value = F.zip_with("vec", numbers(excess), lambda x, e: x - mean * e)
     joined = cross.join(means.withColumnRenamed("value", "mean"), "col_id", "full_outer")
-    zero = F.array_repeat(F.lit(0.0), len(zm))
+    zero = F.array_repeat(F.lit(0.0), len(excess))
     return joined.withColumn("vec", F.coalesce("vec", zero)).select("col_id", value.alias("vec"))

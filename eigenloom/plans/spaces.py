@@ -306,9 +306,10 @@ class TableSpace:
             z_gram = small_rows(products.gram(scores, zm), "i", factor.width)
             z_gram += absent * np.outer(zm, zm)
         if cross:
-            z_sum = small_vector(score_sums(scores, factor.width), factor.width)
+            centred = score_sums(products.shifted(scores, zm), factor.width)
+            excess = small_vector(centred, factor.width) - absent * zm
             table = products.cross_product(self.entries, scores, zm, self.hot_rows)
-            table = products.mean_correction(table, self.means, z_sum, zm, self.n_rows)
+            table = products.mean_correction(table, self.means, excess)
             y_cross = Factor(self.stored(table, "cross"), factor.width)
         return y_cross, z_gram
 

@@ -303,7 +303,7 @@ def corrected_cross_product(spark, sf):
     zm = _score_means(means, factor)
     z_sum = small_vector(score_sums(scores, WIDTH), WIDTH)
     cross = cross_product(entries, scores, zm)
-    return _cross_table(mean_correction(cross, means, z_sum, zm, n_rows))
+    return _cross_table(mean_correction(cross, means, z_sum - n_rows * zm))
 
 
 def _one_scan(spark, sf, which):
