@@ -11,7 +11,7 @@ import check  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    return check.session(8)
+    return check.session(8, shuffle_partitions=4)
 
 
 def entries_of(spark, array, n_parts=None):

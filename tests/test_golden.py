@@ -54,8 +54,7 @@ def test_one_pass_sums(spark, matrix, kind):
 
 
 @pytest.mark.parametrize("method", ["fused", "two_pass", "tsqr"])
-@pytest.mark.parametrize("width", [3, 5])
-@pytest.mark.parametrize("limit", [64 << 20, 0])
+@pytest.mark.parametrize("width, limit", [(3, 64 << 20), (5, 64 << 20), (3, 0)])
 def test_rank_two(matrix, method, width, limit):
     options = dict(max_iter=2, method=method, n_rows=7, n_cols=5, limit=limit)
     with pytest.warns(UserWarning, match="rank 2"):
