@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.vectors import dot, numbers, sum_vectors
 from ..session import FACTOR_LIMIT_BYTES, fits_broadcast
 from .blocks import batch_rows, batch_vectors
-from .shapes import ENTRIES, as_entries, is_rows, merge_entries
+from .shapes import as_entries, first_segment, is_rows, merge_entries
 from .skew import HotKeys, salted_join
 
 SCORES = "row_id long, vec array<double>"
@@ -50,7 +50,7 @@ def project_block(rows: DataFrame, factor: np.ndarray, shift: np.ndarray | None
                     scores = scores - shift
                 yield vector_batch(["row_id"], [ids[start : start + len(part)]], scores)
 
-    return rows.select("row_id", "indices", "values").mapInArrow(job, SCORES)
+    return first_segment(rows).select("row_id", "indices", "values").mapInArrow(job, SCORES)
 
 
 def project_rows(
@@ -67,6 +67,7 @@ def project_rows(
     by broadcast below the size limit and by a salted exchange above it, and summed per row.
     """
     small = fits_broadcast(n_cols, width, limit)
+    factor = factor.where(F.col("col_id") < n_cols)
     if is_rows(matrix) and small:
         return project_block(matrix, factor_array(factor, n_cols, width))
     entries = as_entries(matrix)
@@ -91,7 +92,7 @@ def reconstruct_rows(
     Each score row meets every column through an equi-join on the column id; a factor below the
     size limit is broadcast, so that the scores do not move.
     """
-    right = factor.withColumnRenamed("vec", "loading")
+    right = factor.where(F.col("col_id") < n_cols).withColumnRenamed("vec", "loading")
     if means is not None:
         right = right.join(means.withColumnRenamed("value", "mean"), "col_id")
     if fits_broadcast(n_cols, width + 1):
@@ -118,7 +119,7 @@ def row_residual(
     """X V' - Y - means as entries: signed parts of both sides, summed per cell in one exchange."""
     rebuilt = reconstruct_rows(scores, factor, n_cols, width)
     if means is not None:
-        bias = means.withColumnRenamed("value", "mean")
+        bias = means.where(F.col("col_id") < n_cols).withColumnRenamed("value", "mean")
         bias = F.broadcast(bias) if fits_broadcast(n_cols, 1) else bias
         rebuilt = rebuilt.join(bias, "col_id").select(
             "row_id", "col_id", (F.col("value") - F.col("mean")).alias("value")

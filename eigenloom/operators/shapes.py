@@ -34,6 +34,11 @@ def entries_from(df: DataFrame, row: str, col: str, value: str) -> DataFrame:
     )
 
 
+def first_segment(rows: DataFrame) -> DataFrame:
+    """The cells of rows under SEGMENT_WIDTH: all of them, for a matrix that is no wider."""
+    return rows.where("segment = 0") if "segment" in rows.columns else rows
+
+
 def rows_from_columns(df: DataFrame, columns: list, row: str | None = None) -> DataFrame:
     """Numeric columns of a table as dense matrix rows, without a shuffle."""
     key = F.col(row).cast("long") if row else F.monotonically_increasing_id()
@@ -61,14 +66,14 @@ def merge_entries(entries: DataFrame) -> DataFrame:
     return entries.groupBy("row_id", "col_id").agg(F.sum("value").alias("value"))
 
 
-def to_rows(entries: DataFrame, merged: bool = False, segment_width: int = SEGMENT_WIDTH) -> DataFrame:
-    """Entries to sparse rows. A group is one row's segment: at most ``segment_width`` cells.
+def to_rows(entries: DataFrame, merged: bool = False) -> DataFrame:
+    """Entries to sparse rows. A group is one row's segment: at most SEGMENT_WIDTH cells.
 
     ``merged=True`` promises one entry per cell and saves a shuffle.
     """
     cells = entries if merged else merge_entries(entries)
     cells = cells.where("value <> 0").withColumn(
-        "segment", F.floor(F.col("col_id") / segment_width).cast("int")
+        "segment", F.floor(F.col("col_id") / SEGMENT_WIDTH).cast("int")
     )
     cell = F.struct(F.col("col_id").cast("int").alias("col_id"), "value")
     grouped = cells.groupBy("row_id", "segment").agg(F.sort_array(F.collect_list(cell)).alias("cells"))
@@ -100,12 +105,8 @@ def cap_columns(matrix: DataFrame, n_cols: int) -> DataFrame:
         F.arrays_zip("indices", "values"),
         lambda cell: (cell["indices"] < n_cols) & (cell["values"] != 0),
     )
-    return matrix.withColumn("_cells", kept).select(
-        "row_id",
-        "segment",
-        F.col("_cells.indices").alias("indices"),
-        F.col("_cells.values").alias("values"),
-    )
+    cells = {"indices": F.col("_cells.indices"), "values": F.col("_cells.values")}
+    return matrix.withColumn("_cells", kept).withColumns(cells).drop("_cells")
 
 
 def limit_columns(entries: DataFrame, max_col: int) -> DataFrame:
@@ -131,10 +132,9 @@ def dimensions(matrix: DataFrame) -> tuple[int, int]:
         found = matrix.agg(
             F.count(F.lit(1)).alias("n"),
             F.max(F.array_max("indices")).alias("last"),
-            F.max("segment").alias("segment"),
         ).first()
         n = found["n"]
-        if found["segment"]:
+        if n and found["last"] is not None and found["last"] >= SEGMENT_WIDTH:
             n = matrix.select("row_id").distinct().count()
     else:
         per_row = matrix.groupBy("row_id").agg(F.max("col_id").alias("last"))
@@ -169,4 +169,5 @@ def center_rows(rows: DataFrame, mu: np.ndarray) -> DataFrame:
                     names=["row_id", "col_id", "value"],
                 )
 
-    return rows.select("row_id", "indices", "values").mapInArrow(job, ENTRIES)
+    rows = first_segment(rows).select("row_id", "indices", "values")
+    return rows.mapInArrow(job, ENTRIES)

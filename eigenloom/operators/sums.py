@@ -12,7 +12,7 @@ from ..functions.seeds import column_range
 from ..functions.vectors import sum_vectors
 from ..session import SEGMENT_WIDTH
 from .blocks import batch_rows
-from .shapes import as_entries, is_rows, merge_entries, to_entries
+from .shapes import as_entries, first_segment, is_rows, merge_entries, to_entries
 
 
 def _per_column(matrix: DataFrame, value: Column) -> DataFrame:
@@ -37,7 +37,7 @@ def column_sums(matrix: DataFrame, n_cols: int | None = None) -> DataFrame:
             [pa.array(col.astype(np.int32)), pa.array(total[col])], names=["col_id", "value"]
         )
 
-    partial = matrix.select("indices", "values").mapInArrow(job, "col_id int, value double")
+    partial = first_segment(matrix).select("indices", "values").mapInArrow(job, "col_id int, value double")
     return partial.groupBy("col_id").agg(F.sum("value").alias("value"))
 
 

@@ -35,6 +35,8 @@ class Fit:
 
 def r_whitener(r: np.ndarray) -> np.ndarray:
     """T with (Z T)'(Z T) = I, from the R factor of Z."""
+    if not np.isfinite(r).all():
+        raise ValueError("the matrix holds NaN or infinite values")
     _, sigma, w = np.linalg.svd(r)
     sigma = np.pad(sigma, (0, len(w) - len(sigma)))
     keep = sigma > RANK_TOLERANCE * max(sigma[0], 0.0)
@@ -99,6 +101,7 @@ def fit_in(
         began = time.perf_counter()
         factor, _ = space.svd(factor)
         factor, sigma = space.svd(PASSES[method](space, factor))
+        space.keep_only(factor)
         floor = max(space.noise, RANKS[method] * sigma.max(initial=0.0))
         rank = min(k, int((sigma > floor).sum()))
         some_basis(np.eye(rank))

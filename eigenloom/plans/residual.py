@@ -13,6 +13,8 @@ from .spaces import RANK_TOLERANCE, declared, opened
 
 def whitener(gram: np.ndarray) -> np.ndarray:
     """T with T'(gram)T = I on the numerical range of a Gram matrix."""
+    if not np.isfinite(gram).all():
+        raise ValueError("the matrix holds NaN or infinite values")
     power, w = np.linalg.eigh(gram)
     keep = power > RANK_TOLERANCE * max(power[-1], 0.0)
     return (w[:, keep] / np.sqrt(power[keep]))[:, ::-1]
@@ -53,6 +55,7 @@ def residual_norm_in(space, v, stop: Stop) -> float:
         left = space.times(y_cross, basis)
         left = space.less(left, v, space.inner(v, left))
         factor, sigma = space.svd(left)
+        space.keep_only(v, factor)
         new = settled(float(sigma[0]), stop.decimals) if len(sigma) else 0.0
         if same(new, norm, stop.rtol):
             return new
@@ -70,6 +73,7 @@ def kth_in(space, k: int, stop: Stop) -> float:
         if not basis.shape[1]:
             return 0.0
         factor, sigma = space.svd(space.times(y_cross, basis))
+        space.keep_only(factor)
         new = settled(float(sigma[k - 1]), stop.decimals) if len(sigma) >= k else 0.0
         if same(new, found, stop.rtol):
             return new

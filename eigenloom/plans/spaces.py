@@ -19,7 +19,7 @@ from ..functions.seeds import column_range, gaussian_seed, gaussian_vectors
 from ..functions.vectors import numbers, pack, sum_vectors, unpack
 from ..operators import products, tsqr
 from ..operators.blocks import batch_rows, batch_vectors
-from ..operators.shapes import as_entries, dimensions, is_rows, merge_entries, to_rows
+from ..operators.shapes import as_entries, dimensions, first_segment, is_rows, merge_entries, to_rows
 from ..operators.sums import column_means, column_sums, score_sums
 from ..operators.products import vector_batch
 from ..operators.skew import hot_keys
@@ -118,7 +118,7 @@ class LocalSpace:
         if not is_rows(matrix):
             self.path = scratch_path(self.spark, "rows")
             matrix = as_table(to_rows(matrix), self.path)
-        self.rows = matrix.select("indices", "values")
+        self.rows = first_segment(matrix).select("indices", "values")
         tasks = task_bound(matrix)
         if partitions:
             self.rows = self.rows.repartition(partitions)
@@ -141,6 +141,9 @@ class LocalSpace:
         if self.path is not None:
             drop_path(self.spark, self.path)
 
+    def keep_only(self, *factors: np.ndarray) -> None:
+        """Nothing is stored between steps."""
+
     def start(self, width: int, seed: int) -> np.ndarray:
         return self.load(gaussian_seed(column_range(self.spark, self.n_cols), width, seed), width)
 
@@ -243,43 +246,58 @@ class LocalSpace:
 
 @dataclass(frozen=True)
 class Factor:
-    """A packed factor (col_id, vec) that stays a table."""
+    """A packed factor (col_id, vec) that stays a table; ``path`` holds the stored one it is read from."""
 
     df: DataFrame
     width: int
+    path: str
 
 
 class TableSpace:
     """Every step is a join and a sum; results are written to the scratch folder between steps."""
 
     def __init__(self, matrix: DataFrame, n_rows: int, n_cols: int):
-        self.spark, self.n_rows, self.n_cols, self.paths = matrix.sparkSession, n_rows, n_cols, []
+        self.spark, self.n_rows, self.n_cols = matrix.sparkSession, n_rows, n_cols
+        self.base, self.steps = [], []
         cells = as_entries(matrix)
         if not is_rows(matrix):
             cells = merge_entries(cells)
         cells = cells.where((F.col("col_id") < n_cols) & (F.col("value") != 0))
-        self.entries = self.stored(cells, "entries")
-        self.means = self.stored(column_means(self.entries, n_rows, n_cols), "means")
+        self.entries, _ = self.stored(cells, "entries", self.base)
+        self.means, _ = self.stored(column_means(self.entries, n_rows, n_cols), "means", self.base)
         self.hot_rows = hot_keys(self.entries, "row_id")
         self.hot_columns = hot_keys(self.entries, "col_id")
         square = self.means.agg(F.sum(F.col("value") * F.col("value"))).first()[0]
         self.noise = ROUND_OFF * np.sqrt(n_rows * square)
 
-    def stored(self, df: DataFrame, name: str) -> DataFrame:
+    def stored(self, df: DataFrame, name: str, paths: list[str]) -> tuple[DataFrame, str]:
         path = scratch_path(self.spark, name)
-        self.paths.append(path)
-        return as_table(df, path)
+        paths.append(path)
+        return as_table(df, path), path
 
-    def close(self) -> None:
-        for path in self.paths:
+    def stored_factor(self, df: DataFrame, width: int) -> Factor:
+        table, path = self.stored(df, "factor", self.steps)
+        return Factor(table, width, path)
+
+    def drop(self, paths: list[str]) -> None:
+        for path in paths:
             drop_path(self.spark, path)
 
+    def close(self) -> None:
+        self.drop(self.base + self.steps)
+
+    def keep_only(self, *factors: Factor) -> None:
+        """Delete the tables of earlier steps, but for those the given factors are read from."""
+        kept = {factor.path for factor in factors}
+        self.drop([path for path in self.steps if path not in kept])
+        self.steps = [path for path in self.steps if path in kept]
+
     def start(self, width: int, seed: int) -> Factor:
         vectors = gaussian_vectors(column_range(self.spark, self.n_cols), width, seed)
-        return Factor(self.stored(vectors, "seed"), width)
+        return self.stored_factor(vectors, width)
 
     def load(self, factor: DataFrame, width: int) -> Factor:
-        return Factor(self.stored(pack(factor, "col_id", width), "factor"), width)
+        return self.stored_factor(pack(factor, "col_id", width), width)
 
     def table(self, factor: Factor) -> DataFrame:
         """(col_id, comp, value) in a table of its own, which outlives the space."""
@@ -291,7 +309,7 @@ class TableSpace:
         scores = products.project_rows(
             self.entries, factor.df, self.n_cols, factor.width, limit=0, hot=self.hot_columns
         )
-        scores = self.stored(scores, "scores")
+        scores, _ = self.stored(scores, "scores", self.steps)
         zm = products.mean_times_matrix(self.means, factor.df, factor.width)
         present = scores.count()
         if present > self.n_rows:
@@ -310,7 +328,7 @@ class TableSpace:
             excess = small_vector(centred, factor.width) - absent * zm
             table = products.cross_product(self.entries, scores, zm, self.hot_rows)
             table = products.mean_correction(table, self.means, excess)
-            y_cross = Factor(self.stored(table, "cross"), factor.width)
+            y_cross = self.stored_factor(table, factor.width)
         return y_cross, z_gram
 
     def stack_r(self, factor: Factor, buckets: int = 64) -> np.ndarray:
@@ -327,7 +345,7 @@ class TableSpace:
                 keys = batch.column("col_id")
                 yield vector_batch(["col_id"], [keys], batch_vectors(batch, width) @ small)
 
-        return Factor(factor.df.mapInArrow(job, FACTOR), small.shape[1])
+        return Factor(factor.df.mapInArrow(job, FACTOR), small.shape[1], factor.path)
 
     def joined(self, left: Factor, right: Factor) -> DataFrame:
         return left.df.join(right.df.withColumnRenamed("vec", "other"), "col_id")
@@ -357,10 +375,10 @@ class TableSpace:
                 yield vector_batch(["col_id"], [keys], batch_vectors(batch, n) - rest)
 
         table = self.joined(factor, other).mapInArrow(job, FACTOR)
-        return Factor(self.stored(table, "less"), factor.width)
+        return self.stored_factor(table, factor.width)
 
     def signs(self, factor: Factor) -> np.ndarray:
-        cells = self.table(factor)
+        cells = unpack(factor.df, "col_id")
         size = cells.groupBy("comp").agg(F.max(F.abs("value")).alias("value"))
         least = numbers((1 - TIE) * small_vector(size, factor.width))
         top = cells.where(F.abs("value") >= least[F.col("comp")])
@@ -376,7 +394,7 @@ class TableSpace:
         keep = power > RANK_TOLERANCE * max(power[0], 0.0)
         sigma = np.sqrt(power[keep])
         u = self.times(factor, w[:, keep] / sigma)
-        return Factor(self.stored(u.df, "vectors"), u.width), sigma
+        return self.stored_factor(u.df, u.width), sigma
 
 
 def partial_batch(part: int, i, vectors: np.ndarray) -> pa.RecordBatch:

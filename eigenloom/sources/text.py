@@ -100,7 +100,10 @@ def read_coo_text(
         lines = _located(lines)
     if max_col is not None:
         lines = limit_columns(lines, max_col)
-    entries = rebase_columns(lines, base)
+    below = F.concat_ws(" ", F.lit("column id below the base:"), "col_id")
+    entries = rebase_columns(lines, base).withColumn(
+        "col_id", F.when(F.col("col_id") < 0, F.raise_error(below)).otherwise(F.col("col_id"))
+    )
     if n_cols is not None:
         entries = entries.where(F.col("col_id") < n_cols)
     if on_duplicate == "keep":

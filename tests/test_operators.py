@@ -29,16 +29,29 @@ def vectors_of(packed, key, shape):
 
 def test_shapes_round_trip(spark):
     entries = entries_of(spark, A)
-    for segment_width in (4, 1 << 20):
-        rows = el.to_rows(entries, segment_width=segment_width)
-        assert np.allclose(array_of(el.to_entries(rows), A.shape), A)
-        for r in rows.collect():
-            assert list(r["indices"]) == sorted(r["indices"])
-            assert all(i // segment_width == r["segment"] for i in r["indices"])
-        assert el.dimensions(rows) == (len(A[A.any(axis=1)]), 9)
+    rows = el.to_rows(entries)
+    assert np.allclose(array_of(el.to_entries(rows), A.shape), A)
+    for r in rows.collect():
+        assert list(r["indices"]) == sorted(r["indices"]) and r["segment"] == 0
+    assert el.dimensions(rows) == (len(A[A.any(axis=1)]), 9)
     assert el.dimensions(entries) == (len(A[A.any(axis=1)]), 9)
 
 
+def test_rows_wider_than_a_segment(spark):
+    """Cells past the first segment count as rows and columns, and drop out under a narrower cap."""
+    far = 3 * (1 << 20) + 5
+    cells = [(0, 1, 2.0), (0, far, 1.0), (1, far, 4.0), (2, 0, 1.0), (2, 1, 3.0)]
+    rows = el.to_rows(spark.createDataFrame(cells, "row_id long, col_id int, value double"))
+    assert sorted((r["row_id"], r["segment"]) for r in rows.collect()) == [(0, 0), (0, 3), (1, 3), (2, 0)]
+    assert el.dimensions(rows) == (3, far + 1)
+    near = np.array([[0.0, 2.0], [0.0, 0.0], [1.0, 3.0]])
+    sigma = np.linalg.svd(near - near.mean(axis=0), compute_uv=False)
+    for limit in (64 << 20, 0):
+        fit = el.sketch_pca(rows, 2, max_iter=1, n_rows=3, n_cols=2, limit=limit)
+        assert np.allclose(fit.sigma, sigma[:1])
+    assert el.column_sums(rows, 2).agg(F.sum("value")).first()[0] == 6
+
+
 def test_repeated_entries_add_up(spark):
     twice = entries_of(spark, A).unionByName(entries_of(spark, A))
     rows = el.to_rows(twice)

@@ -151,6 +151,26 @@ def test_edges(spark):
         el.sketch_pca(entries, 1, method="other")
 
 
+def test_bad_values(spark):
+    bad = entries_of(spark, np.array([[1.0, 2.0], [np.nan, 1.0], [0.5, np.inf]]))
+    with pytest.raises(ValueError, match="NaN or infinite"):
+        el.sketch_pca(bad, 1, max_iter=1)
+
+
+def test_table_steps_are_cleaned_up(spark):
+    import os
+    from urllib.parse import urlparse
+
+    from eigenloom.session import scratch_root
+
+    root = urlparse(scratch_root(spark)).path
+    before = set(os.listdir(root)) if os.path.exists(root) else set()
+    fit = el.sketch_pca(entries_of(spark, MATRIX), 2, max_iter=2, n_rows=60, n_cols=12, limit=0)
+    left = set(os.listdir(root)) - before
+    assert len([name for name in left if name.startswith("eigenloom-")]) == 1  # the components
+    assert fit.components.count() == 24
+
+
 def test_columns_beyond_the_declared_width_are_dropped(spark):
     _, sigma, _ = exact(MATRIX[:, :5])
     for limit in (64 << 20, 0):

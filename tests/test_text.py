@@ -79,6 +79,8 @@ def test_coo_text_is_merged_by_key(spark, tmp_path, small_blocks):
     assert cells(base=1, n_cols=8) == whole[:-1]  # and this one on the id after rebasing
     with pytest.raises(Exception, match="repeated cell 2 2"):
         cells(base=1, on_duplicate="error")
+    with pytest.raises(Exception, match="column id below the base: -1"):
+        cells(base=2)
     with pytest.raises(ValueError):
         cells(on_duplicate="first")
 
