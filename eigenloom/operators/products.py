@@ -50,7 +50,8 @@ def project_block(rows: DataFrame, factor: np.ndarray, shift: np.ndarray | None
                     scores = scores - shift
                 yield vector_batch(["row_id"], [ids[start : start + len(part)]], scores)
 
-    return first_segment(rows).select("row_id", "indices", "values").mapInArrow(job, SCORES)
+    rows = first_segment(rows).select(F.col("row_id").cast("long"), "indices", "values")
+    return rows.mapInArrow(job, SCORES)
 
 
 def project_rows(

@@ -169,5 +169,5 @@ def center_rows(rows: DataFrame, mu: np.ndarray) -> DataFrame:
                     names=["row_id", "col_id", "value"],
                 )
 
-    rows = first_segment(rows).select("row_id", "indices", "values")
+    rows = first_segment(rows).select(F.col("row_id").cast("long"), "indices", "values")
     return rows.mapInArrow(job, ENTRIES)

@@ -262,7 +262,9 @@ class TableSpace:
         cells = as_entries(matrix)
         if not is_rows(matrix):
             cells = merge_entries(cells)
-        cells = cells.where((F.col("col_id") < n_cols) & (F.col("value") != 0))
+        cells = cells.where((F.col("col_id") < n_cols) & (F.col("value") != 0)).select(
+            F.col("row_id").cast("long"), F.col("col_id").cast("int"), "value"
+        )
         self.entries, _ = self.stored(cells, "entries", self.base)
         self.means, _ = self.stored(column_means(self.entries, n_rows, n_cols), "means", self.base)
         self.hot_rows = hot_keys(self.entries, "row_id")
@@ -297,7 +299,8 @@ class TableSpace:
         return self.stored_factor(vectors, width)
 
     def load(self, factor: DataFrame, width: int) -> Factor:
-        return self.stored_factor(pack(factor, "col_id", width), width)
+        cells = factor.withColumn("col_id", F.col("col_id").cast("int"))
+        return self.stored_factor(pack(cells, "col_id", width), width)
 
     def table(self, factor: Factor) -> DataFrame:
         """(col_id, comp, value) in a table of its own, which outlives the space."""

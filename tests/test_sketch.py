@@ -151,6 +151,19 @@ def test_edges(spark):
         el.sketch_pca(entries, 1, method="other")
 
 
+@pytest.mark.parametrize("limit", [64 << 20, 0])
+def test_either_id_type(spark, limit):
+    _, sigma, v = exact(MATRIX)
+    swapped = entries_of(spark, MATRIX).selectExpr(
+        "CAST(row_id AS INT) AS row_id", "CAST(col_id AS BIGINT) AS col_id", "value"
+    )
+    fit = el.sketch_pca(swapped, 2, oversample=10, max_iter=1, n_rows=60, n_cols=12, limit=limit)
+    assert np.allclose(fit.sigma, sigma[:2])
+    components = fit.components.withColumn("col_id", fit.components.col_id.cast("bigint"))
+    norm = el.residual_spectral_norm(swapped, components, 2, n_rows=60, n_cols=12, limit=limit)
+    assert abs(norm - sigma[2]) < 1e-3
+
+
 def test_bad_values(spark):
     bad = entries_of(spark, np.array([[1.0, 2.0], [np.nan, 1.0], [0.5, np.inf]]))
     with pytest.raises(ValueError, match="NaN or infinite"):
