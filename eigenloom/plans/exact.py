@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..operators.blocks import DENSE_CELLS, batch_rows
 from ..operators.products import vector_batch
-from ..operators.shapes import is_rows, to_rows
+from ..operators.shapes import first_segment, is_rows, to_rows
 from ..operators.sums import total_variation
 from .pca import Fit, checked_k
 from .spaces import column_signs, declared, factor_table
@@ -40,9 +40,11 @@ def exact_pca(
     if n_cols > MAX_COLUMNS:
         raise ValueError(f"an exact fit holds the full covariance: at most {MAX_COLUMNS} columns")
     k = checked_k(k, n_cols)
-    rows = matrix if is_rows(matrix) else to_rows(matrix)
+    rows = first_segment(matrix if is_rows(matrix) else to_rows(matrix))
     vectors = dense_vectors(rows, n_cols)
-    absent = n_rows - rows.count()
+    present = rows.count()
+    n_rows = present if n_rows is None else n_rows
+    absent = n_rows - present
     if absent > 0:
         zero = F.array_repeat(F.lit(0.0), n_cols)
         vectors = vectors.unionByName(matrix.sparkSession.range(absent).select(zero.alias("vec")))

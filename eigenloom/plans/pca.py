@@ -26,6 +26,14 @@ class Fit:
     preprocess_seconds: float = 0.0
     pass_seconds: list[float] = field(default_factory=list)
 
+    @property
+    def avg_pass_seconds(self) -> float:
+        return sum(self.pass_seconds) / max(self.passes, 1)
+
+    @property
+    def total_seconds(self) -> float:
+        return self.preprocess_seconds + sum(self.pass_seconds)
+
     def sigma_table(self) -> DataFrame:
         """(comp, sigma)"""
         spark = self.components.sparkSession
@@ -94,7 +102,7 @@ def fit_in(
     began = time.perf_counter()
     k = checked_k(k, space.n_cols)
     factor = space.start(min(k + oversample, space.n_cols), stop.seed)
-    fit = Fit(None, np.zeros(0), space.n_rows, space.n_cols, 0)
+    fit = Fit(None, np.zeros(0), 0, space.n_cols, 0)
     fit.preprocess_seconds = time.perf_counter() - began
     error = tolerance + 1
     while fit.passes < max_iter and error > tolerance:
@@ -115,7 +123,7 @@ def fit_in(
     if rank < k:
         warnings.warn(f"the centred matrix has rank {rank}; asked for {k} components")
     fit.components = space.table(space.times(leading, np.diag(space.signs(leading))))
-    fit.sigma = sigma[:rank]
+    fit.sigma, fit.n_rows = sigma[:rank], space.n_rows
     return fit
 
 

@@ -25,7 +25,7 @@ from ..operators.products import vector_batch
 from ..operators.skew import hot_keys
 from ..session import FACTOR_LIMIT_BYTES, as_table, drop_path, fits_broadcast, scratch_path
 
-CROSS, GRAM, SUM, COUNT = range(4)
+CROSS, GRAM = range(2)
 FACTOR = "col_id int, vec array<double>"
 PARTIAL = "part int, i int, vec array<double>"
 
@@ -35,6 +35,10 @@ RANK_TOLERANCE = 1e-12
 # Singular values below this share of sqrt(n_rows) |means| are what rounding leaves of the centring.
 ROUND_OFF = 1e-14
 
+# A first scan may take its sums without means and centre them afterwards, as long as this share of
+# every squared score norm is left; a mean that outweighs the spread is taken off before summing.
+CENTRE_AFTER = 1e-3
+
 # Entries this close to the largest one, relative to it, count as equally large.
 TIE = 1e-9
 
@@ -43,7 +47,7 @@ TIE = 1e-9
 def opened(
     matrix: DataFrame,
     width: int,
-    n_rows: int,
+    n_rows: int | None,
     n_cols: int,
     limit: int = FACTOR_LIMIT_BYTES,
     cache: bool = False,
@@ -60,15 +64,19 @@ def opened(
         space.close()
 
 
-def declared(matrix: DataFrame, n_rows: int | None, n_cols: int | None) -> tuple[int, int]:
-    """Given dimensions, or the ones found in the data. Absent all-zero rows need ``n_rows``."""
-    if n_rows is None or n_cols is None:
-        present, last = dimensions(matrix)
+def declared(
+    matrix: DataFrame, n_rows: int | None, n_cols: int | None
+) -> tuple[int | None, int]:
+    """Given dimensions, or the ones found in the data. Absent all-zero rows need ``n_rows``.
+
+    With ``n_cols`` given, an open row count costs no job here: the first pass counts the rows.
+    """
+    if n_cols is None:
+        present, n_cols = dimensions(matrix)
         if n_rows is not None and n_rows < present:
             raise ValueError(f"n_rows={n_rows}, but the matrix holds {present} rows")
         n_rows = present if n_rows is None else n_rows
-        n_cols = last if n_cols is None else n_cols
-    if n_rows < 1 or n_cols < 1:
+    if n_cols < 1 or (n_rows is not None and n_rows < 1):
         raise ValueError("the matrix is empty")
     return n_rows, n_cols
 
@@ -108,13 +116,13 @@ class LocalSpace:
     def __init__(
         self,
         matrix: DataFrame,
-        n_rows: int,
+        n_rows: int | None,
         n_cols: int,
         cache: bool = False,
         partitions: int | None = None,
     ):
         self.spark, self.n_rows, self.n_cols = matrix.sparkSession, n_rows, n_cols
-        self.path = self.n_present = None
+        self.path = None
         if not is_rows(matrix):
             self.path = scratch_path(self.spark, "rows")
             matrix = as_table(to_rows(matrix), self.path)
@@ -125,15 +133,28 @@ class LocalSpace:
         elif tasks:
             self.rows = self.rows.coalesce(tasks)
         self.cached = self.rows.persist() if cache else None
-        table = column_sums(self.rows, n_cols).toArrow()
-        self.means = np.zeros(n_cols)
-        self.means[table["col_id"].to_numpy()] = table["value"].to_numpy() / n_rows
-        self.noise = ROUND_OFF * np.sqrt(n_rows) * float(np.linalg.norm(self.means))
-
-    def present(self) -> int:
-        if self.n_present is None:
-            self.n_present = self.rows.count()
-        return self.n_present
+        self.means = None
+
+    @property
+    def noise(self) -> float:
+        if self.means is None:
+            return 0.0
+        return ROUND_OFF * np.sqrt(self.n_rows) * float(np.linalg.norm(self.means))
+
+    def find_means(self) -> None:
+        table = column_sums(self.rows, self.n_cols).toArrow()
+        self.means = np.zeros(self.n_cols)
+        self.means[table["col_id"].to_numpy()] = table["value"].to_numpy() / self.n_rows
+
+    def absent(self, present: int) -> int:
+        """Declared rows without a stored cell. An undeclared row count becomes the one found."""
+        if self.n_rows is None:
+            self.n_rows = present
+        if not self.n_rows:
+            raise ValueError("the matrix is empty")
+        if present > self.n_rows:
+            raise ValueError(f"n_rows={self.n_rows}, but the matrix holds {present} rows")
+        return self.n_rows - present
 
     def close(self) -> None:
         if self.cached is not None:
@@ -156,74 +177,89 @@ class LocalSpace:
     def table(self, factor: np.ndarray) -> DataFrame:
         return factor_table(self.spark, factor)
 
-    def sketch(self, factor: np.ndarray, gram: bool = True, cross: bool = True):
-        """(Yc'Zc, Zc'Zc) for Zc = Yc factor, in one scan of the rows."""
+    def scan(self, factor: np.ndarray, shift: np.ndarray, cross: bool):
+        """[Z 1]'[Z 1] and, with ``cross``, Y'[Z 1] for Z = Y factor - shift, over the rows present."""
         n_cols, width = factor.shape
-        held, zm = self.spark.sparkContext.broadcast(factor), self.means @ factor
+        held = self.spark.sparkContext.broadcast(factor)
 
         def job(batches):
             factor = held.value
-            z_sum, n = np.zeros(width), 0
-            z_gram = np.zeros((width, width))
-            y_cross = np.zeros((width, n_cols)) if cross else None
+            z_gram = np.zeros((width + 1, width + 1))
+            y_cross = np.zeros((width + 1, n_cols)) if cross else None
             seen = np.zeros(n_cols, dtype=bool)
             for batch in batches:
                 for _, part in batch_rows(batch).pieces(n_cols, width):
-                    z = part.times(factor) - zm
-                    z_sum += z.sum(axis=0)
-                    n += len(part)
-                    if gram:
-                        z_gram += z.T @ z
+                    z = np.ones((len(part), width + 1))
+                    z[:, :width] = part.times(factor) - shift
+                    z_gram += z.T @ z
                     if cross:
                         part.add_cross(z, y_cross)
                         seen[part.index] = True
-            if not n:
-                return
-            order = np.arange(width, dtype=np.int32)
-            count = np.zeros((1, width))
-            count[0, 0] = n
-            yield partial_batch(SUM, [0], z_sum[None, :])
-            yield partial_batch(COUNT, [0], count)
-            if gram:
-                yield partial_batch(GRAM, order, z_gram)
-            if cross:
-                columns = np.flatnonzero(seen)
-                for some in np.array_split(columns, len(columns) // 4096 + 1):
-                    yield partial_batch(CROSS, some, y_cross[:, some].T)
-
-        sums = sum_vectors(self.rows.mapInArrow(job, PARTIAL), ["part", "i"], width)
-        whole = {p: np.zeros((n_cols if p == CROSS else width, width)) for p in range(4)}
+            yield partial_batch(GRAM, np.arange(width + 1), z_gram)
+            columns = np.flatnonzero(seen)
+            for some in np.array_split(columns, len(columns) // 4096 + 1):
+                yield partial_batch(CROSS, some, y_cross[:, some].T if cross else np.zeros((0, width + 1)))
+
+        sums = sum_vectors(self.rows.mapInArrow(job, PARTIAL), ["part", "i"], width + 1)
+        whole = [np.zeros((n, width + 1)) for n in (n_cols if cross else 0, width + 1)]
         for batch in sums.toArrow().to_batches():
             part = batch.column("part").to_numpy(zero_copy_only=False)
-            i, vec = batch.column("i").to_numpy(zero_copy_only=False), batch_vectors(batch, width)
-            for p, target in whole.items():
-                target[i[part == p]] = vec[part == p]
+            i, vec = batch.column("i").to_numpy(zero_copy_only=False), batch_vectors(batch, width + 1)
+            for p in (CROSS, GRAM):
+                whole[p][i[part == p]] = vec[part == p]
         held.destroy()
+        return whole[CROSS], whole[GRAM]
+
+    def sketch(self, factor: np.ndarray, gram: bool = True, cross: bool = True):
+        """(Yc'Zc, Zc'Zc) for Zc = Yc factor, in one scan of the rows.
+
+        The means need no scan of their own: the first cross product brings the column sums along,
+        and its sums are centred afterwards unless that would cost digits.
+        """
+        width = factor.shape[1]
+        if self.means is None:
+            y_cross, z_gram = self.scan(factor, np.zeros(width), cross)
+            self.absent(round(z_gram[-1, -1]))
+            raw, zm = z_gram[:-1, :-1], z_gram[-1, :-1] / self.n_rows
+            centred = raw - self.n_rows * np.outer(zm, zm)
+            if (centred.diagonal() >= CENTRE_AFTER * raw.diagonal()).all():
+                if not cross:
+                    return None, centred
+                self.means = y_cross[:, -1] / self.n_rows
+                return y_cross[:, :-1] - self.n_rows * np.outer(self.means, zm), centred
+            self.find_means()
+        zm = self.means @ factor
+        y_cross, z_gram = self.scan(factor, zm, cross)
         # Absent rows are zero rows: z - zm is -zm there, and y adds nothing.
-        self.n_present = round(whole[COUNT][0, 0])
-        absent = self.n_rows - self.n_present
-        if absent < 0:
-            raise ValueError(f"n_rows={self.n_rows}, but the matrix holds {self.n_present} rows")
-        total = whole[SUM][0] - absent * zm
-        y_cross = whole[CROSS] - np.outer(self.means, total) if cross else None
-        z_gram = whole[GRAM] + absent * np.outer(zm, zm) if gram else None
-        return y_cross, z_gram
+        absent = self.absent(round(z_gram[-1, -1]))
+        centred = z_gram[:-1, :-1] + absent * np.outer(zm, zm)
+        if not cross:
+            return None, centred
+        excess = z_gram[-1, :-1] - absent * zm
+        return y_cross[:, :-1] - np.outer(self.means, excess), centred
 
     def stack_r(self, factor: np.ndarray, buckets: int = 64) -> np.ndarray:
-        """R of the QR factorisation of Zc, absent rows included."""
+        """R of the QR factorisation of Zc, absent rows included.
+
+        With a column of ones ahead of Z, what is left of R below its first row belongs to Z less its
+        mean; an absent row is a one followed by zeros.
+        """
         n_cols, width = factor.shape
-        held, zm = self.spark.sparkContext.broadcast(factor), self.means @ factor
+        held = self.spark.sparkContext.broadcast(factor)
+
+        def blocks(batches):
+            for batch in batches:
+                for _, part in batch_rows(batch).pieces(n_cols, width):
+                    yield np.hstack([np.ones((len(part), 1)), part.times(held.value)])
 
         def job(batches):
-            parts = (part for b in batches for _, part in batch_rows(b).pieces(n_cols, width))
-            yield from tsqr.task_r(
-                (part.times(held.value) - zm for part in parts), width, buckets
-            )
+            yield from tsqr.task_r(blocks(batches), width + 1, buckets)
 
         parts = self.rows.mapInArrow(job, tsqr.PARTS)
-        r = small_rows(tsqr.tree_r(parts, width, buckets), "i", width)
+        r = small_rows(tsqr.tree_r(parts, width + 1, buckets), "i", width + 1)
         held.destroy()
-        return add_absent(r, self.n_rows - self.present(), zm)
+        absent = self.absent(round(r[0, 0] ** 2) if len(r) else 0)
+        return add_absent(r, absent, np.eye(1, width + 1)[0])[1:, 1:]
 
     def times(self, factor: np.ndarray, small: np.ndarray) -> np.ndarray:
         return factor @ small
@@ -256,8 +292,8 @@ class Factor:
 class TableSpace:
     """Every step is a join and a sum; results are written to the scratch folder between steps."""
 
-    def __init__(self, matrix: DataFrame, n_rows: int, n_cols: int):
-        self.spark, self.n_rows, self.n_cols = matrix.sparkSession, n_rows, n_cols
+    def __init__(self, matrix: DataFrame, n_rows: int | None, n_cols: int):
+        self.spark, self.n_cols = matrix.sparkSession, n_cols
         self.base, self.steps = [], []
         cells = as_entries(matrix)
         if not is_rows(matrix):
@@ -266,6 +302,9 @@ class TableSpace:
             F.col("row_id").cast("long"), F.col("col_id").cast("int"), "value"
         )
         self.entries, _ = self.stored(cells, "entries", self.base)
+        if n_rows is None:
+            n_rows = as_entries(matrix).select("row_id").distinct().count()
+        self.n_rows = n_rows
         self.means, _ = self.stored(column_means(self.entries, n_rows, n_cols), "means", self.base)
         self.hot_rows = hot_keys(self.entries, "row_id")
         self.hot_columns = hot_keys(self.entries, "col_id")
@@ -419,6 +458,6 @@ def small_vector(long: DataFrame, width: int) -> np.ndarray:
     return out
 
 
-def add_absent(r: np.ndarray, absent: int, zm: np.ndarray) -> np.ndarray:
-    """Fold the rows that have no stored cell into R: together they weigh sqrt(absent) * zm."""
-    return tsqr.fold_r(r, np.sqrt(max(absent, 0)) * zm[None, :])
+def add_absent(r: np.ndarray, absent: int, row: np.ndarray) -> np.ndarray:
+    """Fold the rows without a stored cell, all alike, into R: together they weigh sqrt(absent)."""
+    return tsqr.fold_r(r, np.sqrt(absent) * row[None, :])

@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..operators.shapes import limit_columns, merge_entries, rebase_columns
+from ..session import FACTOR_LIMIT_BYTES
+
+# Blocks whose first line numbers may be broadcast, at about 160 bytes each.
+MAX_BLOCKS = FACTOR_LIMIT_BYTES // 160
 
 ON_DUPLICATE = ("sum", "last", "error", "keep")
 
@@ -19,12 +23,18 @@ def _located(lines: DataFrame) -> DataFrame:
     )
 
 
+def _block_bound(lines: DataFrame) -> int:
+    """At most so many blocks will be read: a file's last block is short, the others fill a task."""
+    return len(lines.inputFiles()) + lines.rdd.getNumPartitions()
+
+
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """(row_id, value): the non-blank lines, counted from 0 over all files in path order.
 
     Lines are numbered inside their file block by read order; a block's first number comes from a
     running total of line counts, first over the blocks of a file, then over the files. The windows
-    see one row per block and one per file, never the lines.
+    see one row per block and one per file, never the lines. The table of first numbers is broadcast
+    when the planned scan bounds it; beyond that it is joined by exchange.
     """
     lines = spark.read.text(path).where(F.trim("value") != "")
     located = _located(lines)
@@ -38,6 +48,8 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     files = files.select("file", F.coalesce(F.sum("lines").over(over_files), F.lit(0)).alias("at"))
     inside = F.coalesce(F.sum("n").over(in_file), F.lit(0))
     starts = blocks.select("file", "block", "first", inside.alias("inside")).join(files, "file")
+    if _block_bound(lines) <= MAX_BLOCKS:
+        starts = F.broadcast(starts)
     number = F.col("at") + F.col("inside") + F.col("order") - F.col("first")
     return located.join(starts, ["file", "block"]).select(number.alias("row_id"), "value")
 

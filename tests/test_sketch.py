@@ -102,6 +102,19 @@ def test_tolerance_loop(spark):
         el.sketch_pca(entries, 3, next_sigma=0.0, **dims)
 
 
+@pytest.mark.parametrize("method", ["fused", "two_pass", "tsqr"])
+@pytest.mark.parametrize("mean", [3.0, 1e6])
+def test_means_that_outweigh_the_spread(spark, method, mean):
+    """Centred after the sums where that is safe, before them where it is not."""
+    array = RNG.standard_normal((80, 6)) * [5, 4, 3, 2, 1, 0.5] + mean
+    _, sigma, v = exact(array)
+    rows = el.to_rows(entries_of(spark, array))
+    fit = el.sketch_pca(rows, 3, oversample=3, max_iter=1, method=method, n_cols=6)
+    assert fit.n_rows == 80
+    assert np.allclose(fit.sigma, sigma[:3], rtol=1e-8)
+    assert same_up_to_sign(components_of(fit, 6), v[:, :3])
+
+
 def test_wide_and_short(spark):
     """Fewer rows than sketch columns, and a matrix wider than a dense block."""
     array = np.zeros((6, 5000))

@@ -5,7 +5,7 @@ import pytest
 from conftest import array_of, entries_of
 
 import eigenloom as el
-from eigenloom.sources.text import numbered_lines
+from eigenloom.sources.text import _block_bound, numbered_lines
 
 RNG = np.random.default_rng(9)
 
@@ -31,7 +31,9 @@ def small_blocks(spark):
         spark.conf.set(key, value)
 
 
-def test_line_numbers_follow_files_and_blocks(spark, tmp_path, small_blocks):
+@pytest.mark.parametrize("max_blocks", [1 << 20, 0])
+def test_line_numbers_follow_files_and_blocks(spark, tmp_path, small_blocks, monkeypatch, max_blocks):
+    monkeypatch.setattr("eigenloom.sources.text.MAX_BLOCKS", max_blocks)
     wanted = []
     for name, n in (("a", 53), ("b", 1), ("c", 17), ("d", 140)):
         lines = [f"{name}{i}" + "x" * int(RNG.integers(0, 30)) for i in range(n)]
@@ -39,7 +41,10 @@ def test_line_numbers_follow_files_and_blocks(spark, tmp_path, small_blocks):
         write(tmp_path / "t" / f"{name}.txt", "\n".join(f"{x}\n{y}" for x, y in zip(lines, blank)))
         wanted += lines
     table = numbered_lines(spark, str(tmp_path / "t"))
-    assert spark.read.text(str(tmp_path / "t")).rdd.getNumPartitions() > 4
+    lines = spark.read.text(str(tmp_path / "t"))
+    assert lines.rdd.getNumPartitions() > 4
+    blocks = lines.select("_metadata.file_path", "_metadata.file_block_start").distinct().count()
+    assert 20 < blocks <= _block_bound(lines)
     found = {r["row_id"]: r["value"].strip() for r in table.collect()}
     assert found == dict(enumerate(wanted))
 
