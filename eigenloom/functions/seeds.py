@@ -10,9 +10,11 @@ import math
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-# A public 32-bit integer mixer and an odd 31-bit stride for the component number.
+# A public 32-bit integer mixer, an odd 31-bit stride for the component number, and an
+# offset (the golden ratio in 32 bits) that keeps seed 0 and id 0 away from the mixer's fixed point 0.
 MIX_MULTIPLIER = 73244475
 COMP_STRIDE = 1540483477
+SEED_OFFSET = 2654435769
 WORD = 1 << 32
 
 
@@ -23,6 +25,10 @@ def mixed(x: int) -> int:
     return x ^ (x >> 16)
 
 
+def seed_state(seed: int) -> int:
+    return mixed((seed + SEED_OFFSET) % WORD)
+
+
 def mix32(x: str) -> str:
     """SQL text of ``mixed`` for an integer expression."""
     for _ in range(2):
@@ -34,7 +40,7 @@ def id_state(seed: int, name: str) -> str:
     """SQL text of the mixed state of one id column, all 64 bits of it, under a seed."""
     wide = f"CAST({name} AS BIGINT)"
     folded = f"(({wide} ^ shiftright({wide}, 32)) & {WORD - 1}L)"
-    return mix32(f"({folded} ^ {mixed(seed % WORD)}L)")
+    return mix32(f"({folded} ^ {seed_state(seed)}L)")
 
 
 def unit(state: str) -> str:

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.vectors import dot, numbers, sum_vectors
-from ..session import FACTOR_LIMIT_BYTES, fits_broadcast
+from ..session import FACTOR_LIMIT_BYTES, SEGMENT_WIDTH, fits_broadcast
 from .blocks import batch_rows, batch_vectors
 from .shapes import as_entries, first_segment, is_rows, merge_entries
 from .skew import HotKeys, salted_join
@@ -98,12 +98,15 @@ def reconstruct_rows(
         right = right.join(means.withColumnRenamed("value", "mean"), "col_id")
     if fits_broadcast(n_cols, width + 1):
         right = F.broadcast(right)
-    columns = F.explode(F.sequence(F.lit(0), F.lit(n_cols - 1))).alias("col_id")
+    blocks = F.explode(F.sequence(F.lit(0), F.lit((n_cols - 1) // SEGMENT_WIDTH))).alias("block")
+    first = F.col("block") * SEGMENT_WIDTH
+    last = F.least(first + SEGMENT_WIDTH, F.lit(n_cols)) - 1
     value = dot("vec", "loading", width)
     if means is not None:
         value = value + F.col("mean")
     return (
-        scores.select("row_id", "vec", columns)
+        scores.select("row_id", "vec", blocks)
+        .select("row_id", "vec", F.explode(F.sequence(first, last)).alias("col_id"))
         .join(right, "col_id")
         .select("row_id", "col_id", value.alias("value"))
     )

@@ -84,12 +84,14 @@ def declared(
 def task_bound(rows: DataFrame) -> int | None:
     """A number of scan tasks that keeps every core busy; each one sends a factor-sized sum.
 
-    Left open under dynamic allocation, where the core count is not known ahead.
+    Under dynamic allocation the cores are those of the most executors allowed; left open without one.
     """
     context = rows.sparkSession.sparkContext
-    if context.getConf().get("spark.dynamicAllocation.enabled", "false") == "true":
-        return None
-    return 4 * context.defaultParallelism
+    conf = context.getConf()
+    if conf.get("spark.dynamicAllocation.enabled", "false") != "true":
+        return 4 * context.defaultParallelism
+    executors = conf.get("spark.dynamicAllocation.maxExecutors", None)
+    return 4 * int(executors) * int(conf.get("spark.executor.cores", "1")) if executors else None
 
 
 def factor_table(spark: SparkSession, factor: np.ndarray) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ..functions.seeds import COMP_STRIDE, MIX_MULTIPLIER, WORD, mixed
+from ..functions.seeds import COMP_STRIDE, MIX_MULTIPLIER, WORD, seed_state
 
 
 def rnd(x: str, places: int) -> str:
@@ -135,7 +135,7 @@ def folded(x: str) -> str:
 
 def sample(rate: float, seed: int) -> str:
     return f"""
-WITH a AS (SELECT *, xor({mixed(seed)}::BIGINT, {folded("l_orderkey")}) AS x0, {mix("x0", "x")} FROM lineitem)
+WITH a AS (SELECT *, xor({seed_state(seed)}::BIGINT, {folded("l_orderkey")}) AS x0, {mix("x0", "x")} FROM lineitem)
 SELECT l_orderkey AS row_id, l_partkey AS col_id, round(l_quantity, 6) AS value
 FROM a WHERE (x + 0.5::DOUBLE) / {WORD}.0::DOUBLE < {rate}
 """
@@ -146,7 +146,7 @@ def seeded(value: str, seed: int, factor: int) -> str:
     stream = f"(comp * {factor} {{}}) * {COMP_STRIDE} % {WORD}"
     return f"""
 WITH a AS (SELECT p_partkey AS col_id, j AS comp,
-                  xor({mixed(seed)}::BIGINT, {folded("p_partkey")}) AS x0, {mix("x0", "x")}
+                  xor({seed_state(seed)}::BIGINT, {folded("p_partkey")}) AS x0, {mix("x0", "x")}
            FROM part, (SELECT unnest(range(4)) AS j)),
 b AS (SELECT *, xor(x, {folded(stream.format(""))}) AS s0, {mix("s0", "s")},
       xor(x, {folded(stream.format("+ 1"))}) AS t0, {mix("t0", "t")} FROM a),
@@ -236,7 +236,7 @@ FROM y JOIN z USING (r) JOIN zm USING (j) GROUP BY c, j""",
 WITH {ORDER_PART}, zc AS (SELECT r, j, z - zm AS z FROM z JOIN zm USING (j)),
 g AS (SELECT a.j AS i, b.j AS j, sum(a.z * b.z) AS x FROM zc a JOIN zc b USING (r) GROUP BY 1, 2),
 w AS (SELECT n - (SELECT count(DISTINCT r) FROM y) AS absent FROM n)
-SELECT i, g.j, {rnd("x + absent * a.zm * b.zm", 4)} AS value
+SELECT i, g.j, {rnd("x + absent * a.zm * b.zm", 1)} AS value
 FROM g JOIN zm a ON a.j = g.i JOIN zm b ON b.j = g.j, w""",
     "gram": f"{GRAM} SELECT i, j, {rnd('x', 4)} AS value FROM g",
     "score_sums": f"WITH {EMBEDDING} SELECT j AS comp, {rnd('sum(z)', 5)} AS value FROM z GROUP BY j",

@@ -306,7 +306,7 @@ def corrected_cross_product(spark, sf):
     return _cross_table(mean_correction(cross, means, z_sum - n_rows * zm))
 
 
-def _one_scan(spark, sf, which):
+def _one_scan(spark, sf, which, places):
     n_rows, n_cols = fx.order_part_dims(spark, sf)
     factor = validation_seed(fx.part_columns(spark, sf), WIDTH)
     space = LocalSpace(fx.order_part(spark, sf), n_rows, n_cols)
@@ -315,15 +315,15 @@ def _one_scan(spark, sf, which):
     finally:
         space.close()
     cells = factor_table(spark, found)
-    return out(cells.select(F.col("col_id").alias("i"), F.col("comp").alias("j"), "value"), 4)
+    return out(cells.select(F.col("col_id").alias("i"), F.col("comp").alias("j"), "value"), places)
 
 
 def cross_product_scan(spark, sf):
-    return _one_scan(spark, sf, 0)
+    return _one_scan(spark, sf, 0, 4)
 
 
 def gram_scan(spark, sf):
-    return _one_scan(spark, sf, 1)
+    return _one_scan(spark, sf, 1, 1)
 
 
 def _embedding_gram(spark, sf):
