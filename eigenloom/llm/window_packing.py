@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import bisect
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -18,10 +19,13 @@ from .texts import utf8
 WINDOW = 2048
 OPEN_WINDOWS = 64
 END_ID = 1
-MARK = "<|startoftext|>"
+# Letters that fold case one by one and stay as they are under NFC, then punctuation other than the apostrophe.
+PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-&(-/:-@\[-`{-~]*)")
+# The code of the part that holds the closing id alone.
+CLOSING = 1
 
-# Words whose ids a worker remembers; a full memory is emptied and filled anew.
-REMEMBERED = 400_000
+# Words and parts whose ids a worker remembers; a full memory is emptied and filled anew.
+REMEMBERED = 600_000
 BATCH_CHARS = 2 << 20
 
 
@@ -29,7 +33,9 @@ class WordEncoder:
     """Token ids of whole texts, put together from the ids of their words.
 
     The vocabulary drops white space and never joins across it, so a text's ids are those of its
-    words, in order. Each distinct word goes through the tokenizer once while it is remembered.
+    words, in order. It also parts letters from the punctuation after them and folds case, so such
+    a word is looked up as two parts. Each distinct part goes through the tokenizer once while it
+    is remembered.
     """
 
     def __init__(self, path: str):
@@ -37,50 +43,64 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.mark = self.tokenizer.token_to_id(MARK)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
         self.clear()
 
     def clear(self) -> None:
-        self.code: dict[str, int] = {}
-        self.ids = np.array([END_ID], np.uint32)
-        self.start, self.length = np.zeros(1, np.int64), np.ones(1, np.int64)
+        self.words: dict[str, int] = {"": 0}
+        self.word_parts = np.zeros((1, 2), np.int64)
+        self.parts: dict[str, int] = {"": 0}
+        self.ids = np.zeros(0, np.uint32)
+        self.start, self.length = np.zeros(1, np.int64), np.zeros(1, np.int64)
+        self.add_parts([""], [np.array([END_ID], np.uint32)])
+        self.parts[""] = 0
+
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    def add_parts(self, parts: list[str], ids: list[np.ndarray]) -> None:
+        length = np.array([len(x) for x in ids], np.int64)
+        at = len(self.ids) + np.cumsum(length) - length
+        self.parts.update(zip(parts, range(len(self.start), len(self.start) + len(parts))))
+        self.ids = np.concatenate([self.ids, *ids])
+        self.start, self.length = np.append(self.start, at), np.append(self.length, length)
 
     def learn(self, new: list[str]) -> None:
-        """Words go through the tokenizer in chains, held apart by a token of their own."""
-        odd = [w for w in new if MARK in w]
-        plain = [w for w in new if MARK not in w]
-        found = []
-        for i in range(0, len(plain), 256):
-            chain = plain[i : i + 256]
-            ids = np.array(self.tokenizer.encode(MARK.join(chain), add_special_tokens=False).ids, np.uint32)
-            found += np.split(ids[ids != self.mark], np.flatnonzero(ids == self.mark) - np.arange(len(chain) - 1))
-        for w in odd:
-            found.append(np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, np.uint32))
-        length = np.array([len(x) for x in found], np.int64)
-        at = len(self.ids) + np.concatenate(([0], np.cumsum(length)[:-1])).astype(np.int64)
-        self.code.update(zip(plain + odd, range(len(self.start), len(self.start) + len(found))))
-        self.ids = np.concatenate([self.ids, *found])
-        self.start, self.length = np.append(self.start, at), np.append(self.length, length)
+        split = [PLAIN.fullmatch(w) for w in new]
+        pairs = [(m[1].lower(), m[2]) if m else (w, "") for m, w in zip(split, new)]
+        known = self.parts
+        letters = sorted({a for (a, _), m in zip(pairs, split) if m}.difference(known))
+        odd = sorted({x for (a, b), m in zip(pairs, split) for x in ((b,) if m else (a,))}.difference(known))
+        for i in range(0, len(letters), 256):
+            chain = letters[i : i + 256]
+            ids = self.whole(" ".join(chain))
+            self.add_parts(chain, np.split(ids, np.flatnonzero(self.ends_word[ids])[:-1] + 1))
+        if odd:
+            self.add_parts(odd, [self.whole(w) for w in odd])
+        codes = np.array([(known[a], known[b]) for a, b in pairs], np.int64)
+        self.words.update(zip(new, range(len(self.word_parts), len(self.word_parts) + len(new))))
+        self.word_parts = np.concatenate((self.word_parts, codes))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids end to end, each text's followed by the closing id, and where each text begins."""
-        if len(self.code) > REMEMBERED:
+        if len(self.words) + len(self.parts) > REMEMBERED:
             self.clear()
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        new = {w for x in split for w in x}.difference(self.code)
+        new = set().union(*split).difference(self.words)
         if new:
             self.learn(sorted(new))
-        get = self.code.__getitem__
-        n_words = np.array([len(x) + 1 for x in split], np.int64)
-        codes = np.zeros(int(n_words.sum()), np.int64)
+        get = self.words.__getitem__
+        n_words = np.array([len(x) for x in split], np.int64)
         begin = np.concatenate(([0], np.cumsum(n_words)))
-        for k, x in enumerate(split):
-            codes[begin[k] : begin[k + 1] - 1] = np.fromiter(map(get, x), np.int64, len(x))
-        length = self.length[codes]
+        codes = np.fromiter((c for x in split for c in map(get, x)), np.int64, begin[-1])
+        parts = np.insert(self.word_parts[codes].ravel(), 2 * begin[1:], CLOSING)
+        length = self.length[parts]
         ends = np.cumsum(length)
-        place = np.repeat(self.start[codes] - (ends - length), length)
+        place = np.repeat(self.start[parts] - (ends - length), length)
         place += np.arange(len(place))
-        return self.ids[place], np.concatenate(([0], ends[begin[1:] - 1]))
+        return self.ids[place], np.concatenate(([0], ends[2 * begin[1:] + np.arange(len(texts))]))
 
 
 _encoders: dict[str, WordEncoder] = {}
