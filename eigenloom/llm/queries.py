@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from .language_masks import fit_languages, identify_languages
+from .nb_hinge import fit_quality, score_quality
+from .piece_viterbi import decode_pieces, encode_pieces
+from .quartile_digest import fingerprint_documents
 from .window_packing import pack_documents
 
 
@@ -17,8 +21,54 @@ def tokenizer_file(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def fold(id_col: str, parts: int) -> Column:
+    """crc32 of the id as text, modulo ``parts``; null for a null id."""
+    return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(parts))
+
+
+def op3_quartile_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_documents(documents(spark, sf_dir))
+
+
+def op5_piece_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every text, and what they decode to."""
+    model = tokenizer_file("piece_bpe_32k.model")
+    text = F.coalesce("text", F.lit(""))
+    docs = documents(spark, sf_dir).select("doc_id", "text", F.sha2(text.cast("binary"), 256).alias("text_sha256"))
+    coded = encode_pieces(docs, model, keep=("doc_id", "text_sha256"))
+    coded = coded.withColumn("_ids", F.col("ids"))
+    decoded = decode_pieces(coded, model, ids_col="_ids", keep=("doc_id", "ids", "text_sha256"))
+    found = F.sha2(F.col("text").cast("binary"), 256)
+    return decoded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_ids"),
+        "ids",
+        found.alias("decoded_sha256"),
+        (found == F.col("text_sha256")).alias("round_trip"),
+    )
+
+
+def op6_language_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = fit_languages(docs.where(fold("doc_id", 3) != 1))
+    docs = docs.select("doc_id", F.coalesce(fold("doc_id", 3) == 1, F.lit(True)).alias("held_out"), "text")
+    return identify_languages(docs, model, keep=("doc_id", "held_out"))
+
+
+def op9_nb_hinge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(fold("doc_id", 5) != 0)
+    model = fit_quality(docs, labels)
+    docs = docs.select("doc_id", F.coalesce(fold("doc_id", 5) == 0, F.lit(True)).alias("held_out"), "text")
+    scored = score_quality(docs, model, keep=("doc_id", "held_out"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
 def op10_window_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir), tokenizer_file("word_bpe_49k.json"), ids=False)
 
 
-QUERIES = {f.__name__: f for f in (op10_window_packing,)}
+QUERIES = {
+    f.__name__: f
+    for f in (op3_quartile_digest, op5_piece_viterbi, op6_language_masks, op9_nb_hinge, op10_window_packing)
+}
