@@ -1,3 +1,12 @@
 """DuckDB SQL for the queries that SQL can express."""
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op1_block_naming": """
+        SELECT doc_id,
+               max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS keep_id,
+               count(*) OVER (PARTITION BY coalesce(text, '')) AS group_size,
+               doc_id = max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS kept,
+               sha256(coalesce(text, '')) AS text_sha256
+        FROM documents
+    """,
+}

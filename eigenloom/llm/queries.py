@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from .block_naming import exact_groups
 from .language_masks import fit_languages, identify_languages
 from .nb_hinge import fit_quality, score_quality
 from .piece_viterbi import decode_pieces, encode_pieces
@@ -26,6 +27,10 @@ def fold(id_col: str, parts: int) -> Column:
     return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(parts))
 
 
+def op1_block_naming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_groups(documents(spark, sf_dir)).drop("_a", "_b")
+
+
 def op3_quartile_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_documents(documents(spark, sf_dir))
 
@@ -70,5 +75,5 @@ def op10_window_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op3_quartile_digest, op5_piece_viterbi, op6_language_masks, op9_nb_hinge, op10_window_packing)
+    for f in (op1_block_naming, op3_quartile_digest, op5_piece_viterbi, op6_language_masks, op9_nb_hinge, op10_window_packing)
 }
