@@ -7,6 +7,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -19,13 +20,14 @@ from .texts import utf8
 WINDOW = 2048
 OPEN_WINDOWS = 64
 END_ID = 1
-# Letters that fold case one by one and stay as they are under NFC, then punctuation other than the apostrophe.
-PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-&(-/:-@\[-`{-~]*)")
+# A word of letters that fold case one by one and stay as they are under NFC, then punctuation other than the
+# apostrophe; or any other word.
+PLAIN = re.compile(r"^(?:([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-&(-/:-@\[-`{-~]*)|(.+))$", re.MULTILINE)
 # The code of the part that holds the closing id alone.
 CLOSING = 1
 
 # Words and parts whose ids a worker remembers; a full memory is emptied and filled anew.
-REMEMBERED = 600_000
+REMEMBERED = 1_000_000
 BATCH_CHARS = 2 << 20
 
 
@@ -52,34 +54,32 @@ class WordEncoder:
         self.words: dict[str, int] = {"": 0}
         self.word_parts = np.zeros((1, 2), np.int64)
         self.parts: dict[str, int] = {"": 0}
-        self.ids = np.zeros(0, np.uint32)
-        self.start, self.length = np.zeros(1, np.int64), np.zeros(1, np.int64)
-        self.add_parts([""], [np.array([END_ID], np.uint32)])
-        self.parts[""] = 0
-
-    def whole(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-
-    def add_parts(self, parts: list[str], ids: list[np.ndarray]) -> None:
-        length = np.array([len(x) for x in ids], np.int64)
-        at = len(self.ids) + np.cumsum(length) - length
-        self.parts.update(zip(parts, range(len(self.start), len(self.start) + len(parts))))
-        self.ids = np.concatenate([self.ids, *ids])
-        self.start, self.length = np.append(self.start, at), np.append(self.length, length)
+        self.ids = np.array([END_ID], np.uint32)
+        self.start, self.length = np.array([0, 0]), np.array([0, 1])
+
+    def whole(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def learn_parts(self, letters: list[str], others: list[str]) -> None:
+        """Runs of letters go through the tokenizer in chains; each ends with a piece that ends a word."""
+        chains = [" ".join(letters[i : i + 256]) for i in range(0, len(letters), 256)]
+        ids = np.fromiter(chain.from_iterable(map(self.whole, chains)), np.uint32)
+        rest = [self.whole(w) for w in others]
+        ends = np.concatenate((np.flatnonzero(self.ends_word[ids]) + 1, len(ids) + np.cumsum([0, *map(len, rest)])[1:]))
+        ends = ends.astype(np.int64) + len(self.ids)
+        starts = np.concatenate(([len(self.ids)], ends[:-1]))[: len(ends)]
+        self.parts.update(zip(chain(letters, others), range(len(self.start), len(self.start) + len(ends))))
+        self.ids = np.concatenate((self.ids, ids, np.fromiter(chain.from_iterable(rest), np.uint32)))
+        self.start, self.length = np.append(self.start, starts), np.append(self.length, ends - starts)
 
     def learn(self, new: list[str]) -> None:
-        split = [PLAIN.fullmatch(w) for w in new]
-        pairs = [(m[1].lower(), m[2]) if m else (w, "") for m, w in zip(split, new)]
-        known = self.parts
-        letters = sorted({a for (a, _), m in zip(pairs, split) if m}.difference(known))
-        odd = sorted({x for (a, b), m in zip(pairs, split) for x in ((b,) if m else (a,))}.difference(known))
-        for i in range(0, len(letters), 256):
-            chain = letters[i : i + 256]
-            ids = self.whole(" ".join(chain))
-            self.add_parts(chain, np.split(ids, np.flatnonzero(self.ends_word[ids])[:-1] + 1))
-        if odd:
-            self.add_parts(odd, [self.whole(w) for w in odd])
-        codes = np.array([(known[a], known[b]) for a, b in pairs], np.int64)
+        letters, tails, odd = zip(*PLAIN.findall("\n".join(new)))
+        letters = "\n".join(letters).lower().split("\n")
+        tails = [a or b for a, b in zip(odd, tails)]
+        self.learn_parts(list(set(letters).difference(self.parts)), list(set(tails).difference(self.parts)))
+        codes = np.empty((len(new), 2), np.int64)
+        for k, column in enumerate((letters, tails)):
+            codes[:, k] = np.fromiter(map(self.parts.__getitem__, column), np.int64, len(new))
         self.words.update(zip(new, range(len(self.word_parts), len(self.word_parts) + len(new))))
         self.word_parts = np.concatenate((self.word_parts, codes))
 
@@ -90,11 +90,10 @@ class WordEncoder:
         split = [t.replace("\n", " ").split(" ") for t in texts]
         new = set().union(*split).difference(self.words)
         if new:
-            self.learn(sorted(new))
-        get = self.words.__getitem__
+            self.learn(list(new))
         n_words = np.array([len(x) for x in split], np.int64)
         begin = np.concatenate(([0], np.cumsum(n_words)))
-        codes = np.fromiter((c for x in split for c in map(get, x)), np.int64, begin[-1])
+        codes = np.fromiter(map(self.words.__getitem__, chain.from_iterable(split)), np.int64, begin[-1])
         parts = np.insert(self.word_parts[codes].ravel(), 2 * begin[1:], CLOSING)
         length = self.length[parts]
         ends = np.cumsum(length)
