@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .block_naming import exact_groups
+from .column_bwt import remove_repeats
 from .language_masks import fit_languages, identify_languages
 from .nb_hinge import fit_quality, score_quality
 from .piece_viterbi import decode_pieces, encode_pieces
@@ -35,6 +36,18 @@ def op3_quartile_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_documents(documents(spark, sf_dir))
 
 
+def op4_column_bwt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = remove_repeats(documents(spark, sf_dir))
+    lengths = F.transform("removed", lambda x: x["end"] - x["start"])
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        F.aggregate(lengths, F.lit(0).cast("long"), lambda a, x: a + x).alias("n_removed"),
+        F.size("removed").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op5_piece_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every text, and what they decode to."""
     model = tokenizer_file("piece_bpe_32k.model")
@@ -75,5 +88,5 @@ def op10_window_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_block_naming, op3_quartile_digest, op5_piece_viterbi, op6_language_masks, op9_nb_hinge, op10_window_packing)
+    for f in (op1_block_naming, op3_quartile_digest, op4_column_bwt, op5_piece_viterbi, op6_language_masks, op9_nb_hinge, op10_window_packing)
 }
