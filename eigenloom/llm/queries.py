@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .block_naming import exact_groups
 from .column_bwt import remove_repeats
+from .debruijn_spans import remove_repeated_words
 from .language_masks import fit_languages, identify_languages
 from .nb_hinge import fit_quality, score_quality
 from .piece_viterbi import decode_pieces, encode_pieces
@@ -73,6 +74,10 @@ def op6_language_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(docs, model, keep=("doc_id", "held_out"))
 
 
+def op7_debruijn_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeated_words(documents(spark, sf_dir), digest=True)
+
+
 def op9_nb_hinge(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(fold("doc_id", 5) != 0)
@@ -88,5 +93,5 @@ def op10_window_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_block_naming, op3_quartile_digest, op4_column_bwt, op5_piece_viterbi, op6_language_masks, op9_nb_hinge, op10_window_packing)
+    for f in (op1_block_naming, op3_quartile_digest, op4_column_bwt, op5_piece_viterbi, op6_language_masks, op7_debruijn_spans, op9_nb_hinge, op10_window_packing)
 }
