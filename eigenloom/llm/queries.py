@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from .bag_minhash import near_groups
 from .block_naming import exact_groups
 from .column_bwt import remove_repeats
 from .debruijn_spans import remove_repeated_words
@@ -11,9 +12,14 @@ from .language_masks import fit_languages, identify_languages
 from .nb_hinge import fit_quality, score_quality
 from .piece_viterbi import decode_pieces, encode_pieces
 from .quartile_digest import fingerprint_documents
+from .surrogates import replace_personal_data
 from .window_packing import pack_documents
 
 
+# In production the key comes from a secret store; here it is fixed so that results repeat.
+SURROGATE_KEY = "example-key"
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -33,6 +39,10 @@ def op1_block_naming(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(documents(spark, sf_dir)).drop("_a", "_b")
 
 
+def op2_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_groups(documents(spark, sf_dir)).drop("row")
+
+
 def op3_quartile_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_documents(documents(spark, sf_dir))
 
@@ -78,6 +88,11 @@ def op7_debruijn_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated_words(documents(spark, sf_dir), digest=True)
 
 
+def op8_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return replace_personal_data(docs, key=SURROGATE_KEY, out_col="clean_text").drop("text")
+
+
 def op9_nb_hinge(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(fold("doc_id", 5) != 0)
@@ -93,5 +108,5 @@ def op10_window_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_block_naming, op3_quartile_digest, op4_column_bwt, op5_piece_viterbi, op6_language_masks, op7_debruijn_spans, op9_nb_hinge, op10_window_packing)
+    for f in (op1_block_naming, op2_bag_minhash, op3_quartile_digest, op4_column_bwt, op5_piece_viterbi, op6_language_masks, op7_debruijn_spans, op8_surrogates, op9_nb_hinge, op10_window_packing)
 }
