@@ -9,13 +9,12 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from .block_naming import row_keys
 from .texts import BASE, BYTE_CODES, mix, powers, prefix_sums, run_starts, slices, span_hashes, spans_to_mask, utf8, window_hashes
 
 WIDTH = 50
 SEED = 18
 SLICE = 2 << 20
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 4 << 20
 CHUNK_BYTES = 48 << 20
 ABSENT = 0xFF
 NO_ID = -(1 << 63)
@@ -29,10 +28,10 @@ class Strings:
     ``windows`` how many windows start in it.
     """
 
-    KINDS = (("doc", np.int64), ("row", np.int64), ("start", np.int64), ("lead", np.uint8), ("windows", np.uint8))
+    KINDS = (("doc", np.int64), ("tag", np.uint16), ("start", np.int32), ("lead", np.uint8), ("windows", np.uint8))
 
-    def __init__(self, doc, row, start, lead, windows, content):
-        self.doc, self.row, self.start, self.lead, self.windows, self.content = doc, row, start, lead, windows, content
+    def __init__(self, doc, tag, start, lead, windows, content):
+        self.doc, self.tag, self.start, self.lead, self.windows, self.content = doc, tag, start, lead, windows, content
 
     def __len__(self) -> int:
         return len(self.doc)
@@ -84,25 +83,130 @@ def seeded_runs(data: np.ndarray, offsets: np.ndarray, width: int):
     return start, windows, place[start], hashes[place[start]]
 
 
+def short(seed: np.ndarray) -> np.ndarray:
+    """40 bits of a seed's hash, others than those that choose its bucket."""
+    return (seed >> np.uint64(20)) & np.uint64((1 << 40) - 1)
+
+
+def bucket_of(seed: np.ndarray, buckets: int) -> np.ndarray:
+    return (seed % np.uint64(1 << 20) % np.uint64(buckets)).astype(np.int64)
+
+
+def cut_by(keys: np.ndarray) -> list[tuple[int, int]]:
+    begin = run_starts(keys)
+    return list(zip(begin.tolist(), [*begin[1:].tolist(), len(keys)]))
+
+
+def _seeds(width: int, buckets: int):
+    """(bucket, blob of seeds and documents), and (doc, seed) where a seed occurs twice in a slice.
+
+    Of a seed's occurrences in a slice one travels, so a seed in a third of all documents is sent once a slice.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids = b.column(0).to_numpy()
+            data, offsets = utf8(b.column(2))
+            for lo, hi in slices(offsets, SLICE):
+                within = offsets[lo : hi + 1] - offsets[lo]
+                start, _, _, seed = seeded_runs(data[offsets[lo] : offsets[hi]], within, width)
+                if len(start):
+                    yield from ship(seed, ids[lo + np.searchsorted(within, start, "right") - 1])
+
+    def ship(seed: np.ndarray, doc: np.ndarray) -> Iterator[pa.RecordBatch]:
+        order = np.lexsort((doc, seed))
+        begin = run_starts(seed[order])
+        sizes = np.diff(np.append(begin, len(order)))
+        again = order[np.repeat(sizes > 1, sizes)]
+        yield _known(doc[again], short(seed[again]))
+        sent = np.sort(order[begin])
+        bucket = bucket_of(seed[sent], buckets)
+        sent, bucket = (x[np.argsort(bucket, kind="stable")] for x in (sent, bucket))
+        parts, blobs = cut_by(bucket), []
+        for x, y in parts:
+            seeds = short(seed[sent[x:y]]).view(np.uint8).reshape(-1, 8)[:, :5].T.tobytes()
+            steps = np.diff(doc[sent[x:y]], prepend=0)
+            raw = (y - x).to_bytes(8, "little") + steps.view(np.uint8).reshape(-1, 8).T.tobytes() + seeds
+            blobs.append(zstandard.ZstdCompressor(1).compress(raw))
+        none = pa.nulls(len(parts), pa.int64())
+        columns = [pa.array([int(bucket[x]) for x, _ in parts]), pa.array(blobs, pa.binary()), none, none]
+        yield pa.RecordBatch.from_arrays(columns, schema=SEEDS)
+
+    return run
+
+
+SEEDS = pa.schema([("bucket", pa.int64()), ("blob", pa.binary()), ("doc", pa.int64()), ("seed", pa.int64())])
+
+
+def _known(doc: np.ndarray, seed: np.ndarray) -> pa.RecordBatch:
+    none = pa.nulls(len(doc), pa.binary())
+    columns = [pa.array(doc), none, pa.array(doc), pa.array(seed.view(np.int64))]
+    return pa.RecordBatch.from_arrays(columns, schema=SEEDS)
+
+
+def _twice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc, seed) of seeds that occur twice in a bucket. Blobs come in order of bucket.
+
+    A bucket too large for memory goes in chunks; of each one occurrence of every seed is held.
+    """
+    bucket, held, size = None, [], 0
+
+    def read(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+        raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
+        n = int(raw[:8].view(np.int64)[0])
+        doc = np.cumsum(np.ascontiguousarray(raw[8 : 8 + 8 * n].reshape(8, n).T).view(np.int64).ravel())
+        seed = np.zeros((n, 8), np.uint8)
+        seed[:, :5] = raw[8 + 8 * n :].reshape(5, n).T
+        return doc, seed.view(np.uint64).ravel()
+
+    def settle() -> tuple[pa.RecordBatch, tuple[np.ndarray, np.ndarray]]:
+        doc, seed = (np.concatenate(x) for x in zip(*held))
+        order = np.argsort(seed, kind="stable")
+        begin = run_starts(seed[order])
+        sizes = np.diff(np.append(begin, len(order)))
+        again = order[np.repeat(sizes > 1, sizes)]
+        return _known(doc[again], seed[again]), (doc[order[begin]], seed[order[begin]])
+
+    for b in batches:
+        known = b.column(1).is_null().to_numpy(zero_copy_only=False)
+        if known.any():
+            yield b.filter(pa.array(known))
+        for k in np.flatnonzero(~known):
+            here = b.column(0)[k].as_py()
+            if held and (here != bucket or size > CHUNK_BYTES):
+                found, rest = settle()
+                yield found
+                held, size = ([rest] if here == bucket else []), 0
+            bucket = here
+            held.append(read(b.column(1)[k].as_py()))
+            size += 16 * len(held[-1][0])
+    if held:
+        yield settle()[0]
+
+
 def _ship(width: int, buckets: int):
-    """Strings of each slice by bucket of their seed, and spans already known to repeat.
+    """Strings with repeated seeds by bucket of their seed, and spans already known to repeat.
 
     Of equal strings in a slice only those of the smallest id travel; the others repeat for certain.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, rows = b.column(0).to_numpy(), b.column(1).to_numpy()
+            ids, tags = b.column(0).to_numpy(), b.column(1).to_numpy()
             data, offsets = utf8(b.column(2))
             for lo, hi in slices(offsets, SLICE):
                 part, within = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
-                yield from ship(part, within, ids[lo:hi], rows[lo:hi])
+                seeds = b.column(3).slice(lo, hi - lo)
+                yield from ship(part, within, ids[lo:hi], tags[lo:hi], seeds)
 
-    def ship(part, within, ids, rows) -> Iterator[pa.RecordBatch]:
+    def ship(part, within, ids, tags, seeds) -> Iterator[pa.RecordBatch]:
         start, windows, place, seed = seeded_runs(part, within, width)
+        owner = np.searchsorted(within, start, "right") - 1
+        wanted = np.unique(pair(np.repeat(np.arange(len(ids)), seeds.value_lengths().fill_null(0)), seeds.flatten().to_numpy().view(np.uint64)))
+        stay = np.isin(pair(owner, short(seed)), wanted)
+        start, windows, place, seed, owner = (x[stay] for x in (start, windows, place, seed, owner))
         if not len(start):
             return
-        owner = np.searchsorted(within, start, "right") - 1
         ends = start + windows + width - 1
         same = mix(span_hashes(prefix_sums(BYTE_CODES[part]), start, ends) + (place - start).astype(np.uint64))
         order = np.lexsort((ids[owner], same))
@@ -110,63 +214,52 @@ def _ship(width: int, buckets: int):
         first_id = np.repeat(ids[owner[order[begin]]], np.diff(np.append(begin, len(order))))
         later = np.zeros(len(start), bool)
         later[order] = ids[owner[order]] > first_id
-        if later.any():
-            who = owner[later]
-            yield _spans(ids[who], rows[who], start[later] - within[who], ends[later] - within[who], None)
+        who = owner[later]
+        yield _spans(ids[who], tags[who], start[later] - within[who], ends[later] - within[who])
         stay = ~later
-        start, windows, place, seed, owner, ends = (x[stay] for x in (start, windows, place, seed, owner, ends))
-        bucket = (seed % np.uint64(1 << 31) % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        start, windows, place, owner, ends, bucket = (x[order] for x in (start, windows, place, owner, ends, bucket))
+        bucket = bucket_of(seed[stay], buckets)
+        order = np.flatnonzero(stay)[np.argsort(bucket, kind="stable")]
+        start, windows, place, owner, ends = (x[order] for x in (start, windows, place, owner, ends))
+        bucket = np.sort(bucket)
         length = ends - start
         cuts = np.concatenate(([0], np.cumsum(length)))
         content = part[np.repeat(start - cuts[:-1], length) + np.arange(cuts[-1])].tobytes()
-        begin = run_starts(bucket)
-        blobs = []
-        for x, y in zip(begin, [*begin[1:], len(bucket)]):
+        parts, blobs = cut_by(bucket), []
+        for x, y in parts:
             who = owner[x:y]
-            found = Strings(
-                ids[who], rows[who], start[x:y] - within[who], (place - start)[x:y], windows[x:y], content[cuts[x] : cuts[y]]
-            )
-            blobs.append(found.pack())
-        yield _batch(bucket[begin], blobs)
+            columns = ids[who], tags[who], start[x:y] - within[who], (place - start)[x:y], windows[x:y]
+            blobs.append(Strings(*columns, content[cuts[x] : cuts[y]]).pack())
+        none = pa.nulls(len(parts), pa.int64())
+        columns = [pa.array([int(bucket[x]) for x, _ in parts]), pa.array(blobs, pa.binary()), none, none, none, none]
+        yield pa.RecordBatch.from_arrays(columns, schema=SPANS)
+
+    def pair(row: np.ndarray, seed: np.ndarray) -> np.ndarray:
+        return (row.astype(np.uint64) << np.uint64(40)) | seed
 
     return run
 
 
-FIELDS = "bucket long, blob binary, doc long, row long, start long, end long"
-SCHEMA = pa.schema(
-    [("bucket", pa.int64()), ("blob", pa.binary()), *((x, pa.int64()) for x in ("doc", "row", "start", "end"))]
+SPANS = pa.schema(
+    [("bucket", pa.int64()), ("blob", pa.binary()), *((x, pa.int64()) for x in ("doc", "tag", "start", "end"))]
 )
 
 
-def _batch(bucket: np.ndarray, blobs: list[bytes]) -> pa.RecordBatch:
-    none = pa.nulls(len(blobs), pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(blobs, pa.binary()), none, none, none, none], schema=SCHEMA)
-
-
-def _spans(doc, row, start, end, bucket) -> pa.RecordBatch:
-    """Spans of one pass, those of a document merged where they touch."""
-    order = np.lexsort((start, row, doc))
-    doc, row, start, end = (np.ascontiguousarray(x[order], np.int64) for x in (doc, row, start, end))
+def _spans(doc: np.ndarray, tag: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
+    """Spans found at one time, those of a document merged where they touch."""
+    order = np.lexsort((start, tag, doc))
+    doc, tag, start, end = (x[order].astype(np.int64) for x in (doc, tag, start, end))
     if len(doc):
         own = np.ones(len(doc), bool)
-        own[1:] = (doc[1:] != doc[:-1]) | (row[1:] != row[:-1])
-        reach = np.arange(len(doc)) * 0 + end
+        own[1:] = (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1])
         base = np.cumsum(own) * (int(end.max()) + 2)
         reach = np.maximum.accumulate(base + end)
         new = own.copy()
         new[1:] |= (base + start)[1:] > reach[:-1]
         begin = np.flatnonzero(new)
         end = reach[np.append(begin[1:], len(doc)) - 1] - base[begin]
-        doc, row, start = doc[begin], row[begin], start[begin]
-    none = pa.nulls(len(doc), pa.int64())
-    spread = pa.array(mix(row.view(np.uint64)).view(np.int64) >> 1)
-    return pa.RecordBatch.from_arrays(
-        [spread, pa.nulls(len(doc), pa.binary()), *(pa.array(x) for x in (doc, row, start, end))], schema=SCHEMA
-    ) if bucket is None else pa.RecordBatch.from_arrays(
-        [none, pa.nulls(len(doc), pa.binary()), *(pa.array(x) for x in (doc, row, start, end))], schema=SCHEMA
-    )
+        doc, tag, start = doc[begin], tag[begin], start[begin]
+    columns = [pa.array(doc), pa.nulls(len(doc), pa.binary()), *(pa.array(x) for x in (doc, tag, start, end))]
+    return pa.RecordBatch.from_arrays(columns, schema=SPANS)
 
 
 def range_minima(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -240,8 +333,8 @@ def _settle(found: Strings, width: int) -> tuple[tuple, Strings]:
     chosen = np.sort(order[shared])
     who, where = repeated_windows(np.ascontiguousarray(grid[chosen].T), found.doc[chosen], width, reach)
     who = chosen[who]
-    start = found.start[who] + where - column[who]
-    spans = (found.doc[who], found.row[who], start, start + width)
+    start = found.start[who].astype(np.int64) + where - column[who]
+    spans = (found.doc[who], found.tag[who], start, start + width)
     left = found.windows.astype(np.int64) - np.bincount(who, minlength=len(found)) > 0
     keep = np.flatnonzero(left)
     flat = np.repeat(cuts[keep] - np.concatenate(([0], np.cumsum(length[keep])))[:-1], length[keep])
@@ -266,55 +359,57 @@ def _match(width: int):
                 here, blob = b.column(0)[k].as_py(), b.column(1)[k].as_py()
                 if held and (here != bucket or size > CHUNK_BYTES):
                     spans, rest = settle()
-                    yield _spans(*spans, bucket)
+                    yield _spans(*spans)
                     held = [rest.pack()] if here == bucket and len(rest) else []
                     size = 0
                 bucket = here
                 held.append(blob)
                 size += zstandard.frame_content_size(blob)
         if held:
-            yield _spans(*settle()[0], bucket)
+            yield _spans(*settle()[0])
 
     return run
 
 
-def repeated_spans(docs: DataFrame, id_col: str, text_col: str, width: int = WIDTH) -> DataFrame:
-    """(doc, row, spans): for each document, the byte spans covered by windows of smaller ids."""
-    spark = docs.sparkSession
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    order = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
-    rows = docs.select(order.alias("doc"), row_keys(id_col, text)[0].alias("row"), text.alias("text"))
-    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(1, -(-4 * total // BUCKET_BYTES))
-    shipped = rows.mapInArrow(_ship(width, buckets), FIELDS)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sorted_ = shipped.repartition(parts, "bucket").sortWithinPartitions("bucket")
-    spans = sorted_.mapInArrow(_match(width), FIELDS)
-    spans = spans.groupBy("doc", "row").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    return spans
-
-
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
     """Every document without the bytes covered by a ``width``-byte string that starts in a smaller id too.
 
-    Equal windows meet by their seed. Each task sends, for every run of windows with one seed, the bytes
-    that hold them (about four times the text, compressed), after setting aside equal ones in a slice.
-    A receiving task orders a bucket's strings column by column, one symbol of every string a round, and
-    keeps only strings that hold the first known copy of some window, so a seed shared by a third of
-    all documents needs no more memory than its distinct surroundings. Rounds are bounded by the string
-    length (82 for 50-byte windows) instead of by the longest document.
+    First the seeds of all windows meet, by a hash: most occur once, and their windows are done. A
+    document's repeated seeds come back to it, and for each run of windows with one such seed the bytes
+    that hold them are sent to the seed's bucket. A receiving task orders a bucket's strings column by
+    column, one symbol of every string a round, and keeps only strings that hold the first known copy of
+    some window, so a seed shared by a third of all documents needs no more memory than its distinct
+    surroundings. Rounds are bounded by the string length (82 for 50-byte windows) instead of by the
+    longest document. Equal seeds or strings of one slice are settled before anything is sent.
 
     Returns doc_id, n_bytes, kept (binary), removed (array of start and end of maximal spans).
 
     Null text counts as empty. Ids are integers; a null id is smaller than any other. Rows that repeat
-    an id do not remove each other. Texts shorter than ``width`` stay whole. An empty table gives no
+    an id do not remove each other (they are told apart by 16 bits of a hash of the text). Texts shorter than ``width`` stay whole. An empty table gives no
     rows; other columns are ignored. A task's memory follows its longest text.
     """
-    spans = repeated_spans(docs, id_col, text_col, width)
+    spark = docs.sparkSession
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     order = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
-    rows = docs.select(order.alias("doc"), row_keys(id_col, text)[0].alias("row"), text.alias("text"))
-    joined = rows.join(spans, ["doc", "row"], "left").select("doc", "text", "spans.start", "spans.end")
+    tag = F.xxhash64(text).bitwiseAND(F.lit(0xFFFF)).cast("int")
+    rows = docs.select(order.alias("doc"), tag.alias("tag"), text.alias("text"))
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = min(1 << 20, max(1, -(-total // BUCKET_BYTES)))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def by_bucket(sent: DataFrame) -> DataFrame:
+        return sent.repartition(parts, "bucket").sortWithinPartitions("bucket")
+
+    fields = "bucket long, blob binary, doc long, seed long"
+    seeds = by_bucket(rows.mapInArrow(_seeds(width, buckets), fields)).mapInArrow(_twice, fields)
+    seeds = seeds.groupBy("doc").agg(F.collect_list("seed").alias("seeds"))
+    fields = "bucket long, blob binary, doc long, tag long, start long, end long"
+    sent = rows.join(seeds, "doc", "left").where("seeds IS NOT NULL").select("doc", "tag", "text", "seeds")
+    spans = by_bucket(sent.mapInArrow(_ship(width, buckets), fields)).mapInArrow(_match(width), fields)
+    spans = spans.groupBy("doc").agg(F.collect_list(F.struct("tag", "start", "end")).alias("spans"))
+    joined = rows.join(spans, "doc", "left")
+    mine = F.filter("spans", lambda x: x["tag"] == F.col("tag")).alias("spans")
+    joined = joined.select("doc", "text", mine).select("doc", "text", "spans.start", "spans.end")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
