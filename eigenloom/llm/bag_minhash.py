@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import as_table, scratch_path
-from .block_naming import row_keys
+from .block_naming import columns_of, row_keys, whole_row
 from .texts import BASE, mix, prefix_sums, slices, span_hashes, utf8, words
 
 SHINGLE = 5
@@ -301,5 +301,5 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """One row of each group, all columns: the one with the smallest id. Repeated rows stay once."""
     kept = near_groups(docs, id_col, text_col).where("kept").select(F.col("row").alias("_row")).distinct()
     key = row_keys(id_col, F.coalesce(F.col(text_col).cast("string"), F.lit("")))[0]
-    keyed = docs.withColumn("_row", key).join(kept, "_row", "left_semi")
-    return keyed.dropDuplicates(["_row"]).select(*docs.columns)
+    keyed = docs.select(whole_row(docs), key.alias("_row")).join(kept, "_row", "left_semi")
+    return keyed.dropDuplicates(["_row"]).select(*columns_of(docs))

@@ -16,6 +16,15 @@ def row_keys(id_col: str, text: Column) -> tuple[Column, Column]:
     return F.xxhash64(F.col(id_col), text), F.xxhash64(text, F.lit(7))
 
 
+def whole_row(docs: DataFrame) -> Column:
+    """All columns as one, so that names made here cannot clash with the table's own."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc")
+
+
+def columns_of(docs: DataFrame) -> list[Column]:
+    return [F.col("_doc").getField(c).alias(c) for c in docs.columns]
+
+
 def name_by_sorting(rows: DataFrame, columns: list[str], total: int) -> DataFrame:
     """Add ``name``: an integer that two rows share if and only if they agree in ``columns``.
 
@@ -126,5 +135,6 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """The rows of ``docs``, all columns, whose text no row with a larger id has. Repeated rows stay once."""
     kept = exact_groups(docs, id_col, text_col).where("kept").select("_a", "_b")
     a, b = row_keys(id_col, F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    keyed = docs.withColumns({"_a": a, "_b": b})
-    return keyed.join(kept, ["_a", "_b"], "left_semi").dropDuplicates(["_a", "_b"]).select(*docs.columns)
+    keyed = docs.select(whole_row(docs), a.alias("_a"), b.alias("_b"))
+    one = keyed.join(kept, ["_a", "_b"], "left_semi").dropDuplicates(["_a", "_b"])
+    return one.select(*columns_of(docs))

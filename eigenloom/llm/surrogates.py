@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F, Window
 
 from ..session import as_table, scratch_path
-from .block_naming import row_keys
+from .block_naming import columns_of, row_keys, whole_row
 
 # Titles that give away a gender, made-up given names and syllables by script, alphabets.
 TITLES_F = ("Mrs", "Ms", "Miss", "Frau", "Señora", "Madame", "Mme", "Госпожа", "Κυρία")
@@ -44,7 +44,7 @@ KINDS = {
     "ip": rf"(?<![\p{{L}}\p{{N}}.])(?:{OCTET}\.){{3}}{OCTET}(?![\p{{L}}\p{{N}}]|\.[0-9])",
     "ssn": r"(?<![\p{L}\p{N}-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{L}\p{N}-])",
     "card": r"(?<![\p{L}\p{N}.-])[0-9](?:[ -]?[0-9]){12,18}(?![\p{L}\p{N}-])",
-    "name": rf"\b{TITLE} \p{{Lu}}[\p{{L}}'’-]+(?: \p{{Lu}}[\p{{L}}'’-]+)?",
+    "name": rf"\b{TITLE} \p{{Lu}}\p{{Ll}}[\p{{L}}'’-]*(?: \p{{Lu}}\p{{Ll}}[\p{{L}}'’-]*)?",
 }
 ENTITY = "|".join(f"(?:{p})" for p in KINDS.values())
 # Every entity holds one of these: texts without are left alone at the cost of one quick search.
@@ -230,14 +230,14 @@ def replace_personal_data(
     mapping = spelled.select("form", whole.alias("new"))
     uses = seen.dropDuplicates([key_col]).select(key_col, F.posexplode("forms").alias("at", "form"))
     uses = uses.join(mapping, "form").groupBy(key_col).agg(F.sort_array(F.collect_list(F.struct("at", "new"))).alias("_new"))
-    joined = docs.withColumn(key_col, row).join(uses, key_col, "left")
+    joined = docs.select(whole_row(docs), row.alias(key_col)).join(uses, key_col, "left")
+    text = F.col("_doc").getField(text_col).cast("string")
     between = F.split(text, ENTITY, -1)
     news = F.concat(F.col("_new")["new"], F.array(F.lit("")))
     rebuilt = F.array_join(F.zip_with(between, news, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
     replaced = F.when(F.col("_new").isNotNull(), rebuilt).otherwise(text)
     if out_col is None:
-        kept = [replaced.alias(c) if c == text_col else F.col(c) for c in docs.columns]
-        return joined.select(*kept)
-    count = F.coalesce(F.size("_new"), F.lit(0))
-    count = F.when(count < 0, 0).otherwise(count).cast("long").alias("n_entities")
-    return joined.select(*docs.columns, replaced.alias(out_col), count)
+        own = [replaced.alias(c) if c == text_col else x for c, x in zip(docs.columns, columns_of(docs))]
+        return joined.select(*own)
+    count = F.greatest(F.coalesce(F.size("_new"), F.lit(0)), F.lit(0)).cast("long").alias("n_entities")
+    return joined.select(*columns_of(docs), replaced.alias(out_col), count)
