@@ -177,11 +177,12 @@ def canonical(forms: DataFrame) -> DataFrame:
 def written_like(form: Column, new: Column) -> Column:
     """``new`` in the writing of ``form``: its letters and digits in the form's places and case."""
     letters = F.regexp_replace(new, r"[^\p{L}\p{N}]", "")
+    capitals = (F.upper(form) == form) & (F.lower(form) != form)
     start = F.struct(F.lit("").alias("out"), F.lit(1).alias("at"))
 
     def step(done: Column, ch: Column) -> Column:
         mine = F.substring(letters, done["at"], F.lit(1))
-        mine = F.when(ch.rlike(r"\p{Lu}"), F.upper(mine)).otherwise(mine)
+        mine = F.when(capitals | ch.rlike(r"\p{Lu}"), F.upper(mine)).otherwise(mine)
         is_letter = ch.rlike(LETTER)
         out = F.concat(done["out"], F.when(is_letter, mine).otherwise(ch))
         return F.struct(out.alias("out"), (done["at"] + is_letter.cast("int")).alias("at"))

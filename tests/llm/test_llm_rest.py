@@ -1,0 +1,151 @@
+import hashlib
+import re
+import zlib
+from collections import defaultdict
+
+import numpy as np
+import public_tokenizers
+import pytest
+from eigenloom.llm import surrogates
+from eigenloom.llm.quartile_digest import digests, edited, fingerprint_documents, from_hex, likeness, to_hex
+from eigenloom.llm.surrogates import assign_surrogates, replace_personal_data
+from eigenloom.llm.window_packing import OpenWindows, pack_documents
+from odd_rows import ODD
+from tokenizers import Tokenizer
+
+WORDS = str(public_tokenizers.path("word_bpe_49k.json"))
+
+
+def ids_of(text):
+    return np.array(Tokenizer.from_file(WORDS).encode(text or "", add_special_tokens=False).ids + [1], np.uint32)
+
+
+def check_packing(pieces, rows, window=2048):
+    place, whole = defaultdict(list), defaultdict(list)
+    for p in pieces:
+        assert 0 < p.length <= window
+        place[p.sequence_id].append((p.offset, p.length))
+        whole[p.doc_id].append((p.start, bytes(p.ids)))
+        assert zlib.crc32(p.ids) == p.ids_crc32
+    for spans in place.values():
+        at = 0
+        for offset, length in sorted(spans):
+            assert offset == at
+            at += length
+        assert at <= window
+    got = defaultdict(int)
+    for parts in whole.values():
+        got[b"".join(raw for _, raw in sorted(parts))] += 1
+    wanted = defaultdict(int)
+    for _, text in rows:
+        wanted[ids_of(text).tobytes()] += 1
+    return place, got, wanted
+
+
+def test_packing_is_whole(table):
+    texts = ["It's a token: don't <|endoftext|> x</w>y", "ÉCOLE Straße ΣΑΣ İx", "a  b c\r\nd\te", "x" * 9000, "", "1234!!! ..."]
+    rows = [(k, t * (k % 4 + 1)) for k, t in enumerate(texts * 9)]
+    place, got, wanted = check_packing(pack_documents(table(rows), WORDS).collect(), rows)
+    assert got == wanted
+
+
+def test_packing_odd_rows(odd, empty):
+    pieces = pack_documents(odd, WORDS).collect()
+    for p in pieces:
+        assert zlib.crc32(p.ids) == p.ids_crc32
+    assert sum(p.length for p in pieces) == sum(len(ids_of(t)) for _, t in ODD)
+    assert pack_documents(empty, WORDS).count() == 0
+
+
+def test_little_padding(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    pieces = pack_documents(docs, WORDS, ids=False).collect()
+    windows = len({p.sequence_id for p in pieces})
+    assert sum(p.length for p in pieces) > 0.98 * 2048 * windows
+
+
+def test_open_windows_choose_best():
+    w = OpenWindows(10, 2, 0)
+    assert w.put(6) == (0, 0, []) and w.put(7) == (1, 0, [])
+    assert w.put(3) == (1, 7, [1]) and w.put(4) == (0, 6, [0])
+    assert w.put(8) == (2, 0, []) and w.put(5) == (3, 0, [])
+    assert w.put(9) == (4, 0, [2]) and w.put(10) == (5, 0, [5])
+
+
+def plain_fingerprints(rows):
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1] or ""))
+    out = []
+    for k, (i, t) in enumerate(order):
+        t, following = t or "", order[(k + 1) % len(order)][1] or ""
+        new = edited(t, following)
+        own, other, after = (digests([x.encode()]) for x in (t, new, following))
+        out.append((str(i), len(t), hashlib.sha256(new.encode()).hexdigest(), to_hex(own)[0], to_hex(other)[0], float(likeness(own, other)[0]), float(likeness(own, after)[0])))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("parts", [1, 5])
+def test_fingerprints(table, parts):
+    rows = [(7 * k % 101, f"text {k} " * (k % 9) + "é" * (k % 4)) for k in range(101)]
+    found = sorted((str(r[0]), *r[1:]) for r in fingerprint_documents(table(rows, parts=parts)).collect())
+    assert found == plain_fingerprints(rows)
+
+
+def test_fingerprints_odd_rows(odd, table, empty):
+    found = sorted((str(r[0]), *r[1:]) for r in fingerprint_documents(odd).collect())
+    assert found == plain_fingerprints(ODD)
+    assert fingerprint_documents(empty).count() == 0
+    assert fingerprint_documents(table([(1, "alone")])).first().near_next == 1.0
+
+
+def test_digest_forms():
+    some = digests([b"", b"ab", b"some longer text " * 9, b"other words altogether, of this length or that"])
+    assert (np.array([from_hex(x) for x in to_hex(some)]) == some).all()
+    assert likeness(some[2], some[2]) == 1.0 and 0 <= likeness(some[2], some[3]) < 1
+
+
+TEXTS = [
+    (1, 'Mrs. Anna Smith and Mr Smith: write to Anna.Smith@Mail.Example.com or +1 (640) 555-0953. token = "3dc91a32781def2fd668aa2fd071eacee1a19444"'),
+    (2, 'anna.smith@mail.example.com, ANNA.SMITH@MAIL.EXAMPLE.COM; +1 640-555-0953; 10.20.30.40; TOKEN = "3DC91A32781DEF2FD668AA2FD071EACEE1A19444"'),
+    (3, "card 4003 0364 2664 9762 or 4003036426649762, ssn 123-45-6789, DE89 3704 0044 0532 0130 00"),
+    (4, "Госпожа Анна Петрова, Κύριος Νίκος Παππάς"),
+    (5, "Licensed under the Apache License, Version 2.0. In 1999, 3.14 and 12 of 100 were a@b or 1.2.3."),
+]
+
+
+def test_surrogates_keep_format_and_identity(table):
+    out = {r.doc_id: r.text for r in replace_personal_data(table(TEXTS), "k").collect()}
+    old = dict(TEXTS)
+    assert out[5] == old[5]
+    mail = re.search(r"\S+@\S+com", out[1])[0]
+    assert mail[0].isupper() and mail.lower() != "anna.smith@mail.example.com" and mail.endswith(".com")
+    assert mail.lower() in out[2] and mail.upper() in out[2]
+    surname = re.search(r"Mr (\w+)", out[1])[1]
+    given = re.search(r"Mrs\. (\w+) " + surname, out[1])[1]
+    assert given in surrogates.GIVEN["f", "latin"] and surname != "Smith"
+    assert re.search(r"\+1 \(\d{3}\) \d{3}-\d{4}", out[1])
+    digits = lambda t: re.sub(r"\D", "", t)
+    assert digits(re.search(r"\+1 \(.{13}", out[1])[0]) == digits(re.search(r"\+1 \d.{11}", out[2])[0])
+    secret = re.search(r'"([0-9a-f]{40})"', out[1])[1]
+    assert secret.upper() in out[2] and secret not in old[1]
+    one, two = re.search(r"card (.{19}) or (\d{16})", out[3]).groups()
+    assert digits(one) == two != "4003036426649762"
+    assert re.search(r"[А-Я][а-я]+ [А-Я][а-я]+,", out[4]) and "Петрова" not in out[4] and "Παππάς" not in out[4]
+    again = {r.doc_id: r.text for r in replace_personal_data(table(TEXTS, parts=1), "k").collect()}
+    assert again == out
+    assert {r.doc_id: r.text for r in replace_personal_data(table(TEXTS), "other").collect()} != out
+
+
+def test_surrogates_are_distinct(spark):
+    """So many short values that draws clash and hit real values; all get one of their own in the end."""
+    values = [("secret", f"{k:06x}") for k in range(1500)] + [("given_f", f"Name{k}") for k in range(200)]
+    found = assign_surrogates(spark.createDataFrame(values, "kind string, value string"), "k").collect()
+    assert len(found) == len(values) == len({(r.kind, r.value) for r in found})
+    new = {(r.kind, r.new.lower()) for r in found}
+    assert len(new) == len(values) and not new & {(k, v.lower()) for k, v in values}
+
+
+def test_surrogates_odd_rows(odd, empty):
+    out = replace_personal_data(odd, "k")
+    assert out.columns == odd.columns
+    assert sorted(map(str, out.select("doc_id", "text").collect())) == sorted(map(str, odd.select("doc_id", "text").collect()))
+    assert replace_personal_data(empty, "k").count() == 0
