@@ -215,7 +215,9 @@ def remove_repeated_words(
     one_before = F.shiftrightunsigned(differ, 32) == 0
     one_after = differ.bitwiseAND(F.lit(0xFFFFFFFF)) == 0
     flags = F.lit(1) + F.when(one_before, 2).otherwise(0) + F.when(one_after, 4).otherwise(0)
+    # Written out, so that the join has an exchange of its own and can split a node that is everywhere.
     repeated = counts.where("n > 1").select("node", flags.cast("byte").alias("flags"))
+    repeated = as_table(repeated, scratch_path(spark, "nodes"))
     placed = texts.mapInArrow(_occurrences(width, True), "node long, row long, at int")
     marks = placed.join(repeated, "node").groupBy("row").agg(F.collect_list(F.struct("at", "flags")).alias("marks"))
     schema = (
@@ -229,6 +231,7 @@ def remove_repeated_words(
     found = as_table(found, scratch_path(spark, "spans"))
     every = found.where(touched).select("row", F.explode("spans").alias("span")).select("row", "span.*")
     twice = every.groupBy("h1", "h2", "n").agg(F.count("*").alias("times")).where("times > 1").drop("times")
+    twice = as_table(twice, scratch_path(spark, "twice"))
     span = F.struct("start", (F.col("start") + F.col("n")).alias("end")).alias("span")
     gone = every.join(twice, ["h1", "h2", "n"], "left_semi").select("row", span)
     gone = gone.groupBy("row").agg(F.collect_set("span").alias("gone"))
