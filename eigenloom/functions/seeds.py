@@ -90,8 +90,8 @@ def gaussian_seed(cols: DataFrame, width: int, seed: int = 0) -> DataFrame:
 
 
 def gaussian_vectors(cols: DataFrame, width: int, seed: int = 0) -> DataFrame:
-    """The same entries packed by column, without an exchange."""
-    vec = F.expr("array(" + ", ".join(_gaussian(str(j)) for j in range(width)) + ")")
+    """The same entries packed by column, without an exchange; the expression does not grow with the width."""
+    vec = F.expr(f"transform(sequence(0, {width - 1}), comp -> {_gaussian('comp')})")
     return _with_state(cols, seed).select("col_id", vec.alias("vec"))
 
 

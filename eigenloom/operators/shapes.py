@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.seeds import uniform
-from ..session import FACTOR_LIMIT_BYTES, SEGMENT_WIDTH
+from ..session import SEGMENT_WIDTH
 from .blocks import DENSE_CELLS, batch_rows
 
 ENTRIES = "row_id long, col_id int, value double"
@@ -34,6 +34,18 @@ def entries_from(df: DataFrame, row: str, col: str, value: str) -> DataFrame:
     )
 
 
+def has_far_cells(rows: DataFrame) -> bool:
+    """Whether some row goes on past the first segment; stops at the first one found."""
+    return "segment" in rows.columns and bool(rows.where("segment > 0").limit(1).count())
+
+
+def count_rows(matrix: DataFrame) -> int:
+    """Matrix rows present, those with zeros only included."""
+    if is_rows(matrix) and not has_far_cells(matrix):
+        return matrix.count()
+    return matrix.select("row_id").distinct().count()
+
+
 def first_segment(rows: DataFrame) -> DataFrame:
     """The cells of rows under SEGMENT_WIDTH: all of them, for a matrix that is no wider."""
     return rows.where("segment = 0") if "segment" in rows.columns else rows
@@ -69,14 +81,14 @@ def merge_entries(entries: DataFrame) -> DataFrame:
 def to_rows(entries: DataFrame, merged: bool = False) -> DataFrame:
     """Entries to sparse rows. A group is one row's segment: at most SEGMENT_WIDTH cells.
 
+    Zero cells are not stored, but a row of which only zeros are left is still a row, without cells.
     ``merged=True`` promises one entry per cell and saves a shuffle.
     """
     cells = entries if merged else merge_entries(entries)
-    cells = cells.where("value <> 0").withColumn(
-        "segment", F.floor(F.col("col_id") / SEGMENT_WIDTH).cast("int")
-    )
+    cells = cells.withColumn("segment", F.floor(F.col("col_id") / SEGMENT_WIDTH).cast("int"))
     cell = F.struct(F.col("col_id").cast("int").alias("col_id"), "value")
-    grouped = cells.groupBy("row_id", "segment").agg(F.sort_array(F.collect_list(cell)).alias("cells"))
+    stored = F.collect_list(F.when(F.col("value") != 0, cell))
+    grouped = cells.groupBy("row_id", "segment").agg(F.sort_array(stored).alias("cells"))
     return grouped.select(
         F.col("row_id").cast("long").alias("row_id"),
         "segment",
@@ -129,13 +141,11 @@ def sample_rows(matrix: DataFrame, rate: float, seed: int = 0) -> DataFrame:
 def dimensions(matrix: DataFrame) -> tuple[int, int]:
     """(rows present, largest column id + 1), from the id columns only."""
     if is_rows(matrix):
+        segment = F.max("segment") if "segment" in matrix.columns else F.lit(0)
         found = matrix.agg(
-            F.count(F.lit(1)).alias("n"),
-            F.max(F.array_max("indices")).alias("last"),
+            F.count(F.lit(1)).alias("n"), F.max(F.array_max("indices")).alias("last"), segment.alias("far")
         ).first()
-        n = found["n"]
-        if n and found["last"] is not None and found["last"] >= SEGMENT_WIDTH:
-            n = matrix.select("row_id").distinct().count()
+        n = found["n"] if not found["far"] else matrix.select("row_id").distinct().count()
     else:
         per_row = matrix.groupBy("row_id").agg(F.max("col_id").alias("last"))
         found = per_row.agg(F.count(F.lit(1)).alias("n"), F.max("last").alias("last")).first()
@@ -143,31 +153,49 @@ def dimensions(matrix: DataFrame) -> tuple[int, int]:
     return n, 0 if found["last"] is None else found["last"] + 1
 
 
+def every_segment(rows: DataFrame, n_cols: int) -> DataFrame:
+    """Every segment under ``n_cols`` of every row present, with or without cells."""
+    last = (n_cols - 1) // SEGMENT_WIDTH
+    rows = rows.select(F.col("row_id").cast("long").alias("row_id"), "segment", "indices", "values")
+    every = rows.select("row_id").distinct()
+    every = every.select("row_id", F.explode(F.sequence(F.lit(0), F.lit(last))).alias("segment"))
+    return every.join(rows, ["row_id", "segment"], "left")
+
+
 def center_rows(rows: DataFrame, mu: np.ndarray) -> DataFrame:
     """Every cell of every present row minus its column mean, as entries.
 
-    The result is dense by nature. Wide or huge matrices are centred implicitly instead, inside the
-    products; this operator is for matrices whose rows are short enough to write out.
+    The result is dense by nature, one segment of a row after the other. Wide or huge matrices are
+    centred implicitly instead, inside the products; this operator is for matrices that are to be
+    written out.
     """
     n_cols = len(mu)
-    if n_cols * 8 > FACTOR_LIMIT_BYTES:
-        raise ValueError("too many columns to write rows out in full; use the implicit centring")
-    columns = np.arange(n_cols, dtype=np.int32)
-    at_once = max(1, DENSE_CELLS // max(n_cols, 1))
+    if n_cols > SEGMENT_WIDTH or has_far_cells(rows):
+        rows = every_segment(rows, n_cols)
+    else:
+        rows = rows.select(F.col("row_id").cast("long"), F.lit(0).alias("segment"), "indices", "values")
+    held = rows.sparkSession.sparkContext.broadcast(np.ascontiguousarray(mu, dtype=np.float64))
 
     def job(batches):
         for batch in batches:
-            ids = batch.column("row_id").to_numpy(zero_copy_only=False)
-            for start, part in batch_rows(batch).below(n_cols).chunks(at_once):
-                full = part.dense(n_cols) - mu
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.repeat(ids[start : start + len(part)], n_cols)),
-                        pa.array(np.tile(columns, len(part))),
-                        pa.array(full.ravel()),
-                    ],
-                    names=["row_id", "col_id", "value"],
-                )
-
-    rows = first_segment(rows).select(F.col("row_id").cast("long"), "indices", "values")
+            segments = batch.column("segment").to_numpy(zero_copy_only=False)
+            for segment in np.unique(segments):
+                some = batch.filter(pa.array(segments == segment))
+                first = int(segment) * SEGMENT_WIDTH
+                mean = held.value[first : first + SEGMENT_WIDTH]
+                columns = np.arange(first, first + len(mean), dtype=np.int32)
+                ids = some.column("row_id").to_numpy(zero_copy_only=False)
+                block = batch_rows(some)
+                block.index = block.index - first
+                for start, part in block.below(len(mean)).chunks(max(1, DENSE_CELLS // len(mean))):
+                    full = part.dense(len(mean)) - mean
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(np.repeat(ids[start : start + len(part)], len(mean))),
+                            pa.array(np.tile(columns, len(part))),
+                            pa.array(full.ravel()),
+                        ],
+                        names=["row_id", "col_id", "value"],
+                    )
+
     return rows.mapInArrow(job, ENTRIES)

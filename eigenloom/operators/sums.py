@@ -15,24 +15,28 @@ from .blocks import batch_rows
 from .shapes import as_entries, first_segment, is_rows, merge_entries, to_entries
 
 
-def _per_column(matrix: DataFrame, value: Column) -> DataFrame:
-    return as_entries(matrix).groupBy("col_id").agg(F.sum(value).alias("value"))
+def _per_column(matrix: DataFrame, value: Column, n_cols: int | None = None) -> DataFrame:
+    cells = as_entries(matrix)
+    if n_cols is not None:
+        cells = cells.where(F.col("col_id") < n_cols)
+    return cells.groupBy("col_id").agg(F.sum(value).alias("value"))
 
 
 def column_sums(matrix: DataFrame, n_cols: int | None = None) -> DataFrame:
-    """(col_id, value): the sum of each column with stored cells.
+    """(col_id, value): the sum of each column with stored cells, also where they add up to 0.
 
     Sparse rows of a known, bounded width are summed inside each task before anything is exchanged.
     """
     if not is_rows(matrix) or n_cols is None or n_cols > SEGMENT_WIDTH:
-        return _per_column(matrix, F.col("value"))
+        return _per_column(matrix, F.col("value"), n_cols)
 
     def job(batches):
-        total = np.zeros(n_cols)
+        total, seen = np.zeros(n_cols), np.zeros(n_cols, dtype=bool)
         for batch in batches:
             for _, part in batch_rows(batch).pieces(n_cols):
                 total += np.bincount(part.index, weights=part.value, minlength=n_cols)
-        col = np.flatnonzero(total)
+                seen[part.index] = True
+        col = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays(
             [pa.array(col.astype(np.int32)), pa.array(total[col])], names=["col_id", "value"]
         )

@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame, functions as F
 from .blocks import batch_vectors
 from .products import vector_batch
 
+# R's that one task of a merge holds.
+FAN_IN = 32
+
 PARTS = "bucket int, i int, vec array<double>"
 
 
@@ -24,13 +27,13 @@ def r_batch(r: np.ndarray, bucket: int):
     return vector_batch(["bucket", "i"], [np.full_like(order, bucket), order], r)
 
 
-def task_r(blocks, width: int, buckets: int):
-    """Fold an iterator of (n, width) arrays into one R and emit it under this task's bucket."""
+def task_r(blocks, width: int, fan_in: int):
+    """Fold an iterator of (n, width) arrays into one R and emit it for its group of ``fan_in`` tasks."""
     r = np.zeros((0, width))
     for block in blocks:
         r = fold_r(r, block)
     if len(r):
-        yield r_batch(r, TaskContext.get().partitionId() % buckets)
+        yield r_batch(r, TaskContext.get().partitionId() // fan_in)
 
 
 def merge_r(parts: DataFrame, width: int) -> DataFrame:
@@ -45,23 +48,28 @@ def merge_r(parts: DataFrame, width: int) -> DataFrame:
     return parts.groupBy("bucket").applyInArrow(job, PARTS)
 
 
-def tree_r(parts: DataFrame, width: int, buckets: int) -> DataFrame:
-    """Merge buckets in two levels down to a single R (bucket 0).
+def tree_r(parts: DataFrame, width: int, fan_in: int = FAN_IN) -> DataFrame:
+    """Merge the R's of groups level by level down to a single R (bucket 0).
 
-    The last level sees at most ``buckets`` x ``width`` rows, whatever the number of tasks.
+    A group holds at most ``fan_in`` x ``width`` rows whatever the number of tasks; the number of levels
+    is its logarithm, from the bound that the plan of the scores gives.
     """
+    if fan_in < 2:
+        raise ValueError("a merge needs a fan-in of at least 2")
+    groups = -(-parts.rdd.getNumPartitions() // fan_in)
     merged = merge_r(parts, width)
-    if buckets == 1:
-        return merged
-    return merge_r(merged.withColumn("bucket", F.lit(0)), width)
+    while groups > 1:
+        merged = merge_r(merged.withColumn("bucket", F.expr(f"bucket div {fan_in}").cast("int")), width)
+        groups = -(-groups // fan_in)
+    return merged
 
 
-def tsqr_r(scores: DataFrame, zm: np.ndarray, buckets: int = 64) -> DataFrame:
+def tsqr_r(scores: DataFrame, zm: np.ndarray, fan_in: int = FAN_IN) -> DataFrame:
     """(i, vec) rows of R with R'R = (Z - 1 zm)'(Z - 1 zm)."""
     width = len(zm)
 
     def job(batches):
-        yield from task_r((batch_vectors(b, width) - zm for b in batches), width, buckets)
+        yield from task_r((batch_vectors(b, width) - zm for b in batches), width, fan_in)
 
     parts = scores.select("vec").mapInArrow(job, PARTS)
-    return tree_r(parts, width, buckets)
+    return tree_r(parts, width, fan_in)

@@ -11,13 +11,14 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..operators.blocks import DENSE_CELLS, batch_rows
 from ..operators.products import vector_batch
-from ..operators.shapes import first_segment, is_rows, to_rows
+from ..operators.shapes import cap_columns, count_rows, first_segment, is_rows, to_rows
 from ..operators.sums import total_variation
+from ..session import as_table, drop_path, scratch_path
 from .pca import Fit, checked_k
 from .spaces import column_signs, declared, factor_table
 
-# Spark's PCA holds a columns x columns covariance on the driver.
-MAX_COLUMNS = 8192
+# Spark's PCA holds a columns x columns covariance, 8 bytes a number, on the driver.
+COVARIANCE_BYTES = 512 << 20
 
 
 def dense_vectors(rows: DataFrame, n_cols: int) -> DataFrame:
@@ -32,19 +33,33 @@ def dense_vectors(rows: DataFrame, n_cols: int) -> DataFrame:
 
 
 def exact_pca(
-    matrix: DataFrame, k: int, n_rows: int | None = None, n_cols: int | None = None
+    matrix: DataFrame,
+    k: int,
+    n_rows: int | None = None,
+    n_cols: int | None = None,
+    covariance_bytes: int = COVARIANCE_BYTES,
 ) -> Fit:
-    """The k leading components from the full covariance matrix; few columns only."""
+    """The k leading components from the full covariance matrix; few columns only.
+
+    ``covariance_bytes`` bounds that matrix: the default lets 8,192 columns in.
+    """
     began = time.perf_counter()
     n_rows, n_cols = declared(matrix, n_rows, n_cols)
-    if n_cols > MAX_COLUMNS:
-        raise ValueError(f"an exact fit holds the full covariance: at most {MAX_COLUMNS} columns")
+    if n_cols * n_cols * 8 > covariance_bytes:
+        raise ValueError(f"the covariance of {n_cols} columns takes more than {covariance_bytes} bytes")
     k = checked_k(k, n_cols)
-    rows = first_segment(matrix if is_rows(matrix) else to_rows(matrix))
-    vectors = dense_vectors(rows, n_cols)
-    present = rows.count()
+    spark, path = matrix.sparkSession, None
+    present = count_rows(matrix)
     n_rows = present if n_rows is None else n_rows
-    absent = n_rows - present
+    if present > n_rows:
+        raise ValueError(f"n_rows={n_rows}, but the matrix holds {present} rows")
+    rows = cap_columns(matrix, n_cols)
+    if not is_rows(matrix):
+        path = scratch_path(spark, "rows")
+        rows = as_table(to_rows(rows), path)
+    rows = first_segment(rows)
+    vectors = dense_vectors(rows, n_cols)
+    absent = n_rows - rows.count()
     if absent > 0:
         zero = F.array_repeat(F.lit(0.0), n_cols)
         vectors = vectors.unionByName(matrix.sparkSession.range(absent).select(zero.alias("vec")))
@@ -54,5 +69,7 @@ def exact_pca(
     spread = total_variation(rows, n_rows).first()["value"]
     sigma = np.sqrt(np.maximum(model.explainedVariance.toArray(), 0.0) * spread)
     loadings = model.pc.toArray()
-    components = factor_table(matrix.sparkSession, loadings * column_signs(loadings))
+    components = factor_table(spark, loadings * column_signs(loadings))
+    if path is not None:
+        drop_path(spark, path)
     return Fit(components, sigma, n_rows, n_cols, 1, [], 0.0, [time.perf_counter() - began])

@@ -19,8 +19,17 @@ from ..functions.seeds import column_range, gaussian_seed, gaussian_vectors
 from ..functions.vectors import numbers, pack, sum_vectors, unpack
 from ..operators import products, tsqr
 from ..operators.blocks import batch_rows, batch_vectors
-from ..operators.shapes import as_entries, dimensions, first_segment, is_rows, merge_entries, to_rows
-from ..operators.sums import column_means, column_sums, score_sums
+from ..operators.shapes import (
+    as_entries,
+    count_rows,
+    dimensions,
+    first_segment,
+    has_far_cells,
+    is_rows,
+    merge_entries,
+    to_rows,
+)
+from ..operators.sums import column_means, column_sums
 from ..operators.products import vector_batch
 from ..operators.skew import hot_keys
 from ..session import FACTOR_LIMIT_BYTES, as_table, drop_path, fits_broadcast, scratch_path
@@ -39,6 +48,9 @@ ROUND_OFF = 1e-14
 # every squared score norm is left; a mean that outweighs the spread is taken off before summing.
 CENTRE_AFTER = 1e-3
 
+# Singular values that spread more than this take a second round of orthogonalization.
+SPREAD = 1e-4
+
 # Entries this close to the largest one, relative to it, count as equally large.
 TIE = 1e-9
 
@@ -54,8 +66,9 @@ def opened(
     partitions: int | None = None,
 ):
     """A space for sketches of up to the given width: local when the factor passes the size check."""
-    if fits_broadcast(n_cols, min(width, n_cols), limit):
-        space = LocalSpace(matrix, n_rows, n_cols, cache, partitions)
+    width = min(width, n_cols)
+    if fits_broadcast(n_cols, width, limit):
+        space = LocalSpace(matrix, n_rows, n_cols, cache, partitions, 8 * n_cols * width)
     else:
         space = TableSpace(matrix, n_rows, n_cols)
     try:
@@ -81,17 +94,19 @@ def declared(
     return n_rows, n_cols
 
 
-def task_bound(rows: DataFrame) -> int | None:
-    """A number of scan tasks that keeps every core busy; each one sends a factor-sized sum.
+def planned_bytes(rows: DataFrame) -> int:
+    """Bytes the optimizer expects a plan to read: for files, their size; else often a huge guess."""
+    return int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
 
-    Under dynamic allocation the cores are those of the most executors allowed; left open without one.
+def scan_tasks(size: int, factor_bytes: int) -> int:
+    """At most so many scan tasks for ``size`` bytes of rows; each one sends a sum as large as the factor.
+
+    A task reads four times the factor or 128 MB, whichever is more, and never more than 1 GB: so what is
+    exchanged stays below a quarter of what is read, and no task is too large to be run again. The
+    cores of the moment have no say.
     """
-    context = rows.sparkSession.sparkContext
-    conf = context.getConf()
-    if conf.get("spark.dynamicAllocation.enabled", "false") != "true":
-        return 4 * context.defaultParallelism
-    executors = conf.get("spark.dynamicAllocation.maxExecutors", None)
-    return 4 * int(executors) * int(conf.get("spark.executor.cores", "1")) if executors else None
+    return max(1, -(-size // min(max(4 * factor_bytes, 128 << 20), 1 << 30)))
 
 
 def factor_table(spark: SparkSession, factor: np.ndarray) -> DataFrame:
@@ -122,18 +137,30 @@ class LocalSpace:
         n_cols: int,
         cache: bool = False,
         partitions: int | None = None,
+        factor_bytes: int = FACTOR_LIMIT_BYTES,
     ):
         self.spark, self.n_rows, self.n_cols = matrix.sparkSession, n_rows, n_cols
         self.path = None
         if not is_rows(matrix):
+            # A row that has cells beyond the last column only is a row all the same.
+            inside = F.col("col_id") < n_cols
+            matrix = matrix.withColumns(
+                {"col_id": F.when(inside, F.col("col_id")).otherwise(0), "value": F.when(inside, F.col("value")).otherwise(0.0)}
+            )
             self.path = scratch_path(self.spark, "rows")
             matrix = as_table(to_rows(matrix), self.path)
+        elif has_far_cells(matrix):
+            near, found = first_segment(matrix), count_rows(matrix)
+            if n_rows is not None and found > n_rows:
+                raise ValueError(f"n_rows={n_rows}, but the matrix holds {found} rows")
+            self.n_rows = found if n_rows is None else n_rows
+            matrix = near
         self.rows = first_segment(matrix).select("indices", "values")
-        tasks = task_bound(matrix)
         if partitions:
             self.rows = self.rows.repartition(partitions)
-        elif tasks:
-            self.rows = self.rows.coalesce(tasks)
+        else:
+            tasks = scan_tasks(planned_bytes(self.rows), factor_bytes)
+            self.rows = self.rows.coalesce(min(tasks, (1 << 31) - 1))
         self.cached = self.rows.persist() if cache else None
         self.means = None
 
@@ -240,7 +267,7 @@ class LocalSpace:
         excess = z_gram[-1, :-1] - absent * zm
         return y_cross[:, :-1] - np.outer(self.means, excess), centred
 
-    def stack_r(self, factor: np.ndarray, buckets: int = 64) -> np.ndarray:
+    def stack_r(self, factor: np.ndarray, fan_in: int = tsqr.FAN_IN) -> np.ndarray:
         """R of the QR factorisation of Zc, absent rows included.
 
         With a column of ones ahead of Z, what is left of R below its first row belongs to Z less its
@@ -255,10 +282,10 @@ class LocalSpace:
                     yield np.hstack([np.ones((len(part), 1)), part.times(held.value)])
 
         def job(batches):
-            yield from tsqr.task_r(blocks(batches), width + 1, buckets)
+            yield from tsqr.task_r(blocks(batches), width + 1, fan_in)
 
         parts = self.rows.mapInArrow(job, tsqr.PARTS)
-        r = small_rows(tsqr.tree_r(parts, width + 1, buckets), "i", width + 1)
+        r = small_rows(tsqr.tree_r(parts, width + 1, fan_in), "i", width + 1)
         held.destroy()
         absent = self.absent(round(r[0, 0] ** 2) if len(r) else 0)
         return add_absent(r, absent, np.eye(1, width + 1)[0])[1:, 1:]
@@ -303,9 +330,12 @@ class TableSpace:
         cells = cells.where((F.col("col_id") < n_cols) & (F.col("value") != 0)).select(
             F.col("row_id").cast("long"), F.col("col_id").cast("int"), "value"
         )
-        self.entries, _ = self.stored(cells, "entries", self.base)
+        # Stored rows are read where they are. Entries, which need merging, are written once more, and so
+        # are rows whose ids could differ from job to job.
+        fixed = is_rows(matrix) and matrix._jdf.queryExecution().analyzed().deterministic()
+        self.entries = cells if fixed else self.stored(cells, "entries", self.base)[0]
         if n_rows is None:
-            n_rows = as_entries(matrix).select("row_id").distinct().count()
+            n_rows = count_rows(matrix)
         self.n_rows = n_rows
         self.means, _ = self.stored(column_means(self.entries, n_rows, n_cols), "means", self.base)
         self.hot_rows = hot_keys(self.entries, "row_id")
@@ -347,37 +377,45 @@ class TableSpace:
         """(col_id, comp, value) in a table of its own, which outlives the space."""
         return as_table(unpack(factor.df, "col_id"), scratch_path(self.spark, "components"))
 
-    def scores(self, factor: Factor) -> tuple[DataFrame, np.ndarray, int]:
-        """Stored scores, their declared mean, and the number of rows without a stored cell."""
+    def scores(self, factor: Factor) -> tuple[DataFrame, np.ndarray]:
+        """Stored scores and their declared mean."""
         # The factor outgrew the broadcast limit, or the caller said so: exchange, never broadcast.
         scores = products.project_rows(
             self.entries, factor.df, self.n_cols, factor.width, limit=0, hot=self.hot_columns
         )
         scores, _ = self.stored(scores, "scores", self.steps)
         zm = products.mean_times_matrix(self.means, factor.df, factor.width)
-        present = scores.count()
+        return scores, small_vector(zm, factor.width)
+
+    def absent(self, present: int) -> int:
         if present > self.n_rows:
             raise ValueError(f"n_rows={self.n_rows}, but the matrix holds {present} rows")
-        return scores, small_vector(zm, factor.width), self.n_rows - present
+        return self.n_rows - present
 
     def sketch(self, factor: Factor, gram: bool = True, cross: bool = True):
-        """(Yc'Zc, Zc'Zc) for Zc = Yc factor, by joins on the column id and then on the row id."""
-        scores, zm, absent = self.scores(factor)
+        """(Yc'Zc, Zc'Zc) for Zc = Yc factor, by joins on the column id and then on the row id.
+
+        One scan of the scores brings their number, sum and Gram matrix: those of the scores less their
+        mean, with a column of ones.
+        """
+        scores, zm = self.scores(factor)
+        ones = products.shifted(scores, zm).select(F.concat("vec", F.array(F.lit(1.0))).alias("vec"))
+        sums = small_rows(products.gram(ones, np.zeros(factor.width + 1)), "i", factor.width + 1)
+        absent = self.absent(round(sums[-1, -1]) if len(sums) else 0)
         z_gram = y_cross = None
         if gram:
-            z_gram = small_rows(products.gram(scores, zm), "i", factor.width)
-            z_gram += absent * np.outer(zm, zm)
+            z_gram = sums[:-1, :-1] + absent * np.outer(zm, zm)
         if cross:
-            centred = score_sums(products.shifted(scores, zm), factor.width)
-            excess = small_vector(centred, factor.width) - absent * zm
+            excess = sums[-1, :-1] - absent * zm
             table = products.cross_product(self.entries, scores, zm, self.hot_rows)
             table = products.mean_correction(table, self.means, excess)
             y_cross = self.stored_factor(table, factor.width)
         return y_cross, z_gram
 
-    def stack_r(self, factor: Factor, buckets: int = 64) -> np.ndarray:
-        scores, zm, absent = self.scores(factor)
-        r = small_rows(tsqr.tsqr_r(scores, zm, buckets), "i", factor.width)
+    def stack_r(self, factor: Factor, fan_in: int = tsqr.FAN_IN) -> np.ndarray:
+        scores, zm = self.scores(factor)
+        absent = self.absent(scores.count())
+        r = small_rows(tsqr.tsqr_r(scores, zm, fan_in), "i", factor.width)
         return add_absent(r, absent, zm)
 
     def times(self, factor: Factor, small: np.ndarray) -> Factor:
@@ -430,15 +468,27 @@ class TableSpace:
         return np.where(small_vector(top, factor.width) < 0, -1.0, 1.0)
 
     def svd(self, factor: Factor) -> tuple[Factor, np.ndarray]:
-        """Left singular vectors and values from the small Gram matrix of the factor."""
-        power, w = np.linalg.eigh(
-            small_rows(products.gram(factor.df, np.zeros(factor.width)), "i", factor.width)
-        )
-        power, w = power[::-1], w[:, ::-1]
-        keep = power > RANK_TOLERANCE * max(power[0], 0.0)
-        sigma = np.sqrt(power[keep])
-        u = self.times(factor, w[:, keep] / sigma)
-        return self.stored_factor(u.df, u.width), sigma
+        """Left singular vectors and values, from the R of the factor: its condition is not squared.
+
+        Where the values spread widely, dividing by small ones costs orthogonality; a second round
+        restores it.
+        """
+        u, sigma = self.turned(factor)
+        if len(sigma) and sigma[-1] < SPREAD * sigma[0]:
+            again, second = self.turned(u, keep_order=True)
+            return again, sigma[: len(second)]
+        return u, sigma
+
+    def turned(self, factor: Factor, keep_order: bool = False) -> tuple[Factor, np.ndarray]:
+        r = small_rows(tsqr.tsqr_r(factor.df, np.zeros(factor.width)), "i", factor.width)
+        left, sigma, w = np.linalg.svd(r, full_matrices=False)
+        keep = sigma > RANK_TOLERANCE * max(sigma.max(initial=0.0), 0.0)
+        turn = w[keep].T / sigma[keep]
+        if keep_order:
+            # Close to a rotation: turn back, so that each vector stays the one of its value.
+            turn = turn @ w[keep]
+        u = self.times(factor, turn)
+        return self.stored_factor(u.df, u.width), sigma[keep]
 
 
 def partial_batch(part: int, i, vectors: np.ndarray) -> pa.RecordBatch:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..operators.shapes import is_rows, merge_entries, to_entries, to_rows
+from ..operators.shapes import has_far_cells, is_rows, merge_entries, to_entries, to_rows
 
 FORMATS = ("DENSE", "LIL", "COO", "PARQUET")
 
@@ -23,14 +23,24 @@ def factor_entries(factor: DataFrame) -> DataFrame:
 
 
 def _rows_of(matrix: DataFrame, n_rows: int | None) -> DataFrame:
-    """Sparse rows under the name ``i``; with ``n_rows`` also the rows without a stored cell."""
+    """Whole sparse rows under the name ``i``; with ``n_rows`` also the rows without a stored cell.
+
+    The segments of a row are put together in column order. A row id outside ``n_rows`` is an error.
+    """
     rows = (matrix if is_rows(matrix) else to_rows(matrix)).withColumnRenamed("row_id", "i")
+    if not is_rows(matrix) or has_far_cells(rows):
+        part = F.sort_array(F.collect_list(F.struct("segment", "indices", "values"))).alias("part")
+        rows = rows.groupBy("i").agg(part).select(
+            "i", F.flatten("part.indices").alias("indices"), F.flatten("part.values").alias("values")
+        )
     rows = rows.select("i", "indices", "values")
     if n_rows is None:
         return rows
+    outside = F.raise_error(F.concat_ws(" ", F.lit(f"n_rows={n_rows}, but there is a row"), "i"))
+    rows = rows.withColumn("i", F.when((F.col("i") < 0) | (F.col("i") >= n_rows), outside).otherwise(F.col("i")))
     every = matrix.sparkSession.range(n_rows).withColumnRenamed("id", "i")
     none_i, none_x = F.array().cast("array<int>"), F.array().cast("array<double>")
-    return every.join(rows, "i", "left").select(
+    return every.join(rows, "i", "full_outer").select(
         "i", F.coalesce("indices", none_i).alias("indices"), F.coalesce("values", none_x).alias("values")
     )
 
@@ -46,6 +56,8 @@ def dense_lines(matrix: DataFrame, n_cols: int, n_rows: int | None = None) -> Da
     )
     cells = F.array_sort(F.concat(stored, empty))
     texts = F.transform("cells", lambda c: F.concat(c["v"].cast("string"), F.lit(" ")))
+    beyond = F.raise_error(F.concat_ws(" ", F.lit(f"n_cols={n_cols}, but there is a column"), F.array_max("indices")))
+    cells = F.when(F.array_max("indices") >= n_cols, beyond).otherwise(cells)
     rows = _rows_of(matrix, n_rows).select("i", cells.alias("cells"))
     return rows.select("i", F.array_join(texts, "").alias("line"))
 

@@ -29,7 +29,8 @@ def _block_bound(lines: DataFrame) -> int:
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(row_id, value): the non-blank lines, counted from 0 over all files in path order.
+    """(row_id, value): the non-blank lines, counted from 0 over all files in the order of
+    their paths, part files in the order of their number.
 
     Lines are numbered inside their file block by read order; a block's first number comes from a
     running total of line counts, first over the blocks of a file, then over the files. The windows
@@ -43,7 +44,9 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     )
     before = (Window.unboundedPreceding, -1)
     in_file = Window.partitionBy("file").orderBy("block").rowsBetween(*before)
-    over_files = Window.orderBy("file").rowsBetween(*before)
+    # Part files in the order of their number, which outgrows its five digits; one row per file.
+    number = F.regexp_extract("file", r"part-(\d+)[^/]*$", 1).try_cast("long")
+    over_files = Window.orderBy(F.regexp_replace("file", r"[^/]*$", ""), number, "file").rowsBetween(*before)
     files = blocks.groupBy("file").agg(F.sum("n").alias("lines"))
     files = files.select("file", F.coalesce(F.sum("lines").over(over_files), F.lit(0)).alias("at"))
     inside = F.coalesce(F.sum("n").over(in_file), F.lit(0))
@@ -75,7 +78,7 @@ def read_dense_text(spark: SparkSession, path: str, malformed: str = "fail") ->
     """Whitespace-separated numbers, one matrix row per line, as sparse rows (zeros dropped)."""
     _checked(malformed)
     lines = numbered_lines(spark, path)
-    rows = _dense_cells(lines, F.split(F.trim("value"), r"\s+"), malformed)
+    rows = _dense_cells(lines, _dense_parts(), malformed)
     cells = F.filter(
         F.transform("values", lambda x, i: F.struct(i.alias("i"), x.alias("x"))),
         lambda cell: cell["x"] != 0,
@@ -88,6 +91,16 @@ def read_dense_text(spark: SparkSession, path: str, malformed: str = "fail") ->
     )
 
 
+def _coo_cells(spark: SparkSession, path: str) -> DataFrame:
+    """Lines as row_id, col_id, value; ``bad`` where one of them is missing or the line is no such triple."""
+    schema = "row_id long, col_id int, value double, text string"
+    lines = spark.read.schema(schema).csv(path, mode="PERMISSIVE", columnNameOfCorruptRecord="text")
+    bad = F.col("text").isNotNull()
+    for column in ("row_id", "col_id", "value"):
+        bad = bad | F.col(column).isNull()
+    return lines.withColumn("bad", bad)
+
+
 def read_coo_text(
     spark: SparkSession,
     path: str,
@@ -106,10 +119,15 @@ def read_coo_text(
     _checked(malformed)
     if on_duplicate not in ON_DUPLICATE:
         raise ValueError(f"on_duplicate must be one of {ON_DUPLICATE}")
-    mode = "FAILFAST" if malformed == "fail" else "DROPMALFORMED"
-    lines = spark.read.schema("row_id long, col_id int, value double").csv(path, mode=mode)
+    lines = _coo_cells(spark, path)
     if on_duplicate == "last":
         lines = _located(lines)
+    if malformed == "drop":
+        lines = lines.where(~F.col("bad"))
+    else:
+        said = F.raise_error(F.concat_ws(" ", F.lit("not row,col,value:"), "text", "row_id", "col_id", "value"))
+        lines = lines.withColumn("row_id", F.when(F.col("bad"), said.cast("long")).otherwise(F.col("row_id")))
+    lines = lines.drop("bad", "text")
     if max_col is not None:
         lines = limit_columns(lines, max_col)
     below = F.concat_ws(" ", F.lit("column id below the base:"), "col_id")
@@ -137,22 +155,29 @@ def read_components(spark: SparkSession, path: str, malformed: str = "fail") ->
     """Lines ``[v0,v1,...]``, one per matrix column, as (col_id, comp, value)."""
     _checked(malformed)
     lines = numbered_lines(spark, path)
-    parts = F.split(F.regexp_replace("value", r"[\[\]\s]", ""), ",")
-    rows = _dense_cells(lines, parts, malformed)
+    rows = _dense_cells(lines, _component_parts(), malformed)
     return rows.select(
         F.col("row_id").cast("int").alias("col_id"), F.posexplode("values").alias("comp", "value")
     )
 
 
 def rejected_lines(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    """One row ``n``: how many lines of a ``dense``, ``coo`` or ``components`` file would be dropped."""
-    lines = spark.read.text(path).where(F.trim("value") != "")
-    number = r"[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?"
-    whole = {
-        "dense": rf"^\s*{number}(\s+{number})*\s*$",
-        "coo": rf"^\s*[+-]?\d+\s*,\s*[+-]?\d+\s*,\s*{number}\s*$",
-        "components": rf"^\s*\[\s*{number}(\s*,\s*{number})*\s*\]\s*$",
-    }
-    if kind not in whole:
-        raise ValueError(f"kind must be one of {sorted(whole)}")
-    return lines.where(~F.col("value").rlike(whole[kind])).agg(F.count(F.lit(1)).alias("n"))
+    """One row ``n``: how many lines of a ``dense``, ``coo`` or ``components`` file the reader would drop."""
+    if kind == "coo":
+        bad = _coo_cells(spark, path).where("bad")
+    elif kind in ("dense", "components"):
+        lines = spark.read.text(path).where(F.trim("value") != "").select(F.lit(0).alias("row_id"), "value")
+        parts = _dense_parts() if kind == "dense" else _component_parts()
+        cells = lines.select(F.transform(parts, lambda t: _as_double(t, "drop")).alias("values"))
+        bad = cells.where(F.exists("values", lambda x: x.isNull()))
+    else:
+        raise ValueError("kind must be one of ['coo', 'components', 'dense']")
+    return bad.agg(F.count(F.lit(1)).alias("n"))
+
+
+def _dense_parts() -> Column:
+    return F.split(F.trim("value"), r"\s+")
+
+
+def _component_parts() -> Column:
+    return F.split(F.regexp_replace("value", r"[\[\]\s]", ""), ",")

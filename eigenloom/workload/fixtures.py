@@ -57,6 +57,20 @@ def supp_brand(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entries_from(joined, "l_suppkey", "brand", "l_quantity")
 
 
+def order_brand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantity by order and part brand; orders without items have no cell."""
+    items = load(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("p_partkey"), "l_orderkey", "l_quantity")
+    brand = F.substring_index("p_brand", "#", -1).cast("int") - 1
+    parts = load(spark, sf_dir, "part").select("p_partkey", brand.alias("brand"))
+    return entries_from(salted_join(items, parts, "p_partkey", "l_orderkey"), "l_orderkey", "brand", "l_quantity")
+
+
+def order_line_tax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tax by order and line number, many cells of which are zero."""
+    items = load(spark, sf_dir, "lineitem").withColumn("line", F.col("l_linenumber") - 1)
+    return entries_from(items, "l_orderkey", "line", "l_tax")
+
+
 def part_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "part").select(F.col("p_partkey").cast("int").alias("col_id"))
 

@@ -63,6 +63,17 @@ q AS (SELECT l_suppkey AS r, CAST(substr(p_brand, 7) AS BIGINT) - 1 AS c, sum(l_
 l AS (SELECT a.r, b.c, coalesce(v, 0) AS v FROM (SELECT DISTINCT r FROM q) a
       CROSS JOIN (SELECT unnest(range(25)) AS c) b LEFT JOIN q ON q.r = a.r AND q.c = b.c)
 """
+ORDER_BRAND = """
+q AS (SELECT l_orderkey AS r, CAST(substr(p_brand, 7) AS BIGINT) - 1 AS c, sum(l_quantity) AS v
+      FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2),
+l AS (SELECT a.r, b.c, coalesce(v, 0) AS v FROM (SELECT o_orderkey AS r FROM orders) a
+      CROSS JOIN (SELECT unnest(range(25)) AS c) b LEFT JOIN q ON q.r = a.r AND q.c = b.c)
+"""
+ORDER_LINE_TAX = """
+q AS (SELECT l_orderkey AS r, CAST(l_linenumber AS BIGINT) - 1 AS c, sum(l_tax) AS v FROM lineitem GROUP BY 1, 2),
+l AS (SELECT a.r, b.c, coalesce(v, 0) AS v FROM (SELECT DISTINCT r FROM q) a
+      CROSS JOIN (SELECT unnest(range(7)) AS c) b LEFT JOIN q ON q.r = a.r AND q.c = b.c)
+"""
 EMBEDDING_CELLS = """
 l AS (SELECT vec_id AS r, generate_subscripts(embedding, 1) - 1 AS c,
              CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings)
@@ -268,3 +279,18 @@ FROM part, (SELECT unnest(range(4)) AS j)""",
     "exact_pca": loadings(),
     "randomized_pca": loadings(),
 }
+ORACLE |= {
+    "coo_text_drop": """
+        SELECT CAST(l_orderkey AS BIGINT) AS row_id, CAST(l_partkey AS BIGINT) AS col_id,
+               round(sum(l_quantity), 6) AS value
+        FROM lineitem WHERE l_linenumber NOT IN (2, 3, 4) GROUP BY 1, 2
+    """,
+    "sketch_pca_sparse_brand": sigmas(ORDER_BRAND, 25, 800, 3),
+    "sketch_pca_zero_rows": power(ORDER_LINE_TAX, 7, 400, 2) + """
+        SELECT CAST(comp AS BIGINT) AS comp, round(sigma, 3) AS sigma, round(sigma, 3) AS sigma_tables FROM top
+    """,
+    "sketch_pca_two_pass_tables": ORACLE["sketch_pca_two_pass"],
+    "sketch_pca_tsqr_tables": ORACLE["sketch_pca_tsqr"],
+    "kth_singular_value_tables": ORACLE["kth_singular_value"],
+    "residual_norm_tables": ORACLE["residual_norm"],
+}

@@ -51,7 +51,7 @@ from .. import (
     write_matrix_rows,
 )
 from ..functions.vectors import sum_vectors
-from ..plans.spaces import LocalSpace, factor_table, small_vector
+from ..plans.spaces import factor_table, opened, small_vector
 from ..session import FACTOR_LIMIT_BYTES, scratch_path
 from ..sources.text import numbered_lines
 from . import fixtures as fx
@@ -106,6 +106,16 @@ def coo_text_last(spark, sf):
     return out(read_coo_text(spark, _coo_files(spark, sf, True), base=1, on_duplicate="last"), 6)
 
 
+def coo_text_drop(spark, sf):
+    """Some lines lack a field: they go, the others stay."""
+    path = scratch_path(spark, "coo")
+    items = fx.load(spark, sf, "lineitem")
+    fields = [F.col(c).cast("string") for c in ("l_orderkey", "l_partkey", "l_quantity")]
+    short = [F.when(F.col("l_linenumber") == k + 2, "").otherwise(field) for k, field in enumerate(fields)]
+    items.select(F.concat_ws(",", *short).alias("value")).write.text(path)
+    return out(read_coo_text(spark, path, malformed="drop"), 6)
+
+
 def components_ingest(spark, sf):
     path = scratch_path(spark, "components")
     write_components_text(validation_seed(fx.part_columns(spark, sf), WIDTH), path, WIDTH)
@@ -309,12 +319,9 @@ def corrected_cross_product(spark, sf):
 def _one_scan(spark, sf, which, places):
     n_rows, n_cols = fx.order_part_dims(spark, sf)
     factor = validation_seed(fx.part_columns(spark, sf), WIDTH)
-    space = LocalSpace(fx.order_part(spark, sf), n_rows, n_cols)
-    try:
+    with opened(fx.order_part(spark, sf), WIDTH, n_rows, n_cols) as space:
         found = space.sketch(space.load(factor, WIDTH))[which]
-    finally:
-        space.close()
-    cells = factor_table(spark, found)
+        cells = factor_table(spark, found) if isinstance(found, np.ndarray) else space.table(found)
     return out(cells.select(F.col("col_id").alias("i"), F.col("comp").alias("j"), "value"), places)
 
 
@@ -417,6 +424,40 @@ def pca_sparse(spark, sf):
     return _sigma(sketch_pca(fx.order_part(spark, sf), 3, max_iter=4, n_rows=n_rows, n_cols=n_cols))
 
 
+def pca_sparse_brand(spark, sf):
+    """Orders by brand, in full width: orders without items are declared and absent."""
+    n_rows, _ = fx.order_part_dims(spark, sf)
+    options = {"oversample": 22, "max_iter": 1, "n_rows": n_rows, "n_cols": 25}
+    return _sigma(sketch_pca(fx.order_brand(spark, sf), 3, **options))
+
+
+def pca_zero_rows(spark, sf):
+    """Orders by line number, tax: orders without tax hold zeros only and are rows all the same."""
+    matrix = fx.order_line_tax(spark, sf)
+    options = {"oversample": 5, "max_iter": 1, "n_cols": 7}
+    local, tables = (_sigma(sketch_pca(matrix, 2, limit=limit, **options)) for limit in (FACTOR_LIMIT_BYTES, 0))
+    return local.join(tables.withColumnRenamed("sigma", "sigma_tables"), "comp")
+
+
+def pca_two_pass_tables(spark, sf):
+    return _loadings(sketch_pca_two_pass(fx.lineitem5(spark, sf), 2, oversample=2, max_iter=3, limit=0))
+
+
+def pca_tsqr_tables(spark, sf):
+    return _loadings(sketch_pca_tsqr(fx.lineitem5(spark, sf), 2, oversample=2, max_iter=3, limit=0))
+
+
+def singular_value_tables(spark, sf):
+    value = kth_singular_value(fx.lineitem5(spark, sf), 3, limit=0)
+    return out(spark.createDataFrame([(float(value),)], "sigma double"), 3)
+
+
+def residual_norm_tables(spark, sf):
+    rows = fx.lineitem5(spark, sf)
+    fit = sketch_pca(rows, 2, oversample=2, max_iter=3)
+    return number(spark, residual_spectral_norm(rows, fit.components, 2, limit=0), 3)
+
+
 def singular_value(spark, sf):
     value = kth_singular_value(fx.lineitem5(spark, sf), 3)
     return out(spark.createDataFrame([(float(value),)], "sigma double"), 3)
@@ -462,6 +503,7 @@ QUERIES = {
     "dense_text_ingest": dense_text_ingest,
     "coo_text_ingest": coo_text_ingest,
     "coo_text_last": coo_text_last,
+    "coo_text_drop": coo_text_drop,
     "components_ingest": components_ingest,
     "matrix_scan": matrix_scan,
     "write_dense": write_dense,
@@ -506,6 +548,12 @@ QUERIES = {
     "sketch_pca_tables": pca_joined_tables,
     "sketch_pca_embeddings": pca_embeddings,
     "sketch_pca_sparse": pca_sparse,
+    "sketch_pca_sparse_brand": pca_sparse_brand,
+    "sketch_pca_zero_rows": pca_zero_rows,
+    "sketch_pca_two_pass_tables": pca_two_pass_tables,
+    "sketch_pca_tsqr_tables": pca_tsqr_tables,
+    "kth_singular_value_tables": singular_value_tables,
+    "residual_norm_tables": residual_norm_tables,
     "kth_singular_value": singular_value,
     "residual_norm": residual_norm,
     "relative_error": relative_error,

@@ -58,7 +58,8 @@ def test_repeated_entries_add_up(spark):
     assert np.allclose(array_of(el.to_entries(rows), A.shape), 2 * A)
     assert rows.count() == A.any(axis=1).sum()
     gone = entries_of(spark, A).unionByName(entries_of(spark, -A))
-    assert el.to_rows(gone).count() == 0
+    left = el.to_rows(gone)
+    assert left.count() == rows.count() and left.where(F.size("indices") > 0).count() == 0
 
 
 def test_filters(spark):
@@ -132,8 +133,8 @@ def test_products(spark):
     assert np.allclose(vectors_of(fixed, "col_id", (9, 3)), (A - A.mean(axis=0)).T @ (z - zm))
     zc = z[present] - zm
     assert np.allclose(vectors_of(el.gram(scores, zm), "i", (3, 3)), zc.T @ zc)
-    for buckets in (1, 3):
-        r = vectors_of(el.tsqr_r(scores.repartition(5), zm, buckets), "i", (3, 3))
+    for fan_in in (2, 3):
+        r = vectors_of(el.tsqr_r(scores.repartition(9), zm, fan_in), "i", (3, 3))
         assert np.allclose(r.T @ r, zc.T @ zc) and np.allclose(r, np.triu(r)) and (np.diag(r) >= 0).all()
 
 
@@ -152,8 +153,6 @@ def test_centered_rows(spark):
     mu = A.mean(axis=0)
     wanted = np.where(A.any(axis=1)[:, None], A - mu, 0)
     assert np.allclose(array_of(el.center_rows(rows, mu), A.shape), wanted)
-    with pytest.raises(ValueError):
-        el.center_rows(rows, np.zeros(9 << 20))
 
 
 def test_block_kernels():
