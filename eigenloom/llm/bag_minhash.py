@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import as_table, scratch_path
 from .block_naming import columns_of, row_keys, whole_row
@@ -219,10 +219,12 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     buckets, one for each of 24 bands of four signature values: of pairs at 0.8, four in a million meet
     in none. What meets is verified on the whole bags.
 
-    A bucket does not emit its pairs. In each of three rounds all of its classes are held against one
-    centre, the same in all its buckets, and what is near is joined; buckets that lie within one group
-    are done, and a centre is not compared again. Pairs of a bucket that are still in different groups
-    after that are all verified, so no link is lost to the bound on rounds.
+    A bucket does not emit its pairs. Classes that share less than 0.8 of their weight with all others
+    together are near none and leave first, twice. Then, in each of three rounds, all classes of a bucket
+    are held against one centre, the one with the largest share in common with others, and what is near
+    is joined; buckets that lie within one group are done, and a centre is not compared again. Pairs of a
+    bucket that are still in different groups after that are all verified unless their weights or what
+    they share at most rule them out, so no link is lost to the bound on rounds.
 
     Returns doc_id, class_id (smallest id of the group), group_size, kept (the row of that id) and the
     row key ``row``.
@@ -243,8 +245,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
     entries = classes.select("class", "row", "weight", F.explode("bands").alias("bucket"))
     shared = entries.groupBy("bucket").agg(F.min("class").alias("lo"), F.max("class").alias("hi"))
-    shared = shared.where("lo <> hi").select("bucket")
-    entries = as_table(entries.join(shared, "bucket"), scratch_path(spark, "entries"))
+    shared = as_table(shared.where("lo <> hi").select("bucket"), scratch_path(spark, "shared"))
+    entries = as_table(entries.join(shared, "bucket", "left_semi"), scratch_path(spark, "entries"))
     wanted = entries.select("class", "row").distinct()
     texts = rows.select("row", "text").join(wanted, "row").dropDuplicates(["row"]).select("class", "text")
     every = texts.mapInArrow(_bag, "class long, items array<long>, counts array<int>")
@@ -256,27 +258,57 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         pairs = pairs.join(one, "a").join(two, "b").select("a", "b", "x", "n", "y", "m")
         return pairs.mapInArrow(_verify, "a long, b long")
 
-    def could_be(w: str, v: str):
-        return (F.least(w, v) * NEAR[1] >= F.greatest(w, v) * NEAR[0])
-
-    open_ = entries.select("bucket", "class", "weight", F.col("class").alias("label"))
+    def several(some: DataFrame) -> DataFrame:
+        """Entries of buckets that hold more than one class."""
+        kinds = some.groupBy("bucket").agg(F.min("class").alias("lo"), F.max("class").alias("hi"))
+        kinds = as_table(kinds.where("lo <> hi").select("bucket"), scratch_path(spark, "several"))
+        return some.join(kinds, "bucket", "left_semi")
+
+    def peeled(some: DataFrame, own: DataFrame) -> DataFrame:
+        """Entries with ``shared``: the weight of the class in shingles that another class here has too.
+
+        Two bags have no more than that in common, so a class of which less than 0.8 is shared is near none.
+        """
+        cells = own.select("class", F.explode(F.arrays_zip("items", "counts")).alias("x"))
+        cells = cells.select("class", F.col("x.items").alias("item"), F.col("x.counts").alias("n"))
+        twice = cells.groupBy("item").agg(F.count("*").alias("classes")).where("classes > 1").select("item")
+        twice = as_table(twice, scratch_path(spark, "twice"))
+        shared = cells.join(twice, "item", "left_semi").groupBy("class").agg(F.sum("n").alias("shared"))
+        shared = as_table(shared, scratch_path(spark, "shared"))
+        joined = some.join(shared, "class").where(F.col("shared") * NEAR[1] >= F.col("weight") * NEAR[0])
+        return as_table(several(joined), scratch_path(spark, "open"))
+
+    def could_be_near() -> Column:
+        """What two classes have in common is at most what either shares with any; their weights bound it too."""
+        common = F.least("shared", "s")
+        lighter, heavier = F.least("weight", "w"), F.greatest("weight", "w")
+        fits = common * (NEAR[0] + NEAR[1]) >= (F.col("weight") + F.col("w")) * NEAR[0]
+        return fits & (lighter * NEAR[1] >= heavier * NEAR[0])
+
+    open_ = peeled(entries.select("bucket", "class", "weight"), every)
+    left = every.join(open_.select("class").distinct(), "class", "left_semi")
+    open_ = peeled(open_.drop("shared"), left)
+    open_ = open_.withColumn("label", F.col("class"))
     edges, labels = None, None
     for turn in range(CENTRE_ROUNDS + 1):
-        if turn < CENTRE_ROUNDS:
-            centre = open_.groupBy("bucket").agg(F.min(F.struct("class", "weight", "label")).alias("c"))
-            centre = centre.select("bucket", "c.*").toDF("bucket", "a", "w", "l")
-        else:
-            centre = open_.toDF("bucket", "a", "w", "l")
-        pairs = open_.join(centre, "bucket").where(
-            (F.col("label") != F.col("l")) & (F.col("a") < F.col("class")) & could_be("weight", "w")
+        if not open_.limit(1).count():
+            break
+        last = turn == CENTRE_ROUNDS
+        order = F.struct((-F.col("shared") / F.col("weight")).alias("rank"), "class", "weight", "shared", "label")
+        centre = open_ if last else open_.groupBy("bucket").agg(F.min(order).alias("c")).select("bucket", "c.*")
+        centre = centre.select(
+            "bucket", F.col("class").alias("a"), F.col("weight").alias("w"), F.col("shared").alias("s"), F.col("label").alias("l")
         )
-        pairs = pairs.select("a", F.col("class").alias("b")).distinct()
-        path = scratch_path(spark, "near")
-        found = as_table(verified(pairs), path)
-        if turn == CENTRE_ROUNDS or found.limit(1).count():
+        if not last:
+            centre = as_table(centre, scratch_path(spark, "centre"))
+        pairs = open_.join(centre, "bucket").where((F.col("label") != F.col("l")) & could_be_near())
+        if last:
+            pairs = pairs.where("a < class")
+        found = as_table(verified(pairs.select("a", F.col("class").alias("b")).distinct()), scratch_path(spark, "near"))
+        if found.limit(1).count():
             edges = found if edges is None else edges.unionByName(found)
             labels = connected(edges)
-        if turn < CENTRE_ROUNDS:
+        if not last:
             rest = open_.join(centre.select("bucket", "a"), "bucket").where("class <> a").drop("label", "a")
             if labels is None:
                 rest = rest.withColumn("label", F.col("class"))
@@ -284,10 +316,9 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 rest = rest.join(labels.withColumnRenamed("node", "class"), "class", "left")
                 rest = rest.withColumn("label", F.coalesce("label", "class"))
             mixed = rest.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
-            rest = rest.join(mixed.where("lo <> hi").select("bucket"), "bucket")
-            open_ = as_table(rest.select("bucket", "class", "weight", "label"), scratch_path(spark, "open"))
-            if not open_.limit(1).count():
-                break
+            mixed = as_table(mixed.where("lo <> hi").select("bucket"), scratch_path(spark, "mixed"))
+            rest = rest.join(mixed, "bucket", "left_semi")
+            open_ = as_table(rest.select(*open_.columns), scratch_path(spark, "open"))
     if labels is None:
         labels = spark.createDataFrame([], "node long, label long")
     member = signed.select("doc_id", "row", "class").join(labels.withColumnRenamed("node", "class"), "class", "left")
