@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.vectors import dot, numbers, sum_vectors
 from ..session import FACTOR_LIMIT_BYTES, SEGMENT_WIDTH, fits_broadcast
-from .blocks import batch_rows, batch_vectors
-from .shapes import as_entries, first_segment, is_rows, merge_entries
+from .blocks import DENSE_CELLS, batch_rows, batch_vectors
+from .shapes import ENTRIES, as_entries, first_segment, is_rows, merge_entries, to_rows
 from .skew import HotKeys, salted_join
 
 SCORES = "row_id long, vec array<double>"
@@ -85,19 +85,47 @@ def mean_times_matrix(means: DataFrame, factor: DataFrame, width: int) -> DataFr
     return total.select(F.posexplode("vec").alias("comp", "value"))
 
 
+def _cells(ids: np.ndarray, first: int, block: np.ndarray) -> pa.RecordBatch:
+    """A dense block of whole rows as entries, its columns counted from ``first``."""
+    n, width = block.shape
+    columns = np.arange(first, first + width, dtype=np.int32)
+    arrays = [pa.array(np.repeat(ids, width)), pa.array(np.tile(columns, n)), pa.array(block.ravel())]
+    return pa.RecordBatch.from_arrays(arrays, names=["row_id", "col_id", "value"])
+
+
+def _small(factor: DataFrame, means: DataFrame | None, n_cols: int, width: int):
+    """A factor below the size limit and the column means as arrays; without means, zeros."""
+    mean = np.zeros(n_cols)
+    if means is not None:
+        table = means.where(F.col("col_id") < n_cols).select("col_id", "value").toArrow()
+        mean[table["col_id"].to_numpy()] = table["value"].to_numpy()
+    return factor_array(factor.where(F.col("col_id") < n_cols), n_cols, width), mean
+
+
 def reconstruct_rows(
     scores: DataFrame, factor: DataFrame, n_cols: int, width: int, means: DataFrame | None = None
 ) -> DataFrame:
     """X V' (+ column means) as entries; dense in every row of X, as the product is.
 
-    Each score row meets every column through an equi-join on the column id; a factor below the
-    size limit is broadcast, so that the scores do not move.
+    A factor below the size limit is held by every task: rows are written out where they are, block by
+    block of columns, without an exchange. A larger one meets the rows through a join on the column id.
     """
+    if fits_broadcast(n_cols, width + 1):
+        held = scores.sparkSession.sparkContext.broadcast(_small(factor, means, n_cols, width))
+
+        def job(batches):
+            factor, mean = held.value
+            step = max(1, DENSE_CELLS // n_cols)
+            for batch in batches:
+                ids = batch.column("row_id").to_numpy(zero_copy_only=False)
+                z = batch_vectors(batch, width)
+                for i in range(0, len(ids), step):
+                    yield _cells(ids[i : i + step], 0, z[i : i + step] @ factor.T + mean)
+
+        return scores.select(F.col("row_id").cast("long"), "vec").mapInArrow(job, ENTRIES)
     right = factor.where(F.col("col_id") < n_cols).withColumnRenamed("vec", "loading")
     if means is not None:
         right = right.join(means.withColumnRenamed("value", "mean"), "col_id")
-    if fits_broadcast(n_cols, width + 1):
-        right = F.broadcast(right)
     blocks = F.explode(F.sequence(F.lit(0), F.lit((n_cols - 1) // SEGMENT_WIDTH))).alias("block")
     first = F.col("block") * SEGMENT_WIDTH
     last = F.least(first + SEGMENT_WIDTH, F.lit(n_cols)) - 1
@@ -120,7 +148,13 @@ def row_residual(
     width: int,
     means: DataFrame | None = None,
 ) -> DataFrame:
-    """X V' - Y - means as entries: signed parts of both sides, summed per cell in one exchange."""
+    """X V' - Y - means as entries.
+
+    With a factor below the size limit the scores meet the sparse rows, one of each, and the difference is
+    taken inside the task. Else the signed parts of both sides are summed per cell in one exchange.
+    """
+    if fits_broadcast(n_cols, width + 1):
+        return _residual_blocks(scores, factor, matrix, n_cols, width, means)
     rebuilt = reconstruct_rows(scores, factor, n_cols, width)
     if means is not None:
         bias = means.where(F.col("col_id") < n_cols).withColumnRenamed("value", "mean")
@@ -132,6 +166,34 @@ def row_residual(
     return merge_entries(rebuilt.unionByName(stored))
 
 
+def _residual_blocks(scores, factor, matrix, n_cols: int, width: int, means) -> DataFrame:
+    held = scores.sparkSession.sparkContext.broadcast(_small(factor, means, n_cols, width))
+    near = matrix if is_rows(matrix) else to_rows(matrix.where(F.col("col_id") < n_cols))
+    near = first_segment(near).select(F.col("row_id").cast("long"), "indices", "values")
+    joined = scores.select(F.col("row_id").cast("long"), "vec").join(near, "row_id", "full_outer")
+    has = F.col("vec").isNotNull().alias("has")
+    vec = F.coalesce("vec", F.array_repeat(F.lit(0.0), width)).alias("vec")
+
+    def job(batches):
+        factor, mean = held.value
+        for batch in batches:
+            ids = batch.column("row_id").to_numpy(zero_copy_only=False)
+            has, z = batch.column("has").to_numpy(zero_copy_only=False), batch_vectors(batch, width)
+            for i, part in batch_rows(batch).below(n_cols).chunks(max(1, DENSE_CELLS // n_cols)):
+                own, some = has[i : i + len(part)], ids[i : i + len(part)]
+                full = z[i : i + len(part)] @ factor.T - mean - part.dense(n_cols)
+                yield _cells(some[own], 0, full[own])
+                # Rows without scores have their stored cells only.
+                cell = ~own[part.row_of()]
+                arrays = [some[part.row_of()[cell]], part.index[cell].astype(np.int32), -part.value[cell]]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=["row_id", "col_id", "value"])
+
+    inside = joined.select("row_id", vec, has, "indices", "values").mapInArrow(job, ENTRIES)
+    beyond = as_entries(matrix).where(F.col("col_id") >= n_cols)
+    beyond = merge_entries(beyond.select(F.col("row_id").cast("long"), F.col("col_id").cast("int"), (-F.col("value")).alias("value")))
+    return inside.unionByName(beyond)
+
+
 def shifted(scores: DataFrame, zm: np.ndarray) -> DataFrame:
     """Scores less their mean."""
     return scores.withColumn("vec", F.zip_with("vec", numbers(zm), lambda x, m: x - m))

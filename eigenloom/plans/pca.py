@@ -25,6 +25,8 @@ class Fit:
     errors: list[float] = field(default_factory=list)
     preprocess_seconds: float = 0.0
     pass_seconds: list[float] = field(default_factory=list)
+    # Whether every measured number settled and, where an error was asked for, it came within the tolerance.
+    converged: bool = True
 
     @property
     def avg_pass_seconds(self) -> float:
@@ -120,6 +122,9 @@ def fit_in(
             norm = residual_norm_in(space, leading, replace(stop, seed=stop.seed + fit.passes))
             error = relative(norm, next_sigma)
             fit.errors.append(error)
+            fit.converged = norm.converged and getattr(next_sigma, "converged", True) and error <= tolerance
+    if next_sigma is not None and error > tolerance:
+        warnings.warn(f"the error is {error:.4g} after {fit.passes} passes; the tolerance is {tolerance}")
     if rank < k:
         warnings.warn(f"the centred matrix has rank {rank}; asked for {k} components")
     fit.components = space.table(space.times(leading, np.diag(space.signs(leading))))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import warnings
 from dataclasses import dataclass
 
 import numpy as np
@@ -43,7 +44,23 @@ class Stop:
     rtol: float | None = None
 
 
-def residual_norm_in(space, v, stop: Stop) -> float:
+class Measure(float):
+    """A number refined by passes; ``converged`` tells whether it settled before they ran out."""
+
+    converged: bool
+
+    def __new__(cls, value: float, converged: bool = True) -> Measure:
+        number = super().__new__(cls, value)
+        number.converged = converged
+        return number
+
+
+def unsettled(value: float, what: str, passes: int) -> Measure:
+    warnings.warn(f"{what} did not settle in {passes} passes; allow more of them with norm_iter")
+    return Measure(value, False)
+
+
+def residual_norm_in(space, v, stop: Stop) -> Measure:
     """Spectral norm of Yc (I - V V') by power passes on a sketch held orthogonal to V."""
     factor, norm = space.start(min(1 + stop.oversample, space.n_cols), stop.seed), 0.0
     for _ in range(stop.norm_iter):
@@ -51,19 +68,19 @@ def residual_norm_in(space, v, stop: Stop) -> float:
         y_cross, z_gram = space.sketch(factor)
         basis = whitener(z_gram)
         if not basis.shape[1]:
-            return 0.0
+            return Measure(0.0)
         left = space.times(y_cross, basis)
         left = space.less(left, v, space.inner(v, left))
         factor, sigma = space.svd(left)
         space.keep_only(v, factor)
         new = settled(float(sigma[0]), stop.decimals) if len(sigma) else 0.0
         if same(new, norm, stop.rtol):
-            return new
+            return Measure(new)
         norm = new
-    return norm
+    return unsettled(norm, "the residual norm", stop.norm_iter)
 
 
-def kth_in(space, k: int, stop: Stop) -> float:
+def kth_in(space, k: int, stop: Stop) -> Measure:
     """The k-th singular value of Yc; 0 beyond its rank."""
     factor, found = space.start(min(k + stop.oversample, space.n_cols), stop.seed), 0.0
     for _ in range(stop.norm_iter):
@@ -71,14 +88,14 @@ def kth_in(space, k: int, stop: Stop) -> float:
         y_cross, z_gram = space.sketch(factor)
         basis = whitener(z_gram)
         if not basis.shape[1]:
-            return 0.0
+            return Measure(0.0)
         factor, sigma = space.svd(space.times(y_cross, basis))
         space.keep_only(factor)
         new = settled(float(sigma[k - 1]), stop.decimals) if len(sigma) >= k else 0.0
         if same(new, found, stop.rtol):
-            return new
+            return Measure(new)
         found = new
-    return found
+    return unsettled(found, f"singular value {k}", stop.norm_iter)
 
 
 def loaded(space, components: DataFrame, k: int, orthonormalize: bool):
