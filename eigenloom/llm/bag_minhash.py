@@ -301,9 +301,15 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         )
         if not last:
             centre = as_table(centre, scratch_path(spark, "centre"))
-        pairs = open_.join(centre, "bucket").where((F.col("label") != F.col("l")) & could_be_near())
+        apart = (F.col("label") != F.col("l")) & could_be_near()
         if last:
-            pairs = pairs.where("a < class")
+            # A pair counts in the first of the buckets in which it meets only.
+            bands = classes.select("class", "bands")
+            centre = centre.join(bands.withColumnsRenamed({"class": "a", "bands": "others"}), "a")
+            first = F.array_min(F.array_intersect("bands", "others")) == F.col("bucket")
+            pairs = open_.join(bands, "class").join(centre, "bucket").where((F.col("a") < F.col("class")) & apart & first)
+        else:
+            pairs = open_.join(centre, "bucket").where(apart)
         found = as_table(verified(pairs.select("a", F.col("class").alias("b")).distinct()), scratch_path(spark, "near"))
         if found.limit(1).count():
             edges = found if edges is None else edges.unionByName(found)
