@@ -29,13 +29,17 @@ ALPHABETS = {
     "greek": "αβγδεζηθικλμνοπρστυφχψω",
 }
 
+# So many draws keep the make-up of a value. Later ones are longer, by one more character each time.
+TRIES = 6
+
 LETTER = r"[\p{L}\p{N}]"
 TITLE = "(?:" + "|".join(TITLES_F + TITLES_M) + r")\b\.?"
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 # Kind of entity and its pattern, in order of precedence. None matches the empty string.
 KINDS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)++",
-    "secret": r"(?<=(?i:token|secret|password|passwd|api.?key)[ ]{0,2}[=:][ ]{0,2}[\"'])[^\"'\s]{6,}(?=[\"'])"
+    "secret": r"(?<=(?i:token|secret|password|passwd|api.?key)[ ]{0,2}[=:][ ]{0,2}[\"'])"
+    r"(?=[^\"'\s]*[\p{L}\p{N}])[^\"'\s]{6,}(?=[\"'])"
     r"|\b(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9_-]{20,})\b"
     r"|(?<![\p{L}\p{N}])(?=[A-Fa-f]{0,63}[0-9])[0-9A-Fa-f]{32,64}(?![\p{L}\p{N}])",
     "iban": r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
@@ -81,13 +85,21 @@ def kind_of(form: Column) -> Column:
 
 
 def surrogate(kind: Column, value: Column, attempt: Column, key: str) -> Column:
-    """A value of the same kind and make-up, a function of key, kind, value and attempt alone."""
+    """A value of the same kind and make-up, a function of key, kind, value and attempt alone.
+
+    From attempt ``TRIES`` on, and from the first one on if nothing in the value can change, characters are
+    added (before e-mail addresses, behind the others): however full a make-up is, there is a free surrogate.
+    """
     seed = F.concat_ws("|", F.lit(key), kind, value, attempt.cast("string"))
     hexed = F.concat(*[F.sha2(F.concat(seed, F.lit(f"|{n}")), 256) for n in range(4)])
     keep = F.when(kind == "email", F.length(value) - F.instr(F.reverse(value), ".")).otherwise(F.length(value))
     skip = F.when(kind == "phone", F.instr(value, " ")).when(kind == "iban", F.lit(2)).otherwise(F.lit(0))
     hexadecimal = (kind == "secret") & value.rlike("^[0-9a-f]+$")
 
+    fixed = ~F.substring(value, skip + 1, keep - skip).rlike(LETTER)
+    added = F.when(fixed & ~kind.isin("ip", "given_f", "given_m", "surname"), attempt + 1)
+    added = added.otherwise(F.greatest(attempt + 1 - TRIES, F.lit(0)))
+
     def change(ch: Column, at: Column) -> Column:
         code = byte_at(hexed, at)
         letter = by_script(ch, lambda s: pick(tuple(ALPHABETS[s]), code))
@@ -96,7 +108,18 @@ def surrogate(kind: Column, value: Column, attempt: Column, key: str) -> Column:
         return F.when((at >= skip) & (at < keep), new).otherwise(ch)
 
     spelled = F.array_join(F.transform(F.split(value, ""), change), "")
-    octets = F.concat_ws(".", *[(byte_at(hexed, F.lit(n)) % 254 + 1).cast("string") for n in range(4)])
+
+    def further(n: Column) -> Column:
+        code = byte_at(hexed, 128 - n)
+        new = F.when(hexadecimal, pick(tuple("0123456789abcdef"), code))
+        new = new.when(kind.isin("phone", "iban", "ssn", "card"), pick(tuple("0123456789"), code))
+        new = new.otherwise(by_script(value, lambda s: pick(tuple(ALPHABETS[s]), code)))
+        return F.when(n > 0, new).otherwise("")
+
+    more = F.array_join(F.transform(F.sequence(F.lit(0), added), further), "")
+    spelled = F.when(kind == "email", F.concat(more, spelled)).otherwise(F.concat(spelled, more))
+    octets = F.transform(F.sequence(F.lit(0), added + 3), lambda n: (byte_at(hexed, n) % 254 + 1).cast("string"))
+    octets = F.array_join(octets, ".")
 
     def made_up(ending: str) -> Column:
         def make(script: str) -> Column:
@@ -174,11 +197,18 @@ def canonical(forms: DataFrame) -> DataFrame:
     return forms.select("form", F.posexplode(parts).alias("place", "part")).select("form", "place", "part.kind", "part.value")
 
 
-def written_like(form: Column, new: Column) -> Column:
-    """``new`` in the writing of ``form``: its letters and digits in the form's places and case."""
+def written_like(kind: Column, form: Column, new: Column) -> Column:
+    """``new`` in the writing of ``form``: its letters and digits in the form's places and case, added ones outside."""
     letters = F.regexp_replace(new, r"[^\p{L}\p{N}]", "")
     capitals = (F.upper(form) == form) & (F.lower(form) != form)
-    start = F.struct(F.lit("").alias("out"), F.lit(1).alias("at"))
+    added = F.greatest(F.length(letters) - F.length(F.regexp_replace(form, r"[^\p{L}\p{N}]", "")), F.lit(0))
+    before = F.when(kind == "email", added).otherwise(F.lit(0))
+
+    def cut(at: Column, n: Column) -> Column:
+        part = F.substring(letters, at, n)
+        return F.when(capitals, F.upper(part)).otherwise(part)
+
+    start = F.struct(cut(F.lit(1), before).alias("out"), (before + 1).alias("at"))
 
     def step(done: Column, ch: Column) -> Column:
         mine = F.substring(letters, done["at"], F.lit(1))
@@ -187,7 +217,8 @@ def written_like(form: Column, new: Column) -> Column:
         out = F.concat(done["out"], F.when(is_letter, mine).otherwise(ch))
         return F.struct(out.alias("out"), (done["at"] + is_letter.cast("int")).alias("at"))
 
-    return F.aggregate(F.split(form, ""), start, step)["out"]
+    behind = cut(F.length(letters) - added + 1, added)
+    return F.aggregate(F.split(form, ""), start, step, lambda x: F.concat(x["out"], F.when(before == 0, behind).otherwise("")))
 
 
 def replace_personal_data(
@@ -196,12 +227,13 @@ def replace_personal_data(
     """``docs`` with personal data in the text replaced, in all its columns and rows.
 
     Found are e-mail and IP addresses, phone, card, social security and bank account numbers, secrets
-    (quoted after a telling word, long hexadecimal strings, known shapes of keys) and names after a
-    title. A surrogate is a keyed hash of what the entity stands for, so the same entity has the same
+    (quoted after a telling word and with a letter or digit, long hexadecimal strings, known shapes of
+    keys) and names after a title. A surrogate is a keyed hash of what the entity stands for, so the same entity has the same
     surrogate wherever and however it is written; it has the kind, length, alphabet, case and separators
     of what it replaces, names the gender and script, addresses their last label, phones the country
     code. Surrogates of different entities differ and are no entity of the input: all drawn ones are
-    checked against each other and against those found.
+    checked against each other and against those found. A value for which draws of its length find
+    nothing free gets a longer surrogate.
 
     Only distinct forms are worked on. Texts cross the network once, to meet their own surrogates.
     With ``out_col`` the new text goes to a column of that name, and ``n_entities`` counts are added.
@@ -222,7 +254,7 @@ def replace_personal_data(
     new = assign_surrogates(parts.select("kind", "value"), key)
     parts = parts.join(new, ["kind", "value"])
     direct = F.col("kind").isin("ip", "given_f", "given_m", "surname")
-    spelled = F.when(direct, F.col("new")).otherwise(written_like(F.col("form"), F.col("new")))
+    spelled = F.when(direct, F.col("new")).otherwise(written_like(F.col("kind"), F.col("form"), F.col("new")))
     spelled = parts.select("form", F.struct("place", spelled.alias("new"), "kind").alias("part"))
     spelled = spelled.groupBy("form").agg(F.sort_array(F.collect_list("part")).alias("parts"))
     title = F.regexp_extract("form", f"^{TITLE} ", 0)

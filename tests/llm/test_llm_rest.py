@@ -1,7 +1,9 @@
 import hashlib
 import re
+import signal
 import zlib
 from collections import defaultdict
+from contextlib import contextmanager
 
 import numpy as np
 import public_tokenizers
@@ -144,6 +146,46 @@ def test_surrogates_are_distinct(spark):
     assert len(new) == len(values) and not new & {(k, v.lower()) for k, v in values}
 
 
+@contextmanager
+def within(seconds):
+    """Fail, and do not wait for ever, if the rounds do not end."""
+
+    def late(*_):
+        raise TimeoutError(f"not done in {seconds} seconds")
+
+    before = signal.signal(signal.SIGALRM, late)
+    signal.alarm(seconds)
+    try:
+        yield
+    finally:
+        signal.alarm(0)
+        signal.signal(signal.SIGALRM, before)
+
+
+def test_surrogates_where_nothing_can_change(table):
+    """Masked secrets are none; addresses without a letter to change get one."""
+    texts = [(1, """password = "********" token: '......' and secret="-a-b-c" """), (2, "_@-.com and _@-.COM.")]
+    with within(120):
+        out = {r.doc_id: r.text for r in replace_personal_data(table(texts), "k").collect()}
+    assert re.fullmatch(r"""password = "\*{8}" token: '\.{6}' and secret="-[a-z]-[a-z]-[a-z]" """, out[1]) and out[1] != texts[0][1]
+    small, large = re.fullmatch(r"([a-z])_@-\.com and ([A-Z])_@-\.COM\.", out[2]).groups()
+    assert small == large.lower()
+
+
+def test_surrogates_of_full_classes(spark, table):
+    """Every value of a make-up occurs: surrogates are longer, still distinct and none of the input."""
+    abc = surrogates.ALPHABETS["latin"]
+    forms = [f"{a}@{b}.com" for a in abc for b in abc]
+    codes = [f"{k}*****" for k in range(10)]
+    rows = list(enumerate(forms)) + [(1000 + k, f'token="{c}"') for k, c in enumerate(codes)]
+    with within(240):
+        out = {r.doc_id: r.text for r in replace_personal_data(table(rows, extra=False), "k").collect()}
+    mails, tokens = [out[k] for k in range(len(forms))], [out[1000 + k] for k in range(10)]
+    assert len(set(mails)) == len(mails) and not set(mails) & set(forms)
+    assert all(re.fullmatch(r"[a-z]{2,}@[a-z]\.com", m) for m in mails)
+    assert len(set(tokens)) == 10 and all(re.fullmatch(r'token="\d\*{5}[a-z]+"', t) for t in tokens)
+
+
 def test_surrogates_odd_rows(odd, empty):
     out = replace_personal_data(odd, "k")
     assert out.columns == odd.columns
