@@ -87,6 +87,7 @@ def kind_of(form: Column) -> Column:
 def surrogate(kind: Column, value: Column, attempt: Column, key: str) -> Column:
     """A value of the same kind and make-up, a function of key, kind, value and attempt alone.
 
+    Made-up names have a syllable more with each attempt, so there are enough for any number of values.
     From attempt ``TRIES`` on, and from the first one on if nothing in the value can change, characters are
     added (before e-mail addresses, behind the others): however full a make-up is, there is a free surrogate.
     """
@@ -121,22 +122,22 @@ def surrogate(kind: Column, value: Column, attempt: Column, key: str) -> Column:
     octets = F.transform(F.sequence(F.lit(0), added + 3), lambda n: (byte_at(hexed, n) % 254 + 1).cast("string"))
     octets = F.array_join(octets, ".")
 
-    def made_up(ending: str) -> Column:
+    def made_up(syllables: Column) -> Column:
         def make(script: str) -> Column:
-            parts = [pick(SYLLABLES[script], byte_at(hexed, F.lit(n))) for n in range(4)]
-            return F.initcap(F.concat(*parts, F.lit(ending)))
+            parts = F.transform(F.sequence(F.lit(1), syllables), lambda n: pick(SYLLABLES[script], byte_at(hexed, n - 1)))
+            return F.initcap(F.array_join(parts, ""))
 
         return by_script(value, make)
 
     def given(gender: str) -> Column:
         known = by_script(value, lambda s: pick(GIVEN[gender, s], byte_at(hexed, F.lit(0))))
-        return F.when(attempt == 0, known).otherwise(made_up(""))
+        return F.when(attempt == 0, known).otherwise(made_up(attempt + 3))
 
     return (
         F.when(kind == "ip", octets)
         .when(kind == "given_f", given("f"))
         .when(kind == "given_m", given("m"))
-        .when(kind == "surname", made_up(""))
+        .when(kind == "surname", made_up(attempt + 4))
         .otherwise(spelled)
     )
 

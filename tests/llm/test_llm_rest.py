@@ -186,6 +186,15 @@ def test_surrogates_of_full_classes(spark, table):
     assert len(set(tokens)) == 10 and all(re.fullmatch(r'token="\d\*{5}[a-z]+"', t) for t in tokens)
 
 
+def test_more_surnames_than_four_syllables_make(spark):
+    """70,000 surnames, where four syllables make 65,536: later draws have more."""
+    values = spark.range(70_000).selectExpr("'surname' AS kind", "concat('Xy', id) AS value")
+    with within(240):
+        found = assign_surrogates(values, "k").collect()
+    assert len({r.value for r in found}) == len({r.new.lower() for r in found}) == len(found) == 70_000
+    assert all(re.fullmatch("[A-Z][a-z]+", r.new) for r in found) and {len(r.new) for r in found} >= {12, 15}
+
+
 def test_surrogates_odd_rows(odd, empty):
     out = replace_personal_data(odd, "k")
     assert out.columns == odd.columns
