@@ -14,11 +14,10 @@ from eigenloom.session import as_table, scratch_path
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language the model knows. Texts without letters, or without any known n-gram, go."""
+    """Documents that operator 6 names a language for. Only texts without letters go, or all if none was learned."""
     model = fit_languages(docs.where(fold("doc_id", 3) != 1))
     found = identify_languages(docs.select(whole_row(docs), "text"), model, keep=("_doc",))
-    known = (F.col("lang_pred") != UNKNOWN) & (F.col("score") > 0)
-    return found.where(known).select(*columns_of(docs))
+    return found.where(F.col("lang_pred") != UNKNOWN).select(*columns_of(docs))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

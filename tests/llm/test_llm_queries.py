@@ -6,6 +6,7 @@ import pytest
 from eigenloom.llm.oracle import ORACLE
 from eigenloom.llm.queries import QUERIES
 from eigenloom.session import as_table, scratch_path
+from pyspark.sql import functions as F
 from test_llm_near import plain as plain_near
 
 import __spark_entry__ as entry
@@ -45,3 +46,14 @@ def test_pipeline(spark):
     for p in pieces:
         total.setdefault(p.doc_id, [0, p.doc_tokens])[0] += p.length
     assert all(a == b for a, b in total.values())
+
+
+def test_pipeline_keeps_short_texts(spark, tmp_path):
+    """Texts of one to three letters, and of no known n-gram, have a language and stay to the end."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    texts = ["A.", "De.", "Re.", "x", "Ой", "語", "ȹȸȹȸȹȸȹȸ ȹȸȹȸȹȸȹȸ"]
+    rows = spark.createDataFrame([(10**9 + k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    rows = rows.select(*[rows[c] if c in rows.columns else F.lit(None).cast(t).alias(c) for c, t in docs.dtypes])
+    docs.limit(60).unionByName(rows).write.parquet(f"{tmp_path}/documents.parquet")
+    kept = {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).select("doc_id").collect()}
+    assert {10**9 + k for k in range(len(texts))} <= kept
