@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from ..session import as_table, scratch_path
 from .texts import FOLDED_CODES, SLICE_BYTES, prefix_sums, run_starts, slices, utf8, window_hashes
 
 GRAM = 4
@@ -125,24 +126,28 @@ def fit_languages(
 ) -> LanguageMasks:
     """Learn which n-grams of bytes a language uses.
 
-    A language's sample is about ``per_language`` of its rows, chosen by a hash of the text: that bounds
-    the fit. Of these, n-grams in at least ``least_share`` of the rows enter the filter; there can be no
-    more than the mean number of n-grams in a row divided by ``least_share``, which bounds the model.
+    A language's sample is about ``per_language`` of its distinct texts, chosen by a hash of the text: that
+    bounds the fit, however many copies there are. Of these, n-grams in at least ``least_share`` of the texts
+    enter the filter; there can be no more than the mean number of n-grams in a text divided by
+    ``least_share``, which bounds the model.
     """
+    spark = train.sparkSession
     rows = train.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
     rows = rows.where("lang IS NOT NULL AND text IS NOT NULL")
-    found = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES + 1).collect()
+    rows = rows.withColumn("hash", F.xxhash64("text"))
+    found = rows.groupBy("lang").agg(F.count("*").alias("count"), F.approx_count_distinct("hash").alias("texts"))
+    found = found.orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES + 1).collect()
     if len(found) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    sizes = {r["lang"]: r["count"] for r in found}
+    sizes = {r["lang"]: max(1, r["texts"]) for r in found}
     if not sizes:
         return LanguageMasks.build([], [], UNKNOWN)
     parts = 1 << 20
     share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, int(parts * min(1.0, per_language / n)))])
-    sample = rows.where(F.pmod(F.xxhash64("text"), F.lit(parts)) < share[F.col("lang")])
-    least = F.create_map(
-        *[F.lit(x) for k, n in sizes.items() for x in (k, max(1, int(least_share * min(n, per_language))))]
-    )
+    sample = rows.where(F.pmod("hash", F.lit(parts)) < share[F.col("lang")]).dropDuplicates(["lang", "hash"])
+    sample = as_table(sample.select("lang", "text"), scratch_path(spark, "sample"))
+    held = {k: 0 for k in sizes} | {r["lang"]: r["count"] for r in sample.groupBy("lang").count().collect()}
+    least = F.create_map(*[F.lit(x) for k, n in held.items() for x in (k, max(1, int(least_share * n)))])
     grams = sample.mapInArrow(_gram_counts, "lang string, gram long, n long").groupBy("lang", "gram")
     grams = grams.agg(F.sum("n").alias("n")).where(F.col("n") >= least[F.col("lang")]).select("lang", "gram")
     table = grams.toArrow()

@@ -109,6 +109,21 @@ def test_language_odd_rows(odd, table, empty):
     assert {r.lang_pred for r in identify_languages(odd, nothing).collect()} == {UNKNOWN}
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_language_of_copies(spark, seed):
+    """A language of copies of one text, in or out of any sample of rows, still learns from its other texts."""
+    rng = random.Random(seed)
+    word = lambda abc: "".join(rng.choice(abc) for _ in range(5))
+    words = {"x": [word("abcdefgh") for _ in range(40)], "y": [word("mnopqrst") for _ in range(40)]}
+    text = lambda k: "some words of both " + " ".join(rng.choice(words[k]) for _ in range(20))
+    rows = [("x", text("x")) for _ in range(60)] + [("y", text("y")) for _ in range(60)]
+    rows += [("x", "once again the same")] * 20_000
+    docs = spark.createDataFrame(rows, "lang string, text string").repartition(4)
+    model = fit_languages(docs, per_language=100)
+    fresh = spark.createDataFrame([(k, text(k)) for k in "xy" * 20], "lang string, text string")
+    assert all(r.lang == r.lang_pred for r in identify_languages(fresh, model, keep=("lang",)).collect())
+
+
 def test_masks_answer_for_all_languages():
     """Counts less the accidents are near the true ones, for more languages than one plane holds."""
     rng = np.random.default_rng(1)
