@@ -32,6 +32,9 @@ ALPHABETS = {
 # So many draws keep the make-up of a value. Later ones are longer, by one more character each time.
 TRIES = 6
 
+# Country codes of one and two digits; all others have three, and none begins another.
+COUNTRY = "1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]"
+
 LETTER = r"[\p{L}\p{N}]"
 TITLE = "(?:" + "|".join(TITLES_F + TITLES_M) + r")\b\.?"
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
@@ -179,7 +182,7 @@ def canonical(forms: DataFrame) -> DataFrame:
     forms = forms.withColumn("kind", kind_of(form))
     kind = F.col("kind")
     digits = F.regexp_replace(form, "[^0-9]", "")
-    code = F.regexp_extract(form, r"^\+([0-9]{1,3})(?=[^0-9])", 1)
+    code = F.when(form.startswith("+"), F.regexp_extract(digits, f"^(?:{COUNTRY}|[0-9]{{3}})", 0)).otherwise("")
     hexadecimal = form.rlike("^[0-9A-Fa-f]+$")
     value = (
         F.when(kind == "email", F.lower(form))

@@ -195,6 +195,16 @@ def test_more_surnames_than_four_syllables_make(spark):
     assert all(re.fullmatch("[A-Z][a-z]+", r.new) for r in found) and {len(r.new) for r in found} >= {12, 15}
 
 
+def test_phones_without_separators(table):
+    """Country codes stay and the surrogate is the same, with separators or without."""
+    texts = [(1, "+1 555 123 4567; +15551234567; +1-555-123-4567"), (2, "+49 30 1234 5678; +493012345678"), (3, "+358 40 123 4567; +358401234567")]
+    out = {r.doc_id: r.text for r in replace_personal_data(table(texts), "k").collect()}
+    for (k, old), code in zip(texts, ("1", "49", "358")):
+        phones = [re.sub(r"\D", "", p) for p in out[k].split(";")]
+        assert len(set(phones)) == 1 and phones[0].startswith(code) and phones[0] != re.sub(r"\D", "", old.split(";")[0])
+        assert [re.sub(r"\d", "0", p) for p in out[k].split(";")] == [re.sub(r"\d", "0", p) for p in old.split(";")]
+
+
 def test_surrogates_odd_rows(odd, empty):
     out = replace_personal_data(odd, "k")
     assert out.columns == odd.columns
