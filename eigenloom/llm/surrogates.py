@@ -55,7 +55,7 @@ KINDS = {
 }
 ENTITY = "|".join(f"(?:{p})" for p in KINDS.values())
 # Every entity holds one of these: texts without are left alone at the cost of one quick search.
-HINT = rf"[0-9@]|(?i:token|secret|passw|api.?key)|\b{TITLE} "
+HINT = rf"[0-9@]|(?i:token|secret|passw|api.?key)|\b(?:AKIA|gh[pousr]_|sk-|{TITLE} )"
 
 
 def byte_at(hexed: Column, at: Column) -> Column:

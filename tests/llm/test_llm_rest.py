@@ -205,6 +205,15 @@ def test_phones_without_separators(table):
         assert [re.sub(r"\d", "0", p) for p in out[k].split(";")] == [re.sub(r"\d", "0", p) for p in old.split(";")]
 
 
+def test_keys_of_letters_alone(table):
+    """Known shapes of keys are found in texts without a digit, @, title or telling word."""
+    keys = ["sk-" + "abCdefGhij" * 2, "AKIA" + "ABCDEFGHIJKLMNOP", "ghp_" + "abcdefghiJKL" * 3]
+    out = {r.doc_id: r.text for r in replace_personal_data(table([(k, f"use {x} here") for k, x in enumerate(keys)]), "k").collect()}
+    for k, x in enumerate(keys):
+        new = re.fullmatch("use (.*) here", out[k])[1]
+        assert new != x and len(new) == len(x)
+
+
 def test_surrogates_odd_rows(odd, empty):
     out = replace_personal_data(odd, "k")
     assert out.columns == odd.columns
