@@ -2,7 +2,7 @@
 
 import numpy as np
 import pytest
-from conftest import array_of, components_of, entries_of
+from matrix_tools import array_of, components_of, entries_of
 
 import eigenloom as el
 from eigenloom.plans.spaces import LocalSpace, TableSpace

@@ -3,7 +3,7 @@
 import eigenloom as el
 import numpy as np
 import pytest
-from conftest import array_of, entries_of
+from matrix_tools import array_of, entries_of
 from eigenloom.plans.spaces import scan_tasks
 from pyspark.sql import functions as F
 

@@ -2,7 +2,7 @@
 
 import numpy as np
 import pytest
-from conftest import array_of, entries_of
+from matrix_tools import array_of, entries_of
 from pyspark.sql import functions as F
 
 import eigenloom as el

@@ -2,7 +2,7 @@
 
 import numpy as np
 import pytest
-from conftest import components_of, entries_of
+from matrix_tools import components_of, entries_of
 
 import eigenloom as el
 

@@ -2,7 +2,7 @@
 
 import numpy as np
 import pytest
-from conftest import array_of, entries_of
+from matrix_tools import array_of, entries_of
 
 import eigenloom as el
 from eigenloom.sources.text import _block_bound, numbered_lines
