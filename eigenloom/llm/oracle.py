@@ -48,4 +48,23 @@ ORACLE: dict[str, str] = {
                sha256(coalesce(k, '')) AS kept_sha256
         FROM n LEFT JOIN kept USING (doc_id) LEFT JOIN gone USING (doc_id)
     """,
+    "op11_fill_middle": """
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || CAST(doc_id AS VARCHAR)) AS x FROM documents),
+        u AS (SELECT *, regexp_extract_all(text, '[A-Za-z]+|[^A-Za-z]') AS w FROM d),
+        h AS (SELECT *, CAST(len(w) AS BIGINT) AS n, CAST('0x' || substr(x, 1, 8) AS BIGINT) AS h1,
+                     CAST('0x' || substr(x, 9, 8) AS BIGINT) AS h2, CAST('0x' || substr(x, 17, 8) AS BIGINT) AS h3,
+                     CAST('0x' || substr(x, 25, 8) AS BIGINT) AS h4 FROM u),
+        c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+                     CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>')
+                               OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+        p AS (SELECT *, array_to_string(list_slice(w, 1, a), '') AS prefix, array_to_string(list_slice(w, a + 1, b), '') AS middle,
+                     array_to_string(list_slice(w, b + 1, n), '') AS suffix FROM c)
+        SELECT doc_id, n, form,
+               CASE WHEN form <> 'plain' THEN CAST(length(prefix) AS BIGINT) END AS prefix_chars,
+               CASE WHEN form <> 'plain' THEN CAST(length(middle) AS BIGINT) END AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                           ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+               sha256(text) AS restored_sha256
+        FROM p
+    """,
 }

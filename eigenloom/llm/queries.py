@@ -8,6 +8,7 @@ from .bag_minhash import near_groups
 from .block_naming import exact_groups
 from .column_bwt import remove_repeats
 from .debruijn_spans import remove_repeated_words
+from .fill_middle import fill_in_middle, restored
 from .language_masks import fit_languages, identify_languages
 from .nb_hinge import fit_quality, score_quality
 from .piece_viterbi import decode_pieces, encode_pieces
@@ -106,7 +107,33 @@ def op10_window_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir), tokenizer_file("word_bpe_49k.json"), ids=False)
 
 
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fill_in_middle(documents(spark, sf_dir))
+    text = restored(F.col("form"), F.col("output"))
+    return found.select(
+        "doc_id",
+        "n",
+        "form",
+        "prefix_chars",
+        "middle_chars",
+        F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"),
+        F.sha2(text.cast("binary"), 256).alias("restored_sha256"),
+    )
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_block_naming, op2_bag_minhash, op3_quartile_digest, op4_column_bwt, op5_piece_viterbi, op6_language_masks, op7_debruijn_spans, op8_surrogates, op9_nb_hinge, op10_window_packing)
+    for f in (
+        op1_block_naming,
+        op2_bag_minhash,
+        op3_quartile_digest,
+        op4_column_bwt,
+        op5_piece_viterbi,
+        op6_language_masks,
+        op7_debruijn_spans,
+        op8_surrogates,
+        op9_nb_hinge,
+        op10_window_packing,
+        op11_fill_middle,
+    )
 }
