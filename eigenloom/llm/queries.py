@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..session import scratch_path
 from .bag_minhash import near_groups
 from .block_naming import exact_groups
 from .column_bwt import remove_repeats
@@ -11,9 +12,11 @@ from .debruijn_spans import remove_repeated_words
 from .fill_middle import fill_in_middle, restored
 from .language_masks import fit_languages, identify_languages
 from .nb_hinge import fit_quality, score_quality
+from .packed_ids import read_token_ids, write_token_ids
 from .piece_viterbi import decode_pieces, encode_pieces
 from .quartile_digest import fingerprint_documents
 from .surrogates import replace_personal_data
+from .variant_trie import spelling_variants
 from .window_packing import pack_documents
 
 
@@ -121,6 +124,17 @@ def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the files written hold: each document's place, length and checksum."""
+    path = scratch_path(spark, "token_ids")
+    write_token_ids(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"), path)
+    return read_token_ids(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op13_variant_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(documents(spark, sf_dir))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -135,5 +149,7 @@ QUERIES = {
         op9_nb_hinge,
         op10_window_packing,
         op11_fill_middle,
+        op12_packed_ids,
+        op13_variant_trie,
     )
 }

@@ -15,7 +15,7 @@ SF = "/root/testdata/sf0.001"
 
 
 def test_registry():
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(name.startswith(f"op{n}_") for name in QUERIES) == 1
     assert set(QUERIES) | {"pipeline"} <= set(entry.queries())
 
