@@ -26,7 +26,7 @@ from pyspark.sql.pandas.types import from_arrow_type, to_arrow_type
 from pyspark.sql.types import BinaryType, LongType, StructType
 
 from .pretokens import encoder, tokenizer_size
-from .texts import utf8
+from .texts import slices, utf8
 
 MAGIC = b"PACKIDS\0"
 HEADER = len(MAGIC) + 64
@@ -171,10 +171,11 @@ class DocumentRange(InputPartition):
 class PackedIds(DataSource):
     """``packed_ids``: rows (doc_id, start, n_tokens, ids), ids as little-endian unsigned 32-bit integers.
 
+    Rows to write are (doc_id, ids), or (doc_id, text) with the options ``tokenizer`` (a file) and ``end_id``.
     Writing keeps the order of the partitions and of the rows in them; ``start`` and ``n_tokens`` follow
-    from the ids. Options: ``bits`` (of an id), ``block_ids`` (a multiple of 8). A task writes a file
-    under a name of its own and the driver names the files of finished tasks in the manifest, so attempts
-    that were lost or ran twice are not seen by readers.
+    from the ids. Further options: ``bits`` (of an id), ``block_ids`` (a multiple of 8). A task writes a
+    file under a name of its own and the driver names the files of finished tasks in the manifest, so
+    attempts that were lost or ran twice are not seen by readers.
     """
 
     @classmethod
@@ -208,7 +209,22 @@ class PackedIdsWriter(DataSourceArrowWriter):
         self.block_ids = int(options.get("block_ids", BLOCK_IDS))
         if self.block_ids % 8 or not 1 <= self.bits <= 32:
             raise ValueError("block_ids must be a multiple of 8, bits 1 to 32")
-        self.id_kind, self.at = id_kind, (names.index("doc_id"), names.index("ids"))
+        self.id_kind, self.id_at = id_kind, names.index("doc_id")
+        self.tokenizer, self.end_id = options.get("tokenizer"), int(options.get("end_id", END_ID))
+        self.at = names.index("text" if self.tokenizer else "ids")
+
+    def _documents(self, batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+        """(doc_ids, lengths, ids) of a batch, some MB of text at a time."""
+        doc_ids = batch.column(self.id_at).cast(self.id_kind)
+        data, offsets = utf8(batch.column(self.at))
+        if not self.tokenizer:
+            yield doc_ids, np.diff(offsets) // 4, np.frombuffer(data.tobytes(), "<u4")
+            return
+        encode = encoder(self.tokenizer).encode
+        for lo, hi in slices(offsets, 2 << 20):
+            texts = batch.column(self.at).slice(lo, hi - lo).to_pylist()
+            ids, begin = encode([t or "" for t in texts], self.end_id)
+            yield doc_ids.slice(lo, hi - lo), np.diff(begin), ids
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> FilePart:
         system, path = file_system(self.path)
@@ -221,11 +237,10 @@ class PackedIdsWriter(DataSourceArrowWriter):
                 system.create_dir(path, recursive=True)
                 stream = system.open_output_stream(f"{path}/{name}.blocks")
                 writer = PackedWriter(stream, self.bits, self.block_ids, self.id_kind)
-            raw, offsets = utf8(batch.column(self.at[1]))
-            ids = np.frombuffer(raw.tobytes(), "<u4")
-            if len(ids) and int(ids.max()) >> self.bits:
-                raise ValueError(f"id {ids.max()} does not fit {self.bits} bits")
-            writer.add(batch.column(self.at[0]).cast(self.id_kind), np.diff(offsets) // 4, ids)
+            for doc_ids, lengths, ids in self._documents(batch):
+                if len(ids) and int(ids.max()) >> self.bits:
+                    raise ValueError(f"id {ids.max()} does not fit {self.bits} bits")
+                writer.add(doc_ids, lengths, ids)
         if writer is None:
             return FilePart(part, "", 0, 0)
         head = writer.header()
@@ -303,23 +318,6 @@ class PackedIdsReader(DataSourceReader):
         file.close()
 
 
-def _encode(tokenizer: str, end_id: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer).encode
-        for b in batches:
-            _, offsets = utf8(b.column(1))
-            lo, n = 0, b.num_rows
-            while lo < n:
-                hi = min(n, max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + (2 << 20), "right")) - 1))
-                ids, begin = encode([t or "" for t in b.column(1).slice(lo, hi - lo).to_pylist()], end_id)
-                cuts = pa.py_buffer((begin * 4).astype(np.int32).tobytes())
-                raw = pa.Array.from_buffers(pa.binary(), hi - lo, [None, cuts, pa.py_buffer(ids.astype("<u4").tobytes())])
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), raw], names=["doc_id", "ids"])
-                lo = hi
-
-    return run
-
-
 def write_token_ids(
     docs: DataFrame,
     tokenizer: str,
@@ -350,10 +348,9 @@ def write_token_ids(
     order = ["doc_id", "_text", "_place"]
     rows = rows.select("*", F.xxhash64("text").alias("_text"), F.monotonically_increasing_id().alias("_place"))
     rows = rows.repartitionByRange(files, *order).sortWithinPartitions(*order).select("doc_id", "text")
-    id_kind = rows.schema["doc_id"].dataType.simpleString()
-    ids = rows.mapInArrow(_encode(tokenizer, end_id), f"doc_id {id_kind}, ids binary")
     spark.dataSource.register(PackedIds)
-    ids.write.format(FORMAT).mode("append").option("bits", bits).option("block_ids", block_ids).save(path)
+    options = {"bits": bits, "block_ids": block_ids, "tokenizer": tokenizer, "end_id": end_id}
+    rows.write.format(FORMAT).mode("append").options(**options).save(path)
 
 
 def read_token_ids(spark: SparkSession, path: str) -> DataFrame:

@@ -9,8 +9,8 @@ from itertools import chain
 
 import numpy as np
 
-# A worker forgets what it remembers beyond this many characters, and learns anew.
-REMEMBERED_CHARS = 12_000_000
+# A worker forgets its chunks, or its pieces too, beyond this many characters, and learns anew.
+REMEMBERED_CHARS = 4_000_000
 # Whitespace of the Unicode property. Pieces of other characters than these are left to the tokenizer whole.
 SIMPLE = re.compile("[!-~¡-ɏ]*")
 # How a byte-level pre-tokenizer parts such a text: a fixed pattern, letters and digits below U+0250 spelled out.
@@ -29,6 +29,15 @@ def tokenizer_size(path: str) -> int:
     return max(Tokenizer.from_file(path).get_vocab(with_added_tokens=True).values()) + 1
 
 
+def gather(ids: np.ndarray, codes: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of ids that codes stand for, end to end, and the length of each."""
+    sizes = length[codes]
+    ends = np.cumsum(sizes)
+    place = np.repeat(start[codes] - (ends - sizes), sizes)
+    place += np.arange(len(place))
+    return ids[place], sizes
+
+
 class PieceEncoder:
     """Token ids equal to those of the library on whole texts.
 
@@ -60,12 +69,17 @@ class PieceEncoder:
         self.clear()
 
     def clear(self) -> None:
-        self.chars = 0
-        self.chunks: dict[str, int] = {}
+        self.clear_chunks()
+        self.piece_chars = 0
         self.pieces: dict[str, int] = {}
+        self.piece_ids = np.zeros(0, np.uint32)
+        self.piece_start, self.piece_length = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def clear_chunks(self) -> None:
+        self.chars = 0
+        self.chunks: dict[str | tuple[str], int] = {}
         self.ids = np.zeros(0, np.uint32)
         self.start, self.length = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.piece_start, self.piece_length = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -82,9 +96,10 @@ class PieceEncoder:
         start = np.concatenate((np.append(0, breaks + 1)[: len(lines)], len(ids) + np.cumsum(sizes) - sizes))
         length = np.concatenate((breaks - start[: len(lines)], sizes))
         self.pieces.update(zip(chain(lines, rest), range(len(self.piece_start), len(self.piece_start) + len(new))))
-        self.piece_start = np.append(self.piece_start, start + len(self.ids))
+        self.piece_start = np.append(self.piece_start, start + len(self.piece_ids))
         self.piece_length = np.append(self.piece_length, length)
-        self.ids = np.concatenate((self.ids, ids, np.fromiter(chain.from_iterable(single), np.uint32)))
+        self.piece_ids = np.concatenate((self.piece_ids, ids, np.fromiter(chain.from_iterable(single), np.uint32)))
+        self.piece_chars += sum(map(len, new))
 
     def learn(self, new: list[str | tuple[str]]) -> None:
         """Remember the ids of chunks: those of their pieces, one after another."""
@@ -101,7 +116,7 @@ class PieceEncoder:
             self.learn_pieces(list(unknown))
         n = np.array([len(f) for f in found], np.int64)
         codes = np.fromiter(map(self.pieces.__getitem__, chain.from_iterable(found)), np.int64, n.sum())
-        ids, sizes = self.gather(codes, self.piece_start, self.piece_length)
+        ids, sizes = gather(self.piece_ids, codes, self.piece_start, self.piece_length)
         ends = np.cumsum(sizes)
         bounds = np.append(0, ends)[np.append(0, np.cumsum(n))]
         self.chunks.update(zip(new, range(len(self.start), len(self.start) + len(new))))
@@ -110,13 +125,6 @@ class PieceEncoder:
         self.ids = np.append(self.ids, ids)
         self.chars += sum(len(key) if isinstance(key, str) else len(key[0]) for key in new)
 
-    def gather(self, codes: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        sizes = length[codes]
-        ends = np.cumsum(sizes)
-        place = np.repeat(start[codes] - (ends - sizes), sizes)
-        place += np.arange(len(place))
-        return self.ids[place], sizes
-
     def chunked(self, text: str) -> list[str | tuple[str]]:
         """The first chunk, as a tuple, then the others without the space that leads each."""
         parts = SPLIT.split(text) if IRREGULAR.search(text) else text.split(" ")
@@ -125,15 +133,17 @@ class PieceEncoder:
 
     def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids end to end, each text's followed by ``end_id``, and where each text begins."""
-        if self.chars > REMEMBERED_CHARS:
+        if self.piece_chars > REMEMBERED_CHARS:
             self.clear()
+        elif self.chars > REMEMBERED_CHARS:
+            self.clear_chunks()
         split = [self.chunked(t) if self.by_pieces and not any(s in t for s in self.special) else [(t,)] for t in texts]
         new = set().union(*split).difference(self.chunks)
         if new:
             self.learn(list(new))
         n = np.array([len(s) for s in split], np.int64)
         codes = np.fromiter(map(self.chunks.__getitem__, chain.from_iterable(split)), np.int64, n.sum())
-        ids, sizes = self.gather(codes, self.start, self.length)
+        ids, sizes = gather(self.ids, codes, self.start, self.length)
         ends = np.append(0, np.cumsum(sizes))[np.cumsum(n)]
         return np.insert(ids, ends, end_id), np.append(0, ends + np.arange(1, len(texts) + 1))
 
