@@ -11,13 +11,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import as_table, scratch_path
-from .texts import mix, slices, utf8
+from .texts import slices, utf8
 
 MIN_POINTS, MIN_COUNT = 7, 2
 TYPO_EVERY = 31
 FORM_RATIO = 10
-# A shard of the trie with more words is divided, and there are never more than MOST_SHARDS such.
-SHARD_WORDS, MOST_SHARDS = 1 << 15, 4096
+# A shard that more words visit is divided, and there are never more than MOST_SHARDS such.
+SHARD_WORDS, MOST_SHARDS = 1 << 17, 4096
 BIN_WORDS = 1 << 15
 LEAF_WORDS = 6
 LONG_RUN = 64
@@ -222,8 +222,7 @@ def codes(column: pa.Array) -> np.ndarray:
 def _shard_sizes(top: TopTrie):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            code = mix(np.arange(b.num_rows, dtype=np.uint64))
-            shard, n = np.unique(top.home(vectors(*letters(b.column(0))), code), return_counts=True)
+            shard, n = np.unique(top.visits(vectors(*letters(b.column(0))))[1], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(n)], names=["shard", "n"])
 
     return run
@@ -353,13 +352,15 @@ def near_words(words: DataFrame) -> DataFrame:
     The trie of all words is cut into shards of bounded size, in rounds of two levels; only the nodes above
     the shards reach the driver. A word is a member of one shard and visits those that its walk can reach.
     """
+    spark = words.sparkSession
     total = words.count()
-    most = max(SHARD_WORDS, -(-total // MOST_SHARDS))
     top = TopTrie()
-    if total > most:
+    if total > SHARD_WORDS:
         top.divide([])
         for level in range(0, LEVELS + 2, 2):
             sizes = words.mapInArrow(_shard_sizes(top), "shard long, n long").groupBy("shard").agg(F.sum("n").alias("n"))
+            sizes = as_table(sizes, scratch_path(spark, "sizes"))
+            most = max(SHARD_WORDS, -(-(sizes.agg(F.sum("n")).first()[0] or 0) // MOST_SHARDS))
             large = sizes.where(F.col("n") > most).orderBy("shard").collect()
             if not large:
                 break
