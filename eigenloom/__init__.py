@@ -4,7 +4,7 @@ import sys
 
 from pyspark import cloudpickle
 
-from .functions.seeds import column_range, gaussian_seed, uniform_seed, validation_seed
+from .functions.seeds import column_range, gaussian_seed, sparse_sign_seed, uniform_seed, validation_seed
 from .functions.vectors import pack, unpack
 from .operators.products import (
     cross_product,

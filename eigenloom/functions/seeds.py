@@ -8,15 +8,21 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-# A public 32-bit integer mixer, an odd 31-bit stride for the component number, and an
-# offset (the golden ratio in 32 bits) that keeps seed 0 and id 0 away from the mixer's fixed point 0.
+# A public 32-bit integer mixer, an odd 31-bit stride for the component number, an offset
+# (the golden ratio in 32 bits) that keeps seed 0 and id 0 away from the mixer's fixed point 0, and an odd
+# stride for the high word of an id.
 MIX_MULTIPLIER = 73244475
 COMP_STRIDE = 1540483477
 SEED_OFFSET = 2654435769
+HIGH_STRIDE = 2246822519
 WORD = 1 << 32
 
+# Draws of a column of a sparse sign matrix.
+SIGNS = 8
+
 
 def mixed(x: int) -> int:
     """Scramble a number below 2**32 into another one."""
@@ -39,8 +45,11 @@ def mix32(x: str) -> str:
 def id_state(seed: int, name: str) -> str:
     """SQL text of the mixed state of one id column, all 64 bits of it, under a seed."""
     wide = f"CAST({name} AS BIGINT)"
-    folded = f"(({wide} ^ shiftright({wide}, 32)) & {WORD - 1}L)"
-    return mix32(f"({folded} ^ {seed_state(seed)}L)")
+    low = mix32(f"(({wide} & {WORD - 1}L) ^ {seed_state(seed)}L)")
+    # The high word has a round of its own: folded onto the low one, ids of two partitions would share states.
+    return f"CASE WHEN {wide} BETWEEN 0 AND {WORD - 1}L THEN {low} ELSE " + mix32(
+        f"({low} ^ (shiftrightunsigned({wide}, 32) * {HIGH_STRIDE}L % {WORD}L))"
+    ) + " END"
 
 
 def unit(state: str) -> str:
@@ -95,6 +104,48 @@ def gaussian_vectors(cols: DataFrame, width: int, seed: int = 0) -> DataFrame:
     return _with_state(cols, seed).select("col_id", vec.alias("vec"))
 
 
+def sparse_sign_seed(cols: DataFrame, width: int, seed: int = 0, nonzeros: int = SIGNS) -> DataFrame:
+    """For each column, ``nonzeros`` draws of a component and a sign, summed over the square root of their number.
+
+    Draws may meet in a component. With one draw this is a count sketch. Only entries drawn are listed.
+    """
+    draws = F.explode(F.sequence(F.lit(0), F.lit(checked_draws(nonzeros) - 1))).alias("draw")
+    cells = _with_state(cols, seed).select("col_id", "_state", draws)
+    word = mix32(f"(_state ^ (CAST(draw AS BIGINT) * {COMP_STRIDE}L % {WORD}L))")
+    cells = cells.select("col_id", F.expr(word).alias("_word"))
+    cells = cells.select(
+        "col_id",
+        F.expr(f"CAST(shiftright(_word, 1) % {width} AS INT)").alias("comp"),
+        F.expr("_word % 2 * 2.0D - 1.0D").alias("sign"),
+    )
+    return cells.groupBy("col_id", "comp").agg((F.sum("sign") / F.lit(math.sqrt(nonzeros))).alias("value"))
+
+
+def checked_draws(nonzeros: int) -> int:
+    if nonzeros < 1:
+        raise ValueError("nonzeros must be at least 1")
+    return nonzeros
+
+
+def mixed_words(x: np.ndarray) -> np.ndarray:
+    """``mixed`` for an array of numbers below 2**32."""
+    word = np.uint64(WORD - 1)
+    for _ in range(2):
+        x = ((x ^ (x >> np.uint64(16))) * np.uint64(MIX_MULTIPLIER)) & word
+    return x ^ (x >> np.uint64(16))
+
+
+def sign_vectors(col_ids: np.ndarray, width: int, seed: int, nonzeros: int) -> np.ndarray:
+    """The rows of ``sparse_sign_seed`` for some column ids, computed from the ids inside a task."""
+    state = mixed_words(col_ids.astype(np.uint64) ^ np.uint64(seed_state(seed)))
+    out = np.zeros((len(col_ids), width))
+    for draw in range(checked_draws(nonzeros)):
+        word = mixed_words(state ^ np.uint64(draw * COMP_STRIDE % WORD))
+        comp = ((word >> np.uint64(1)) % np.uint64(width)).astype(np.int64)
+        out[np.arange(len(out)), comp] += (word & np.uint64(1)).astype(np.float64) * 2 - 1
+    return out / math.sqrt(nonzeros)
+
+
 def validation_seed(cols: DataFrame, width: int) -> DataFrame:
     """The deterministic check matrix ``(col_id + comp) mod 10 + 1``."""
     value = (F.col("col_id") + F.col("comp")) % 10 + 1

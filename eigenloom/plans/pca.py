@@ -9,6 +9,8 @@ from dataclasses import dataclass, field, replace
 import numpy as np
 from pyspark.sql import DataFrame
 
+from ..functions.seeds import SIGNS
+from .journal import Journal
 from .residual import Stop, kth_in, relative, residual_norm_in, whitener
 from .spaces import RANK_TOLERANCE, declared, opened
 
@@ -79,6 +81,9 @@ def tsqr_pass(space, factor):
 
 PASSES = {"fused": fused_pass, "two_pass": two_pass, "tsqr": tsqr_pass}
 
+# Draws of a sign for each column, 0 for normal numbers throughout.
+STARTS = {"gaussian": 0, "sparse_sign": SIGNS, "count_sketch": 1}
+
 # Singular values below this share of the first are lost: to a squared condition number, or to rounding.
 RANKS = {"fused": RANK_TOLERANCE**0.5, "two_pass": RANK_TOLERANCE**0.5, "tsqr": RANK_TOLERANCE}
 
@@ -90,6 +95,14 @@ def checked_k(k: int, n_cols: int) -> int:
     return k - 1 if k == n_cols and k > 1 else k
 
 
+def leading_of(space, factor, sigma: np.ndarray, k: int, method: str):
+    """How many of the first k directions are more than rounding, and those."""
+    floor = max(space.noise, RANKS[method] * sigma.max(initial=0.0))
+    rank = min(k, int((sigma > floor).sum()))
+    some_basis(np.eye(rank))
+    return rank, space.times(factor, np.eye(len(sigma))[:, :rank])
+
+
 def fit_in(
     space,
     k: int,
@@ -99,23 +112,35 @@ def fit_in(
     next_sigma: float | None,
     method: str,
     stop: Stop,
+    start: str = "gaussian",
+    journal: Journal | None = None,
 ) -> Fit:
     """Passes over an opened space until ``max_iter``, or until the error is small enough."""
     began = time.perf_counter()
     k = checked_k(k, space.n_cols)
-    factor = space.start(min(k + oversample, space.n_cols), stop.seed)
+    width = min(k + oversample, space.n_cols)
     fit = Fit(None, np.zeros(0), 0, space.n_cols, 0)
+    error, rank, state = tolerance + 1, 0, journal.last() if journal else None
+    if state:
+        # The factor of the last finished pass, with the figures it had.
+        sigma = np.array(state["sigma"])
+        factor = space.load(journal.factor(state), len(sigma))
+        space.take_means(journal.means(state), state["n_rows"])
+        fit.passes, fit.errors = state["pass"], list(state["errors"])
+        error = fit.errors[-1] if fit.errors else error
+        rank, leading = leading_of(space, factor, sigma, k, method)
+    elif start == "gaussian":
+        # Every pass starts from orthonormal columns: the first from these, the others from what came before.
+        factor, _ = space.svd(space.start(width, stop.seed))
+    else:
+        # Columns of signs are close to orthogonal as they are, and need not be written out.
+        factor = space.start(width, stop.seed, STARTS[start])
     fit.preprocess_seconds = time.perf_counter() - began
-    error = tolerance + 1
     while fit.passes < max_iter and error > tolerance:
         began = time.perf_counter()
-        factor, _ = space.svd(factor)
         factor, sigma = space.svd(PASSES[method](space, factor))
         space.keep_only(factor)
-        floor = max(space.noise, RANKS[method] * sigma.max(initial=0.0))
-        rank = min(k, int((sigma > floor).sum()))
-        some_basis(np.eye(rank))
-        leading = space.times(factor, np.eye(len(sigma))[:, :rank])
+        rank, leading = leading_of(space, factor, sigma, k, method)
         fit.passes += 1
         fit.pass_seconds.append(time.perf_counter() - began)
         if next_sigma is not None:
@@ -123,6 +148,8 @@ def fit_in(
             error = relative(norm, next_sigma)
             fit.errors.append(error)
             fit.converged = norm.converged and getattr(next_sigma, "converged", True) and error <= tolerance
+        if journal:
+            journal.commit(fit.passes, space.table(factor), space.kept_means(), sigma, fit.errors, space.n_rows)
     if next_sigma is not None and error > tolerance:
         warnings.warn(f"the error is {error:.4g} after {fit.passes} passes; the tolerance is {tolerance}")
     if rank < k:
@@ -145,6 +172,8 @@ def sketch_pca(
     n_rows: int | None = None,
     n_cols: int | None = None,
     seed: int = 0,
+    start: str = "gaussian",
+    journal: str | None = None,
     **where,
 ) -> Fit:
     """The k leading principal components of the column-centred matrix.
@@ -153,24 +182,36 @@ def sketch_pca(
     ``kth_singular_value``) the relative spectral error is measured after every pass and the loop
     ends once it is at or below ``tolerance``.
 
+    ``start`` is the matrix that the first pass multiplies by: ``gaussian``; or ``sparse_sign`` or
+    ``count_sketch``, which tasks compute from the column ids, so that beyond the broadcast limit no factor
+    is written or exchanged for that pass. They may need one pass more for the same error.
+
+    ``journal`` names a folder in which every finished pass is kept. A call with the same folder and settings
+    goes on after the last one, in another session too; with other settings it is an error. ``max_iter``
+    counts the passes of all calls together.
+
     ``where`` takes ``limit``, the factor size up to which it is broadcast; ``cache=True`` to keep the
     rows in memory and on disk between passes (leave it off for a large stored table); and
     ``partitions`` to spread rows that come in too few scan tasks.
     """
-    checked_options(method, max_iter, next_sigma)
+    checked_options(method, max_iter, next_sigma, start)
     began = time.perf_counter()
+    settings = {"k": k, "oversample": oversample, "method": method, "seed": seed, "start": start, "n_cols": n_cols, "n_rows": n_rows}
+    kept = Journal(matrix.sparkSession, journal, settings) if journal else None
     n_rows, n_cols = declared(matrix, n_rows, n_cols)
     checked_k(k, n_cols)
     stop = Stop(norm_oversample, norm_iter, seed)
     width = max(k + oversample, 1 + norm_oversample)
     with opened(matrix, width, n_rows, n_cols, **where) as space:
         ready = time.perf_counter() - began
-        fit = fit_in(space, k, oversample, max_iter, tolerance, next_sigma, method, stop)
+        fit = fit_in(space, k, oversample, max_iter, tolerance, next_sigma, method, stop, start, kept)
     fit.preprocess_seconds += ready
     return fit
 
 
-def checked_options(method: str, max_iter: int, next_sigma: float | None) -> None:
+def checked_options(method: str, max_iter: int, next_sigma: float | None, start: str = "gaussian") -> None:
+    if start not in STARTS:
+        raise ValueError(f"start must be one of {sorted(STARTS)}")
     if method not in PASSES:
         raise ValueError(f"method must be one of {sorted(PASSES)}")
     if max_iter < 1:

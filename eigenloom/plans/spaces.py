@@ -8,6 +8,7 @@ methods in this package are written once. Only sketch-sized (width x width) arra
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from contextlib import contextmanager
 from dataclasses import dataclass
 
@@ -15,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions.seeds import column_range, gaussian_seed, gaussian_vectors
+from ..functions.seeds import column_range, gaussian_seed, gaussian_vectors, sign_vectors, sparse_sign_seed
 from ..functions.vectors import numbers, pack, sum_vectors, unpack
 from ..operators import products, tsqr
 from ..operators.blocks import batch_rows, batch_vectors
@@ -31,8 +32,8 @@ from ..operators.shapes import (
 )
 from ..operators.sums import column_means, column_sums
 from ..operators.products import vector_batch
-from ..operators.skew import hot_keys
 from ..session import FACTOR_LIMIT_BYTES, as_table, drop_path, fits_broadcast, scratch_path
+from .tiles import Tiles
 
 CROSS, GRAM = range(2)
 FACTOR = "col_id int, vec array<double>"
@@ -70,7 +71,7 @@ def opened(
     if fits_broadcast(n_cols, width, limit):
         space = LocalSpace(matrix, n_rows, n_cols, cache, partitions, 8 * n_cols * width)
     else:
-        space = TableSpace(matrix, n_rows, n_cols)
+        space = TableSpace(matrix, n_rows, n_cols, width)
     try:
         yield space
     finally:
@@ -194,7 +195,9 @@ class LocalSpace:
     def keep_only(self, *factors: np.ndarray) -> None:
         """Nothing is stored between steps."""
 
-    def start(self, width: int, seed: int) -> np.ndarray:
+    def start(self, width: int, seed: int, signs: int = 0) -> np.ndarray:
+        if signs:
+            return sign_vectors(np.arange(self.n_cols), width, seed, signs)
         return self.load(gaussian_seed(column_range(self.spark, self.n_cols), width, seed), width)
 
     def load(self, factor: DataFrame, width: int) -> np.ndarray:
@@ -206,6 +209,19 @@ class LocalSpace:
     def table(self, factor: np.ndarray) -> DataFrame:
         return factor_table(self.spark, factor)
 
+    def kept_means(self) -> DataFrame:
+        """(col_id, value) of the means, or no rows while they are not known."""
+        means = np.zeros(0) if self.means is None else self.means
+        cells = pa.table({"col_id": np.arange(len(means), dtype=np.int32), "value": means})
+        return self.spark.createDataFrame(cells)
+
+    def take_means(self, means: DataFrame, n_rows: int) -> None:
+        """Means and row count found by an earlier run, so that a fit goes on as it would have."""
+        self.n_rows, found = n_rows, means.toArrow()
+        if found.num_rows:
+            self.means = np.zeros(self.n_cols)
+            self.means[found["col_id"].to_numpy()] = found["value"].to_numpy()
+
     def scan(self, factor: np.ndarray, shift: np.ndarray, cross: bool):
         """[Z 1]'[Z 1] and, with ``cross``, Y'[Z 1] for Z = Y factor - shift, over the rows present."""
         n_cols, width = factor.shape
@@ -311,17 +327,24 @@ class LocalSpace:
 
 @dataclass(frozen=True)
 class Factor:
-    """A packed factor (col_id, vec) that stays a table; ``path`` holds the stored one it is read from."""
+    """A packed factor (col_id, vec) that stays a table; ``path`` holds the stored one it is read from.
+
+    A start that is a function of the column ids has it in ``vectors``: tasks then need no table.
+    """
 
     df: DataFrame
     width: int
     path: str
+    vectors: Callable[[np.ndarray], np.ndarray] | None = None
 
 
 class TableSpace:
-    """Every step is a join and a sum; results are written to the scratch folder between steps."""
+    """Every step is a join and a sum; results are written to the scratch folder between steps.
 
-    def __init__(self, matrix: DataFrame, n_rows: int | None, n_cols: int):
+    The matrix is stored once as tiles (see ``tiles``); after that only factors and scores are exchanged.
+    """
+
+    def __init__(self, matrix: DataFrame, n_rows: int | None, n_cols: int, width: int = 32):
         self.spark, self.n_cols = matrix.sparkSession, n_cols
         self.base, self.steps = [], []
         cells = as_entries(matrix)
@@ -330,16 +353,16 @@ class TableSpace:
         cells = cells.where((F.col("col_id") < n_cols) & (F.col("value") != 0)).select(
             F.col("row_id").cast("long"), F.col("col_id").cast("int"), "value"
         )
-        # Stored rows are read where they are. Entries, which need merging, are written once more, and so
-        # are rows whose ids could differ from job to job.
+        # Cells are counted before they are placed: what needs merging, or could differ from job to job, is
+        # written for that.
         fixed = is_rows(matrix) and matrix._jdf.queryExecution().analyzed().deterministic()
-        self.entries = cells if fixed else self.stored(cells, "entries", self.base)[0]
+        held: list[str] = []
+        self.tiles = Tiles.store(cells if fixed else self.stored(cells, "entries", held)[0], width)
+        self.drop(held)
         if n_rows is None:
             n_rows = count_rows(matrix)
         self.n_rows = n_rows
-        self.means, _ = self.stored(column_means(self.entries, n_rows, n_cols), "means", self.base)
-        self.hot_rows = hot_keys(self.entries, "row_id")
-        self.hot_columns = hot_keys(self.entries, "col_id")
+        self.means, _ = self.stored(column_means(self.tiles.cells(), n_rows, n_cols), "means", self.base)
         square = self.means.agg(F.sum(F.col("value") * F.col("value"))).first()[0]
         self.noise = ROUND_OFF * np.sqrt(n_rows * square)
 
@@ -357,6 +380,7 @@ class TableSpace:
             drop_path(self.spark, path)
 
     def close(self) -> None:
+        self.tiles.drop()
         self.drop(self.base + self.steps)
 
     def keep_only(self, *factors: Factor) -> None:
@@ -365,7 +389,10 @@ class TableSpace:
         self.drop([path for path in self.steps if path not in kept])
         self.steps = [path for path in self.steps if path in kept]
 
-    def start(self, width: int, seed: int) -> Factor:
+    def start(self, width: int, seed: int, signs: int = 0) -> Factor:
+        if signs:
+            cells = sparse_sign_seed(column_range(self.spark, self.n_cols), width, seed, signs)
+            return Factor(pack(cells, "col_id", width), width, "", lambda ids: sign_vectors(ids, width, seed, signs))
         vectors = gaussian_vectors(column_range(self.spark, self.n_cols), width, seed)
         return self.stored_factor(vectors, width)
 
@@ -379,13 +406,36 @@ class TableSpace:
 
     def scores(self, factor: Factor) -> tuple[DataFrame, np.ndarray]:
         """Stored scores and their declared mean."""
-        # The factor outgrew the broadcast limit, or the caller said so: exchange, never broadcast.
-        scores = products.project_rows(
-            self.entries, factor.df, self.n_cols, factor.width, limit=0, hot=self.hot_columns
-        )
-        scores, _ = self.stored(scores, "scores", self.steps)
-        zm = products.mean_times_matrix(self.means, factor.df, factor.width)
-        return scores, small_vector(zm, factor.width)
+        if factor.vectors:
+            scores = self.tiles.project_seed(factor.vectors, factor.width)
+            zm = self.mean_scores(factor)
+        else:
+            scores = self.tiles.project(factor.df, factor.width)
+            zm = small_vector(products.mean_times_matrix(self.means, factor.df, factor.width), factor.width)
+        return self.stored(scores, "scores", self.steps)[0], zm
+
+    def mean_scores(self, factor: Factor) -> np.ndarray:
+        """The means times a factor that is a function of the column ids."""
+        vectors, width = factor.vectors, factor.width
+
+        def job(batches):
+            total = np.zeros((1, width))
+            for batch in batches:
+                ids = batch.column("col_id").to_numpy(zero_copy_only=False)
+                for lo in range(0, len(ids), 4096):
+                    value = batch.column("value").slice(lo, 4096).to_numpy(zero_copy_only=False)
+                    total += value @ vectors(ids[lo : lo + 4096])
+            yield vector_batch(["i"], [np.zeros(1, np.int32)], total)
+
+        sums = self.means.mapInArrow(job, "i int, vec array<double>")
+        return small_rows(sum_vectors(sums, ["i"], width), "i", width)[0]
+
+    def kept_means(self) -> DataFrame:
+        return self.means
+
+    def take_means(self, means: DataFrame, n_rows: int) -> None:
+        """Means are found when a space opens; only the row count can be new."""
+        self.n_rows = n_rows
 
     def absent(self, present: int) -> int:
         if present > self.n_rows:
@@ -407,7 +457,7 @@ class TableSpace:
             z_gram = sums[:-1, :-1] + absent * np.outer(zm, zm)
         if cross:
             excess = sums[-1, :-1] - absent * zm
-            table = products.cross_product(self.entries, scores, zm, self.hot_rows)
+            table = self.tiles.cross(products.shifted(scores, zm), factor.width)
             table = products.mean_correction(table, self.means, excess)
             y_cross = self.stored_factor(table, factor.width)
         return y_cross, z_gram

@@ -166,6 +166,18 @@ SELECT col_id, comp, {rnd(value, 6)} AS value FROM c
 """
 
 
+def signed(seed: int, draws: int) -> str:
+    """A sparse sign matrix of four components: ``draws`` signs for each column."""
+    stream = f"(draw * {COMP_STRIDE} % {WORD})"
+    return f"""
+WITH a AS (SELECT p_partkey AS col_id, draw, xor({seed_state(seed)}::BIGINT, {folded("p_partkey")}) AS x0, {mix("x0", "x")}
+           FROM part, (SELECT unnest(range({draws})) AS draw)),
+b AS (SELECT *, xor(x, {stream}) AS s0, {mix("s0", "s")} FROM a)
+SELECT col_id, CAST((s >> 1) % 4 AS BIGINT) AS comp, {rnd(f"sum((s % 2) * 2 - 1) / sqrt({draws})", 6)} AS value
+FROM b GROUP BY 1, 2
+"""
+
+
 CELLS = "SELECT r AS row_id, c AS col_id, round(v, 6) AS value FROM"
 HALF = "(SELECT count(*) // 2 FROM part)"
 SCORES = "SELECT r AS row_id, j AS comp, round(z, 6) AS z FROM z"
@@ -223,6 +235,7 @@ SELECT r AS row_id, c AS col_id, {rnd("v - m", 6)} AS value FROM d JOIN mu USING
     "project_rows": f"WITH {EMBEDDING} {SCORES}",
     "project_rows_join": f"WITH {ORDER_PART} {SCORES}",
     "project_rows_salted": f"WITH {ORDER_PART} {SCORES}",
+    "project_rows_tiles": f"WITH {ORDER_PART} {SCORES}",
     "mean_times_matrix": f"WITH {EMBEDDING} SELECT j AS comp, {rnd('zm', 6)} AS zm FROM zm",
     "reconstruct_rows": f"""{REBUILT}
 SELECT r AS row_id, c AS col_id, {rnd("x + mu", 5)} AS value FROM xh JOIN mu USING (c)""",
@@ -240,6 +253,10 @@ FROM lineitem GROUP BY 1, 2""",
     "cross_product": f"""
 WITH {ORDER_PART}
 SELECT c AS i, j, {rnd("sum(v * (z - zm))", 4)} AS value
+FROM y JOIN z USING (r) JOIN zm USING (j) GROUP BY c, j""",
+    "cross_product_tiles": f"""
+WITH {ORDER_PART}
+SELECT c AS i, j, {rnd("sum(v * (z - zm))", 4)} AS value
 FROM y JOIN z USING (r) JOIN zm USING (j) GROUP BY c, j""",
     "mean_correction": CORRECTED,
     "cross_product_scan": CORRECTED,
@@ -265,7 +282,11 @@ SELECT p_partkey AS col_id, j AS comp, CAST((p_partkey + j) % 10 + 1 AS DOUBLE)
 FROM part, (SELECT unnest(range(4)) AS j)""",
     "uniform_seed": seeded("u", 11, 1),
     "gaussian_seed": seeded("sqrt(-2 * ln(u)) * cos(2 * pi() * w)", 11, 2),
+    "sparse_sign_seed": signed(11, 3),
     "sketch_pca": loadings(),
+    "sketch_pca_sparse_sign": loadings(),
+    "sketch_pca_sparse_sign_tables": loadings(),
+    "sketch_pca_resumed": loadings(),
     "sketch_pca_two_pass": loadings(),
     "sketch_pca_tsqr": loadings(),
     "sketch_pca_joined": sigmas(SUPP_BRAND, 25, 3000, 3),

@@ -38,6 +38,7 @@ from .. import (
     sketch_pca,
     sketch_pca_tsqr,
     sketch_pca_two_pass,
+    sparse_sign_seed,
     to_entries,
     to_rows,
     total_variation,
@@ -51,7 +52,9 @@ from .. import (
     write_matrix_rows,
 )
 from ..functions.vectors import sum_vectors
+from ..operators.products import shifted
 from ..plans.spaces import factor_table, opened, small_vector
+from ..plans.tiles import Tiles
 from ..session import FACTOR_LIMIT_BYTES, scratch_path
 from ..sources.text import numbered_lines
 from . import fixtures as fx
@@ -242,6 +245,18 @@ def project_rows_salted(spark, sf):
     return out(unpack(_order_part_scores(spark, sf, limit=0)[2], "row_id", value="z"), 6)
 
 
+def _order_part_tiles(spark, sf):
+    """The matrix as stored tiles of a quarter of the columns, and its scores from them."""
+    n_rows, n_cols = fx.order_part_dims(spark, sf)
+    entries, factor = fx.order_part(spark, sf), fx.check_factor(fx.part_columns(spark, sf))
+    tiles = Tiles.store(entries, WIDTH, columns=-(-n_cols // 4))
+    return tiles, entries, factor, tiles.project(factor, WIDTH), n_rows, n_cols
+
+
+def project_rows_tiles(spark, sf):
+    return out(unpack(_order_part_tiles(spark, sf)[3], "row_id", value="z"), 6)
+
+
 def means_times_matrix(spark, sf):
     rows, factor, _ = _embedding_scores(spark, sf)
     product = mean_times_matrix(_embedding_means(rows), factor, WIDTH)
@@ -307,6 +322,12 @@ def cross_product_join(spark, sf):
     return _cross_table(cross_product(entries, scores, zm))
 
 
+def cross_product_tiles(spark, sf):
+    tiles, entries, factor, scores, n_rows, n_cols = _order_part_tiles(spark, sf)
+    zm = _score_means(column_means(entries, n_rows, n_cols), factor)
+    return _cross_table(tiles.cross(shifted(scores, zm), WIDTH))
+
+
 def corrected_cross_product(spark, sf):
     entries, factor, scores, n_rows, n_cols = _order_part_scores(spark, sf)
     means = column_means(entries, n_rows, n_cols)
@@ -379,6 +400,10 @@ def seed_gaussian(spark, sf):
     return out(gaussian_seed(fx.part_columns(spark, sf), WIDTH, seed=11), 6)
 
 
+def seed_sparse_sign(spark, sf):
+    return out(sparse_sign_seed(fx.part_columns(spark, sf), WIDTH, seed=11, nonzeros=3), 6)
+
+
 # Principal components
 
 
@@ -397,6 +422,22 @@ def pca_fused(spark, sf):
     return _loadings(sketch_pca(fx.lineitem5(spark, sf), 2, oversample=2, max_iter=3))
 
 
+def pca_sparse_sign(spark, sf):
+    return _loadings(sketch_pca(fx.lineitem5(spark, sf), 2, oversample=2, max_iter=4, start="sparse_sign"))
+
+
+def pca_sparse_sign_tables(spark, sf):
+    options = {"oversample": 2, "max_iter": 4, "start": "sparse_sign", "limit": 0}
+    return _loadings(sketch_pca(fx.lineitem5(spark, sf), 2, **options))
+
+
+def pca_resumed(spark, sf):
+    """Ended after the first pass, then gone on with from its journal."""
+    options = {"oversample": 2, "journal": scratch_path(spark, "journal")}
+    sketch_pca(fx.lineitem5(spark, sf), 2, max_iter=1, **options)
+    return _loadings(sketch_pca(fx.lineitem5(spark, sf), 2, max_iter=3, **options))
+
+
 def pca_two_pass(spark, sf):
     return _loadings(sketch_pca_two_pass(fx.lineitem5(spark, sf), 2, oversample=2, max_iter=3))
 
@@ -520,6 +561,8 @@ QUERIES = {
     "project_rows": project_rows_block,
     "project_rows_join": project_rows_join,
     "project_rows_salted": project_rows_salted,
+    "project_rows_tiles": project_rows_tiles,
+    "cross_product_tiles": cross_product_tiles,
     "mean_times_matrix": means_times_matrix,
     "reconstruct_rows": reconstructed_rows,
     "row_residual": residual_rows,
@@ -541,7 +584,11 @@ QUERIES = {
     "validation_seed": seed_validation,
     "uniform_seed": seed_uniform,
     "gaussian_seed": seed_gaussian,
+    "sparse_sign_seed": seed_sparse_sign,
     "sketch_pca": pca_fused,
+    "sketch_pca_sparse_sign": pca_sparse_sign,
+    "sketch_pca_sparse_sign_tables": pca_sparse_sign_tables,
+    "sketch_pca_resumed": pca_resumed,
     "sketch_pca_two_pass": pca_two_pass,
     "sketch_pca_tsqr": pca_tsqr,
     "sketch_pca_joined": pca_joined,
