@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import as_table, scratch_path
 from .block_naming import columns_of, row_keys, whole_row
-from .texts import BASE, mix, prefix_sums, slices, span_hashes, utf8, words
+from .texts import BASE, Words, mix, prefix_sums, slices, span_hashes, utf8, words
 
 SHINGLE = 5
 BANDS, BAND_ROWS = 24, 4
@@ -24,7 +25,7 @@ NEAR = (4, 5)
 def bags(data: np.ndarray, offsets: np.ndarray, shingle: int = SHINGLE):
     """(row, shingle hash, count) sorted by row and hash. Fewer words than a shingle make one shingle."""
     found = words(data, offsets)
-    sums = prefix_sums(found.hashes())
+    sums = prefix_sums(found.word_hashes())
     n_words = np.diff(found.first)
     start = np.arange(len(found.starts))
     left = found.first[found.row + 1] - start
@@ -128,6 +129,14 @@ def band_hashes(found: np.ndarray) -> np.ndarray:
     return mix((bits * weight).sum(axis=2) + np.arange(1, BANDS + 1, dtype=np.uint64)).view(np.int64)
 
 
+def word_classes(found: Words) -> np.ndarray:
+    """64 bits of the SHA-256 of each row's words in order."""
+    flat, begin, end = found.joined()
+    begin, end = np.append(begin, 0), np.append(end, 0)
+    cuts = [(int(begin[a]), int(end[z - 1])) if z > a else (0, 0) for a, z in zip(found.first[:-1], found.first[1:])]
+    return np.frombuffer(b"".join(hashlib.sha256(flat[a:z]).digest()[:8] for a, z in cuts), np.uint64)
+
+
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(row keys, class, weight, bands) of every row. Rows with the same words in order have the same class."""
     for b in batches:
@@ -138,8 +147,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lo, hi in slices(offsets):
             part, within = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
             found = words(part, within)
-            first = found.first
-            kind[lo:hi] = span_hashes(prefix_sums(found.hashes()), first[:-1], first[1:])
+            kind[lo:hi] = word_classes(found)
             row, item, count = bags(part, within)
             weight[lo:hi] = np.bincount(row, weights=count, minlength=hi - lo)
             little = weight[lo:hi][row] < SMALL_BAG
@@ -188,6 +196,33 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], names=["a", "b"])
 
 
+def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What a class has less or more of than its centre, by item; weights and slack say if the two are near.
+
+    Likeness is 0.8 or more if nine times the weight of the difference is no more than both weights. The slack
+    is nine times the difference less the class's weight: two classes are near a third way round if their
+    slacks add up to no more than eighteen times what their differences share.
+    """
+    for b in batches:
+        (centres, kinds), out = (b.column(0), b.column(1)), []
+        for k in range(b.num_rows):
+            x, n, y, m = (b.column(c)[k].values.to_numpy() for c in (2, 3, 4, 5))
+            every = np.union1d(x, y)
+            more = np.zeros(len(every), np.int64)
+            more[np.searchsorted(every, y)] += m
+            more[np.searchsorted(every, x)] -= n
+            at = np.flatnonzero(more)
+            difference = int(np.abs(more).sum())
+            near = 9 * difference <= int(n.sum()) + int(m.sum())
+            out.append((every[at], more[at], 9 * difference - int(m.sum()), near))
+        items, amounts, slack, near = zip(*out) if out else ([], [], [], [])
+        cuts = pa.array(np.concatenate(([0], np.cumsum([len(i) for i in items]))).astype(np.int32))
+        columns = [centres, kinds]
+        columns += [pa.ListArray.from_arrays(cuts, pa.array(np.concatenate(c) if c else np.zeros(0, np.int64))) for c in (items, amounts)]
+        columns += [pa.array(slack, pa.int64()), pa.array(near, pa.bool_())]
+        yield pa.RecordBatch.from_arrays(columns, names=["a", "class", "items", "amounts", "slack", "near"])
+
+
 def connected(edges: DataFrame) -> DataFrame:
     """(node, label): the smallest node of each node's component. Labels are tables, one for each round."""
     spark = edges.sparkSession
@@ -223,8 +258,9 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     together are near none and leave first, twice. Then, in each of three rounds, all classes of a bucket
     are held against one centre, the one with the largest share in common with others, and what is near
     is joined; buckets that lie within one group are done, and a centre is not compared again. Pairs of a
-    bucket that are still in different groups after that are all verified unless their weights or what
-    they share at most rule them out, so no link is lost to the bound on rounds.
+    bucket that are still in different groups after that are held as their differences from the bucket's
+    first centre. Two that are not both near it must share enough of these, so they are joined on the rarest
+    items of the differences, by an exact bound, and what meets is verified: no link is lost.
 
     Returns doc_id, class_id (smallest id of the group), group_size, kept (the row of that id) and the
     row key ``row``.
@@ -285,36 +321,64 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         fits = common * (NEAR[0] + NEAR[1]) >= (F.col("weight") + F.col("w")) * NEAR[0]
         return fits & (lighter * NEAR[1] >= heavier * NEAR[0])
 
+    def differing(some: DataFrame, centres: DataFrame) -> DataFrame:
+        """(a, b) pairs of classes that can be near, though not both are near the centre ``a`` of their bucket.
+
+        Of such a pair one class, x, is not near the centre, so its slack is at least ``s``, the least one of
+        those; and y's difference has at least (s + slack of y) / 18 in common with that of x. So one of y's
+        items but for its most common ones of less weight than that is in x's difference too. Copies with
+        edits of their own have their rarest items to themselves, and do not meet.
+        """
+        pairs = some.join(centres, "bucket").where("class <> a").select("a", "class").distinct()
+        one = every.select(F.col("class").alias("a"), F.col("items").alias("x"), F.col("counts").alias("n"))
+        two = every.select("class", F.col("items").alias("y"), F.col("counts").alias("m"))
+        pairs = pairs.join(one, "a").join(two, "class").select("a", "class", "x", "n", "y", "m")
+        schema = "a long, class long, items array<long>, amounts array<long>, slack long, near boolean"
+        apart = as_table(pairs.mapInArrow(_differences, schema), scratch_path(spark, "differences"))
+        least = apart.where(~F.col("near")).groupBy("a").agg(F.min("slack").alias("least"))
+        apart = apart.join(least, "a")
+        cells = apart.select("a", "class", "near", "slack", "least", F.explode(F.arrays_zip("items", "amounts")).alias("c"))
+        cells = cells.select("a", "class", "near", "slack", "least", F.col("c.items").alias("item"), F.col("c.amounts").alias("amount"))
+        cells = cells.withColumn("more", F.col("amount") > 0)
+        often = cells.groupBy("a", "item", "more").agg(F.count("*").alias("classes"))
+        cells = as_table(cells.join(often, ["a", "item", "more"]), scratch_path(spark, "cells"))
+        order = Window.partitionBy("a", "class").orderBy("classes", "item")
+        rest = F.sum(F.abs("amount")).over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+        telling = cells.withColumn("rest", rest).where("classes > 1 AND 18 * rest >= least + slack")
+        telling = telling.select("a", "item", "more", F.col("class").alias("y"))
+        others = cells.where("classes > 1 AND NOT near").select("a", "item", "more", F.col("class").alias("x"))
+        met = others.join(telling, ["a", "item", "more"]).where("x <> y")
+        return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
     open_ = peeled(entries.select("bucket", "class", "weight"), every)
     left = every.join(open_.select("class").distinct(), "class", "left_semi")
     open_ = peeled(open_.drop("shared"), left)
     open_ = open_.withColumn("label", F.col("class"))
-    edges, labels = None, None
+    edges, labels, first = None, None, None
     for turn in range(CENTRE_ROUNDS + 1):
         if not open_.limit(1).count():
             break
-        last = turn == CENTRE_ROUNDS
-        order = F.struct((-F.col("shared") / F.col("weight")).alias("rank"), "class", "weight", "shared", "label")
-        centre = open_ if last else open_.groupBy("bucket").agg(F.min(order).alias("c")).select("bucket", "c.*")
-        centre = centre.select(
-            "bucket", F.col("class").alias("a"), F.col("weight").alias("w"), F.col("shared").alias("s"), F.col("label").alias("l")
-        )
-        if not last:
+        if turn < CENTRE_ROUNDS:
+            order = F.struct((-F.col("shared") / F.col("weight")).alias("rank"), "class", "weight", "shared", "label")
+            centre = open_.groupBy("bucket").agg(F.min(order).alias("c")).select("bucket", "c.*")
+            centre = centre.select(
+                "bucket", F.col("class").alias("a"), F.col("weight").alias("w"), F.col("shared").alias("s"), F.col("label").alias("l")
+            )
             centre = as_table(centre, scratch_path(spark, "centre"))
-        apart = (F.col("label") != F.col("l")) & could_be_near()
-        if last:
-            # A pair counts in the first of the buckets in which it meets only.
-            bands = classes.select("class", "bands")
-            centre = centre.join(bands.withColumnsRenamed({"class": "a", "bands": "others"}), "a")
-            first = F.array_min(F.array_intersect("bands", "others")) == F.col("bucket")
-            pairs = open_.join(bands, "class").join(centre, "bucket").where((F.col("a") < F.col("class")) & apart & first)
+            first = centre.select("bucket", "a") if first is None else first
+            pairs = open_.join(centre, "bucket").where((F.col("label") != F.col("l")) & could_be_near())
+            pairs = pairs.select("a", F.col("class").alias("b")).distinct()
         else:
-            pairs = open_.join(centre, "bucket").where(apart)
-        found = as_table(verified(pairs.select("a", F.col("class").alias("b")).distinct()), scratch_path(spark, "near"))
+            # What is known of a class: its weight, what it shares with any, and its group so far.
+            known = open_.select("class", "weight", "shared", "label").distinct()
+            pairs = differing(open_, first).join(known.withColumnRenamed("class", "b"), "b")
+            pairs = pairs.join(known.toDF("a", "w", "s", "l"), "a").where((F.col("label") != F.col("l")) & could_be_near())
+            pairs = pairs.select("a", "b")
+        found = as_table(verified(pairs), scratch_path(spark, "near"))
         if found.limit(1).count():
             edges = found if edges is None else edges.unionByName(found)
             labels = connected(edges)
-        if not last:
+        if turn < CENTRE_ROUNDS:
             rest = open_.join(centre.select("bucket", "a"), "bucket").where("class <> a").drop("label", "a")
             if labels is None:
                 rest = rest.withColumn("label", F.col("class"))

@@ -29,6 +29,10 @@ BYTE_CODES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(BASE))
 FOLDED_CODES = BYTE_CODES.copy()
 FOLDED_CODES[ord("A") : ord("Z") + 1] = BYTE_CODES[ord("a") : ord("z") + 1]
 
+# Numbers for every byte at each of the first places of a word.
+PLACES = 64
+PLACED_CODES = mix(mix(np.arange(1, PLACES * 256 + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))).reshape(PLACES, 256)
+
 _tables: dict[int, np.ndarray] = {}
 
 
@@ -100,6 +104,31 @@ class Words:
     def hashes(self, codes: np.ndarray = BYTE_CODES) -> np.ndarray:
         return span_hashes(prefix_sums(codes[self.data]), self.starts, self.ends)
 
+    def word_hashes(self) -> np.ndarray:
+        """The hash of each word: a sum of numbers drawn for its bytes and their places, so that no arrangement
+        of bytes cancels out as it can in a polynomial modulo 2^64."""
+        size = self.ends - self.starts
+        if not len(size):
+            return np.zeros(0, np.uint64)
+        begin = np.cumsum(size) - size
+        place = np.arange(size.sum()) - np.repeat(begin, size)
+        byte = self.data[np.repeat(self.starts, size) + place]
+        drawn = PLACED_CODES[np.minimum(place, PLACES - 1), byte]
+        far = np.flatnonzero(place >= PLACES)
+        if len(far):
+            drawn[far] = mix(drawn[far] + place[far].astype(np.uint64) * np.uint64(BASE))
+        return mix(np.add.reduceat(drawn, begin) + size.astype(np.uint64))
+
+    def joined(self) -> tuple[memoryview, np.ndarray, np.ndarray]:
+        """The words with one space between them, and where each begins and ends."""
+        size = self.ends - self.starts
+        ends = np.cumsum(size + 1) - 1
+        flat = np.full(int(ends[-1]) + 1 if len(ends) else 0, 0x20, np.uint8)
+        begin = ends - size
+        place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        flat[np.repeat(begin, size) + place] = self.data[np.repeat(self.starts, size) + place]
+        return memoryview(flat.tobytes()), begin, ends
+
     def index_in_row(self) -> np.ndarray:
         return np.arange(len(self.row)) - self.first[self.row]
 

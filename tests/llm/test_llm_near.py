@@ -112,3 +112,36 @@ def test_drop_and_empty(odd, empty):
 def test_partitions(table, parts):
     rows = [(k, f"some words that make a text number {k % 5} and then a few more of them") for k in range(50)]
     assert found(table(rows, parts=parts)) == plain(rows)
+
+
+def folded_pair(n):
+    """Two different words whose every polynomial hash with an odd base agrees modulo 2^64."""
+    bits = [bin(k).count("1") % 2 for k in range(n)]
+    return "".join("ab"[x] for x in bits), "".join("ba"[x] for x in bits)
+
+
+@pytest.mark.parametrize("n", [1024, 2048, 4096])
+def test_words_that_fool_polynomials(table, n):
+    rows = [(k, w) for k, w in enumerate(folded_pair(n))]
+    rows += [(10 + k, " ".join("xy"["ab".index(c)] for c in w)) for k, w in enumerate(folded_pair(n))]
+    assert found(table(rows)) == plain(rows)
+    assert {0, 1} <= {c for _, c, _ in plain(rows)}
+
+
+def test_copies_with_edits_of_their_own(table):
+    """Most are near the text they come from, some near another copy only, some near none."""
+    rng = random.Random(11)
+    words = [f"w{k}" for k in range(3000)]
+    text = [rng.choice(words) for _ in range(150)]
+    rows = [(0, " ".join(text))]
+    for k in range(1, 300):
+        copy = list(text)
+        for _ in range(rng.choice([1, 2, 3, 3, 4, 4])):
+            copy[rng.randrange(len(copy))] = rng.choice(words)
+        rows.append((k, " ".join(copy)))
+        if k % 10 == 0:
+            for _ in range(2):
+                copy[rng.randrange(len(copy))] = rng.choice(words)
+            rows.append((1000 + k, " ".join(copy)))
+    rng.shuffle(rows)
+    assert found(table(rows)) == plain(rows)
