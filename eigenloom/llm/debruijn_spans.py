@@ -12,10 +12,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..session import as_table, scratch_path
 from .block_naming import row_keys
-from .texts import BYTE_CODES, Words, mix, prefix_sums, slices, span_hashes, spans_to_mask, utf8, window_hashes, words
+from .texts import Words, prefix_sums, slices, span_hashes, spans_to_mask, utf8, window_hashes, words
 
 WIDTH = 35
-SECOND_CODES = mix(BYTE_CODES ^ np.uint64(0x5851F42D4C957F2D))
 
 
 @dataclass
@@ -48,7 +47,7 @@ def nodes(found: Words, width: int) -> Nodes:
     if n < long:
         first = np.zeros(len(found.first), np.int64)
         return Nodes(none, none, none, none, first)
-    sums = prefix_sums(found.hashes())
+    sums = prefix_sums(found.word_hashes())
     grams = window_hashes(sums, short)
     bits = np.uint64(max(1, n).bit_length())
     keys = (grams >> bits << bits) | np.arange(len(grams), dtype=np.uint64)
@@ -142,8 +141,11 @@ def _spans(width: int):
         order = np.argsort(start, kind="stable")
         start, end = start[order], end[order]
         row = found.row[start] if len(start) else start
-        h1 = span_hashes(prefix_sums(found.hashes()), start, end).view(np.int64)
-        h2 = span_hashes(prefix_sums(found.hashes(SECOND_CODES)), start, end).view(np.int64)
+        # What stands for a span is the digest of its words as they are.
+        flat, begin, stop = found.joined()
+        cuts = zip(begin[start].tolist(), stop[end - 1].tolist())
+        digests = b"".join(hashlib.sha256(flat[a:z]).digest()[:16] for a, z in cuts)
+        h1, h2 = np.frombuffer(digests, np.int64).reshape(-1, 2).T
         fields = [h1, h2, (start - found.first[row]).astype(np.int32), (end - start).astype(np.int32)]
         spans = pa.StructArray.from_arrays([pa.array(x) for x in fields], fields=list(pairs.value_type))
         cuts = np.searchsorted(row, np.arange(n_rows + 1)).astype(np.int32)
@@ -195,7 +197,7 @@ def remove_repeated_words(
     occurrences of a path are whole and equal. Windows within a path repeat as the path does. Windows
     that cross from one path to another or beyond its end, and hold repeated nodes only, stand for
     themselves; no equal window can lie within a path. Paths and such windows are verified at their
-    source coordinates: those whose 128-bit hash occurs twice are removed.
+    source coordinates: those removed have the same words, by 128 bits of their SHA-256, as another one.
 
     Returns doc_id, n_words, n_removed and kept (the remaining words, joined by one space), or with
     ``digest`` kept_sha256 instead, which saves writing the texts of documents without repeats.

@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from test_llm_near import folded_pair
 from eigenloom.llm.column_bwt import ABSENT, range_minima, remove_repeats, repeated_windows
 from eigenloom.llm.debruijn_spans import remove_repeated_words
 
@@ -133,3 +134,13 @@ def test_column_rounds():
             if (window != ABSENT).all() and any((grid[j, c : c + 3] == window).all() and doc[j] < doc[i] for j in range(40)):
                 wanted.add((i, c))
     assert set(zip(who.tolist(), where.tolist())) == wanted
+
+
+@pytest.mark.parametrize("n", [1024, 4096])
+def test_words_that_fool_polynomials(table, n):
+    one, two = folded_pair(n)
+    around = [f"w{k}" for k in range(20)]
+    rows = [(k, " ".join([*around, w, *around[::-1]])) for k, w in enumerate((one, two))]
+    assert [r.n_removed for r in remove_repeated_words(table(rows)).collect()] == [0, 0]
+    rows.append((2, rows[0][1]))
+    assert sorted((r.doc_id, r.n_removed) for r in remove_repeated_words(table(rows)).collect()) == [(0, 41), (1, 0), (2, 41)]
