@@ -258,8 +258,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     together are near none and leave first, twice. Then, in each of three rounds, all classes of a bucket
     are held against one centre, the one with the largest share in common with others, and what is near
     is joined; buckets that lie within one group are done, and a centre is not compared again. Pairs of a
-    bucket that are still in different groups after that are held as their differences from the bucket's
-    first centre. Two that are not both near it must share enough of these, so they are joined on the rarest
+    bucket that are still in different groups after that are held as their differences from a centre, the
+    same one for all buckets whose classes are mostly in one group. Two that are not both near it must share enough of these, so they are joined on the rarest
     items of the differences, by an exact bound, and what meets is verified: no link is lost.
 
     Returns doc_id, class_id (smallest id of the group), group_size, kept (the row of that id) and the
@@ -350,6 +350,17 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         met = others.join(telling, ["a", "item", "more"]).where("x <> y")
         return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
+    def common_centres(some: DataFrame, centres: DataFrame, labels: DataFrame | None) -> DataFrame:
+        """(bucket, a): the first centre with the most buckets, of the group that most of a bucket's classes are in."""
+        if labels is None:
+            return centres
+        named = centres.join(labels.withColumnRenamed("node", "a"), "a").groupBy("label", "a").agg(F.count("*").alias("n"))
+        named = named.groupBy("label").agg(F.max_by("a", F.struct("n", "a")).alias("to"))
+        most = some.groupBy("bucket", "label").agg(F.count("*").alias("n"))
+        most = most.groupBy("bucket").agg(F.max_by("label", F.struct("n", "label")).alias("label"))
+        chosen = centres.join(most, "bucket").join(named, "label", "left")
+        return chosen.select("bucket", F.coalesce("to", "a").alias("a"))
+
     open_ = peeled(entries.select("bucket", "class", "weight"), every)
     left = every.join(open_.select("class").distinct(), "class", "left_semi")
     open_ = peeled(open_.drop("shared"), left)
@@ -371,7 +382,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         else:
             # What is known of a class: its weight, what it shares with any, and its group so far.
             known = open_.select("class", "weight", "shared", "label").distinct()
-            pairs = differing(open_, first).join(known.withColumnRenamed("class", "b"), "b")
+            pairs = differing(open_, common_centres(open_, first, labels)).join(known.withColumnRenamed("class", "b"), "b")
             pairs = pairs.join(known.toDF("a", "w", "s", "l"), "a").where((F.col("label") != F.col("l")) & could_be_near())
             pairs = pairs.select("a", "b")
         found = as_table(verified(pairs), scratch_path(spark, "near"))
