@@ -10,18 +10,30 @@ from itertools import chain
 import numpy as np
 
 # A worker forgets its chunks, or its pieces too, beyond this many characters, and learns anew.
-REMEMBERED_CHARS = 4_000_000
+REMEMBERED_CHARS = 8_000_000
 # Whitespace of the Unicode property. Pieces of other characters than these are left to the tokenizer whole.
-SIMPLE = re.compile("[!-~¡-ɏ]*")
+SIMPLE = re.compile("[!-~¡-ɏ\n]*")
 # How a byte-level pre-tokenizer parts such a text: a fixed pattern, letters and digits below U+0250 spelled out.
 LETTER = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
 DIGIT = "0-9²³¹¼-¾"
-PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTER}]+| ?[{DIGIT}]+| ?[^ {LETTER}{DIGIT}]+")
-WORD = re.compile(f" ?[{LETTER}]+")
+PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTER}]+| ?[{DIGIT}]+| ?[^ \\n{LETTER}{DIGIT}]+|\\n+(?!\\S)|\\n")
+# A chunk of letters and then signs that are neither letters nor digits, or any other chunk.
+SIGN = "!-/:-@\\[-`{-~¡-©«-±´¶-¸»¿×÷"
+PLAIN = re.compile(f"^(?:([{LETTER}]*)([{SIGN}]*)|(.+))$", re.MULTILINE)
 IRREGULAR = re.compile(r" (?:\s|$)")
 SPLIT = re.compile(r" (?=\S)")
 
 
+def byte_letters() -> dict[int, str]:
+    """The character by which a byte-level vocabulary writes each byte: printable ones as they are, then from 256 on."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(others)}
+
+
+BYTE_LETTERS = byte_letters()
+
+
 def tokenizer_size(path: str) -> int:
     """One more than the largest id of a tokenizer file."""
     from tokenizers import Tokenizer
@@ -65,7 +77,6 @@ class PieceEncoder:
             and not settings.get("padding")
         )
         self.special = [t["content"] for t in settings.get("added_tokens") or []]
-        self.line_break = self.whole("\n")
         self.clear()
 
     def clear(self) -> None:
@@ -84,33 +95,45 @@ class PieceEncoder:
     def whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def learn_pieces(self, new: list[str]) -> None:
-        """Words go through the tokenizer in lines, as a line break is always a piece of its own."""
-        lines = [p for p in new if WORD.fullmatch(p)] if len(self.line_break) == 1 else []
-        rest = list(set(new).difference(lines))
-        chains = ["\n".join(lines[i : i + 512]) + "\n" for i in range(0, len(lines), 512)]
-        ids = np.fromiter(chain.from_iterable(map(self.whole, chains)), np.uint32)
-        breaks = np.flatnonzero(ids == self.line_break[0]) if lines else np.zeros(0, np.int64)
-        single = [self.whole(p) for p in rest]
-        sizes = np.array([len(s) for s in single], np.int64)
-        start = np.concatenate((np.append(0, breaks + 1)[: len(lines)], len(ids) + np.cumsum(sizes) - sizes))
-        length = np.concatenate((breaks - start[: len(lines)], sizes))
-        self.pieces.update(zip(chain(lines, rest), range(len(self.piece_start), len(self.piece_start) + len(new))))
-        self.piece_start = np.append(self.piece_start, start + len(self.piece_ids))
+    def learn_pieces(self, new: list[str | tuple[str]]) -> None:
+        """Single pieces go straight to the merges of the library's model, tuples through all of it."""
+        merge, found = self.tokenizer.model.tokenize, []
+        for piece in new:
+            if isinstance(piece, str):
+                letters = piece.encode().decode("latin-1").translate(BYTE_LETTERS)
+                found.append([token.id for token in merge(letters)])
+            else:
+                found.append(self.whole(piece[0]))
+        length = np.array([len(f) for f in found], np.int64)
+        self.pieces.update(zip(new, range(len(self.piece_start), len(self.piece_start) + len(new))))
+        self.piece_start = np.append(self.piece_start, np.cumsum(length) - length + len(self.piece_ids))
         self.piece_length = np.append(self.piece_length, length)
-        self.piece_ids = np.concatenate((self.piece_ids, ids, np.fromiter(chain.from_iterable(single), np.uint32)))
-        self.piece_chars += sum(map(len, new))
+        self.piece_ids = np.append(self.piece_ids, np.fromiter(chain.from_iterable(found), np.uint32))
+        self.piece_chars += sum(len(p) if isinstance(p, str) else len(p[0]) for p in new)
+
+    def parted(self, text: str) -> list[str | tuple[str]]:
+        """The pieces of a text, or the text as a tuple where its parting is left to the library."""
+        if self.by_pieces and SIMPLE.fullmatch(text, 1 if text[0] == " " and text[1:2] not in ("", "\n") else 0):
+            if not any(s in text for s in self.special):
+                return PIECES.findall(text)
+        return [(text,)]
 
     def learn(self, new: list[str | tuple[str]]) -> None:
         """Remember the ids of chunks: those of their pieces, one after another."""
+        lines = [key for key in new if isinstance(key, str) and "\n" not in key]
+        rest = list(set(new).difference(lines))
         found = []
-        for key in new:
-            if isinstance(key, str):
-                found.append(PIECES.findall(f" {key}") if SIMPLE.fullmatch(key) else [f" {key}"])
-            elif self.by_pieces and SIMPLE.fullmatch(key[0]) and not any(s in key[0] for s in self.special):
-                found.append(PIECES.findall(key[0]))
+        for letters, signs, other in PLAIN.findall("\n".join(lines)) if lines else ():
+            if other:
+                found.append(self.parted(f" {other}"))
+            elif letters and signs:
+                found.append((f" {letters}", signs))
             else:
-                found.append([key[0]] if key[0] else [])
+                found.append((f" {letters or signs}",))
+        for key in rest:
+            text = f" {key}" if isinstance(key, str) else key[0]
+            found.append(self.parted(text) if text else ())
+        new = lines + rest
         unknown = set(chain.from_iterable(found)).difference(self.pieces)
         if unknown:
             self.learn_pieces(list(unknown))
