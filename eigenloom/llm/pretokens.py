@@ -11,6 +11,7 @@ import numpy as np
 
 # A worker forgets its chunks, or its pieces too, beyond this many characters, and learns anew.
 REMEMBERED_CHARS = 8_000_000
+REMEMBERED_PIECE_CHARS = 12_000_000
 # Whitespace of the Unicode property. Pieces of other characters than these are left to the tokenizer whole.
 SIMPLE = re.compile("[!-~¡-ɏ\n]*")
 # How a byte-level pre-tokenizer parts such a text: a fixed pattern, letters and digits below U+0250 spelled out.
@@ -156,7 +157,7 @@ class PieceEncoder:
 
     def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids end to end, each text's followed by ``end_id``, and where each text begins."""
-        if self.piece_chars > REMEMBERED_CHARS:
+        if self.piece_chars > REMEMBERED_PIECE_CHARS:
             self.clear()
         elif self.chars > REMEMBERED_CHARS:
             self.clear_chunks()
