@@ -51,6 +51,19 @@ def gather(ids: np.ndarray, codes: np.ndarray, start: np.ndarray, length: np.nda
     return ids[place], sizes
 
 
+class Numbered(dict):
+    """Numbers keys as they are first looked up, and lists the new ones."""
+
+    def __init__(self):
+        super().__init__()
+        self.new = []
+
+    def __missing__(self, key):
+        number = self[key] = len(self)
+        self.new.append(key)
+        return number
+
+
 class PieceEncoder:
     """Token ids equal to those of the library on whole texts.
 
@@ -89,7 +102,7 @@ class PieceEncoder:
 
     def clear_chunks(self) -> None:
         self.chars = 0
-        self.chunks: dict[str | tuple[str], int] = {}
+        self.chunks = Numbered()
         self.ids = np.zeros(0, np.uint32)
         self.start, self.length = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
@@ -143,9 +156,10 @@ class PieceEncoder:
         ids, sizes = gather(self.piece_ids, codes, self.piece_start, self.piece_length)
         ends = np.cumsum(sizes)
         bounds = np.append(0, ends)[np.append(0, np.cumsum(n))]
-        self.chunks.update(zip(new, range(len(self.start), len(self.start) + len(new))))
-        self.start = np.append(self.start, bounds[:-1] + len(self.ids))
-        self.length = np.append(self.length, np.diff(bounds))
+        place = np.fromiter(map(self.chunks.__getitem__, new), np.int64, len(new))
+        self.start = np.append(self.start, np.zeros(len(new), np.int64))
+        self.length = np.append(self.length, np.zeros(len(new), np.int64))
+        self.start[place], self.length[place] = bounds[:-1] + len(self.ids), np.diff(bounds)
         self.ids = np.append(self.ids, ids)
         self.chars += sum(len(key) if isinstance(key, str) else len(key[0]) for key in new)
 
@@ -162,11 +176,11 @@ class PieceEncoder:
         elif self.chars > REMEMBERED_CHARS:
             self.clear_chunks()
         split = [self.chunked(t) if self.by_pieces and not any(s in t for s in self.special) else [(t,)] for t in texts]
-        new = set().union(*split).difference(self.chunks)
-        if new:
-            self.learn(list(new))
         n = np.array([len(s) for s in split], np.int64)
         codes = np.fromiter(map(self.chunks.__getitem__, chain.from_iterable(split)), np.int64, n.sum())
+        if self.chunks.new:
+            self.learn(self.chunks.new)
+            self.chunks.new = []
         ids, sizes = gather(self.ids, codes, self.start, self.length)
         ends = np.append(0, np.cumsum(sizes))[np.cumsum(n)]
         return np.insert(ids, ends, end_id), np.append(0, ends + np.arange(1, len(texts) + 1))
