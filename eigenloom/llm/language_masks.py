@@ -165,9 +165,11 @@ def identify_languages(
     Null, empty and letterless texts give ``und`` with score 0, as does any text if no language was
     learned. A text with letters and no known n-gram gives the commonest language with score 0. Ties go
     to the first language in name order. Repeated rows repeat. Whole texts are read, in stretches, so
-    memory does not grow with them beyond their bytes. Other columns are ignored.
+    memory does not grow with them beyond their bytes. Other columns are ignored, kept ones named like
+    the results give way to them.
     """
     spark = docs.sparkSession
+    keep = [c for c in keep if c not in ("lang_pred", "score")]
     text = F.col(text_col).cast("string")
     rows = docs.select(*keep, F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("_letters"), text.alias("_text"))
     kept = [f for f in rows.schema.fields if f.name in keep]

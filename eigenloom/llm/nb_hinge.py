@@ -176,8 +176,9 @@ def score_quality(
     """``keep`` columns of every row with ``score``: how likely its whole text has label 1.
 
     Null counts as empty; empty texts get the score of a text without n-grams. Repeated rows repeat and
-    null ids stay. Memory follows the longest text. Other columns are ignored.
+    null ids stay. Memory follows the longest text. Other columns are ignored, a kept ``score`` gives way.
     """
+    keep = [c for c in keep if c != "score"]
     rows = docs.select(*keep, F.col(text_col).cast("string").alias("_text"))
     kept = rows.schema.fields[: len(keep)]
     sql = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept) + "score double"

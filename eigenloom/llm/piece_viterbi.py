@@ -205,8 +205,10 @@ def encode_pieces(docs: DataFrame, model: str, text_col: str = "text", keep: tup
 
     Null and empty texts give no ids. Repeated rows repeat, null ids stay, other columns are ignored.
     Memory follows the longest text; texts pass in stretches of a megabyte. Characters outside the
-    vocabulary become bytes, so every text has ids.
+    vocabulary become bytes, so every text has ids; U+2581 stands for a space, and is one when decoded. A
+    kept column ``ids`` gives way to the result.
     """
+    keep = [c for c in keep if c != "ids"]
     rows = docs.select(*keep, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
     sql, schema = _schemas(rows, keep, "ids", "array<int>", pa.list_(pa.int32()))
 
@@ -223,7 +225,11 @@ def encode_pieces(docs: DataFrame, model: str, text_col: str = "text", keep: tup
 
 
 def decode_pieces(rows: DataFrame, model: str, ids_col: str = "ids", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns of every row, with ``text`` spelled by its ids. Null ids give the empty text."""
+    """``keep`` columns of every row, with ``text`` spelled by its ids. Null ids give the empty text.
+
+    A kept column ``text`` gives way to the result.
+    """
+    keep = [c for c in keep if c != "text"]
     rows = rows.select(*keep, F.coalesce(F.col(ids_col), F.array().cast("array<int>")).alias("_ids"))
     sql, schema = _schemas(rows, keep, "text", "string", pa.string())
 

@@ -174,3 +174,17 @@ def test_dual_descent_separates():
     assert ((margin > 0) == (labels == 1)).all()
     slope, offset = calibrate(margin, labels)
     assert slope > 0 and math.isfinite(offset)
+
+
+def test_kept_columns_give_way(table):
+    """Columns of the input that are named like a result are not kept beside it."""
+    docs = table([(1, "ababab"), (2, "cdcdcd")]).withColumn("lang", F.lit("x"))
+    found = identify_languages(docs, fit_languages(docs), keep=("doc_id", "score", "lang_pred", "tag"))
+    assert found.columns == ["doc_id", "tag", "lang_pred", "score"] and found.where("lang_pred = 'x'").count() == 2
+    coded = encode_pieces(docs, MODEL, keep=("doc_id", "ids", "text"))
+    assert coded.columns == ["doc_id", "text", "ids"] and coded.where("size(ids) > 0").count() == 2
+    texts = decode_pieces(coded, MODEL, keep=("doc_id", "text"))
+    assert sorted(map(tuple, texts.collect())) == [(1, "ababab"), (2, "cdcdcd")]
+    model = fit_quality(docs, docs.selectExpr("doc_id", "CAST(doc_id - 1 AS INT) AS quality"))
+    scored = score_quality(docs, model, keep=("doc_id", "score"))
+    assert scored.columns == ["doc_id", "score"] and scored.where("score BETWEEN 0 AND 1").count() == 2
