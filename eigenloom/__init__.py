@@ -62,6 +62,8 @@ from .sinks.matrices import (
     write_matrix,
     write_matrix_rows,
 )
+from .sources.committed import read_committed_lines, write_committed_lines
+from .sources.coo import scan_coo_text
 from .sources.tables import read_matrix
 from .sources.text import read_components, read_coo_text, read_dense_text, rejected_lines
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..operators.shapes import has_far_cells, is_rows, merge_entries, to_entries, to_rows
+from ..sources.committed import write_committed_lines
 
 FORMATS = ("DENSE", "LIL", "COO", "PARQUET")
 
@@ -82,25 +83,29 @@ def coo_lines(matrix: DataFrame) -> DataFrame:
     )
 
 
-def _write_lines(lines: DataFrame, order: list[str | Column], path: str, mode: str) -> None:
+def _write_lines(lines: DataFrame, order: list[str | Column], path: str, mode: str, committed: bool = False) -> None:
     """Part files in row order: a range exchange, then a sort inside each file."""
-    lines.sort(*order).select("line").write.mode(mode).text(path)
+    lines = lines.sort(*order)
+    if committed:
+        write_committed_lines(lines.select(F.col("i").alias("row_id"), "line"), path, mode)
+    else:
+        lines.select("line").write.mode(mode).text(path)
 
 
 def write_dense_text(
-    matrix: DataFrame, path: str, n_cols: int, n_rows: int | None = None, mode: str = "errorifexists"
+    matrix: DataFrame, path: str, n_cols: int, n_rows: int | None = None, mode: str = "errorifexists", committed: bool = False
 ) -> None:
-    _write_lines(dense_lines(matrix, n_cols, n_rows), ["i"], path, mode)
+    _write_lines(dense_lines(matrix, n_cols, n_rows), ["i"], path, mode, committed)
 
 
 def write_lil_text(
-    matrix: DataFrame, path: str, n_rows: int | None = None, mode: str = "errorifexists"
+    matrix: DataFrame, path: str, n_rows: int | None = None, mode: str = "errorifexists", committed: bool = False
 ) -> None:
-    _write_lines(lil_lines(matrix, n_rows), ["i"], path, mode)
+    _write_lines(lil_lines(matrix, n_rows), ["i"], path, mode, committed)
 
 
-def write_coo_text(matrix: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    _write_lines(coo_lines(matrix), ["i", "j"], path, mode)
+def write_coo_text(matrix: DataFrame, path: str, mode: str = "errorifexists", committed: bool = False) -> None:
+    _write_lines(coo_lines(matrix), ["i", "j"], path, mode, committed)
 
 
 def write_components_text(
@@ -121,8 +126,12 @@ def write_matrix(
     n_cols: int | None = None,
     n_rows: int | None = None,
     mode: str = "errorifexists",
+    committed: bool = False,
 ) -> str:
-    """Write entries, rows or components in one of FORMATS under ``path``; returns the written folder."""
+    """Write entries, rows or components in one of FORMATS under ``path``; returns the written folder.
+
+    With ``committed`` text goes to a folder whose content changes all at once and that keeps the row ids.
+    """
     if fmt not in FORMATS:
         raise ValueError(f"fmt must be one of {FORMATS}")
     if "comp" in matrix.columns:
@@ -131,11 +140,13 @@ def write_matrix(
     if fmt == "DENSE":
         if n_cols is None:
             raise ValueError("a dense text needs n_cols")
-        write_dense_text(matrix, target, n_cols, n_rows, mode)
+        write_dense_text(matrix, target, n_cols, n_rows, mode, committed)
     elif fmt == "LIL":
-        write_lil_text(matrix, target, n_rows, mode)
+        write_lil_text(matrix, target, n_rows, mode, committed)
     elif fmt == "COO":
-        write_coo_text(matrix, target, mode)
+        write_coo_text(matrix, target, mode, committed)
+    elif committed:
+        raise ValueError("committed is for text")
     else:
         write_matrix_rows(matrix, target, mode)
     return target

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..operators.shapes import limit_columns, merge_entries, rebase_columns
 from ..session import FACTOR_LIMIT_BYTES
+from .committed import read_committed_lines
 
 # Blocks whose first line numbers may be broadcast, at about 160 bytes each.
 MAX_BLOCKS = FACTOR_LIMIT_BYTES // 160
@@ -74,10 +75,13 @@ def _dense_cells(lines: DataFrame, parts: Column, malformed: str) -> DataFrame:
     return rows
 
 
-def read_dense_text(spark: SparkSession, path: str, malformed: str = "fail") -> DataFrame:
-    """Whitespace-separated numbers, one matrix row per line, as sparse rows (zeros dropped)."""
+def read_dense_text(spark: SparkSession, path: str, malformed: str = "fail", committed: bool = False) -> DataFrame:
+    """Whitespace-separated numbers, one matrix row per line, as sparse rows (zeros dropped).
+
+    Lines of a ``committed`` folder have the row ids they were written with; others are counted.
+    """
     _checked(malformed)
-    lines = numbered_lines(spark, path)
+    lines = numbered_lines(spark, path) if not committed else read_committed_lines(spark, path).withColumnRenamed("line", "value")
     rows = _dense_cells(lines, _dense_parts(), malformed)
     cells = F.filter(
         F.transform("values", lambda x, i: F.struct(i.alias("i"), x.alias("x"))),

@@ -197,6 +197,7 @@ WITH y AS ({USER_HOUR}),
 k AS (SELECT r, row_number() OVER (ORDER BY r) - 1 AS k FROM (SELECT DISTINCT r FROM y WHERE v <> 0))
 SELECT k AS row_id, c AS col_id, round(v, 6) AS value FROM y JOIN k USING (r) WHERE v <> 0""",
     "coo_text_ingest": f"{CELLS} (SELECT r, c, sum(v) AS v FROM ({ENTRIES}) GROUP BY r, c)",
+    "coo_text_scan": f"{CELLS} ({ENTRIES}) WHERE c <= {HALF}",
     "coo_text_last": f"{CELLS} (SELECT r, c, max(v) AS v FROM ({ENTRIES}) GROUP BY r, c)",
     "components_ingest": """
 SELECT p_partkey AS col_id, j AS comp, CAST((p_partkey + j) % 10 + 1 AS DOUBLE) AS value
@@ -214,6 +215,9 @@ WITH y AS (SELECT r, c, sum(v) AS v FROM ({ENTRIES}) GROUP BY r, c),
 p AS (SELECT r, string_agg(c || ':' || CAST(v AS VARCHAR), ',' ORDER BY c) AS s FROM y WHERE v <> 0 GROUP BY r)
 SELECT i, '{{' || coalesce(s, '') || '}}' AS line
 FROM (SELECT unnest(range((SELECT count(*) FROM orders))) AS i) LEFT JOIN p ON r = i""",
+    "write_lil_committed": f"""
+SELECT r AS i, '{{' || string_agg(c || ':' || CAST(v AS VARCHAR), ',' ORDER BY c) || '}}' AS line
+FROM (SELECT r, c, sum(v) AS v FROM ({ENTRIES}) GROUP BY r, c) WHERE v <> 0 GROUP BY r""",
     "write_coo": f"""
 SELECT r AS i, r || ',' || c || ',' || CAST(sum(v) AS VARCHAR) AS line FROM ({ENTRIES})
 GROUP BY r, c HAVING sum(v) <> 0""",

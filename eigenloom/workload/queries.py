@@ -24,6 +24,7 @@ from .. import (
     mean_times_matrix,
     project_rows,
     randomized_pca,
+    read_committed_lines,
     read_components,
     read_coo_text,
     read_dense_text,
@@ -34,6 +35,7 @@ from .. import (
     residual_spectral_norm,
     row_residual,
     sample_rows,
+    scan_coo_text,
     score_sums,
     sketch_pca,
     sketch_pca_tsqr,
@@ -105,6 +107,13 @@ def coo_text_ingest(spark, sf):
     return out(read_coo_text(spark, _coo_files(spark, sf), base=1), 6)
 
 
+def coo_text_scan(spark, sf):
+    """Through the data source: columns are left out in the tasks that read."""
+    _, n_cols = fx.order_part_dims(spark, sf)
+    cells = scan_coo_text(spark, _coo_files(spark, sf), base=1)
+    return out(cells.where(F.col("col_id") <= n_cols // 2), 6)
+
+
 def coo_text_last(spark, sf):
     return out(read_coo_text(spark, _coo_files(spark, sf, True), base=1, on_duplicate="last"), 6)
 
@@ -156,6 +165,12 @@ def write_lil(spark, sf):
     )
 
 
+def write_lil_committed(spark, sf):
+    """Rows without a cell have no line; the others keep their ids."""
+    path = write_matrix(fx.order_part(spark, sf), "LIL", scratch_path(spark, "out"), committed=True)
+    return out(read_committed_lines(spark, path).withColumnRenamed("row_id", "i"), 0)
+
+
 def write_coo(spark, sf):
     path = write_matrix(fx.order_part(spark, sf), "COO", scratch_path(spark, "out"))
     lines = spark.read.text(path).withColumnRenamed("value", "line")
@@ -543,11 +558,13 @@ def pca_randomized(spark, sf):
 QUERIES = {
     "dense_text_ingest": dense_text_ingest,
     "coo_text_ingest": coo_text_ingest,
+    "coo_text_scan": coo_text_scan,
     "coo_text_last": coo_text_last,
     "coo_text_drop": coo_text_drop,
     "components_ingest": components_ingest,
     "matrix_scan": matrix_scan,
     "write_dense": write_dense,
+    "write_lil_committed": write_lil_committed,
     "write_lil": write_lil,
     "write_coo": write_coo,
     "cap_columns": cap_columns_entries,
