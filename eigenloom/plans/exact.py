@@ -1,4 +1,4 @@
-"""Exact principal components through Spark's own PCA, for comparison with the sketches."""
+"""Exact principal components: through Spark's own PCA for few columns, by Lanczos steps for many."""
 
 from __future__ import annotations
 
@@ -13,9 +13,10 @@ from pyspark.sql import DataFrame, functions as F
 from ..operators.blocks import DENSE_CELLS, batch_rows
 from ..operators.products import vector_batch
 from ..operators.shapes import count_rows, first_segment, has_far_cells, is_rows, to_rows
-from ..session import as_table, drop_path, scratch_path
+from ..session import as_table, drop_path, fits_broadcast, scratch_path
+from .lanczos import FULL, lanczos_in
 from .pca import Fit, checked_k
-from .spaces import column_signs, declared, factor_table
+from .spaces import column_signs, declared, factor_table, opened
 
 # Spark's PCA holds a columns x columns covariance, 8 bytes a number, on the driver.
 COVARIANCE_BYTES = 512 << 20
@@ -58,13 +59,30 @@ def exact_pca(
     n_rows: int | None = None,
     n_cols: int | None = None,
     covariance_bytes: int = COVARIANCE_BYTES,
+    method: str = "covariance",
+    seed: int = 0,
+    rtol: float = 1e-10,
+    max_scans: int = 300,
+    cache: bool = False,
 ) -> Fit:
-    """The k leading components from the full covariance matrix; few columns only.
+    """The k leading components from the full covariance matrix, or with ``lanczos`` without it.
 
-    ``covariance_bytes`` bounds that matrix: the default lets 8,192 columns in.
+    ``covariance_bytes`` bounds what the driver holds. The default lets 8,192 columns in as a covariance. For
+    ``lanczos`` it bounds a basis and its images, 96 (k + 5) bytes a column: 930,000 columns with k=1, 370,000
+    with k=10. That method makes scans, at most ``max_scans``, until each component's residual is below
+    ``rtol`` times its squared singular value; values below 1e-6 of the first count as zero.
     """
+    if method not in ("covariance", "lanczos"):
+        raise ValueError("method must be 'covariance' or 'lanczos'")
     began = time.perf_counter()
     n_rows, n_cols = declared(matrix, n_rows, n_cols)
+    if method == "lanczos":
+        k = checked_k(k, n_cols)
+        width = min(k + 5, n_cols)
+        if 2 * 8 * n_cols * min(FULL * width, n_cols) > covariance_bytes or not fits_broadcast(n_cols, width):
+            raise ValueError(f"a basis of {FULL * width} columns of length {n_cols} takes more than {covariance_bytes} bytes")
+        with opened(matrix, width, n_rows, n_cols, cache=cache) as space:
+            return lanczos_in(space, k, seed, rtol, max_scans)
     if n_cols * n_cols * 8 > covariance_bytes:
         raise ValueError(f"the covariance of {n_cols} columns takes more than {covariance_bytes} bytes")
     k = checked_k(k, n_cols)

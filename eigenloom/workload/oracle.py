@@ -302,6 +302,7 @@ FROM part, (SELECT unnest(range(4)) AS j)""",
     "fit_until_tolerance": sigmas(LINEITEM5, 5, 200, 2),
     "evaluate_components": one_sigma("value"),
     "exact_pca": loadings(),
+    "exact_pca_lanczos": loadings(),
     "randomized_pca": loadings(),
 }
 ORACLE |= {

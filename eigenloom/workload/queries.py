@@ -551,6 +551,10 @@ def pca_exact(spark, sf):
     return _loadings(exact_pca(fx.lineitem5(spark, sf), 2))
 
 
+def pca_lanczos(spark, sf):
+    return _loadings(exact_pca(fx.lineitem5(spark, sf), 2, method="lanczos"))
+
+
 def pca_randomized(spark, sf):
     return _loadings(randomized_pca(fx.lineitem5(spark, sf), 2, p=2, q=2))
 
@@ -624,5 +628,6 @@ QUERIES = {
     "fit_until_tolerance": until_tolerance,
     "evaluate_components": evaluated_components,
     "exact_pca": pca_exact,
+    "exact_pca_lanczos": pca_lanczos,
     "randomized_pca": pca_randomized,
 }
