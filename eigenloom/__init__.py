@@ -51,7 +51,9 @@ from .plans.pca import (
 from .plans.residual import (
     evaluate_components,
     kth_singular_value,
+    relative_spectral_bound,
     relative_spectral_error,
+    residual_norm_bound,
     residual_spectral_norm,
 )
 from .sinks.matrices import (

@@ -12,6 +12,10 @@ from pyspark.sql import DataFrame
 from .spaces import RANK_TOLERANCE, declared, opened
 
 
+# Added to the seed of probes for a bound, so that they are independent of a fit with the same seed.
+BOUND_SEED = 1_000_003
+
+
 def whitener(gram: np.ndarray) -> np.ndarray:
     """T with T'(gram)T = I on the numerical range of a Gram matrix."""
     if not np.isfinite(gram).all():
@@ -80,6 +84,30 @@ def residual_norm_in(space, v, stop: Stop) -> Measure:
     return unsettled(norm, "the residual norm", stop.norm_iter)
 
 
+def norm_bound_in(space, v, failure: float, probes: int, power: int, seed: int) -> float:
+    """An upper bound of the norm of E = Yc (I - V V') from what E (E'E)^power does to independent normal probes.
+
+    The norm of any matrix is at most a sqrt(2 / pi) times the longest image of r such probes, but for a chance
+    of a^-r at most. It is taken for the odd power of E, whose norm is that power of E's: the root of it brings the
+    bound closer to the norm.
+    """
+    factor, log_size = space.start(probes, seed), 0.0
+    for step in range(power + 1):
+        factor = space.less(factor, v, space.inner(v, factor))
+        space.keep_only(v, factor)
+        y_cross, z_gram = space.sketch(factor, cross=step < power)
+        if not np.isfinite(z_gram).all():
+            raise ValueError("the matrix holds NaN or infinite values")
+        size = float(z_gram.diagonal().max())
+        if size <= 0:
+            return float(space.noise)
+        if step < power:
+            factor = space.times(y_cross, np.eye(probes) / size)
+            log_size += math.log(size)
+    log_size += 0.5 * math.log(size) + 0.5 * math.log(2 / math.pi) - math.log(failure) / probes
+    return max(math.exp(log_size / (2 * power + 1)), float(space.noise))
+
+
 def kth_in(space, k: int, stop: Stop) -> Measure:
     """The k-th singular value of Yc; 0 beyond its rank."""
     factor, found = space.start(min(k + stop.oversample, space.n_cols), stop.seed), 0.0
@@ -139,6 +167,41 @@ def residual_spectral_norm(
         return residual_norm_in(space, loaded(space, components, k, orthonormalize), stop)
 
 
+def residual_norm_bound(
+    matrix: DataFrame,
+    components: DataFrame,
+    k: int,
+    failure: float = 1e-3,
+    probes: int = 10,
+    power: int = 2,
+    orthonormalize: bool = True,
+    n_rows: int | None = None,
+    n_cols: int | None = None,
+    seed: int = 0,
+    **where,
+) -> float:
+    """A bound that the norm of ``residual_spectral_norm`` exceeds with a chance of ``failure`` at most.
+
+    ``residual_spectral_norm`` comes from below and may stop short; this comes from above. The chance is over seeds
+    and holds for any matrix, if the seed was not used to find the components. It takes ``power`` + 1 scans;
+    each one narrows the distance to the norm: at 0 it can be several times as large, at 2 a third more or so.
+    ``relative_spectral_bound`` sets it in relation to the next singular value.
+    """
+    if not 0 < failure < 1 or probes < 1 or power < 0:
+        raise ValueError("failure must lie between 0 and 1, probes be 1 or more, power 0 or more")
+    n_rows, n_cols = declared(matrix, n_rows, n_cols)
+    checked_order(k, n_cols)
+    with opened(matrix, max(k, probes), n_rows, n_cols, **where) as space:
+        # A seed apart from those of fits, which begin at 0.
+        return norm_bound_in(space, loaded(space, components, k, orthonormalize), failure, probes, power, seed + BOUND_SEED)
+
+
+def relative_spectral_bound(matrix: DataFrame, components: DataFrame, k: int, next_sigma: float, **options) -> float:
+    """A bound of the error relative to the given k+1st singular value; options as in ``residual_norm_bound``."""
+    relative(0.0, next_sigma)
+    return relative(residual_norm_bound(matrix, components, k, **options), next_sigma)
+
+
 def kth_singular_value(
     matrix: DataFrame,
     k: int,

@@ -298,6 +298,7 @@ FROM part, (SELECT unnest(range(4)) AS j)""",
     "sketch_pca_embeddings": sigmas(EMBEDDING_CELLS, 64, 3000, 3),
     "kth_singular_value": one_sigma("sigma"),
     "residual_norm": one_sigma("value"),
+    "residual_bound": f"SELECT value, true AS holds FROM ({one_sigma('value')})",
     "relative_error": relative_error(),
     "fit_until_tolerance": sigmas(LINEITEM5, 5, 200, 2),
     "evaluate_components": one_sigma("value"),

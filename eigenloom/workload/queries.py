@@ -32,6 +32,7 @@ from .. import (
     rebase_columns,
     reconstruct_rows,
     relative_spectral_error,
+    residual_norm_bound,
     residual_spectral_norm,
     row_residual,
     sample_rows,
@@ -525,6 +526,14 @@ def residual_norm(spark, sf):
     return number(spark, residual_spectral_norm(rows, fit.components, 2), 3)
 
 
+def residual_bound(spark, sf):
+    """The residual norm, and whether its bound lies above it but below twice as much."""
+    rows = fx.lineitem5(spark, sf)
+    fit = sketch_pca(rows, 2, oversample=2, max_iter=3)
+    norm, bound = residual_spectral_norm(rows, fit.components, 2), residual_norm_bound(rows, fit.components, 2)
+    return number(spark, norm, 3).withColumn("holds", F.lit(norm <= bound < 2 * norm))
+
+
 def relative_error(spark, sf):
     """How far one plain axis, the quantity column, is from the best single component."""
     rows = fx.lineitem5(spark, sf)
@@ -624,6 +633,7 @@ QUERIES = {
     "residual_norm_tables": residual_norm_tables,
     "kth_singular_value": singular_value,
     "residual_norm": residual_norm,
+    "residual_bound": residual_bound,
     "relative_error": relative_error,
     "fit_until_tolerance": until_tolerance,
     "evaluate_components": evaluated_components,

@@ -75,5 +75,5 @@ def test_bounds_and_warnings(spark):
     with pytest.warns(UserWarning, match="settle"):
         fit = el.exact_pca(entries, k=2, n_cols=25, method="lanczos", max_scans=1)
     assert not fit.converged
-    with pytest.raises(ValueError, match="zero"):
+    with pytest.raises(ValueError, match="zero"), pytest.warns(UserWarning, match="rank 0"):
         el.exact_pca(entries_of(spark, np.ones((4, 3))), k=1, n_cols=3, method="lanczos")
