@@ -107,14 +107,15 @@ class SparseBlock:
             into[j, columns] += np.bincount(place, weights=weights, minlength=n_cols)
 
 
-def batch_rows(batch) -> SparseBlock:
-    """The ``indices`` and ``values`` columns of an Arrow batch as one block."""
+def batch_rows(batch, null: float | None = None) -> SparseBlock:
+    """The ``indices`` and ``values`` columns of an Arrow batch as one block; ``null`` stands for null values."""
     index, value = batch.column("indices"), batch.column("values")
     lengths = index.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    value = value.flatten() if null is None else value.flatten().fill_null(null)
     return SparseBlock(
         lengths,
         index.flatten().to_numpy(zero_copy_only=False).astype(np.int64),
-        value.flatten().to_numpy(zero_copy_only=False),
+        value.to_numpy(zero_copy_only=False),
     )
 
 

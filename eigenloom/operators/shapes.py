@@ -78,14 +78,14 @@ def merge_entries(entries: DataFrame) -> DataFrame:
     return entries.groupBy("row_id", "col_id").agg(F.sum("value").alias("value"))
 
 
-def to_rows(entries: DataFrame, merged: bool = False) -> DataFrame:
-    """Entries to sparse rows. A group is one row's segment: at most SEGMENT_WIDTH cells.
+def to_rows(entries: DataFrame, merged: bool = False, segment: int = SEGMENT_WIDTH) -> DataFrame:
+    """Entries to sparse rows. A group is one row's segment: at most ``segment`` cells.
 
     Zero cells are not stored, but a row of which only zeros are left is still a row, without cells.
     ``merged=True`` promises one entry per cell and saves a shuffle.
     """
     cells = entries if merged else merge_entries(entries)
-    cells = cells.withColumn("segment", F.floor(F.col("col_id") / SEGMENT_WIDTH).cast("int"))
+    cells = cells.withColumn("segment", F.floor(F.col("col_id") / segment).cast("int"))
     cell = F.struct(F.col("col_id").cast("int").alias("col_id"), "value")
     stored = F.collect_list(F.when(F.col("value") != 0, cell))
     grouped = cells.groupBy("row_id", "segment").agg(F.sort_array(stored).alias("cells"))

@@ -22,10 +22,11 @@ def _per_column(matrix: DataFrame, value: Column, n_cols: int | None = None) ->
     return cells.groupBy("col_id").agg(F.sum(value).alias("value"))
 
 
-def column_sums(matrix: DataFrame, n_cols: int | None = None) -> DataFrame:
+def column_sums(matrix: DataFrame, n_cols: int | None = None, null: float | None = None) -> DataFrame:
     """(col_id, value): the sum of each column with stored cells, also where they add up to 0.
 
-    Sparse rows of a known, bounded width are summed inside each task before anything is exchanged.
+    Sparse rows of a known, bounded width are summed inside each task before anything is exchanged; ``null``
+    stands for null values in them.
     """
     if not is_rows(matrix) or n_cols is None or n_cols > SEGMENT_WIDTH:
         return _per_column(matrix, F.col("value"), n_cols)
@@ -33,7 +34,7 @@ def column_sums(matrix: DataFrame, n_cols: int | None = None) -> DataFrame:
     def job(batches):
         total, seen = np.zeros(n_cols), np.zeros(n_cols, dtype=bool)
         for batch in batches:
-            for _, part in batch_rows(batch).pieces(n_cols):
+            for _, part in batch_rows(batch, null).pieces(n_cols):
                 total += np.bincount(part.index, weights=part.value, minlength=n_cols)
                 seen[part.index] = True
         col = np.flatnonzero(seen)
@@ -51,9 +52,9 @@ def column_abs_sums(matrix: DataFrame) -> DataFrame:
     return _per_column(cells, F.abs("value"))
 
 
-def column_means(matrix: DataFrame, n_rows: int, n_cols: int) -> DataFrame:
+def column_means(matrix: DataFrame, n_rows: int, n_cols: int, null: float | None = None) -> DataFrame:
     """(col_id, value) for every column: sum over the declared row count, absent cells being 0."""
-    sums = column_sums(matrix, n_cols).where(F.col("col_id") < n_cols)
+    sums = column_sums(matrix, n_cols, null).where(F.col("col_id") < n_cols)
     every = column_range(matrix.sparkSession, n_cols)
     mean = F.coalesce(F.col("value"), F.lit(0.0)) / F.lit(float(n_rows))
     return every.join(sums, "col_id", "left").select("col_id", mean.alias("value"))

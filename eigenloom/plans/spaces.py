@@ -1,19 +1,21 @@
 """Where the column-by-sketch factor lives while a sketch is being refined.
 
 ``LocalSpace`` keeps it as one array that every task receives by broadcast; a pass is then a single
-scan of the rows, and only per-task sums are exchanged. ``TableSpace`` keeps it as a table and makes a
-pass out of joins and sums; it has no bound on the number of columns. Both offer the same steps, so the
-methods in this package are written once. Only sketch-sized (width x width) arrays are common to both.
+scan of the rows, and only per-task sums are exchanged. ``ScanSpace`` keeps it as a table that the scan tasks
+read themselves, so that it never reaches the driver. ``TableSpace`` keeps it as a table and makes a pass out of
+joins and sums; it has no bound on the number of columns. All offer the same steps, so the methods in this
+package are written once. Only sketch-sized (width x width) arrays are common to all.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from contextlib import contextmanager
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.seeds import column_range, gaussian_seed, gaussian_vectors, sign_vectors, sparse_sign_seed
@@ -28,17 +30,24 @@ from ..operators.shapes import (
     has_far_cells,
     is_rows,
     merge_entries,
+    to_entries,
     to_rows,
 )
 from ..operators.sums import column_means, column_sums
 from ..operators.products import vector_batch
-from ..session import FACTOR_LIMIT_BYTES, as_table, drop_path, fits_broadcast, scratch_path
+from ..session import FACTOR_LIMIT_BYTES, as_table, drop_path, fits_broadcast, full_path, scratch_path
+from ..sources.files import data_files, file_system
 from .tiles import Tiles
 
 CROSS, GRAM = range(2)
 FACTOR = "col_id int, vec array<double>"
 PARTIAL = "part int, i int, vec array<double>"
 
+# A stored factor up to this size is read by every scan task, which also holds a sum as large; and the longest row
+# that a scan takes as one array.
+HELD_BYTES = 768 << 20
+HELD_COLUMNS = 1 << 23
+
 # Eigenvalues of a Gram matrix at or below this share of the largest count as zero.
 RANK_TOLERANCE = 1e-12
 
@@ -66,10 +75,15 @@ def opened(
     cache: bool = False,
     partitions: int | None = None,
 ):
-    """A space for sketches of up to the given width: local when the factor passes the size check."""
+    """A space for sketches of up to the given width: local when the factor passes the size check.
+
+    A larger factor is a table: one that scan tasks read, or, when they could not hold it, one that is joined.
+    """
     width = min(width, n_cols)
     if fits_broadcast(n_cols, width, limit):
         space = LocalSpace(matrix, n_rows, n_cols, cache, partitions, 8 * n_cols * width)
+    elif n_cols <= HELD_COLUMNS and 8 * n_cols * width <= HELD_BYTES:
+        space = ScanSpace(matrix, n_rows, n_cols, width)
     else:
         space = TableSpace(matrix, n_rows, n_cols, width)
     try:
@@ -143,13 +157,8 @@ class LocalSpace:
         self.spark, self.n_rows, self.n_cols = matrix.sparkSession, n_rows, n_cols
         self.path = None
         if not is_rows(matrix):
-            # A row that has cells beyond the last column only is a row all the same.
-            inside = F.col("col_id") < n_cols
-            matrix = matrix.withColumns(
-                {"col_id": F.when(inside, F.col("col_id")).otherwise(0), "value": F.when(inside, F.col("value")).otherwise(0.0)}
-            )
             self.path = scratch_path(self.spark, "rows")
-            matrix = as_table(to_rows(matrix), self.path)
+            matrix = as_table(to_rows(every_row(matrix, n_cols)), self.path)
         elif has_far_cells(matrix):
             near, found = first_segment(matrix), count_rows(matrix)
             if n_rows is not None and found > n_rows:
@@ -228,22 +237,7 @@ class LocalSpace:
         held = self.spark.sparkContext.broadcast(factor)
 
         def job(batches):
-            factor = held.value
-            z_gram = np.zeros((width + 1, width + 1))
-            y_cross = np.zeros((width + 1, n_cols)) if cross else None
-            seen = np.zeros(n_cols, dtype=bool)
-            for batch in batches:
-                for _, part in batch_rows(batch).pieces(n_cols, width):
-                    z = np.ones((len(part), width + 1))
-                    z[:, :width] = part.times(factor) - shift
-                    z_gram += z.T @ z
-                    if cross:
-                        part.add_cross(z, y_cross)
-                        seen[part.index] = True
-            yield partial_batch(GRAM, np.arange(width + 1), z_gram)
-            columns = np.flatnonzero(seen)
-            for some in np.array_split(columns, len(columns) // 4096 + 1):
-                yield partial_batch(CROSS, some, y_cross[:, some].T if cross else np.zeros((0, width + 1)))
+            yield from scan_sums((batch_rows(b) for b in batches), held.value, shift, cross)
 
         sums = sum_vectors(self.rows.mapInArrow(job, PARTIAL), ["part", "i"], width + 1)
         whole = [np.zeros((n, width + 1)) for n in (n_cols if cross else 0, width + 1)]
@@ -292,13 +286,8 @@ class LocalSpace:
         n_cols, width = factor.shape
         held = self.spark.sparkContext.broadcast(factor)
 
-        def blocks(batches):
-            for batch in batches:
-                for _, part in batch_rows(batch).pieces(n_cols, width):
-                    yield np.hstack([np.ones((len(part), 1)), part.times(held.value)])
-
         def job(batches):
-            yield from tsqr.task_r(blocks(batches), width + 1, fan_in)
+            yield from tsqr.task_r(scores_with_ones((batch_rows(b) for b in batches), held.value), width + 1, fan_in)
 
         parts = self.rows.mapInArrow(job, tsqr.PARTS)
         r = small_rows(tsqr.tree_r(parts, width + 1, fan_in), "i", width + 1)
@@ -329,13 +318,15 @@ class LocalSpace:
 class Factor:
     """A packed factor (col_id, vec) that stays a table; ``path`` holds the stored one it is read from.
 
-    A start that is a function of the column ids has it in ``vectors``: tasks then need no table.
+    A start that is a function of the column ids has it in ``vectors``: tasks then need no table. With ``turn``,
+    the factor is the stored one, or the start, times that small matrix.
     """
 
     df: DataFrame
     width: int
     path: str
     vectors: Callable[[np.ndarray], np.ndarray] | None = None
+    turn: np.ndarray | None = None
 
 
 class TableSpace:
@@ -541,6 +532,143 @@ class TableSpace:
         return self.stored_factor(u.df, u.width), sigma[keep]
 
 
+class ScanSpace(TableSpace):
+    """The factor stays a table, and every task of a scan reads it from the scratch folder.
+
+    A pass is one scan of whole rows. Each task holds the factor and a sum of its size; what is exchanged is
+    those sums, and neither cells nor scores. The sums, and all further steps on factors, are tables too.
+    """
+
+    def __init__(self, matrix: DataFrame, n_rows: int | None, n_cols: int, width: int = 32):
+        self.spark, self.n_cols = matrix.sparkSession, n_cols
+        self.base, self.steps = [], []
+        if is_rows(matrix) and not has_far_cells(matrix):
+            rows = first_segment(matrix)
+        else:
+            if is_rows(matrix):
+                # A row of zeros only has no cells to find it by.
+                n_rows = count_rows(matrix) if n_rows is None else n_rows
+                matrix = to_entries(matrix)
+            rows, _ = self.stored(to_rows(every_row(matrix, n_cols), segment=HELD_COLUMNS), "rows", self.base)
+        self.n_rows = rows.count() if n_rows is None else n_rows
+        self.means, _ = self.stored(column_means(rows, self.n_rows, n_cols, 0.0), "means", self.base)
+        square = self.means.agg(F.sum(F.col("value") * F.col("value"))).first()[0]
+        self.noise = ROUND_OFF * np.sqrt(self.n_rows * square)
+        rows = rows.select("indices", "values")
+        self.rows = rows.coalesce(min(scan_tasks(planned_bytes(rows), 8 * n_cols * width), (1 << 31) - 1))
+
+    def close(self) -> None:
+        self.drop(self.base + self.steps)
+
+    def times(self, factor: Factor, small: np.ndarray) -> Factor:
+        turn = small if factor.turn is None else factor.turn @ small
+        return replace(super().times(factor, small), vectors=factor.vectors, turn=turn)
+
+    def holding(self, factor: Factor) -> Callable[[], np.ndarray]:
+        """What makes the factor as an array inside a task."""
+        n_cols, vectors, turn = self.n_cols, factor.vectors, factor.turn
+        width, stored_width = factor.width, factor.width if turn is None else len(turn)
+        path = None if vectors else full_path(self.spark, factor.path)
+
+        def held() -> np.ndarray:
+            out = np.zeros((n_cols, width))
+            for ids, some in started(vectors, n_cols) if vectors else stored_vectors(path, stored_width):
+                out[ids] = some if turn is None else some @ turn
+            return out
+
+        return held
+
+    def mean_scores(self, factor: Factor) -> np.ndarray:
+        if not factor.vectors:
+            return small_vector(products.mean_times_matrix(self.means, factor.df, factor.width), factor.width)
+        width = factor.width if factor.turn is None else len(factor.turn)
+        zm = super().mean_scores(replace(factor, width=width))
+        return zm if factor.turn is None else zm @ factor.turn
+
+    def sketch(self, factor: Factor, gram: bool = True, cross: bool = True):
+        """(Yc'Zc, Zc'Zc) for Zc = Yc factor, in one scan of the rows. The sums of a pass are stored once."""
+        width, held, zm = factor.width, self.holding(factor), self.mean_scores(factor)
+
+        def job(batches):
+            yield from scan_sums((batch_rows(b, 0.0) for b in batches), held(), zm, cross)
+
+        sums = sum_vectors(self.rows.mapInArrow(job, PARTIAL), ["part", "i"], width + 1)
+        if cross:
+            sums, _ = self.stored(sums, "sums", self.steps)
+        found = small_rows(sums.where(F.col("part") == GRAM), "i", width + 1)
+        absent = self.absent(round(found[-1, -1]) if len(found) else 0)
+        z_gram = y_cross = None
+        if gram:
+            z_gram = found[:-1, :-1] + absent * np.outer(zm, zm)
+        if cross:
+            table = sums.where(F.col("part") == CROSS).select(F.col("i").alias("col_id"), F.slice("vec", 1, width).alias("vec"))
+            table = products.mean_correction(table, self.means, found[-1, :-1] - absent * zm)
+            y_cross = self.stored_factor(table, width)
+        return y_cross, z_gram
+
+    def stack_r(self, factor: Factor, fan_in: int = tsqr.FAN_IN) -> np.ndarray:
+        """R of the QR factorisation of Zc, absent rows included; a column of ones centres it, as in ``LocalSpace``."""
+        width, held = factor.width, self.holding(factor)
+
+        def job(batches):
+            yield from tsqr.task_r(scores_with_ones((batch_rows(b, 0.0) for b in batches), held()), width + 1, fan_in)
+
+        r = small_rows(tsqr.tree_r(self.rows.mapInArrow(job, tsqr.PARTS), width + 1, fan_in), "i", width + 1)
+        absent = self.absent(round(r[0, 0] ** 2) if len(r) else 0)
+        return add_absent(r, absent, np.eye(1, width + 1)[0])[1:, 1:]
+
+
+def every_row(entries: DataFrame, n_cols: int) -> DataFrame:
+    """Entries with column ids under ``n_cols``. A row that has cells beyond only is a row all the same."""
+    inside = F.col("col_id") < n_cols
+    return entries.withColumns(
+        {"col_id": F.when(inside, F.col("col_id")).otherwise(0), "value": F.when(inside, F.col("value")).otherwise(0.0)}
+    )
+
+
+def started(vectors: Callable[[np.ndarray], np.ndarray], n_cols: int):
+    """(column ids, vectors) of a start, some thousand columns at a time."""
+    for lo in range(0, n_cols, 1 << 16):
+        ids = np.arange(lo, min(lo + (1 << 16), n_cols))
+        yield ids, vectors(ids)
+
+
+def stored_vectors(path: str, width: int):
+    """(column ids, vectors) of a stored factor, batch by batch."""
+    system, folder = file_system(path)
+    for info in data_files(system, folder):
+        with system.open_input_file(info.path) as stream:
+            for batch in pq.ParquetFile(stream).iter_batches(columns=["col_id", "vec"]):
+                yield batch.column("col_id").to_numpy(zero_copy_only=False), batch_vectors(batch, width)
+
+
+def scan_sums(blocks, factor: np.ndarray, shift: np.ndarray, cross: bool):
+    """Partial sums of a task's blocks: [Z 1]'[Z 1] and, with ``cross``, Y'[Z 1] for Z = Y factor - shift."""
+    n_cols, width = factor.shape
+    z_gram = np.zeros((width + 1, width + 1))
+    y_cross = np.zeros((width + 1, n_cols)) if cross else None
+    seen = np.zeros(n_cols, dtype=bool)
+    for block in blocks:
+        for _, part in block.pieces(n_cols, width):
+            z = np.ones((len(part), width + 1))
+            z[:, :width] = part.times(factor) - shift
+            z_gram += z.T @ z
+            if cross:
+                part.add_cross(z, y_cross)
+                seen[part.index] = True
+    yield partial_batch(GRAM, np.arange(width + 1), z_gram)
+    columns = np.flatnonzero(seen)
+    for some in np.array_split(columns, len(columns) // 4096 + 1):
+        yield partial_batch(CROSS, some, y_cross[:, some].T if cross else np.zeros((0, width + 1)))
+
+
+def scores_with_ones(blocks, factor: np.ndarray):
+    """Scores behind a column of ones."""
+    for block in blocks:
+        for _, part in block.pieces(*factor.shape):
+            yield np.hstack([np.ones((len(part), 1)), part.times(factor)])
+
+
 def partial_batch(part: int, i, vectors: np.ndarray) -> pa.RecordBatch:
     i = np.asarray(i, dtype=np.int32)
     return vector_batch(["part", "i"], [np.full_like(i, part), i], vectors)

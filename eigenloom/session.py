@@ -48,5 +48,11 @@ def drop_path(spark: SparkSession, path: str) -> None:
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def full_path(spark: SparkSession, path: str) -> str:
+    """A path with its file system, for tasks that read it themselves."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(found).toString()
+
+
 def fits_broadcast(n_cols: int, width: int, limit: int = FACTOR_LIMIT_BYTES) -> bool:
     return n_cols <= SEGMENT_WIDTH and n_cols * width * 8 <= limit
