@@ -61,6 +61,10 @@ def test_wide_sparse_rows_meet_the_factor_where_they_lie(spark, monkeypatch):
         assert np.allclose(fit.sigma, right[:2])
 
 
+def test_residual_norm(spark, tmp_path, stored_rows):
+    same_as_local(spark, tmp_path, "residual_norm", stored_rows)
+
+
 @pytest.mark.parametrize("method", ["fused", "two_pass", "tsqr"])
 @pytest.mark.parametrize("start", ["gaussian", "sparse_sign"])
 def test_scans_and_tiles_agree(spark, tmp_path, monkeypatch, method, start):
