@@ -69,6 +69,10 @@ def test_sketch_pca_tsqr(spark, tmp_path, stored_rows):
     same_as_local(spark, tmp_path, "sketch_pca_tsqr", stored_rows)
 
 
+def test_sketch_pca_two_pass(spark, tmp_path, stored_rows):
+    same_as_local(spark, tmp_path, "sketch_pca_two_pass", stored_rows)
+
+
 @pytest.mark.parametrize("method", ["fused", "two_pass", "tsqr"])
 @pytest.mark.parametrize("start", ["gaussian", "sparse_sign"])
 def test_scans_and_tiles_agree(spark, tmp_path, monkeypatch, method, start):
