@@ -73,6 +73,10 @@ def test_sketch_pca_two_pass(spark, tmp_path, stored_rows):
     same_as_local(spark, tmp_path, "sketch_pca_two_pass", stored_rows)
 
 
+def test_sketch_pca_sparse_sign(spark, tmp_path, stored_rows):
+    same_as_local(spark, tmp_path, "sketch_pca_sparse_sign", stored_rows)
+
+
 @pytest.mark.parametrize("method", ["fused", "two_pass", "tsqr"])
 @pytest.mark.parametrize("start", ["gaussian", "sparse_sign"])
 def test_scans_and_tiles_agree(spark, tmp_path, monkeypatch, method, start):
