@@ -77,6 +77,10 @@ def test_sketch_pca_sparse_sign(spark, tmp_path, stored_rows):
     same_as_local(spark, tmp_path, "sketch_pca_sparse_sign", stored_rows)
 
 
+def test_kth_singular_value(spark, tmp_path, stored_rows):
+    same_as_local(spark, tmp_path, "kth_singular_value", stored_rows)
+
+
 @pytest.mark.parametrize("method", ["fused", "two_pass", "tsqr"])
 @pytest.mark.parametrize("start", ["gaussian", "sparse_sign"])
 def test_scans_and_tiles_agree(spark, tmp_path, monkeypatch, method, start):
