@@ -29,6 +29,24 @@ def _block_bound(lines: DataFrame) -> int:
     return len(lines.inputFiles()) + lines.rdd.getNumPartitions()
 
 
+def _placed(lines: DataFrame) -> DataFrame:
+    """Lines with ``place``, one long that grows in the order of file, block and line.
+
+    It is the rank of the block among all blocks, which are listed first, and then the order of reading. So what is
+    aggregated by it holds numbers only and no file names: it needs no sort, and little memory for a line.
+    """
+    located = _located(lines)
+    ranks = located.select("file", "block").distinct()
+    ranks = ranks.select("file", "block", F.row_number().over(Window.orderBy("file", "block")).alias("rank"))
+    if _block_bound(lines) <= MAX_BLOCKS:
+        ranks = F.broadcast(ranks)
+    # Two scans with other splits would not fit each other.
+    unknown = F.raise_error(F.concat_ws(" ", F.lit("no such block was listed:"), "file", "block")).cast("long")
+    rank = F.coalesce(F.col("rank").cast("long"), unknown)
+    place = F.shiftleft(rank, 33).bitwiseOR(F.col("order").bitwiseAND(F.lit((1 << 33) - 1)))
+    return located.join(ranks, ["file", "block"], "left").select(*lines.columns, place.alias("place"))
+
+
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """(row_id, value): the non-blank lines, counted from 0 over all files in the order of
     their paths, part files in the order of their number.
@@ -125,7 +143,7 @@ def read_coo_text(
         raise ValueError(f"on_duplicate must be one of {ON_DUPLICATE}")
     lines = _coo_cells(spark, path)
     if on_duplicate == "last":
-        lines = _located(lines)
+        lines = _placed(lines)
     if malformed == "drop":
         lines = lines.where(~F.col("bad"))
     else:
@@ -146,7 +164,7 @@ def read_coo_text(
         return merge_entries(entries)
     cells = entries.groupBy("row_id", "col_id")
     if on_duplicate == "last":
-        return cells.agg(F.max_by("value", F.struct("file", "block", "order")).alias("value"))
+        return cells.agg(F.max_by("value", "place").alias("value"))
     message = F.concat_ws(" ", F.lit("repeated cell"), "row_id", "col_id")
     return cells.agg(F.count(F.lit(1)).alias("n"), F.first("value").alias("value")).select(
         "row_id",

@@ -63,6 +63,9 @@ from ..sources.text import numbered_lines
 from . import fixtures as fx
 from .fixtures import EMBEDDING, HOURS, WIDTH
 
+# Rows that a task of a sort holds at most, on average.
+SORTED_ROWS = 2_000_000
+
 IDS = ("row_id", "col_id", "comp", "i", "j", "nnz", "first_col", "last_col")
 
 
@@ -98,7 +101,12 @@ def _coo_files(spark, sf, ordered=False) -> str:
     path = scratch_path(spark, "coo")
     items = fx.load(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_quantity")
     if ordered:
-        items = items.sort("l_orderkey", "l_partkey", "l_quantity")
+        order = ("l_orderkey", "l_partkey", "l_quantity")
+        tasks = items.count() // SORTED_ROWS
+        if tasks > int(spark.conf.get("spark.sql.shuffle.partitions")):
+            items = items.repartitionByRange(tasks, *order).sortWithinPartitions(*order)
+        else:
+            items = items.sort(*order)
     line = F.concat_ws(",", "l_orderkey", F.col("l_partkey") + 1, "l_quantity")
     items.select(line.alias("value")).write.text(path)
     return path
