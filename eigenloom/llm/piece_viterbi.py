@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -53,6 +54,8 @@ class Pieces:
         order = np.argsort(hashes)
         self.keys, self.ids = hashes[order], ids[order]
         self.scores = np.array([scores[i] for i in keys])[order]
+        self.worth = np.append(self.scores, -np.inf)
+        self.worth_alone = np.append(self.scores, self.penalty)
         top = (self.keys >> np.uint64(47)).astype(np.int64)
         self.first = np.searchsorted(top, np.arange((1 << 17) + 1)).astype(np.int32)
         self.most = int(np.diff(self.first).max())
@@ -74,72 +77,83 @@ class Pieces:
         at = self.first[(hashes >> np.uint64(47)).astype(np.int64)]
         found = np.full(hashes.shape, -1, np.int32)
         for k in range(self.most):
-            hit = self.keys[at + k] == hashes
-            found[hit] = at[hit] + k
+            np.copyto(found, at + np.int32(k), where=self.keys[at + k] == hashes)
         return found
 
     def segment(self, words: list[str]) -> list[np.ndarray]:
-        """Ids of each word. Words of equal length advance together, one position a step."""
-        length = np.array([len(w) for w in words])
-        out: list[np.ndarray] = [np.zeros(0, np.int32)] * len(words)
+        """Ids of each word."""
+        ids, count = self.segments(words)
+        ends = np.cumsum(count)
+        return [ids[a:z] for a, z in zip(ends - count, ends)]
+
+    def segments(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words end to end, and how many each has. Words of equal length advance together."""
+        length = np.array([len(w) for w in words], np.int64)
+        count, found = np.zeros(len(words), np.int64), []
         order = np.argsort(length, kind="stable")
         for n in np.unique(length[length > 0]):
             group = order[np.searchsorted(length[order], n) : np.searchsorted(length[order], n, "right")]
             step = max(1, CELLS // (int(n) * min(int(n), self.longest)))
             for lo in range(0, len(group), step):
                 part = group[lo : lo + step]
-                for k, ids in zip(part, self._together([words[k] for k in part], int(n))):
-                    out[k] = ids
-        return out
-
-    def _together(self, words: list[str], n: int) -> list[np.ndarray]:
+                ids, count[part] = self._together([words[k] for k in part], int(n))
+                found.append((part, ids))
+        start, out = np.cumsum(count) - count, np.zeros(count.sum(), np.int32)
+        for part, ids in found:
+            out[_spread(start[part], count[part])] = ids
+        return out, count
+
+    def _together(self, words: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
+        """The same for words of n characters, one position a step; arrays have a row for each position."""
         m, most = len(words), min(n, self.longest)
         raw = "".join(words).encode("utf-32-le", "surrogatepass")
-        chars = np.frombuffer(raw, np.uint32).reshape(m, n).astype(np.uint64)
-        found, h = [], np.zeros((m, n), np.uint64)
+        chars = np.ascontiguousarray(np.frombuffer(raw, np.uint32).reshape(m, n).T).astype(np.uint64)
+        found, worth, h = [], [], np.zeros((n, m), np.uint64)
         for size in range(1, most + 1):
-            h = h[:, : n - size + 1] * np.uint64(BASE) + chars[:, size - 1 :] + np.uint64(1)
+            h = h[: n - size + 1] * np.uint64(BASE) + chars[size - 1 :] + np.uint64(1)
             found.append(self.probe(mix(h)))
-        best = np.full((m, n + 1), -np.inf)
-        best[:, 0] = 0
-        back = np.zeros((m, n + 1), np.int32)
-        rank = np.full((m, n + 1), -1, np.int32)
+            # Rank -1 is the last score, that of no piece.
+            worth.append((self.worth_alone if size == 1 else self.worth)[found[-1]])
+        best = np.full((n + 1, m), -np.inf)
+        best[0] = 0
+        back = np.zeros((n + 1, m), np.int32)
+        rank = np.full((n + 1, m), -1, np.int32)
         for end in range(1, n + 1):
             for size in range(min(most, end), 0, -1):
-                key = found[size - 1][:, end - size]
-                worth = best[:, end - size] + np.where(key >= 0, self.scores[key], -np.inf)
-                if size == 1:
-                    worth = np.where(key >= 0, worth, best[:, end - 1] + self.penalty)
-                better = worth > best[:, end]
-                best[better, end] = worth[better]
-                back[better, end] = size
-                rank[better, end] = key[better]
+                here = best[end - size] + worth[size - 1][end - size]
+                better = here > best[end]
+                np.copyto(best[end], here, where=better)
+                np.copyto(back[end], size, where=better)
+                np.copyto(rank[end], found[size - 1][end - size], where=better)
         at, alive, steps = np.full(m, n), np.arange(m), []
         while len(alive):
             here = at[alive]
-            steps.append((alive, here, rank[alive, here]))
-            at[alive] = here - back[alive, here]
+            steps.append((alive, here, rank[here, alive]))
+            at[alive] = here - back[here, alive]
             alive = alive[at[alive] > 0]
-        who, where, key = (np.concatenate(x) for x in zip(*steps))
-        order = np.lexsort((where, who))
+        # Steps go from the last piece to the first one.
+        who, where, key = (np.concatenate(x[::-1]) for x in zip(*steps))
+        order = np.argsort(who, kind="stable")
         who, where, key = who[order], where[order], key[order]
-        ids = np.where(key >= 0, self.ids[key], -1)
-        split = np.split(ids, np.searchsorted(who, np.arange(1, m)))
+        ids = np.where(key >= 0, self.ids[key], -1).astype(np.int32)
         if (ids < 0).any():
-            ends = np.split(where, np.searchsorted(who, np.arange(1, m)))
-            for k in np.unique(who[ids < 0]):
-                split[k] = self._spell(words[k], split[k], ends[k])
-        return split
-
-    def _spell(self, word: str, ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        out: list[int] = []
-        for i, end in zip(ids, ends):
-            if i >= 0:
-                out.append(i)
-            else:
-                spelled = self.byte_ids[np.frombuffer(word[end - 1].encode("utf-8", "replace"), np.uint8)]
-                out += [self.unknown] if (spelled == self.unknown).any() else spelled.tolist()
-        return np.array(out, np.int32)
+            who, ids = self._spell(who, ids, chars[where - 1, who])
+        return ids, np.bincount(who, minlength=m)
+
+    def _spell(self, who: np.ndarray, ids: np.ndarray, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes, or the unknown piece, in place of the ids -1 of single characters."""
+        missing = np.flatnonzero(ids < 0)
+        some, which = np.unique(chars[missing], return_inverse=True)
+        spelled = [self.byte_ids[np.frombuffer(chr(c).encode("utf-8", "replace"), np.uint8)] for c in some]
+        spelled = [np.array([self.unknown], np.int32) if (x == self.unknown).any() else x for x in spelled]
+        length = np.array([len(x) for x in spelled])
+        times = np.ones(len(ids), np.int64)
+        times[missing] = length[which]
+        out = np.repeat(ids, times)
+        begin = np.cumsum(times) - times
+        first = np.cumsum(length) - length
+        out[_spread(begin[missing], length[which])] = np.concatenate(spelled)[_spread(first[which], length[which])]
+        return np.repeat(who, times), out
 
     def clear(self) -> None:
         self.codes: dict[str, int] = {}
@@ -158,21 +172,18 @@ class Pieces:
         if len(self.codes) > REMEMBERED:
             self.clear()
         split = [self.words(t) for t in texts]
-        new = sorted(set().union(*split).difference(self.codes))
+        new = list(set().union(*split).difference(self.codes))
         if new:
-            found = self.segment(new)
-            length = np.array([len(x) for x in found], np.int64)
+            found, length = self.segments(new)
             self.codes.update(zip(new, range(len(self.start), len(self.start) + len(new))))
             self.start = np.append(self.start, len(self.word_ids) + np.cumsum(length) - length)
             self.length = np.append(self.length, length)
-            self.word_ids = np.concatenate([self.word_ids, *found])
-        get = self.codes.__getitem__
-        begin = np.cumsum([0, *(len(x) for x in split)])
-        codes = np.fromiter((c for x in split for c in map(get, x)), np.int64, begin[-1])
+            self.word_ids = np.concatenate([self.word_ids, found])
+        begin = np.cumsum([0, *map(len, split)])
+        codes = np.fromiter(map(self.codes.__getitem__, chain.from_iterable(split)), np.int64, begin[-1])
         length = self.length[codes]
         ends = np.concatenate(([0], np.cumsum(length)))
-        place = np.repeat(self.start[codes] - ends[:-1], length) + np.arange(ends[-1])
-        return self.word_ids[place], ends[begin]
+        return self.word_ids[_spread(self.start[codes], length)], ends[begin]
 
     def decode(self, ids: np.ndarray, offsets: np.ndarray) -> list[str]:
         """Texts of runs of ids; the space put first by ``encode`` goes. Ids out of range are unknown."""
@@ -185,6 +196,12 @@ class Pieces:
         return [p.removeprefix(b" ").decode("utf-8", "replace") for p in parts]
 
 
+def _spread(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Places start, start + 1 and so on, as many as the length, of each run."""
+    ends = np.cumsum(length)
+    return np.repeat(start - (ends - length), length) + np.arange(ends[-1] if len(ends) else 0)
+
+
 _pieces: dict[str, Pieces] = {}
 
 
