@@ -18,6 +18,8 @@ BANDS, BAND_ROWS = 24, 4
 VALUES = BANDS * BAND_ROWS
 SMALL_BAG = 64
 CENTRE_ROUNDS = 3
+# An item that classes have more of than a centre, or less.
+PLACE = ["a", "item", "more"]
 # Two bags are near if 5 * the sum of minima >= 4 * the sum of maxima.
 NEAR = (4, 5)
 
@@ -246,6 +248,35 @@ def connected(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def nearest(one: DataFrame, other: DataFrame) -> DataFrame:
+    """Cells of ``one`` within whose cap a cell of another group at the same place is, as (x, y): the one of least slack.
+
+    Needs only the least slack of each place, and the least one of other groups than that cell's.
+    """
+    least = other.groupBy(*PLACE, "label").agg(F.min(F.struct("slack", "class")).alias("found"))
+    first = least.groupBy(*PLACE).agg(F.min(F.struct("found", "label")).alias("first"))
+    second = least.join(first, PLACE).where("label <> first.label").groupBy(*PLACE).agg(F.min("found").alias("second"))
+    found = F.when(F.col("label") != F.col("first.label"), F.col("first.found")).otherwise(F.col("second"))
+    cells = one.join(first, PLACE).join(second, PLACE, "left").withColumn("found", found)
+    cells = cells.where("found.slack <= cap")
+    return cells.select(*one.columns, F.col("class").alias("x"), F.col("found.class").alias("y"))
+
+
+def apart_in_groups(telling: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Cells of x and of y that can meet one of another group, by the least slack at their place."""
+    spark, columns = telling.sparkSession, [*PLACE, "class", "slack", "cap", "label"]
+    one, other = telling.where("x").select(*columns), telling.where("y").select(*columns)
+    one = as_table(nearest(one, other).select(*columns), scratch_path(spark, "one"))
+    return one, as_table(nearest(other, one).select(*columns), scratch_path(spark, "other"))
+
+
+def meeting(one: DataFrame, other: DataFrame) -> DataFrame:
+    """(x, y) of different groups that are within each other's cap at a place."""
+    other = other.select(*PLACE, F.col("class").alias("y"), *[F.col(c).alias(f"{c}_y") for c in ("slack", "cap", "label")])
+    within = "label <> label_y AND slack_y <= cap AND slack <= cap_y"
+    return one.withColumnRenamed("class", "x").join(other, PLACE).where(within).select("x", "y")
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every document with the group of documents that near likenesses connect.
 
@@ -259,8 +290,11 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     are held against one centre, the one with the largest share in common with others, and what is near
     is joined; buckets that lie within one group are done, and a centre is not compared again. Pairs of a
     bucket that are still in different groups after that are held as their differences from a centre, the
-    same one for all buckets whose classes are mostly in one group. Two that are not both near it must share enough of these, so they are joined on the rarest
-    items of the differences, by an exact bound, and what meets is verified: no link is lost.
+    same one for all buckets whose classes are mostly in one group. Two that are not both near it must share
+    enough of these, so they meet at the rarest items of the differences, within exact bounds. A place of
+    such an item does not emit its pairs either: what no other group's least bound lets through leaves, and
+    each class is held against the likeliest one of another group. Only what is in different groups even
+    then, and still within the bounds, meets in pairs and is verified: no link is lost.
 
     Returns doc_id, class_id (smallest id of the group), group_size, kept (the row of that id) and the
     row key ``row``.
@@ -321,13 +355,14 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         fits = common * (NEAR[0] + NEAR[1]) >= (F.col("weight") + F.col("w")) * NEAR[0]
         return fits & (lighter * NEAR[1] >= heavier * NEAR[0])
 
-    def differing(some: DataFrame, centres: DataFrame) -> DataFrame:
-        """(a, b) pairs of classes that can be near, though not both are near the centre ``a`` of their bucket.
+    def differing(some: DataFrame, centres: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(cells, near): items that classes differ in from the centre ``a`` of their bucket, and (a, b) near centres.
 
-        Of such a pair one class, x, is not near the centre, so its slack is at least ``s``, the least one of
-        those; and y's difference has at least (s + slack of y) / 18 in common with that of x. So one of y's
-        items but for its most common ones of less weight than that is in x's difference too. Copies with
-        edits of their own have their rarest items to themselves, and do not meet.
+        Of a pair that is not both near the centre one class, x, is not near it; the other one is y. They are near
+        if their differences have at least (slack of x + slack of y) / 18 in common. The rarest item in common is
+        followed by all the others, so what follows it is that much in both: the other's slack is at most ``cap``.
+        Cells whose cap is below the least slack of those that they could meet are left out. Copies with edits
+        of their own have their rarest items to themselves, and do not meet.
         """
         pairs = some.join(centres, "bucket").where("class <> a").select("a", "class").distinct()
         one = every.select(F.col("class").alias("a"), F.col("items").alias("x"), F.col("counts").alias("n"))
@@ -335,20 +370,21 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         pairs = pairs.join(one, "a").join(two, "class").select("a", "class", "x", "n", "y", "m")
         schema = "a long, class long, items array<long>, amounts array<long>, slack long, near boolean"
         apart = as_table(pairs.mapInArrow(_differences, schema), scratch_path(spark, "differences"))
-        least = apart.where(~F.col("near")).groupBy("a").agg(F.min("slack").alias("least"))
-        apart = apart.join(least, "a")
-        cells = apart.select("a", "class", "near", "slack", "least", F.explode(F.arrays_zip("items", "amounts")).alias("c"))
-        cells = cells.select("a", "class", "near", "slack", "least", F.col("c.items").alias("item"), F.col("c.amounts").alias("amount"))
+        far = F.min(F.when(~F.col("near"), F.col("slack")))
+        least = apart.groupBy("a").agg(F.min("slack").alias("least"), far.alias("least_far")).where("least_far IS NOT NULL")
+        known = ["a", "class", "near", "slack", "least", "least_far"]
+        cells = apart.join(least, "a").select(*known, F.explode(F.arrays_zip("items", "amounts")).alias("c"))
+        cells = cells.select(*known, F.col("c.items").alias("item"), F.col("c.amounts").alias("amount"))
         cells = cells.withColumn("more", F.col("amount") > 0)
-        often = cells.groupBy("a", "item", "more").agg(F.count("*").alias("classes"))
-        cells = as_table(cells.join(often, ["a", "item", "more"]), scratch_path(spark, "cells"))
+        often = cells.groupBy(*PLACE).agg(F.count("*").alias("classes"))
+        cells = as_table(cells.join(often, PLACE), scratch_path(spark, "cells"))
         order = Window.partitionBy("a", "class").orderBy("classes", "item")
         rest = F.sum(F.abs("amount")).over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
-        telling = cells.withColumn("rest", rest).where("classes > 1 AND 18 * rest >= least + slack")
-        telling = telling.select("a", "item", "more", F.col("class").alias("y"))
-        others = cells.where("classes > 1 AND NOT near").select("a", "item", "more", F.col("class").alias("x"))
-        met = others.join(telling, ["a", "item", "more"]).where("x <> y")
-        return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        cells = cells.withColumn("cap", 18 * rest - F.col("slack")).where("classes > 1")
+        x, y = F.expr("NOT near AND cap >= least"), F.expr("cap >= least_far")
+        cells = cells.select(*PLACE, "class", "slack", "cap", x.alias("x"), y.alias("y")).where("x OR y")
+        near = apart.where("near").select("a", F.col("class").alias("b"))
+        return as_table(grouped(cells), scratch_path(spark, "telling")), near
 
     def common_centres(some: DataFrame, centres: DataFrame, labels: DataFrame | None) -> DataFrame:
         """(bucket, a): the first centre with the most buckets, of the group that most of a bucket's classes are in."""
@@ -366,40 +402,63 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     open_ = peeled(open_.drop("shared"), left)
     open_ = open_.withColumn("label", F.col("class"))
     edges, labels, first = None, None, None
-    for turn in range(CENTRE_ROUNDS + 1):
+
+    def linked(found: DataFrame) -> bool:
+        """Take near pairs as links; whether there were any."""
+        nonlocal edges, labels
+        found = as_table(found, scratch_path(spark, "near"))
+        if not found.limit(1).count():
+            return False
+        edges = found if edges is None else edges.unionByName(found)
+        labels = connected(edges)
+        return True
+
+    def grouped(some: DataFrame) -> DataFrame:
+        """With the group of the class as ``label``."""
+        if labels is None:
+            return some.withColumn("label", F.col("class"))
+        named = some.join(labels.withColumnRenamed("node", "class"), "class", "left")
+        return named.withColumn("label", F.coalesce("label", "class"))
+
+    for _ in range(CENTRE_ROUNDS):
         if not open_.limit(1).count():
             break
-        if turn < CENTRE_ROUNDS:
-            order = F.struct((-F.col("shared") / F.col("weight")).alias("rank"), "class", "weight", "shared", "label")
-            centre = open_.groupBy("bucket").agg(F.min(order).alias("c")).select("bucket", "c.*")
-            centre = centre.select(
-                "bucket", F.col("class").alias("a"), F.col("weight").alias("w"), F.col("shared").alias("s"), F.col("label").alias("l")
-            )
-            centre = as_table(centre, scratch_path(spark, "centre"))
-            first = centre.select("bucket", "a") if first is None else first
-            pairs = open_.join(centre, "bucket").where((F.col("label") != F.col("l")) & could_be_near())
-            pairs = pairs.select("a", F.col("class").alias("b")).distinct()
-        else:
-            # What is known of a class: its weight, what it shares with any, and its group so far.
-            known = open_.select("class", "weight", "shared", "label").distinct()
-            pairs = differing(open_, common_centres(open_, first, labels)).join(known.withColumnRenamed("class", "b"), "b")
-            pairs = pairs.join(known.toDF("a", "w", "s", "l"), "a").where((F.col("label") != F.col("l")) & could_be_near())
-            pairs = pairs.select("a", "b")
-        found = as_table(verified(pairs), scratch_path(spark, "near"))
-        if found.limit(1).count():
-            edges = found if edges is None else edges.unionByName(found)
-            labels = connected(edges)
-        if turn < CENTRE_ROUNDS:
-            rest = open_.join(centre.select("bucket", "a"), "bucket").where("class <> a").drop("label", "a")
-            if labels is None:
-                rest = rest.withColumn("label", F.col("class"))
-            else:
-                rest = rest.join(labels.withColumnRenamed("node", "class"), "class", "left")
-                rest = rest.withColumn("label", F.coalesce("label", "class"))
-            mixed = rest.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
-            mixed = as_table(mixed.where("lo <> hi").select("bucket"), scratch_path(spark, "mixed"))
-            rest = rest.join(mixed, "bucket", "left_semi")
-            open_ = as_table(rest.select(*open_.columns), scratch_path(spark, "open"))
+        order = F.struct((-F.col("shared") / F.col("weight")).alias("rank"), "class", "weight", "shared", "label")
+        centre = open_.groupBy("bucket").agg(F.min(order).alias("c")).select("bucket", "c.*")
+        centre = centre.select(
+            "bucket", F.col("class").alias("a"), F.col("weight").alias("w"), F.col("shared").alias("s"), F.col("label").alias("l")
+        )
+        centre = as_table(centre, scratch_path(spark, "centre"))
+        first = centre.select("bucket", "a") if first is None else first
+        pairs = open_.join(centre, "bucket").where((F.col("label") != F.col("l")) & could_be_near())
+        linked(verified(pairs.select("a", F.col("class").alias("b")).distinct()))
+        rest = grouped(open_.join(centre.select("bucket", "a"), "bucket").where("class <> a").drop("label", "a"))
+        mixed = rest.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
+        mixed = as_table(mixed.where("lo <> hi").select("bucket"), scratch_path(spark, "mixed"))
+        rest = rest.join(mixed, "bucket", "left_semi")
+        open_ = as_table(rest.select(*open_.columns), scratch_path(spark, "open"))
+    if open_.limit(1).count():
+        # What is known of a class: its weight and what it shares with any.
+        known = as_table(open_.select("class", "weight", "shared").distinct(), scratch_path(spark, "known"))
+        telling, near = differing(open_, common_centres(open_, first, labels))
+
+        def compared(pairs: DataFrame) -> DataFrame:
+            pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+            pairs = pairs.join(known.withColumnRenamed("class", "b"), "b").join(known.toDF("a", "w", "s"), "a")
+            return verified(pairs.where(could_be_near()).select("a", "b"))
+
+        # A class near a common centre need not have met it in a bucket of its own.
+        in_group = grouped(near.withColumnRenamed("b", "class")).withColumnRenamed("class", "b")
+        in_group = grouped(in_group.withColumnRenamed("label", "l").withColumnRenamed("a", "class"))
+        in_group = in_group.where("label <> l").select(F.col("class").alias("a"), "b")
+        one, other = apart_in_groups(telling)
+        likeliest = as_table(nearest(one, other), scratch_path(spark, "likeliest"))
+        one = likeliest.select(*one.columns)
+        if linked(compared(likeliest.select("x", "y")).unionByName(in_group)):
+            # Groups only grow, so what had none to meet before has none now.
+            one, other = (grouped(cells.drop("label")) for cells in (one, other))
+            one = as_table(nearest(one, other).select(*one.columns), scratch_path(spark, "one"))
+        linked(compared(meeting(one, other)))
     if labels is None:
         labels = spark.createDataFrame([], "node long, label long")
     member = signed.select("doc_id", "row", "class").join(labels.withColumnRenamed("node", "class"), "class", "left")

@@ -3,7 +3,17 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from eigenloom.llm.bag_minhash import VALUES, bags, drop_near_duplicates, near_groups, signatures
+from eigenloom.llm import bag_minhash
+from eigenloom.llm.bag_minhash import (
+    VALUES,
+    apart_in_groups,
+    bags,
+    drop_near_duplicates,
+    meeting,
+    near_groups,
+    nearest,
+    signatures,
+)
 from eigenloom.llm.texts import utf8
 import pyarrow as pa
 
@@ -145,3 +155,43 @@ def test_copies_with_edits_of_their_own(table):
             rows.append((1000 + k, " ".join(copy)))
     rng.shuffle(rows)
     assert found(table(rows)) == plain(rows)
+
+
+def test_places_do_not_emit_their_pairs(spark):
+    """One place of 400 classes of one group, 300 that none can be near, and one that only the likeliest may be."""
+    group = [(k, 100 + k, 60 if k <= 12 else 40, True, True, 0) for k in range(400)]
+    far = [(1000 + k, 500, 20, True, False, 1000 + k) for k in range(300)]
+    rows = [(7, 8, False, *r) for r in [*group, *far, (2000, 50, 110, True, True, 2000)]]
+    telling = spark.createDataFrame(rows, "a long, item long, more boolean, class long, slack long, cap long, x boolean, y boolean, label long")
+    one, other = apart_in_groups(telling)
+    assert one.count() + other.count() <= 30
+    assert {tuple(r) for r in nearest(one, other).select("x", "y").collect()} >= {(2000, 0)}
+    want = {
+        (r[3], q[3]) for r in rows for q in rows
+        if r[6] and q[7] and r[8] != q[8] and q[4] <= r[5] and r[4] <= q[5]
+    }
+    assert {tuple(r) for r in meeting(one, other).collect()} == want != set()
+
+
+def test_strays_of_a_large_group(table, monkeypatch):
+    """Strays share their differences with one another and with copies; what meets does not grow with their product."""
+    rng = random.Random(17)
+    words = [f"w{k}" for k in range(4000)]
+    text = [rng.choice(words) for _ in range(150)]
+    rows = []
+    for k in range(400):
+        copy = list(text)
+        for at in rng.sample(range(0, 150, 10), rng.choice([1, 2, 3, 4, 5, 6])):
+            copy[at] = rng.choice(words)
+        rows.append((k, " ".join(copy)))
+    kept = {}
+    plain_table = bag_minhash.as_table
+
+    def noted(df, path):
+        kept.setdefault(path.rpartition("/")[2], []).append(out := plain_table(df, path))
+        return out
+
+    monkeypatch.setattr(bag_minhash, "as_table", noted)
+    assert found(table(rows)) == plain(rows)
+    one, other = kept["one"][-1], kept["other"][-1]
+    assert meeting(one, other).count() <= 10 * len(rows)
