@@ -16,7 +16,7 @@ from eigenloom.session import as_table, scratch_path
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that operator 6 names a language for. Only texts without letters go, or all if none was learned."""
     model = fit_languages(docs.where(fold("doc_id", 3) != 1))
-    found = identify_languages(docs.select(whole_row(docs), "text"), model, keep=("_doc",))
+    found = identify_languages(docs.select(whole_row(docs)), model, "_doc.text", keep=("_doc",))
     return found.where(F.col("lang_pred") != UNKNOWN).select(*columns_of(docs))
 
 

@@ -7,8 +7,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StringType, StructType
 
 from ..session import as_table, scratch_path
 from .texts import FOLDED_CODES, SLICE_BYTES, prefix_sums, run_starts, slices, utf8, window_hashes
@@ -157,6 +159,17 @@ def fit_languages(
     return LanguageMasks.build(languages, [hashes[names == k] for k in languages], found[0]["lang"])
 
 
+def held_field(docs: DataFrame, keep: list[str], text_col: str) -> tuple[int, int] | None:
+    """Where a text column lies in the kept ones: the column's and the field's number, if it is a string field of one."""
+    outer, _, inner = text_col.partition(".")
+    if outer not in keep or not isinstance(docs.schema[outer].dataType, StructType):
+        return None
+    found = [k for k, f in enumerate(docs.schema[outer].dataType.fields) if f.name.lower() == inner.lower()]
+    if len(found) != 1 or docs.schema[outer].dataType.fields[found[0]].dataType != StringType():
+        return None
+    return keep.index(outer), found[0]
+
+
 def identify_languages(
     docs: DataFrame, model: LanguageMasks, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)
 ) -> DataFrame:
@@ -166,12 +179,14 @@ def identify_languages(
     learned. A text with letters and no known n-gram gives the commonest language with score 0. Ties go
     to the first language in name order. Repeated rows repeat. Whole texts are read, in stretches, so
     memory does not grow with them beyond their bytes. Other columns are ignored, kept ones named like
-    the results give way to them.
+    the results give way to them. A text that is a field of a kept column (``_doc.text``) is sent once.
     """
     spark = docs.sparkSession
     keep = [c for c in keep if c not in ("lang_pred", "score")]
     text = F.col(text_col).cast("string")
-    rows = docs.select(*keep, F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("_letters"), text.alias("_text"))
+    place = held_field(docs, keep, text_col)
+    sent = [] if place else [text.alias("_text")]
+    rows = docs.select(*keep, F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("_letters"), *sent)
     kept = [f for f in rows.schema.fields if f.name in keep]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
     arrow = pa.schema(
@@ -182,12 +197,15 @@ def identify_languages(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for b in batches:
-            data, offsets = utf8(b.column(len(keep) + 1))
+            texts = b.column(len(keep) + 1) if place is None else pc.struct_field(b.column(place[0]), [place[1]])
+            data, offsets = utf8(texts)
             letters = b.column(len(keep)).to_numpy(zero_copy_only=False)
-            names, score = model.predict(data, offsets) if model.languages else ([], np.zeros(len(letters)))
-            names = [n if ok else UNKNOWN for n, ok in zip(names or [UNKNOWN] * len(letters), letters)]
-            columns = [b.column(k) for k in range(len(keep))]
-            columns += [pa.array(names, pa.string()), pa.array(np.where(letters, score, 0.0))]
-            yield pa.RecordBatch.from_arrays(columns, schema=arrow)
+            for lo, hi in slices(offsets, 4 * SLICE_BYTES):
+                ok, part, within = letters[lo:hi], data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
+                names, score = model.predict(part, within) if model.languages else ([], np.zeros(hi - lo))
+                names = [n if o else UNKNOWN for n, o in zip(names or [UNKNOWN] * (hi - lo), ok)]
+                columns = [b.column(k).slice(lo, hi - lo) for k in range(len(keep))]
+                columns += [pa.array(names, pa.string()), pa.array(np.where(ok, score, 0.0))]
+                yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 
     return rows.mapInArrow(run, f"{schema + ', ' if schema else ''}lang_pred string, score double")

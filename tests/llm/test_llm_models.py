@@ -7,6 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from eigenloom.llm.block_naming import whole_row
 from eigenloom.llm.language_masks import UNKNOWN, LanguageMasks, fit_languages, identify_languages
 from eigenloom.llm.nb_hinge import FEATURES, calibrate, dual_descent, fit_quality, indicators, score_quality
 from eigenloom.llm.piece_viterbi import SPACE, Pieces, decode_pieces, encode_pieces
@@ -188,3 +189,14 @@ def test_kept_columns_give_way(table):
     model = fit_quality(docs, docs.selectExpr("doc_id", "CAST(doc_id - 1 AS INT) AS quality"))
     scored = score_quality(docs, model, keep=("doc_id", "score"))
     assert scored.columns == ["doc_id", "score"] and scored.where("score BETWEEN 0 AND 1").count() == 2
+
+
+def test_kept_text_is_sent_once(odd):
+    model = fit_languages(odd.selectExpr("*", "'xx' AS lang"))
+    whole = odd.select(whole_row(odd))
+    once = identify_languages(whole, model, "_doc.text", keep=("_doc",))
+    sent = once._jdf.queryExecution().analyzed().toString().splitlines()[1]
+    assert "_letters" in sent and "AS _text" not in sent
+    twice = identify_languages(odd.select(whole_row(odd), "text"), model, keep=("_doc",))
+    rows = [sorted(map(str, df.select("_doc.doc_id", "_doc.text", "lang_pred", "score").collect())) for df in (once, twice)]
+    assert rows[0] == rows[1]
