@@ -48,6 +48,9 @@ PARTIAL = "part int, i int, vec array<double>"
 HELD_BYTES = 768 << 20
 HELD_COLUMNS = 1 << 23
 
+# Planned bytes of rows that a scan task has at least, however narrow the factor.
+SCAN_BYTES = 1 << 20
+
 # Eigenvalues of a Gram matrix at or below this share of the largest count as zero.
 RANK_TOLERANCE = 1e-12
 
@@ -117,11 +120,13 @@ def planned_bytes(rows: DataFrame) -> int:
 def scan_tasks(size: int, factor_bytes: int) -> int:
     """At most so many scan tasks for ``size`` bytes of rows; each one sends a sum as large as the factor.
 
-    A task reads four times the factor or 128 MB, whichever is more, and never more than 1 GB: so what is
-    exchanged stays below a quarter of what is read, and no task is too large to be run again. The
-    cores of the moment have no say.
+    A task reads 32 times the factor, but at least 1 MB and no more than 128 MB for that; four times the factor if
+    that is more, and never above 1 GB: so what is exchanged stays below a quarter of what is read, and no task is
+    too large to be run again. The cores of the moment have no say. Planned bytes are those of packed columns, some
+    two for a row of five cells: for a narrow factor the tasks are the splits that Spark plans.
     """
-    return max(1, -(-size // min(max(4 * factor_bytes, 128 << 20), 1 << 30)))
+    least = min(max(32 * factor_bytes, SCAN_BYTES), 128 << 20)
+    return max(1, -(-size // min(max(4 * factor_bytes, least), 1 << 30)))
 
 
 def factor_table(spark: SparkSession, factor: np.ndarray) -> DataFrame:

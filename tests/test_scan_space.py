@@ -6,6 +6,7 @@ import pytest
 from eigenloom.plans import spaces
 from eigenloom.workload.queries import QUERIES
 from matrix_tools import array_of, entries_of
+from pyspark.sql import functions as F
 
 
 @pytest.fixture
@@ -96,6 +97,28 @@ def test_scans_and_tiles_agree(spark, tmp_path, monkeypatch, method, start):
     assert np.allclose(*found, atol=1e-7)
 
 
+@pytest.mark.parametrize("name", ["sketch_pca_tsqr_tables"])
+def test_narrow_factors_leave_the_splits(spark, tmp_path, monkeypatch, name):
+    """Four files of some planned megabytes and a factor of half a kilobyte: a pass was one task."""
+    opened = spaces.ScanSpace.__init__
+
+    class Opened(Exception):
+        pass
+
+    def opening(self, *args):
+        opened(self, *args)
+        raise Opened(self.rows.rdd.getNumPartitions())
+
+    monkeypatch.setattr(spaces.ScanSpace, "__init__", opening)
+    columns = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+    cells = [((j + 1) * F.rand(j)).alias(c) for j, c in enumerate(columns)]
+    table = spark.range(0, 200_000, 1, 4).select(*cells, (F.col("id") % 7).cast("int").alias("l_linenumber"))
+    table.write.parquet(f"{tmp_path}/lineitem.parquet")
+    with pytest.raises(Opened) as found:
+        QUERIES[name](spark, str(tmp_path))
+    assert 1 < found.value.args[0] <= 4
+
+
 def test_declared_rows_are_checked(spark):
     a = np.eye(4)
     with pytest.raises(ValueError, match="holds 4 rows"):
