@@ -97,7 +97,7 @@ def test_scans_and_tiles_agree(spark, tmp_path, monkeypatch, method, start):
     assert np.allclose(*found, atol=1e-7)
 
 
-@pytest.mark.parametrize("name", ["sketch_pca_tsqr_tables", "sketch_pca_two_pass_tables", "residual_norm_tables", "sketch_pca_sparse_sign_tables"])
+@pytest.mark.parametrize("name", [f"{n}_tables" for n in ("residual_norm", "sketch_pca_tsqr", "sketch_pca_two_pass", "sketch_pca_sparse_sign", "kth_singular_value")])
 def test_narrow_factors_leave_the_splits(spark, tmp_path, monkeypatch, name):
     """Four files of some planned megabytes and a factor of half a kilobyte: a pass was one task."""
     opened = spaces.ScanSpace.__init__
