@@ -54,8 +54,12 @@ def column_abs_sums(matrix: DataFrame) -> DataFrame:
 
 def column_means(matrix: DataFrame, n_rows: int, n_cols: int, null: float | None = None) -> DataFrame:
     """(col_id, value) for every column: sum over the declared row count, absent cells being 0."""
-    sums = column_sums(matrix, n_cols, null).where(F.col("col_id") < n_cols)
-    every = column_range(matrix.sparkSession, n_cols)
+    return means_of(column_sums(matrix, n_cols, null).where(F.col("col_id") < n_cols), n_rows, n_cols)
+
+
+def means_of(sums: DataFrame, n_rows: int, n_cols: int) -> DataFrame:
+    """(col_id, value) for every column, from the sums of those with stored cells."""
+    every = column_range(sums.sparkSession, n_cols)
     mean = F.coalesce(F.col("value"), F.lit(0.0)) / F.lit(float(n_rows))
     return every.join(sums, "col_id", "left").select("col_id", mean.alias("value"))
 

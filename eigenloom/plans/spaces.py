@@ -22,6 +22,7 @@ from ..functions.seeds import column_range, gaussian_seed, gaussian_vectors, sig
 from ..functions.vectors import numbers, pack, sum_vectors, unpack
 from ..operators import products, tsqr
 from ..operators.blocks import batch_rows, batch_vectors
+from ..operators.narrow import narrow_cells, narrow_column_sums, narrow_scan
 from ..operators.shapes import (
     as_entries,
     count_rows,
@@ -33,7 +34,7 @@ from ..operators.shapes import (
     to_entries,
     to_rows,
 )
-from ..operators.sums import column_means, column_sums
+from ..operators.sums import column_means, column_sums, means_of
 from ..operators.products import vector_batch
 from ..session import FACTOR_LIMIT_BYTES, as_table, drop_path, fits_broadcast, full_path, scratch_path
 from ..sources.files import data_files, file_system
@@ -170,13 +171,14 @@ class LocalSpace:
                 raise ValueError(f"n_rows={n_rows}, but the matrix holds {found} rows")
             self.n_rows = found if n_rows is None else n_rows
             matrix = near
-        self.rows = first_segment(matrix).select("indices", "values")
+        rows = first_segment(matrix).select("indices", "values")
         if partitions:
-            self.rows = self.rows.repartition(partitions)
+            self.rows = rows.repartition(partitions)
         else:
-            tasks = scan_tasks(planned_bytes(self.rows), factor_bytes)
-            self.rows = self.rows.coalesce(min(tasks, (1 << 31) - 1))
+            tasks = scan_tasks(planned_bytes(rows), factor_bytes)
+            self.rows = rows.coalesce(min(tasks, (1 << 31) - 1))
         self.cached = self.rows.persist() if cache else None
+        self.cells = narrow_cells(self.rows if cache or partitions else rows, n_cols, np.nan)
         self.means = None
 
     @property
@@ -186,7 +188,8 @@ class LocalSpace:
         return ROUND_OFF * np.sqrt(self.n_rows) * float(np.linalg.norm(self.means))
 
     def find_means(self) -> None:
-        table = column_sums(self.rows, self.n_cols).toArrow()
+        sums = narrow_column_sums(self.cells) if self.cells is not None else column_sums(self.rows, self.n_cols)
+        table = sums.toArrow()
         self.means = np.zeros(self.n_cols)
         self.means[table["col_id"].to_numpy()] = table["value"].to_numpy() / self.n_rows
 
@@ -244,7 +247,9 @@ class LocalSpace:
         def job(batches):
             yield from scan_sums((batch_rows(b) for b in batches), held.value, shift, cross)
 
-        sums = sum_vectors(self.rows.mapInArrow(job, PARTIAL), ["part", "i"], width + 1)
+        sums = narrow_scan(self.cells, factor, shift, (GRAM, CROSS) if cross else (GRAM,))
+        if sums is None:
+            sums = sum_vectors(self.rows.mapInArrow(job, PARTIAL), ["part", "i"], width + 1)
         whole = [np.zeros((n, width + 1)) for n in (n_cols if cross else 0, width + 1)]
         for batch in sums.toArrow().to_batches():
             part = batch.column("part").to_numpy(zero_copy_only=False)
@@ -556,7 +561,12 @@ class ScanSpace(TableSpace):
                 matrix = to_entries(matrix)
             rows, _ = self.stored(to_rows(every_row(matrix, n_cols), segment=HELD_COLUMNS), "rows", self.base)
         self.n_rows = rows.count() if n_rows is None else n_rows
-        self.means, _ = self.stored(column_means(rows, self.n_rows, n_cols, 0.0), "means", self.base)
+        self.cells = narrow_cells(rows, n_cols, 0.0)
+        if self.cells is not None:
+            means = means_of(narrow_column_sums(self.cells), self.n_rows, n_cols)
+        else:
+            means = column_means(rows, self.n_rows, n_cols, 0.0)
+        self.means, _ = self.stored(means, "means", self.base)
         square = self.means.agg(F.sum(F.col("value") * F.col("value"))).first()[0]
         self.noise = ROUND_OFF * np.sqrt(self.n_rows * square)
         rows = rows.select("indices", "values")
@@ -597,7 +607,11 @@ class ScanSpace(TableSpace):
         def job(batches):
             yield from scan_sums((batch_rows(b, 0.0) for b in batches), held(), zm, cross)
 
-        sums = sum_vectors(self.rows.mapInArrow(job, PARTIAL), ["part", "i"], width + 1)
+        sums = None
+        if self.cells is not None:
+            sums = narrow_scan(self.cells, held(), zm, (GRAM, CROSS) if cross else (GRAM,))
+        if sums is None:
+            sums = sum_vectors(self.rows.mapInArrow(job, PARTIAL), ["part", "i"], width + 1)
         if cross:
             sums, _ = self.stored(sums, "sums", self.steps)
         found = small_rows(sums.where(F.col("part") == GRAM), "i", width + 1)
