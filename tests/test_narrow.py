@@ -44,6 +44,10 @@ def test_sketch_pca_two_pass(spark, tmp_path, to_python):
     no_row_in_python(spark, tmp_path, "sketch_pca_two_pass_tables", to_python)
 
 
+def test_residual_norm(spark, tmp_path, to_python):
+    no_row_in_python(spark, tmp_path, "residual_norm_tables", to_python)
+
+
 @pytest.mark.parametrize("limit", [0, 1 << 20])
 def test_sums_are_those_of_python(spark, tmp_path, monkeypatch, limit):
     """Nulls count as zeros in tables, and are an error in arrays, either way."""
